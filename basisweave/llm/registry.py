@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basisweave.llm import line_dedup
+from basisweave.llm import line_dedup, simhash_dedup
 
 QUERIES = {
+    "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
