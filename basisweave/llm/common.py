@@ -46,7 +46,7 @@ def lower_ascii(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """The runs of characters that are no white space; none for null."""
-    return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE_RUN), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(c, F.lit("")), SPACE_RUN), "")
 
 
 def bucket(c: Column, n: int) -> Column:
