@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from basisweave.llm import line_dedup, quality_rules, simhash_dedup
+from basisweave.llm import line_dedup, quality_rules, simhash_dedup, url_filters
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
+    "op3_url_filters": url_filters.op3_url_filters,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
