@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from basisweave.llm import line_dedup, quality_rules, simhash_dedup, url_filters
+from basisweave.llm import decontaminate, line_dedup, quality_rules, simhash_dedup, url_filters
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL_BY_QUERY = {
+    "op4_decontamination": decontaminate.OP4_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
