@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from basisweave.llm import decontaminate, line_dedup, quality_rules, simhash_dedup, url_filters
+from basisweave.llm import decontaminate, line_dedup, quality_classifier, quality_rules, simhash_dedup, toxicity, url_filters
 
 QUERIES = {
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_quality_classifier": quality_classifier.op5_quality_classifier,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
