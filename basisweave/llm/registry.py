@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from basisweave.llm import decontaminate, line_dedup, quality_classifier, quality_rules, simhash_dedup, toxicity, url_filters
+from basisweave.llm import decontaminate, line_dedup, lm_scoring, quality_classifier, quality_rules, simhash_dedup, toxicity, url_filters
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_simhash_dedup": simhash_dedup.op2_simhash_dedup,
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_decontamination": decontaminate.op4_decontamination,
