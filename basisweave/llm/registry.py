@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from basisweave.llm import decontaminate, html_extract, line_dedup, lm_scoring, quality_classifier, quality_rules, simhash_dedup, toxicity, url_filters
+from basisweave.llm import decontaminate, html_extract, line_dedup, lm_scoring, quality_classifier, quality_rules, sentencepiece_sampling, simhash_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_filters": url_filters.op3_url_filters,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+    "op6_sentencepiece_sampling": sentencepiece_sampling.op6_sentencepiece_sampling,
     "op7_quality_rules": quality_rules.op7_quality_rules,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_html_extraction": html_extract.op9_html_extraction,
