@@ -64,28 +64,27 @@ class _Selected(dict):
 class ToxicModel:
     features: np.ndarray
     weights: np.ndarray
-    bias: np.ndarray
+    bias: float
     prior: float
 
     def scorer(self):
-        """text -> score; the classifiers' mean probability."""
+        """text -> score."""
+        none = float(0.5 + 0.5 * np.tanh(self.bias / 2))
         held = _Selected({int(f): k for k, f in enumerate(self.features)})
 
         def score(text: str | None) -> float:
             hits = sorted({p for own in map(held.__getitem__, distinct_words(text)) if own for p in own})
-            z = self.bias + self.weights[:, hits].sum(1) if hits else self.bias
-            return float((1 / (1 + np.exp(-z))).mean())
+            return float(0.5 + 0.5 * np.tanh((self.bias + self.weights[hits].sum()) / 2)) if hits else none
 
         return score
 
 
-def nnpu_logistic(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epochs: int = 80, batch: int = 512, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+def nnpu_logistic(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 1000, batch: int = 256, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise pi R_p(+) + max(0, R_u(-) - pi R_p(-)) by Adam."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(xp.shape[1]), -1.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    n_steps = max(1, min(len(xu), 16_000) // batch)
-    for step in range(1, epochs * n_steps + 1):
+    for step in range(1, steps + 1):
         p, u = xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), batch)]
         sp, su = 1 / (1 + np.exp(-(p @ w + b))), 1 / (1 + np.exp(-(u @ w + b)))
         # Logistic losses: R_p(-) and R_u(-) are means of softplus(z).
@@ -96,21 +95,35 @@ def nnpu_logistic(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, epoch
             gp, gu = prior * sp / batch, -su / batch
         grad = np.concatenate((p.T @ gp + u.T @ gu + decay * w * (gap >= 0), [gp.sum() + gu.sum()]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        change = rate * (1 - step / (steps + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - change[:-1], b - change[-1]
     return w, float(b)
 
 
+def calibrated(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
+    """Scale and shift of the logits: for each scale of a grid the shift that makes the unlabelled mean the prior (where
+    the corrected risk is flat in the shift), then the scale of least corrected risk."""
+    best = (np.inf, 1.0, 0.0)
+    for scale in (1.0, 1.5, 2.0, 3.0, 4.0, 6.0):
+        low, high = -60.0, 60.0
+        for _ in range(60):
+            shift = (low + high) / 2
+            low, high = (low, shift) if (0.5 + 0.5 * np.tanh((scale * z_u + shift) / 2)).mean() > prior else (shift, high)
+        risk = np.logaddexp(0, scale * z_u + shift).mean() - prior * (scale * z_p + shift).mean()
+        best = min(best, (float(risk), scale, shift))
+    return best[1], best[2]
+
+
 def sample_ids(rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` ids by their hash; one column, so at most ``n`` small rows."""
     return rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 16_000, n_features: int = 3000, classifiers: int = 3) -> ToxicModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 16_000, n_features: int = 1500, classifiers: int = 3) -> ToxicModel:
     """Learn from ``labels`` (id, toxic) and ``docs``; both already limited to the rows that may be learnt from."""
     known = labels.where("toxic is not null").select(F.col(id_col).alias("id"), "toxic")
     share = known.agg(F.avg("toxic"), F.sum("toxic")).first()
-    empty = ToxicModel(np.zeros(0, np.int64), np.zeros((1, 0)), np.full(1, -np.inf), 0.0)
+    empty = ToxicModel(np.zeros(0, np.int64), np.zeros(0), -np.inf, 0.0)
     if not share[1]:
         return empty
     prior = float(np.clip(share[0], 0.01, 0.5))
@@ -150,7 +163,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         x[k, r["at"]] = 1
     toxic = np.array([r["toxic"] for r in rows])
     fits = [nnpu_logistic(x[toxic], x[~toxic], prior, seed) for seed in range(classifiers)]
-    return ToxicModel(np.array(best, np.int64), np.stack([w for w, _ in fits]), np.array([b for _, b in fits]), prior)
+    # The classifiers' mean logit, calibrated: one linear score.
+    weights, bias = np.mean([w for w, _ in fits], 0), float(np.mean([b for _, b in fits]))
+    z = x @ weights + bias
+    scale, shift = calibrated(z[toxic], z[~toxic], prior)
+    return ToxicModel(np.array(best, np.int64), scale * weights, scale * bias + shift, prior)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
