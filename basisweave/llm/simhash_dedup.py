@@ -271,6 +271,65 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("id", "fp", "component")
 
 
+def shingle_set(text: str | None, width: int) -> set:
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(w[k:] for k in range(width)))) if len(w) >= width else {tuple(w)}
+
+
+def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """``pairs`` (rid, text, lead_text) to (rid, same): whether the shingle sets' Jaccard similarity is ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            same = []
+            for x, y in zip(b.column("text").to_pylist(), b.column("lead_text").to_pylist()):
+                if x != y:
+                    s, t = shingle_set(x, width), shingle_set(y, width)
+                    both = len(s & t)
+                    same.append(both >= least * (len(s) + len(t) - both))
+                else:
+                    same.append(True)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(same, pa.bool_())], names=["rid", "same"])
+
+    return pairs.select("rid", "text", "lead_text").mapInArrow(run, "rid long, same boolean")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, **search) -> DataFrame:
+    """``docs`` without the rows that repeat an earlier id's text at ``similarity`` or more.
+
+    Fingerprint components propose groups. In each group the smallest id leads; members that reach the similarity with
+    the lead are dropped, the others form the group's rest, which is led anew until nothing is left. First the groups
+    are single fingerprints, then what is left of components. So every dropped row has a kept row as similar as asked.
+    """
+    kept_columns = docs.columns
+    base = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
+    own = base.select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = near_duplicates(own.select("rid", "text"), "rid", "text", width, max_distance, **search).select(F.col("id").alias("rid"), "fp", "component")
+    gone: list[DataFrame] = []
+    left = marked.select("rid", F.col("fp").alias("g"), "component")
+    for turn in range(1_000_000):
+        groups = left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
+        members = written(left.join(groups, "g").join(own, "rid"), "group-members")
+        if not members.take(1):
+            if turn:
+                break
+            left = written(left.select("rid", F.col("component").alias("g"), "component"), "group-rest")
+            continue
+        lead = members.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid", "text")).alias("lead")).select("g", F.col("lead.rid").alias("lead_rid"), F.col("lead.text").alias("lead_text"))
+        pairs = members.join(lead, "g").where(F.col("rid") != F.col("lead_rid")).select("rid", "text", "lead_text")
+        verdict = written(_similar(pairs, width, similarity), "similar")
+        gone.append(verdict.where("same").select("rid"))
+        if turn:
+            # Leads are settled; what differs from its lead goes on.
+            left = written(verdict.where("not same").select("rid").join(marked, "rid").select("rid", F.col("component").alias("g"), "component"), "group-rest")
+        else:
+            left = written(left.join(gone[0], "rid", "left_anti").select("rid", F.col("component").alias("g"), "component"), "group-rest")
+    out = base
+    for g in gone:
+        out = out.join(g.withColumnRenamed("rid", "_rid"), "_rid", "left_anti")
+    return out.select(*kept_columns)
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(read_table(spark, sf_dir, "documents"), width=4, max_distance=4)
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
