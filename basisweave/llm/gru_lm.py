@@ -54,7 +54,8 @@ class GruModel:
         grid = padded.reshape(shape.classes, PER_CLASS)
         with np.errstate(divide="ignore"):
             p["bo"][...] = np.maximum(np.log(grid), -60) - np.log(np.maximum(grid.sum(1, keepdims=True), 1e-9))
-        p["bk"][...] = np.log(np.append(grid.sum(1), rare) + 0.5)
+        kinds = np.log(np.append(grid.sum(1), rare) + 0.5)
+        p["bk"][...] = kinds - kinds.max()
         return model
 
     def inputs(self) -> np.ndarray:
@@ -74,12 +75,12 @@ class GruModel:
         """
         p, n_classes = self.part, self.shape.classes
         kind = np.minimum(np.where(targets < self.shape.words, targets // PER_CLASS, n_classes), n_classes)
-        z = states @ p["wk"] + p["bk"]
-        z -= z.max(1, keepdims=True)
+        # Biases start at most at 0 and states lie in (-1, 1): the bound is for safety, no row needs a shift of its own.
+        z = np.minimum(states @ p["wk"] + p["bk"], 60)
         at = np.arange(len(z))
         chosen = z[at, kind]
         np.exp(z, out=z)
-        total = z.sum(1, keepdims=True)
+        total = z @ np.ones((n_classes + 1, 1), np.float32)
         logp = (chosen - np.log(total[:, 0])).astype(np.float64)
         ds = None
         if grad is not None:
@@ -90,17 +91,17 @@ class GruModel:
             ds = z @ p["wk"].T
         order = np.argsort(kind, kind="stable")
         cuts = np.searchsorted(kind[order], np.arange(n_classes + 1))
+        ones = np.ones((PER_CLASS, 1), np.float32)
         for c in range(n_classes):
             rows = order[cuts[c] : cuts[c + 1]]
             if not len(rows):
                 continue
             s, within = states[rows], targets[rows] % PER_CLASS
-            y = s @ p["wo"][c] + p["bo"][c]
-            y -= y.max(1, keepdims=True)
+            y = np.minimum(s @ p["wo"][c] + p["bo"][c], 60)
             k = np.arange(len(rows))
             chosen = y[k, within]
             np.exp(y, out=y)
-            total = y.sum(1, keepdims=True)
+            total = y @ ones
             logp[rows] += chosen - np.log(total[:, 0])
             if grad is not None:
                 y /= total
@@ -157,7 +158,7 @@ def _views(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
 class Trainer:
     """Adam over truncated windows; ``lanes`` streams of documents, states carried from window to window."""
 
-    def __init__(self, model: GruModel, lanes: int = 256, steps: int = 32, rate: float = 3e-3):
+    def __init__(self, model: GruModel, lanes: int = 512, steps: int = 32, rate: float = 3e-3):
         self.model, self.lanes, self.steps, self.rate = model, lanes, steps, rate
         self.m, self.v, self.t = np.zeros_like(model.flat), np.zeros_like(model.flat), 0
         self.grad = np.zeros_like(model.flat)
@@ -195,14 +196,19 @@ class Trainer:
         _, ds = self.model.token_logp(s_all.reshape(-1, n), y.T.reshape(-1), self.views)
         ds = ds.reshape(steps, lanes, n)
         dx = np.empty((steps, lanes, 3 * n), np.float32)
+        z, r = g_all[:, :, :n], g_all[:, :, n:]
+        by_c, by_z, by_r, stay = z * (1 - c_all * c_all), (c_all - s_all) * z * (1 - z), s_all * r * (1 - r), 1 - z
+        uc, ug = np.ascontiguousarray(p["uc"].T), np.ascontiguousarray(p["ug"].T)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            s, z, r, c = s_all[t], g_all[t][:, :n], g_all[t][:, n:], c_all[t]
-            dc = dh * z * (1 - c * c)
-            drs = dc @ p["uc"].T
-            dg = np.concatenate((dh * (c - s) * z * (1 - z), drs * s * r * (1 - r)), 1)
-            dx[t, :, : 2 * n], dx[t, :, 2 * n :] = dg, dc
-            dh = (dh * (1 - z) + drs * r + dg @ p["ug"].T + ds[t]) * keep[:, t, None]
+            d = dx[t]
+            dc = dh * by_c[t]
+            drs = dc @ uc
+            d[:, 2 * n :] = dc
+            np.multiply(dh, by_z[t], out=d[:, :n])
+            np.multiply(drs, by_r[t], out=d[:, n : 2 * n])
+            dh = dh * stay[t] + drs * r[t] + d[:, : 2 * n] @ ug + ds[t]
+            dh *= keep[:, t, None]
         g = self.views
         flat = dx.reshape(-1, 3 * n)
         s_flat, r_flat = s_all.reshape(-1, n), g_all.reshape(-1, 2 * n)[:, n:]
