@@ -164,9 +164,9 @@ def prj_34(spark, d):
     return venue.candles(spark, d).select("coin", "exchange", "snapshot_idx", r(F.ln("close") - F.lag(F.ln("close")).over(w), 8).alias("log_return"))
 
 
-@query("flt_03_snapshot_cut", over("ticker", "SELECT coin, exchange, snapshot_idx, round(mid, 4) AS mid FROM ticker WHERE snapshot_idx >= 30 AND snapshot_idx < 90 AND exchange IN ('click', 'view', 'login')"))
+@query("flt_03_snapshot_cut", over("ticker", "SELECT coin, exchange, snapshot_idx, round(mid, 4) AS mid FROM ticker WHERE snapshot_idx >= 30 AND snapshot_idx < 90 AND exchange IN ('click', 'view', 'error')"))
 def flt_03(spark, d):
-    return venue.tickers(spark, d).where(F.col("snapshot_idx").between(30, 89) & F.col("exchange").isin("click", "view", "login")).select("coin", "exchange", "snapshot_idx", r("mid"))
+    return venue.tickers(spark, d).where(F.col("snapshot_idx").between(30, 89) & F.col("exchange").isin("click", "view", "error")).select("coin", "exchange", "snapshot_idx", r("mid"))
 
 
 @query("flt_04_confidence_gate", over("sig", "SELECT window_id, CAST(count(*) FILTER (WHERE abs(pred) >= 0.9) AS BIGINT) AS live, CAST(count(*) FILTER (WHERE abs(pred) > 0.9) AS BIGINT) AS offline FROM sig GROUP BY 1"))
@@ -233,7 +233,7 @@ def jn_05(spark, d):
 
 
 _ASOF_SQL = """WITH l AS (SELECT event_id, coin, sec, mid FROM tick WHERE exchange = 'click'), q AS (SELECT coin, sec, max(mid) AS mid FROM tick WHERE exchange = 'view' GROUP BY ALL)
-SELECT l.event_id, l.coin, round(q.mid, 4) AS mid_asof, q.sec AS sec_asof FROM l ASOF LEFT JOIN q ON l.coin = q.coin AND l.sec >= q.sec"""
+SELECT l.event_id, l.coin, round(q.mid, 4) AS mid_asof, coalesce(q.sec, -1) AS sec_asof FROM l ASOF LEFT JOIN q ON l.coin = q.coin AND l.sec >= q.sec"""
 
 
 def _legs(spark, d):
@@ -245,13 +245,13 @@ def _legs(spark, d):
 @query("jn_05_asof_join", over("tick", _ASOF_SQL))
 def jn_05_asof(spark, d):
     left, right = _legs(spark, d)
-    return joins.asof(left, right, ["coin"], "sec", ["mid"]).select("event_id", "coin", r("mid_asof"), "sec_asof")
+    return joins.asof(left, right, ["coin"], "sec", ["mid"]).select("event_id", "coin", r("mid_asof"), F.coalesce("sec_asof", F.lit(-1)).alias("sec_asof"))
 
 
-@query("jn_06_asof_tolerance", over("tick", _ASOF_SQL.replace("round(q.mid, 4) AS mid_asof, q.sec AS sec_asof", "CASE WHEN l.sec - q.sec <= 1800 THEN round(q.mid, 4) END AS mid_asof, CASE WHEN l.sec - q.sec <= 1800 THEN q.sec END AS sec_asof")))
+@query("jn_06_asof_tolerance", over("tick", _ASOF_SQL.replace("round(q.mid, 4) AS mid_asof, coalesce(q.sec, -1) AS sec_asof", "CASE WHEN l.sec - q.sec <= 1800 THEN round(q.mid, 4) END AS mid_asof, CASE WHEN l.sec - q.sec <= 1800 THEN q.sec ELSE -1 END AS sec_asof")))
 def jn_06(spark, d):
     left, right = _legs(spark, d)
-    return joins.asof(left, right, ["coin"], "sec", ["mid"], tolerance=1800).select("event_id", "coin", r("mid_asof"), "sec_asof")
+    return joins.asof(left, right, ["coin"], "sec", ["mid"], tolerance=1800).select("event_id", "coin", r("mid_asof"), F.coalesce("sec_asof", F.lit(-1)).alias("sec_asof"))
 
 
 @query("jn_07_left_forward_fill", over("ticker", "SELECT coin, exchange, snapshot_idx, last_value(CASE WHEN last_id % 4 = 0 THEN open_interest END IGNORE NULLS) OVER (PARTITION BY coin, exchange ORDER BY snapshot_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_interest FROM ticker"))

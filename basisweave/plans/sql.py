@@ -26,7 +26,7 @@ BASE = {
   lag(zscore, 3) OVER s AS zscore_lag3, lead(zscore, 1) OVER s AS target FROM z WINDOW s AS (PARTITION BY window_id, coin, pair ORDER BY snapshot_idx))""",
     "fwd": """SELECT s.*, n.zscore AS zscore_fwd, n.spread_bps AS spread_bps_fwd FROM sig s JOIN sig n
   ON s.window_id = n.window_id AND s.coin = n.coin AND s.pair = n.pair AND n.snapshot_idx = s.snapshot_idx + 1""",
-    "fee": "SELECT * FROM (VALUES ('click', 4.0::DOUBLE), ('login', 5.0::DOUBLE), ('purchase', 6.0::DOUBLE), ('signup', 7.5::DOUBLE), ('view', 10.0::DOUBLE)) AS t(exchange, taker_bps)",
+    "fee": "SELECT * FROM (VALUES ('click', 4.0::DOUBLE), ('error', 5.0::DOUBLE), ('purchase', 6.0::DOUBLE), ('signup', 7.5::DOUBLE), ('view', 10.0::DOUBLE)) AS t(exchange, taker_bps)",
     "bet": """SELECT *, CAST(sign(zscore) AS INTEGER) AS direction, sign(zscore) * zscore_fwd AS pnl_proxy, spread_bps_fwd - spread_bps AS spread_delta_bps,
   sign(zscore) * (spread_bps_fwd - spread_bps) AS gross_bps, abs(pred) AS abs_pred,
   CASE WHEN zscore_fwd <> 0 AND sign(zscore_fwd) = sign(zscore) THEN 1 ELSE 0 END AS dir_hit FROM fwd WHERE pred IS NOT NULL AND zscore_fwd IS NOT NULL""",

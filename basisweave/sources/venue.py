@@ -11,7 +11,7 @@ BUCKET = 14_400
 #: Snapshots before this one are the first run, the rest the second.
 SECOND_RUN = 84
 
-VENUES = ["click", "login", "purchase", "signup", "view"]
+VENUES = ["click", "error", "purchase", "signup", "view"]
 #: Taker fee in basis points by venue, in the order of VENUES.
 TAKER_BPS = [4.0, 5.0, 6.0, 7.5, 10.0]
 DEFAULT_TAKER_BPS = 8.0
