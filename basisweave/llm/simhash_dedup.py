@@ -129,7 +129,10 @@ def slices(fps: np.ndarray, bands: int) -> list[np.ndarray]:
 
 
 def spanning_links(home: np.ndarray, label: np.ndarray, visitors: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:
-    """Edges that connect what the links between ``visitors`` and ``home`` connect; ``label`` (updated) is home's forest."""
+    """Edges that connect what the links between ``visitors`` and ``home`` connect; ``label`` (updated) names each home's tree root.
+
+    An edge may lead to a tree's root rather than to the linked fingerprint itself.
+    """
     a: list[int] = []
     b: list[int] = []
     step = max(1, 2_000_000 // max(1, len(home)))
