@@ -43,14 +43,15 @@ def line_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return written(occurrences.repartitionByRange(n, *order).sortWithinPartitions(*order), "line-index")
 
 
-def line_stats(index: DataFrame) -> DataFrame:
-    """Per hash: number of documents and first occurrence, in document and position order.
+def line_stats(index: DataFrame, first: bool = True) -> DataFrame:
+    """Per hash: number of documents and, if asked, first occurrence in document and position order.
 
     The index is sorted, so each file holds a hash as one run: the partial aggregate leaves a row a run, and a
     document's own repeats go before the count.
     """
     per_doc = index.groupBy("h1", "h2", "doc", "txt").agg(F.min("pos").alias("pos"))
-    return per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc", "txt", "pos")).alias("first"))
+    own = [F.min(F.struct("doc", "txt", "pos")).alias("first")] if first else []
+    return per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), *own)
 
 
 def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, partitions: int | None = None) -> DataFrame:
@@ -59,7 +60,8 @@ def line_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Words without a lost line are left out. ``keep_first`` spares the first occurrence of each repeated line.
     """
     index = line_index(docs, id_col, text_col, min_chars, partitions)
-    hot = line_stats(index).where(F.col("n_docs") >= min_docs)
+    # Written, so that the join below stands right on its exchanges and a line that is everywhere can be split.
+    hot = written(line_stats(index, keep_first).where(F.col("n_docs") >= min_docs), "repeated-lines")
     lost = index.join(hot, ["h1", "h2"])
     if keep_first:
         lost = lost.where(~(F.struct("doc", "txt", "pos").eqNullSafe(F.col("first"))))
