@@ -45,10 +45,12 @@ def forest_forecast(sig: DataFrame) -> DataFrame:
 
 
 def walk_forward(sig: DataFrame, folds: int) -> DataFrame:
-    """Expanding folds by time: fit on all before a fold, scored on it."""
-    data = dataset(sig)
+    """Expanding folds by time: fit on all complete rows before a fold, scored on it; without rows there are no folds."""
+    data = dataset(sig).dropna(subset=list(FEATURES))
     lo, hi = data.agg(F.min("snapshot_idx"), F.max("snapshot_idx")).first()
     out = None
+    if lo is None or hi - lo <= folds:
+        return sig.sparkSession.createDataFrame([], "fold int, n long, mae double, r2 double, dir_acc double")
     for k in range(1, folds + 1):
         start = lo + (hi + 1 - lo) * k // (folds + 1)
         stop = lo + (hi + 1 - lo) * (k + 1) // (folds + 1)

@@ -17,12 +17,12 @@ from basisweave.streaming import live
 _KEY = ["window_id", "coin", "pair", "snapshot_idx"]
 
 
-@query("src_04_envelope_scan", over("ticker", "SELECT window_id, coin, exchange, snapshot_idx, round(bid, 4) AS bid, round(ask, 4) AS ask FROM ticker WHERE snapshot_idx >= 40 AND snapshot_idx < 120 AND last_id % 11 <> 0"))
+@query("src_04_envelope_scan", over("ticker", "SELECT window_id, coin, exchange, snapshot_idx, round(bid, 8) AS bid, round(ask, 8) AS ask FROM ticker WHERE snapshot_idx >= 40 AND snapshot_idx < 120 AND last_id % 11 <> 0"))
 def src_04(spark, d):
     t = venue.tickers(spark, d).withColumn("error", F.when(F.col("last_id") % 11 == 0, "timeout"))
     path = files.landing(spark, "envelope")
     files.write_envelope(t, path, ["bid", "ask"])
-    return files.read_envelope(spark, path, "bid double, ask double", 40, 120).select("window_id", "coin", "exchange", "snapshot_idx", r("bid"), r("ask"))
+    return files.read_envelope(spark, path, "bid double, ask double", 40, 120).select("window_id", "coin", "exchange", "snapshot_idx", r("bid", 8), r("ask", 8))
 
 
 @query("src_01_signal_scan", over("ticker", "SELECT coin, exchange, snapshot_idx, round(mid, 4) AS mid FROM ticker WHERE last_id % 7 <> 0"))

@@ -14,9 +14,9 @@ from basisweave.sources import venue
 V = venue.VENUES
 
 
-@query("prj_01_ticker_projection", over("ticker", "SELECT coin, exchange, snapshot_idx, round(mid, 6) AS mid, round(bid, 6) AS bid, round(ask, 6) AS ask, CAST(n_ticks AS BIGINT) AS n_ticks FROM ticker WHERE mid IS NOT NULL"))
+@query("prj_01_ticker_projection", over("ticker", "SELECT coin, exchange, snapshot_idx, round(mid, 8) AS mid, round(bid, 8) AS bid, round(ask, 8) AS ask, CAST(n_ticks AS BIGINT) AS n_ticks FROM ticker WHERE mid IS NOT NULL"))
 def prj_01(spark, d):
-    return venue.tickers(spark, d).where("mid is not null").select("coin", "exchange", "snapshot_idx", r("mid", 6), r("bid", 6), r("ask", 6), "n_ticks")
+    return venue.tickers(spark, d).where("mid is not null").select("coin", "exchange", "snapshot_idx", r("mid", 8), r("bid", 8), r("ask", 8), "n_ticks")
 
 
 @query("prj_02_funding_projection", over("ticker", "SELECT coin, exchange, snapshot_idx, round(funding_rate * 1e4, 4) AS funding_bps FROM ticker WHERE funding_rate <> 0"))
