@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import read_table
+from basisweave.llm.common import first_by_hash, read_table
 
 #: Elements that start a block of their own.
 BLOCKS = frozenset(
@@ -318,7 +318,7 @@ def decode(parents: list[int], logits: np.ndarray) -> np.ndarray:
 
 def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 1500) -> Boosted | None:
     """Trees learnt from a bounded sample; None without a named block of each kind."""
-    ids = pages.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(sample_pages)
+    ids = first_by_hash(pages.select(F.col(id_col).alias("id")), sample_pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -328,7 +328,7 @@ def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
                 x = np.concatenate([node_features(p) for p in found])[y >= 0]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), pa.array(y[y >= 0], pa.int64())], names=["x", "y"])
 
-    chosen = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "id").select("html")
+    chosen = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "id").dropDuplicates(["id"]).select("html")
     got = chosen.mapInArrow(run, "x array<float>, y long").toArrow()
     if not got.num_rows:
         return None

@@ -25,8 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, read_table
-from basisweave.llm.toxicity import sample_ids
+from basisweave.llm.common import bucket, first_by_hash, read_table
 
 BUCKETS = 8192
 DIM = 48
@@ -179,8 +178,8 @@ def fit_quality(docs: DataFrame, learnable_docs: DataFrame, labels: DataFrame, i
         rate = share.get(1, 0) / sum(share.values()) if share else 0.5
         z = np.zeros(vectors.shape[1] + 2)
         return QualityModel(vectors, z, z + 1, np.zeros((len(z), 1)), np.zeros(1), np.zeros(1), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))), 1.0)
-    parts = [sample_ids(known.where(F.col("quality") == q), max_labelled // 2).withColumn("quality", F.lit(q)) for q in (0, 1)]
-    chosen = learnable_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "id")
+    parts = [first_by_hash(known.where(F.col("quality") == q), max_labelled // 2).withColumn("quality", F.lit(q)) for q in (0, 1)]
+    chosen = learnable_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "id").dropDuplicates(["id", "quality"])
     shipped = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

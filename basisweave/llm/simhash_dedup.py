@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisweave.llm.common import read_table, written
+from basisweave.llm.common import first_by_hash, read_table, written
 
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -169,7 +169,7 @@ def similarity_links(fps: DataFrame, max_distance: int = 4, bands: int = 4, shar
     """Edges (a, b) over the distinct ``fp`` of ``fps`` that connect whatever links within ``max_distance`` connect."""
     spark = fps.sparkSession
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()], np.int64)
+    sample = np.array([r[0] for r in first_by_hash(fps, sample_rows, "fp").collect()], np.int64)
     bits, radius = 64 // bands, max_distance // bands
     depth = int(np.clip(np.ceil(np.log2(max(1, n / shard_rows))), 0, min(bits - 2, 14)))
     trees = [VantageTree.fit(s, bits, depth, seed=k) for k, s in enumerate(slices(sample, bands))]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, read_table, written
+from basisweave.llm.common import bucket, first_by_hash, read_table, written
 
 #: ASCII letters lower-cased and digits stay, other ASCII becomes a space; bytes from 0x80 on are letters.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 0x20 for b in range(256))
@@ -114,11 +114,6 @@ def calibrated(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, f
     return best[1], best[2]
 
 
-def sample_ids(rows: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` ids by their hash; one column, so at most ``n`` small rows."""
-    return rows.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(n)
-
-
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 16_000, n_features: int = 1500, classifiers: int = 3) -> ToxicModel:
     """Learn from ``labels`` (id, toxic) and ``docs``; both already limited to the rows that may be learnt from."""
     known = labels.where("toxic is not null").select(F.col(id_col).alias("id"), "toxic")
@@ -127,9 +122,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     if not share[1]:
         return empty
     prior = float(np.clip(share[0], 0.01, 0.5))
-    positive = sample_ids(known.where("toxic = 1"), max_positive).withColumn("toxic", F.lit(True))
+    positive = first_by_hash(known.where("toxic = 1"), max_positive).withColumn("toxic", F.lit(True))
     # From all texts, confirmed ones among them: the prior is the toxic share of just this sample.
-    unlabelled = sample_ids(docs.select(F.col(id_col).alias("id")), max_unlabelled).withColumn("toxic", F.lit(False))
+    unlabelled = first_by_hash(docs.select(F.col(id_col).alias("id")), max_unlabelled).withColumn("toxic", F.lit(False))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -138,7 +133,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column("toxic"), lists], names=["toxic", "features"])
 
     # Bounded by the two parameters: the chosen ids are broadcast, and texts meet them where they lie.
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), "id").select("toxic", "text")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), "id").dropDuplicates(["id", "toxic"]).select("toxic", "text")
     sample = written(chosen.mapInArrow(features, "toxic boolean, features array<long>"), "toxic-sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
