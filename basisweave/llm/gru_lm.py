@@ -89,7 +89,7 @@ class GruModel:
             grad["wk"] += states.T @ z
             grad["bk"] += z.sum(0)
             ds = z @ p["wk"].T
-        order = np.argsort(kind, kind="stable")
+        order = _sorted(kind)
         cuts = np.searchsorted(kind[order], np.arange(n_classes + 1))
         ones = np.ones((PER_CLASS, 1), np.float32)
         for c in range(n_classes):
@@ -146,6 +146,18 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
 
+def _sorted(keys: np.ndarray) -> np.ndarray:
+    """Stable order of small non-negative keys; 16-bit ones are sorted by radix."""
+    return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 65536 else keys, kind="stable")
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by key, and where in it each key's run begins."""
+    order = _sorted(keys)
+    own = keys[order]
+    return order, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+
+
 def _views(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, size in shape.parts().items():
@@ -217,7 +229,8 @@ class Trainer:
         g["bx"] += flat.sum(0)
         ids = x.T.reshape(-1)
         g["wx"] += p["e"][ids].T @ flat
-        np.add.at(g["e"], ids, flat @ p["wx"].T)
+        order, heads = _runs(ids)
+        g["e"][ids[order[heads]]] += np.add.reduceat((flat @ p["wx"].T)[order], heads, axis=0)
         self._adam(1 / (lanes * steps))
         return h
 
