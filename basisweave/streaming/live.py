@@ -61,3 +61,36 @@ def stream_settlement(spark: SparkSession, sig: DataFrame, tau: float = 0.5) ->
     joined = b.join(m, keys[0] & keys[1] & keys[2] & keys[3] & near)
     out = drain(joined.select("b.window_id", "b.coin", "b.pair", "b.snapshot_idx", (F.signum("b.zscore") * F.col("m.zscore_fwd")).alias("pnl_proxy")), "settled")
     return out.withColumn("pnl_proxy", F.round("pnl_proxy", 6))
+
+
+def stream_tick_pairing(spark: SparkSession, ticks: DataFrame, a: str, b: str) -> DataFrame:
+    """Two feeds paired tick by tick with keyed state: the last price and time of each side survive from batch to batch."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    rows = ticks.where(F.col("exchange").isin(a, b)).select("event_id", "coin", "exchange", "mid", F.unix_micros("ts").alias("us"))
+    stream = replay(spark, rows, "feeds")
+
+    def pair(key, batches, state):
+        price = dict(zip(("a", "ta", "b", "tb"), state.get)) if state.exists else dict.fromkeys(("a", "ta", "b", "tb"))
+        out = []
+        for t in pd.concat(batches).sort_values(["us", "event_id"]).itertuples():
+            side = "a" if t.exchange == a else "b"
+            price[side], price["t" + side] = float(t.mid), int(t.us) // 1_000_000
+            if price["a"] is not None and price["b"] is not None:
+                now = int(t.us) // 1_000_000
+                out.append((t.event_id, key[0], price["a"], price["b"], max(now - price["ta"], now - price["tb"])))
+        state.update((price["a"], price["ta"], price["b"], price["tb"]))
+        yield pd.DataFrame(out, columns=["event_id", "coin", "mid_a", "mid_b", "age"])
+
+    paired = stream.groupBy("coin").applyInPandasWithState(pair, "event_id long, coin string, mid_a double, mid_b double, age long", "a double, ta long, b double, tb long", "append", GroupStateTimeout.NoTimeout)
+    return drain(paired, "paired")
+
+
+def stream_sliding(spark: SparkSession, ticks: DataFrame) -> DataFrame:
+    """Sliding statistics: four hours, every hour, per venue."""
+    rows = ticks.select("exchange", "mid", F.col("ts").alias("at"))
+    stream = replay(spark, _with_marker(rows), "sliding").withWatermark("at", "1 hour")
+    agg = stream.groupBy(F.window("at", "4 hours", "1 hour"), "exchange").agg(F.count(F.lit(1)).alias("n"), F.avg("mid").alias("mean"))
+    out = drain(agg.select(F.col("window.start").alias("start"), "exchange", "n", "mean"), "slides").where("exchange is not null")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "exchange", "n", F.round("mean", 4).alias("mean"))
