@@ -30,7 +30,7 @@ from basisweave.llm.common import bucket, first_by_hash, read_table
 BUCKETS = 8192
 DIM = 48
 NONZERO = 4
-_CACHE = 300_000
+_CACHE = 120_000
 _TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|([!-/:-@\[-`{-~])\1*")
 
 

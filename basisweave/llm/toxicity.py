@@ -32,7 +32,7 @@ from basisweave.llm.common import bucket, first_by_hash, read_table, written
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 0x20 for b in range(256))
 
 GRAM = 5
-_CACHE = 300_000
+_CACHE = 120_000
 
 
 def distinct_words(text: str | None) -> set[bytes]:
