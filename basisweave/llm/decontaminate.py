@@ -7,8 +7,8 @@ The index is a written table and is searched with joins: the offset-adjusted pos
 meet on (document, start), what is left fetches its other terms' postings, and a start with all terms is an
 occurrence. Proximity matches allow the terms in any order within a slop.
 
-The benchmark's terms go to the tasks as a broadcast, in blocks of at most ``block_terms`` distinct terms; a larger
-benchmark is searched block by block, so nothing broadcast grows with the input.
+The benchmark's windows and terms go to the tasks as a broadcast, about ``block_windows`` windows at a time; a larger
+benchmark is searched block by block, so nothing broadcast grows with either table.
 
 Defined cases: null and empty texts have no words, hits or windows; a null id is an id like any other; equal
 documents are searched each for itself; equal benchmark rows count once each by item id; an empty table on either
@@ -127,20 +127,19 @@ def proximity_occurrences(postings: DataFrame, parts: DataFrame, slop: int) -> D
     return full.join(F.broadcast(n_need), "window").where("n = n_need").select("rid", "window", "start").distinct()
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, n_rare: int = 2, block_terms: int = 2_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", width: int = 10, n_rare: int = 2, block_windows: int = 200_000) -> DataFrame:
     """(rid, id, n_words, n_hit, items) per row of ``docs``: words inside benchmark windows, and the sorted items that have one."""
     spark = docs.sparkSession
-    cut = written(windows(items, item_col, "text", width).withColumn("window", F.xxhash64("words")).withColumn("block", F.lit(0)), "benchmark-windows")
+    cut = written(windows(items, item_col, "text", width).withColumn("window", F.xxhash64("words")), "benchmark-windows")
     exploded = cut.select("window", F.posexplode("words").alias("offset", "term")).distinct()
-    n_terms = exploded.select(F.count_distinct("term")).first()[0]
-    n_blocks = max(1, -(-n_terms // block_terms))
+    n_blocks = max(1, -(-cut.select(F.count_distinct("window")).first()[0] // block_windows))
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if n_blocks > 1:  # row ids that several passes agree on
         keyed = written(keyed, "numbered")
     hits, sizes = [], None
     for k in range(n_blocks):
         own = exploded if n_blocks == 1 else exploded.where(F.pmod("window", F.lit(n_blocks)) == k)
-        names = [r[0] for r in own.select("term").distinct().collect()]  # at most block_terms and what one window adds
+        names = [r[0] for r in own.select("term").distinct().collect()]  # at most the width times the block's windows
         vocabulary = spark.sparkContext.broadcast({t.encode("utf-8", "surrogatepass"): i for i, t in enumerate(names)})
         ids = spark.createDataFrame(pa.table({"name": pa.array(names, pa.string()), "term_id": pa.array(range(len(names)), pa.int32())}))
         counts = term_counts(keyed, vocabulary)

@@ -279,58 +279,70 @@ def shingle_set(text: str | None, width: int) -> set:
     return set(zip(*(w[k:] for k in range(width)))) if len(w) >= width else {tuple(w)}
 
 
-def _similar(pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """``pairs`` (rid, text, lead_text) to (rid, same): whether the shingle sets' Jaccard similarity is ``least`` or more."""
+def _led(members: DataFrame, width: int, least: float) -> DataFrame:
+    """``members`` (g, block, n, rid, id, text) to (g, n, rid, same): in each block, in order of id, a row is the same as an
+    earlier one that is not if their shingle sets' Jaccard similarity is ``least`` or more; else it leads from there on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, texts, leads = None, set(), []
         for b in batches:
             same = []
-            for x, y in zip(b.column("text").to_pylist(), b.column("lead_text").to_pylist()):
-                if x != y:
-                    s, t = shingle_set(x, width), shingle_set(y, width)
-                    both = len(s & t)
-                    same.append(both >= least * (len(s) + len(t) - both))
-                else:
-                    same.append(True)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(same, pa.bool_())], names=["rid", "same"])
-
-    return pairs.select("rid", "text", "lead_text").mapInArrow(run, "rid long, same boolean")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, **search) -> DataFrame:
+            for g, block, text in zip(b.column("g").to_pylist(), b.column("block").to_pylist(), b.column("text").to_pylist()):
+                if (g, block) != key:
+                    key, texts, leads = (g, block), set(), []
+                found = text in texts
+                if not found:
+                    own = shingle_set(text, width)
+                    for other in leads:
+                        if least * len(own) <= len(other) and least * len(other) <= len(own):
+                            both = len(own & other)
+                            if both >= least * (len(own) + len(other) - both):
+                                found = True
+                                break
+                    else:
+                        texts.add(text)
+                        leads.append(own)
+                same.append(found)
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("n"), b.column("rid"), pa.array(same, pa.bool_())], names=["g", "n", "rid", "same"])
+
+    ordered = members.repartition("g", "block").sortWithinPartitions("g", "block", F.col("id").isNull(), "id", "rid")
+    return ordered.select("g", "block", "n", "rid", "text").mapInArrow(run, "g long, n long, rid long, same boolean")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, block_rows: int = 512, **search) -> DataFrame:
     """``docs`` without the rows that repeat an earlier id's text at ``similarity`` or more.
 
-    Fingerprint components propose groups. In each group the smallest id leads; members that reach the similarity with
-    the lead are dropped, the others form the group's rest, which is led anew until nothing is left. First the groups
-    are single fingerprints, then what is left of components. So every dropped row has a kept row as similar as asked.
+    Groups are proposed by equal fingerprints first, then by fingerprint components. A group is dealt by hash into
+    blocks of about ``block_rows`` rows; in a block the rows are taken by id, and one that reaches the similarity with
+    an earlier kept one goes. What is left of a group of several blocks is dealt anew, until it fits one; a turn that
+    drops nothing doubles the blocks. So every dropped row was as similar as asked to a row that stayed in its turn.
     """
     kept_columns = docs.columns
     base = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
     own = base.select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marked = near_duplicates(own.select("rid", "text"), "rid", "text", width, max_distance, **search).select(F.col("id").alias("rid"), "fp", "component")
+    marked = written(near_duplicates(own.select("rid", "text"), "rid", "text", width, max_distance, **search).select(F.col("id").alias("rid"), "fp", "component"), "near-groups")
     gone: list[DataFrame] = []
-    left = marked.select("rid", F.col("fp").alias("g"), "component")
-    for turn in range(1_000_000):
-        groups = left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g")
-        members = written(left.join(groups, "g").join(own, "rid"), "group-members")
-        if not members.take(1):
-            if turn:
+    size, turn = block_rows, 0
+    for by in ("fp", "component"):
+        left = marked.select("rid", F.col(by).alias("g"))
+        for g in gone:
+            left = left.join(g, "rid", "left_anti")
+        while True:
+            sizes = left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+            dealt = left.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "rid"), F.ceil(F.col("n") / size)))
+            verdict = written(_led(dealt.join(own, "rid"), width, similarity), "near-verdicts")
+            gone.append(verdict.where("same").select("rid"))
+            turn += 1
+            more = verdict.where((~F.col("same")) & (F.col("n") > size)).select("rid", "g")
+            if not more.take(1):
                 break
-            left = written(left.select("rid", F.col("component").alias("g"), "component"), "group-rest")
-            continue
-        lead = members.groupBy("g").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid", "text")).alias("lead")).select("g", F.col("lead.rid").alias("lead_rid"), F.col("lead.text").alias("lead_text"))
-        pairs = members.join(lead, "g").where(F.col("rid") != F.col("lead_rid")).select("rid", "text", "lead_text")
-        verdict = written(_similar(pairs, width, similarity), "similar")
-        gone.append(verdict.where("same").select("rid"))
-        if turn:
-            # Leads are settled; what differs from its lead goes on.
-            left = written(verdict.where("not same").select("rid").join(marked, "rid").select("rid", F.col("component").alias("g"), "component"), "group-rest")
-        else:
-            left = written(left.join(gone[0], "rid", "left_anti").select("rid", F.col("component").alias("g"), "component"), "group-rest")
-    out = base
-    for g in gone:
-        out = out.join(g.withColumnRenamed("rid", "_rid"), "_rid", "left_anti")
-    return out.select(*kept_columns)
+            if not gone[-1].take(1):
+                size *= 2
+            left = more
+    dropped = gone[0]
+    for g in gone[1:]:
+        dropped = dropped.unionByName(g)
+    return base.join(dropped.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*kept_columns)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,8 +37,8 @@ def test_against_brute_force(spark, make_docs):
             t += "; " + (items[rng.randrange(len(items))][1] or "").upper() + ", " + t
         rows.append((k, t))
     rows += [(100, None), (101, ""), (5, rows[5][1]), (None, "b b b b b b b")]
-    for blocks in (2_000_000, 5):
-        got = decontaminate(make_docs(rows, rid=1, term="x"), bench, width=4, block_terms=blocks).collect()
+    for blocks in (200_000, 15):
+        got = decontaminate(make_docs(rows, rid=1, term="x"), bench, width=4, block_windows=blocks).collect()
         assert sorted((str(r.id), r.n_words, r.n_hit, r["items"]) for r in got) == sorted((str(i), *brute(t, items, 4)) for i, t in rows)
 
 

@@ -83,7 +83,9 @@ def test_stage_keeps_one_of_each_group(make_docs):
             for _ in range(copy):
                 changed[rng.randrange(300)] = word()
             rows.append((10 * k + copy, " ".join(changed)))
+    small = {r.doc_id for r in drop_near_duplicates(make_docs(rows + [(200 + k, rows[0][1]) for k in range(40)]), block_rows=3).collect()}
     kept = {r.doc_id for r in drop_near_duplicates(make_docs(rows, fp="x", component=1)).collect()}
+    assert small == kept
     assert {10 * k for k in range(6)} <= kept
     sets = {i: shingle_set(t, 5) for i, t in rows}
     similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
