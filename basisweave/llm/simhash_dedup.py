@@ -309,6 +309,113 @@ def _led(members: DataFrame, width: int, least: float) -> DataFrame:
     return ordered.select("g", "block", "n", "rid", "text").mapInArrow(run, "g long, n long, rid long, same boolean")
 
 
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BUCKETS = 1 << 18
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of the shingles of ``shingle_set``, sorted."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = max(1, len(words) - width + 1)
+    out = np.full(n, min(len(words), width), np.uint64)
+    for k in range(min(width, len(words))):
+        out = (out ^ own[k : k + n]) * _ODD
+        out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
+def prefix_tokens(rows: DataFrame, width: int, least: float) -> DataFrame:
+    """``rows`` (rid, text) to (token, rid, n, pos): of each row's n shingles in a common order, those at the front, so many
+    that two rows of similarity ``least`` share one. Any order is right; shingles of full hash buckets come last."""
+    spark = rows.sparkSession
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                np.add.at(n, (shingle_hashes(t, width) % np.uint64(_BUCKETS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at])], names=["bucket", "n"])
+
+    # At most _BUCKETS rows, whatever the input.
+    found = rows.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    full = np.zeros(_BUCKETS, np.int64)
+    full[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    counts = spark.sparkContext.broadcast(full)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, sizes, lengths = [np.zeros(0, np.uint64)], [], []
+            for t in b.column("text").to_pylist():
+                own = shingle_hashes(t, width)
+                n = len(own)
+                front = n - int(np.ceil(least * n - 1e-9)) + 1
+                order = np.argsort(counts.value[(own % np.uint64(_BUCKETS)).astype(np.int64)], kind="stable")
+                tokens.append(own[order[:front]])
+                sizes.append(n)
+                lengths.append(min(front, n))
+            at, pos = _runs(np.zeros(len(lengths), np.int64), np.array(lengths, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(b.column("rid").to_numpy()[at]), pa.array(np.array(sizes, np.int32)[at]), pa.array(pos.astype(np.int32))], names=["token", "rid", "n", "pos"])
+
+    return rows.select("rid", "text").mapInArrow(run, "token long, rid long, n int, pos int")
+
+
+def similar_pairs(rows: DataFrame, width: int, least: float, block_rows: int = 512) -> DataFrame:
+    """(lo, hi) of all pairs of ``rows`` (rid, id, text) whose Jaccard similarity is ``least`` or more; lo is first by id.
+
+    Exact: a prefix-filter join proposes the pairs and the shingle sets decide. A token with more than ``block_rows``
+    rows is cut into blocks, and each pair of blocks meets under a key of its own.
+    """
+    tokens = written(prefix_tokens(rows, width, least), "prefix-tokens")
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "shared-tokens")
+    blocks = F.ceil(F.col("k") / block_rows).cast("int")
+    dealt = tokens.join(shared, "token").withColumn("blocks", blocks).withColumn("o", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("token", "rid", "n", "pos", "o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    dealt = written(dealt.select("token", F.least("o", "j").alias("x"), F.greatest("o", "j").alias("y"), "rid", "n", "pos", "o"), "dealt-tokens")
+    a, b = (dealt.select("token", "x", "y", *(F.col(c).alias(f"{c}_{side}") for c in ("rid", "n", "pos", "o"))) for side in "ab")
+    need = F.lit(least / (1 + least)) * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = a.join(b.hint("merge"), ["token", "x", "y"]).where((F.col("rid_a") < F.col("rid_b")) & ((F.col("x") == F.col("y")) | (F.col("o_a") != F.col("o_b"))) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need))
+    pairs = written(met.select("rid_a", "rid_b").distinct(), "near-candidates")
+    texts = lambda side: rows.select(*(F.col(c).alias(f"{c}_{side}") for c in ("rid", "id", "text")))
+    full = pairs.join(texts("a"), "rid_a").join(texts("b"), "rid_b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
+                x, y = shingle_set(x, width), shingle_set(y, width)
+                both = len(x & y)
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield batch.select(["rid_a", "rid_b", "first"]).filter(pa.array(keep, pa.bool_()))
+
+    key = lambda side: F.struct(F.col(f"id_{side}").isNull(), F.col(f"id_{side}"), F.col(f"rid_{side}"))
+    sure = full.withColumn("first", key("a") < key("b")).select("rid_a", "rid_b", "first", "text_a", "text_b").mapInArrow(verify, "rid_a long, rid_b long, first boolean")
+    return sure.select(F.when(F.col("first"), F.col("rid_a")).otherwise(F.col("rid_b")).alias("lo"), F.when(F.col("first"), F.col("rid_b")).otherwise(F.col("rid_a")).alias("hi"))
+
+
+def followers(pairs: DataFrame, by_id_rounds: int = 16) -> DataFrame:
+    """The rids to drop so that no pair (lo, hi) stays whole and each dropped rid has a kept partner.
+
+    Each round keeps the rids that come first in all their pairs and drops their partners. The first rounds go by id; what long
+    chains leave goes by hash, which settles in logarithmic rounds.
+    """
+    left, gone, turn = written(pairs, "near-pairs"), [], 0
+    while not gone or left.take(1):
+        if turn == by_id_rounds:
+            swap = F.xxhash64(F.lit(1), "lo") > F.xxhash64(F.lit(1), "hi")
+            left = written(left.select(F.when(swap, F.col("hi")).otherwise(F.col("lo")).alias("lo"), F.when(swap, F.col("lo")).otherwise(F.col("hi")).alias("hi")), "near-pairs")
+        later = left.select(F.col("hi").alias("lo")).distinct()
+        out = written(left.join(later, "lo", "left_anti").select(F.col("hi").alias("rid")).distinct(), "near-followers")
+        gone.append(out)
+        left = written(left.join(out.withColumnRenamed("rid", "lo"), "lo", "left_anti").join(out.withColumnRenamed("rid", "hi"), "hi", "left_anti").select("lo", "hi"), "near-pairs")
+        turn += 1
+    dropped = gone[0]
+    for g in gone[1:]:
+        dropped = dropped.unionByName(g)
+    return dropped
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_distance: int = 7, block_rows: int = 512, **search) -> DataFrame:
     """``docs`` without the rows that repeat an earlier id's text at ``similarity`` or more.
 
@@ -316,6 +423,8 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     blocks of about ``block_rows`` rows; in a block the rows are taken by id, and one that reaches the similarity with
     an earlier kept one goes. What is left of a group of several blocks is dealt anew, until it fits one; a turn that
     drops nothing doubles the blocks. So every dropped row was as similar as asked to a row that stayed in its turn.
+    Fingerprints within ``max_distance`` miss pairs, so an exact join then finds all pairs among the rows that are left:
+    no two rows that stay reach the similarity.
     """
     kept_columns = docs.columns
     base = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
@@ -339,6 +448,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
             if not gone[-1].take(1):
                 size *= 2
             left = more
+    survivors = own
+    for g in gone:
+        survivors = survivors.join(g, "rid", "left_anti")
+    gone.append(followers(similar_pairs(written(survivors, "near-survivors"), width, similarity, block_rows)))
     dropped = gone[0]
     for g in gone[1:]:
         dropped = dropped.unionByName(g)

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from basisweave.llm.simhash_dedup import VantageTree, drop_near_duplicates, near_duplicates, shingle_set, similarity_links, simhash
+from basisweave.llm.simhash_dedup import VantageTree, drop_near_duplicates, followers, near_duplicates, shingle_set, similarity_links, simhash
 
 
 def slow_hash(text):
@@ -91,3 +91,33 @@ def test_stage_keeps_one_of_each_group(make_docs):
     similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     assert all(any(similar(i, k) for k in kept) for i in sets if i not in kept)
     assert len(kept) <= 8
+
+
+def test_stage_leaves_no_similar_pair(make_docs):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    rows = []
+    for k in range(24):  # pairs just above and just below the similarity: fingerprints mostly further apart than 7 bits
+        t = [word() for _ in range(300)]
+        for copy, changes in enumerate((0, 5, 6, 8)):
+            changed = list(t)
+            for c in range(changes):
+                changed[7 + (290 // max(1, changes)) * c + copy] = word()
+            rows.append((10 * k + copy, " ".join(changed)))
+    rows += [(900, ""), (901, "a b"), (902, "a  B"), (None, rows[0][1])]
+    sets = {i: shingle_set(t, 5) for i, t in rows[:-1]}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    far = [i for i in sets if i % 10 == 1 and i < 900 and similar(i, i - 1) and (simhash(rows[i // 10 * 4][1], 5) ^ simhash(rows[i // 10 * 4 + 1][1], 5)).bit_count() > 7]
+    assert far  # the search by fingerprints alone has pairs to miss
+    for block in (512, 2):
+        kept = [r.doc_id for r in drop_near_duplicates(make_docs(rows), block_rows=block).collect()]
+        assert None not in kept
+        assert not [(a, b) for a in kept for b in kept if a < b and similar(a, b)]
+        assert all(any(similar(i, k) for k in kept) for i in sets if i not in kept)
+
+
+def test_followers_of_a_long_chain(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(99)], "lo long, hi long")
+    gone = {r.rid for r in followers(chain, by_id_rounds=3).collect()}
+    assert all(k in gone or k + 1 in gone for k in range(99))
+    assert all((k > 0 and k - 1 not in gone) or (k < 99 and k + 1 not in gone) for k in gone)
