@@ -421,32 +421,31 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Groups are proposed by equal fingerprints first, then by fingerprint components. A group is dealt by hash into
     blocks of about ``block_rows`` rows; in a block the rows are taken by id, and one that reaches the similarity with
-    an earlier kept one goes. What is left of a group of several blocks is dealt anew, until it fits one; a turn that
-    drops nothing doubles the blocks. So every dropped row was as similar as asked to a row that stayed in its turn.
-    Fingerprints within ``max_distance`` miss pairs, so an exact join then finds all pairs among the rows that are left:
-    no two rows that stay reach the similarity.
+    an earlier kept one goes. What is left of a group of several blocks is dealt anew as long as a turn drops over
+    a tenth of it; blocks never grow. So every dropped row was as similar as asked to a row that stayed in its turn.
+    Fingerprints within ``max_distance`` miss pairs and blocks part them, so an exact join then finds all pairs among the
+    rows that are left: no two rows that stay reach the similarity.
     """
     kept_columns = docs.columns
     base = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
     own = base.select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = written(near_duplicates(own.select("rid", "text"), "rid", "text", width, max_distance, **search).select(F.col("id").alias("rid"), "fp", "component"), "near-groups")
     gone: list[DataFrame] = []
-    size, turn = block_rows, 0
+    turn = 0
     for by in ("fp", "component"):
         left = marked.select("rid", F.col(by).alias("g"))
         for g in gone:
             left = left.join(g, "rid", "left_anti")
         while True:
             sizes = left.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-            dealt = left.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "rid"), F.ceil(F.col("n") / size)))
+            dealt = left.join(sizes, "g").withColumn("block", F.pmod(F.xxhash64(F.lit(turn), "rid"), F.ceil(F.col("n") / block_rows)))
             verdict = written(_led(dealt.join(own, "rid"), width, similarity), "near-verdicts")
             gone.append(verdict.where("same").select("rid"))
             turn += 1
-            more = verdict.where((~F.col("same")) & (F.col("n") > size)).select("rid", "g")
+            shrunk = verdict.where(F.col("n") > block_rows).groupBy("g").agg(F.count_if("same").alias("n_same"), F.max("n").alias("n")).where("10 * n_same > n").select("g")
+            more = verdict.where(~F.col("same")).join(shrunk, "g").select("rid", "g")
             if not more.take(1):
                 break
-            if not gone[-1].take(1):
-                size *= 2
             left = more
     survivors = own
     for g in gone:

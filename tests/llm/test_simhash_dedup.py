@@ -4,6 +4,7 @@ import re
 import numpy as np
 import xxhash
 
+from basisweave.llm import simhash_dedup
 from basisweave.llm.simhash_dedup import VantageTree, drop_near_duplicates, followers, near_duplicates, shingle_set, similarity_links, simhash
 
 
@@ -121,3 +122,27 @@ def test_followers_of_a_long_chain(spark):
     gone = {r.rid for r in followers(chain, by_id_rounds=3).collect()}
     assert all(k in gone or k + 1 in gone for k in range(99))
     assert all((k > 0 and k - 1 not in gone) or (k < 99 and k + 1 not in gone) for k in gone)
+
+
+def test_stage_blocks_stay_bounded(make_docs, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    base = [word() for _ in range(300)]
+    rows = []
+    for k in range(120):  # a template with fields: one component, every pair far below 0.8 but a few
+        t = list(base)
+        for at in range(0, 300, 12):
+            t[at] = word()
+        rows.append((k, " ".join(t)))
+    rows += [(500 + k, rows[7 * k][1] + " end") for k in range(5)]
+    seen = []
+
+    def watched(members, width, least, led=simhash_dedup._led):
+        seen.extend(r["count"] for r in members.groupBy("g", "block").count().collect())
+        return led(members, width, least)
+
+    monkeypatch.setattr(simhash_dedup, "_led", watched)
+    # With so wide a distance all are one component.
+    kept = {r.doc_id for r in drop_near_duplicates(make_docs(rows), block_rows=8, max_distance=31).collect()}
+    assert sum(seen) >= len(rows) and max(seen) <= 24
+    assert kept == set(range(120))
