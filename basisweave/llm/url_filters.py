@@ -5,7 +5,7 @@ before any shuffle), and the domain tree: a host and its parent domain point at
 nowhere still hang together. Personalised PageRank runs from the hosts whose pages the allow rules take; distrust
 runs the same way over the reversed edges from the hosts whose pages the block rules take. Both walks share one edge
 table and advance together. A host's pages that no rule fits are blocked if its distrust exceeds ``min_distrust``
-and ``ratio`` times its trust.
+times the mean seed, so that the number of blocked hosts does not matter, and ``ratio`` times its trust.
 
 Defined cases: a null url or one without "://" has empty host and path, fits no rule and is allowed; null html has no
 links; repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
@@ -61,9 +61,15 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Co
     return reduce(lambda rest, r: F.when(fits(r), F.struct(F.lit(r.name).alias("name"), F.lit(r.allow).alias("allow"))).otherwise(rest), reversed(ordered), empty)
 
 
-def parent_domain(host: Column) -> Column:
-    """The host without its first label, down to two labels; else null."""
-    return F.when(F.size(F.split(host, "\\.")) > 2, F.regexp_extract(host, "^[^.]*\\.(.*)$", 1))
+def domain_steps(host: Column) -> Column:
+    """The (src, dst) steps from the host over all its parent domains down to two labels; none for two labels or fewer.
+
+    A domain name has at most 127 labels; a longer host steps to its last 127 at once.
+    """
+    labels = F.split(host, "\\.")
+    n = F.size(labels)
+    names = F.concat(F.array(host), F.transform(F.sequence(F.greatest(F.lit(1), n - 127), n - 2), lambda k: F.array_join(F.slice(labels, k + 1, n), ".")))
+    return F.when(n > 2, F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.struct(F.get(names, k - 1).alias("src"), F.get(names, k).alias("dst"))))
 
 
 def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -75,9 +81,8 @@ def host_edges(pages: DataFrame, hosts: DataFrame) -> DataFrame:
         .groupBy(F.col("host").alias("src"), "dst")
         .agg(F.count(F.lit(1)).cast("double").alias("weight"))
     )
-    # Each host and all its parent domains, at most a few levels a host.
-    chain = hosts.select(F.explode(F.array("host", parent_domain(F.col("host")), parent_domain(parent_domain(F.col("host"))))).alias("host")).where("host is not null and host <> ''").distinct()
-    tree = chain.select(F.col("host").alias("src"), parent_domain(F.col("host")).alias("dst"), F.lit(1.0).alias("weight")).where("dst is not null")
+    # Each host and all its parent domains.
+    tree = hosts.select(F.explode(domain_steps(F.col("host"))).alias("s")).select("s.src", "s.dst", F.lit(1.0).alias("weight")).distinct()
     return links.unionByName(tree).unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
@@ -97,17 +102,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
 
 
 def host_trust(pages: DataFrame, rounds: int = 12) -> DataFrame:
-    """(host, trust, distrust) from ``pages`` (host, html, rule)."""
+    """(host, trust, distrust, relative) from ``pages`` (host, html, rule); relative is the distrust in mean seeds."""
     hosts = written(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("rule.allow").alias("n_allow"), F.count_if(~F.col("rule.allow")).alias("n_block")), "hosts")
     raw = written(host_edges(pages, hosts), "host-edges")
     both = raw.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(raw.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     edges = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "host-shares")
     seeded = hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("n_allow").alias("k")), F.struct(F.lit("distrust").alias("kind"), F.col("n_block").alias("k")))).alias("s")).select("host", "s.kind", "s.k").where("k > 0 and host <> ''")
-    total = seeded.groupBy("kind").agg(F.sum("k").alias("all"))
+    total = seeded.groupBy("kind").agg(F.sum("k").alias("all"), F.count(F.lit(1)).alias("n_seeds"))
     seeds = written(seeded.join(F.broadcast(total), "kind").select("kind", "host", (F.col("k") / F.col("all")).alias("seed")), "host-seeds")
     score = propagate(edges, seeds, rounds=rounds)
-    return score.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("score"))), F.lit(0.0)).alias("distrust"))
+    of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0.0))
+    scaled = score.join(F.broadcast(total), "kind").withColumn("relative", F.col("score") * F.col("n_seeds"))
+    return scaled.groupBy("host").agg(of("trust", "score").alias("trust"), of("distrust", "score").alias("distrust"), of("distrust", "relative").alias("relative"))
 
 
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = 2.0, min_distrust: float = 1e-6, rounds: int = 12) -> DataFrame:
@@ -115,12 +122,17 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float
     located = pages.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
     ruled = located.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
     scores = written(host_trust(ruled.select("host", "html", "rule"), rounds), "host-trust")
-    joined = ruled.drop("html").join(scores, "host", "left").fillna(0.0, ["trust", "distrust"])
-    distrusted = (F.col("distrust") > min_distrust) & (F.col("distrust") > ratio * F.col("trust"))
+    joined = ruled.drop("html").join(scores, "host", "left").fillna(0.0, ["trust", "distrust", "relative"])
+    distrusted = (F.col("relative") > min_distrust) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.coalesce(F.col("rule.allow"), ~distrusted)
-    return joined.withColumn("verdict", F.when(verdict, "allow").otherwise("block")).withColumn("rule", F.col("rule.name"))
+    return joined.withColumn("verdict", F.when(verdict, "allow").otherwise("block")).withColumn("rule", F.col("rule.name")).drop("relative")
+
+
+def significant(c: Column) -> Column:
+    """Rounded to nine digits, however small."""
+    return F.format_string("%.8e", c).cast("double")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_urls(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    return out.select("page_id", "host", "path", "rule", "verdict", significant(F.col("trust")).alias("trust"), significant(F.col("distrust")).alias("distrust"))

@@ -1,4 +1,6 @@
-from basisweave.llm.url_filters import RULES, filter_urls
+from pyspark.sql import functions as F
+
+from basisweave.llm.url_filters import RULES, domain_steps, filter_urls
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -34,3 +36,23 @@ def test_distrust_and_trust_travel_links(spark):
     assert got[11].verdict == "allow" and got[11].trust > 0
     assert got[13].verdict == "allow" and got[13].trust == got[13].distrust == 0
     assert filter_urls(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_verdict_does_not_depend_on_the_number_of_blocked_hosts(spark):
+    fed = [(0, "http://bad0.com/de/1", None), (1, "http://fed.net/a", '<a href="http://bad0.com/x">x</a>')]
+    for n in (3, 400):
+        pages = fed + [(k + 1, f"http://bad{k}.com/de/1", None) for k in range(1, n)]
+        got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, SCHEMA), min_distrust=0.01).collect()}
+        assert got[1].rule is None and got[1].verdict == "block"
+
+
+def test_deep_hosts_are_tied_to_their_domain(spark):
+    deep = ["a.b.c.d.e.bad.com", "x." * 200 + "bad.com"]
+    pages = [(0, "http://bad.com/de/1", None), *((k, f"http://{h}/x", None) for k, h in enumerate(deep, 1))]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got[1].verdict == "block"
+    steps = spark.createDataFrame([(h,) for h in [*deep, "bad.com", "", "a.."]], "h string").select("h", domain_steps(F.col("h")).alias("s")).collect()
+    by = {r.h: [tuple(x) for x in r.s or []] for r in steps}
+    assert by[deep[0]] == [(".".join(deep[0].split(".")[k:]), ".".join(deep[0].split(".")[k + 1 :])) for k in range(5)]
+    assert by[deep[1]][0][0] == deep[1] and by[deep[1]][-1] == ("x.bad.com", "bad.com") and len(by[deep[1]]) == 126
+    assert by["bad.com"] == by[""] == [] and by["a.."] == [("a..", ".")]
