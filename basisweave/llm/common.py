@@ -59,3 +59,11 @@ def words(c: Column) -> Column:
 def bucket(c: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; null counts as empty text."""
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def unused(columns: list[str], base: str) -> str:
+    """A column name that none of ``columns`` has, in any case of letters."""
+    taken, name = {c.lower() for c in columns}, f"_{base}"
+    while name in taken:
+        name = f"_{name}"
+    return name
