@@ -275,18 +275,19 @@ class Lattices:
             out[place[at] + k] = edge
         return out, sizes, logp
 
-    def deviations(self, node: int, taken: list[list[int]]) -> list[tuple[float, list[int], int]]:
-        """(mass, edges before, edge): the ways to leave the paths ``taken`` through a unit that begins at ``node``."""
-        out, open_ = [], [(1.0, [], node, taken)]
+    def deviations(self, node: int, taken: list[list[int]]) -> list[tuple[float, int, int, int]]:
+        """(mass, way, depth, edge): the edges that leave the paths ``taken`` through a unit that begins at ``node``, after
+        ``depth`` edges of that way."""
+        out, open_ = [], [(1.0, 0, node, list(range(len(taken))))]
         while open_:
-            mass, before, node, ways = open_.pop()
+            mass, depth, node, ways = open_.pop()
             for e in range(int(self.first[node]), int(self.first[node + 1])):
-                same = [w for w in ways if w[len(before)] == e]
+                same = [w for w in ways if taken[w][depth] == e]
                 p = mass * float(self.p[e])
                 if not same:
-                    out.append((p, before, e))
-                elif self.to[e] > 0:
-                    open_.append((p, [*before, e], int(self.to[e]), same))
+                    out.append((p, ways[0], depth, e))
+                elif self.to[e] > 0 and p > 0:
+                    open_.append((p, depth + 1, int(self.to[e]), same))
         return out
 
     def piece_ids(self, edges: np.ndarray) -> np.ndarray:
@@ -374,7 +375,7 @@ class Search:
             self.put(float(path.before[first]) + math.log(left), bound, path, first, None, removed)
 
     def put_unit(self, path: Path, unit: int, taken: list[list[int]], bound: float) -> None:
-        left = sum(m for m, _, _ in self.held.deviations(int(self.starts[unit]), taken))
+        left = sum(m for m, *_ in self.held.deviations(int(self.starts[unit]), taken))
         if left > 0:
             self.put(float(path.before[unit]) + math.log(left), bound, path, unit, taken)
 
@@ -395,12 +396,12 @@ class Search:
             taken = [path.edges[path.cuts[unit] : path.cuts[unit + 1]].tolist()]
             self.put_bundle(path, best.first, [*best.removed, unit], best.value)
         ways = self.held.deviations(int(self.starts[unit]), taken)
-        left = self.uniform() * sum(m for m, _, _ in ways)
-        for m, before, edge in ways:
+        left = self.uniform() * sum(m for m, *_ in ways)
+        for m, way, depth, edge in ways:
             left -= m
             if left < 0:
                 break
-        return Region(best.value, path, unit, taken), unit, [*before, edge], int(self.held.to[edge])
+        return Region(best.value, path, unit, taken), unit, [*taken[way][:depth], edge], int(self.held.to[edge])
 
     def take(self, path: Path, parent: Region | None) -> None:
         """Record a path and queue the regions it leaves."""
