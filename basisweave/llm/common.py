@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from pathlib import Path
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,12 +43,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def first_by_hash(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
-    """The ``n`` keys of least hash. A cut at twice the wanted share goes first, so that tasks pass on about 2n keys in all."""
-    share = min(1.0, (2 * n + 100) / max(1, rows.count()))
+    """The ``n`` distinct keys of least hash. A cut at twice the wanted share of the distinct keys goes first, so that tasks
+    pass on about 2n keys in all, however often a key is repeated."""
+    known = rows.agg(F.approx_count_distinct(key, 0.02)).first()[0]
+    share = min(1.0, (2 * n + 100) / max(1, known))
     order = F.shiftrightunsigned(F.xxhash64(key), 1)
     return rows.where(order <= min(2**63 - 1, int(share * 2**63))).select(key).distinct().orderBy(order, key).limit(n)
 
 
+def one_blas_thread() -> None:
+    """Limit numpy's matrix products to one thread: Spark already runs a task on each core, and waiting threads cost its time."""
+    for lib in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+        held = ctypes.CDLL(str(lib))
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(held, name):
+                getattr(held, name)(1)
+                break
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z alone; other letters stay as they are."""
     return F.translate(c, UPPER, UPPER.lower())

@@ -69,12 +69,12 @@ class GruModel:
         return h + g[:, :n] * (c - h)
 
     def token_logp(self, states: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln P(target | state); targets are word ranks, or ``shape.words`` and more for the rare class.
+        """ln P(target | state); targets are word ranks, ``shape.words`` and more for the rare class, or -1 for no token.
 
         With ``grad``, adds the gradients of the negative sum there and returns those of the states too.
         """
         p, n_classes = self.part, self.shape.classes
-        kind = np.minimum(np.where(targets < self.shape.words, targets // PER_CLASS, n_classes), n_classes)
+        kind = np.where((targets >= 0) & (targets < self.shape.words), targets // PER_CLASS, n_classes)
         # Biases start at most at 0 and states lie in (-1, 1): the bound is for safety, no row needs a shift of its own.
         z = np.minimum(states @ p["wk"] + p["bk"], 60)
         at = np.arange(len(z))
@@ -86,6 +86,8 @@ class GruModel:
         if grad is not None:
             z /= total
             z[at, kind] -= 1
+            if targets.min(initial=0) < 0:
+                z[targets < 0] = 0
             grad["wk"] += states.T @ z
             grad["bk"] += z.sum(0)
             ds = z @ p["wk"].T
@@ -178,20 +180,25 @@ class Trainer:
         self.tokens = 0
 
     def feed(self, documents: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """One pass over the documents, laid end to end and cut into equal lanes; a document's start clears the state."""
+        """One pass over the documents, laid end to end and cut into equal lanes; a document's start clears the state.
+
+        The last lane is filled up with targets of -1, which teach nothing.
+        """
         x = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in documents)])
         y = np.concatenate([np.zeros(0, np.int32), *(d[1] for d in documents)])
         fresh = np.zeros(len(x), np.float32)
         if len(x):
-            fresh[np.cumsum([0, *(len(d[0]) for d in documents)])[:-1]] = 1
+            fresh[np.cumsum([0, *(len(d[0]) for d in documents if len(d[0]))])[:-1]] = 1
+        if not len(x):
+            return
+        self.tokens += len(x)
         lanes = max(1, min(self.lanes, len(x) // self.steps))
-        length = len(x) // lanes
-        grid = lambda a: a[: lanes * length].reshape(lanes, length)
-        x, y, keep = grid(x), grid(y), 1 - grid(fresh)
+        length = -(-len(x) // lanes)
+        grid = lambda a, rest: np.append(a, np.full(lanes * length - len(a), rest, a.dtype)).reshape(lanes, length)
+        x, y, keep = grid(x, 0), grid(y, -1), 1 - grid(fresh, 1)
         h = np.zeros((lanes, self.model.shape.hidden), np.float32)
         for at in range(0, length, self.steps):
             h = self._window(x[:, at : at + self.steps], y[:, at : at + self.steps], keep[:, at : at + self.steps], h)
-        self.tokens += lanes * length
 
     def _window(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, n = self.model.part, self.model.shape.hidden
@@ -231,7 +238,7 @@ class Trainer:
         g["wx"] += p["e"][ids].T @ flat
         order, heads = _runs(ids)
         g["e"][ids[order[heads]]] += np.add.reduceat((flat @ p["wx"].T)[order], heads, axis=0)
-        self._adam(1 / (lanes * steps))
+        self._adam(1 / max(1, int((y >= 0).sum())))
         return h
 
     def _adam(self, scale: float) -> None:

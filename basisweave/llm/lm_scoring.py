@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, first_by_hash, read_table, written
+from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, read_table, written
 from basisweave.llm.gru_lm import SUFFIXES, GruModel, Trainer
 
 END = b""
@@ -132,19 +132,25 @@ class Encoder:
         return np.where((rank >= 0) & (rank < self.head.vocabulary), rank, self.head.vocabulary).astype(np.int32)
 
 
-def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16, warm_documents: int = 1000, buffer: int = 2_000_000) -> GruModel:
-    """The averaged copies of all partitions; no training text gives the unigram network."""
+def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16, warm_documents: int = 1000, warm_chars: int = 20_000, buffer: int = 2_000_000) -> GruModel:
+    """The averaged copies of all partitions; no training text gives the unigram network.
+
+    The warm start takes ``warm_documents`` of at most ``warm_chars`` characters, which bounds what the driver holds; the
+    partitions then train on every whole document.
+    """
     spark = docs.sparkSession
     model = GruModel.start(head.counts[: head.vocabulary].astype(float), float(head.rare_total), hidden)
     encoder = Encoder(head)
-    ids = first_by_hash(docs.select(F.col(id_col).alias("id")), warm_documents)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "id").dropDuplicates(["id"])
+    short = docs.where(F.char_length(text_col) <= warm_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ids = first_by_hash(short.select("id"), warm_documents)
+    chosen = short.join(F.broadcast(ids), "id").dropDuplicates(["id"])
     warm = [r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").select("text").collect()]
     trainer = Trainer(model, lanes=32, steps=20, rate=5e-3)
     trainer.feed([(x, encoder.targets(r)) for r, x, _ in map(encoder.encode, warm)])
     shipped = spark.sparkContext.broadcast((head, model.shape, model.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         head, shape, flat = shipped.value
         encoder, trainer = Encoder(head), Trainer(GruModel(shape, flat.copy()), rate=2e-3)
         held, size = [], 0
@@ -183,6 +189,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruMo
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         head, shape, flat = shipped.value
         encoder, model = Encoder(head), GruModel(shape, flat)
         rids, ids, rows, docs_held, size = [], [], [], [], 0

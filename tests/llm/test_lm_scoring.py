@@ -1,11 +1,14 @@
 import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from basisweave.llm.common import first_by_hash
 from basisweave.llm.gru_lm import GruModel, Trainer
-from basisweave.llm.lm_scoring import head_of, score_documents, tokens, train_network, word_counts
+from basisweave.llm.lm_scoring import head_of, op1_lm_scoring, score_documents, tokens, train_network, word_counts
 
 
 def corpus(n, seed=0):
@@ -77,3 +80,47 @@ def test_no_training_documents(make_docs):
     head = head_of(counts, 10, 5)
     got = score_documents(make_docs([(1, "a b")]), counts, head, train_network(empty, head)).first()
     assert got.n_tokens == 3 and got.n_known == 0 and abs(got.base_score) < 1e-9 and math.isfinite(got.score)
+
+
+def test_every_token_is_trained_on():
+    for sizes in ([1000], [40_000], [1], [7, 0, 5, 31], [20_001]):
+        trainer = Trainer(GruModel.start(np.arange(100, 0, -1).astype(float), 1.0))
+        rng, seen = np.random.default_rng(2), []
+        inner = trainer._window
+        trainer._window = lambda x, y, keep, h: (seen.append(y[y >= 0]), inner(x, y, keep, h))[1]
+        docs = [(x := rng.integers(0, 100, n).astype(np.int32), x) for n in sizes]
+        trainer.feed(docs)
+        assert trainer.tokens == sum(sizes) and np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([x for x, _ in docs])))
+
+
+def test_padding_teaches_nothing():
+    model = GruModel.start(np.arange(100, 0, -1).astype(float), 1.0)
+    trainer = Trainer(model, steps=4)
+    trainer._adam = lambda scale: None
+    x, keep = np.array([[3, 5, 7, 9]]), np.ones((1, 4), np.float32)
+    trainer._window(x[:, :2], x[:, :2], keep[:, :2], np.zeros((1, 16), np.float32))
+    short = trainer.grad.copy()
+    trainer._window(x, np.array([[3, 5, -1, -1]]), keep, np.zeros((1, 16), np.float32))
+    assert np.allclose(short, trainer.grad, atol=1e-6)
+
+
+def test_samples_count_keys_and_not_rows(spark):
+    rows = spark.range(100).withColumnRenamed("id", "k").crossJoin(spark.range(1000)).select(F.col("k").alias("id"))
+    assert first_by_hash(rows, 100).count() == 100
+    assert first_by_hash(rows.unionByName(spark.range(100, 5000)), 40).count() == 40
+
+
+def test_query_against_brute_force(spark, small_tables):
+    got = op1_lm_scoring(spark, small_tables)
+    assert {"doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"} <= set(got.columns)
+    got = got.collect()
+    rows = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text").collect()
+    fold = lambda r: zlib.crc32(("" if r.doc_id is None else str(r.doc_id)).encode()) % 10
+    c = Counter(w for r in rows if fold(r) for w in tokens(r.text))
+    n, v = sum(c.values()), len(c)
+    base = lambda t: sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens(t))
+    want = sorted((str(r.doc_id), fold(r) == 0, len(tokens(r.text)), sum(c[w] > 0 for w in tokens(r.text)), n, round(base(r.text), 3)) for r in rows)
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 3)) for r in got) == want
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got)
+    tie = [r.score for r in got if r.doc_id in (9005, 9006)]
+    assert abs(tie[0] - tie[1]) < 1e-4
