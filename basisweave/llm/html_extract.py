@@ -2,21 +2,23 @@
 
 A page becomes a tree of block elements; inline elements count towards their block. Each block has features of its
 subtree (text, link and tag density, punctuation), of its tag and attribute tokens, depth and place among its
-siblings. The trees learn from ``sample_pages`` pages, the first by the hash of their id, with weak labels: semantic
-elements and attribute words name some blocks as article or as page furniture, the others are left out. A third of
-the learning rows has its tag or its attribute words blanked or exchanged for other words of the same meaning, so that
-no single mark decides. Decoding takes the likeliest choice for the whole tree under the rule that whatever hangs below
+siblings. The trees learn from a bounded sample, at most ``site_pages`` pages of each of ``sites`` hosts, the first by
+hash, with weak labels: semantic elements and attribute words name some blocks as article or as page furniture; a block
+without such marks whose whole text stands on several sampled pages of its host is furniture too, a label that no
+feature shows; the others are left out. A third of the learning rows has its tag or its attribute words blanked or
+exchanged for other words of the same meaning, so that no single mark decides. Decoding takes the likeliest choice for the whole tree under the rule that whatever hangs below
 a dropped block is dropped.
 
 Defined cases: null and empty html give an empty text; pages without any block tag are one block; unclosed and
 misnested tags are closed as browsers do; a cut-off tag at the end is dropped; repeated rows are treated alike; an empty
-table gives no rows; extra columns pass through ``extract_text``.
+table gives no rows; extra columns pass through ``extract_text``, but for one named ``text``, which is replaced.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,15 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from basisweave.llm.common import first_by_hash, read_table
+from basisweave.llm.common import first_by_hash, one_blas_thread, read_table
 
 #: Elements that start a block of their own.
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements whose content is never text of the page.
-HIDDEN = "script|style|noscript|template|svg|iframe|head|title|textarea|button|object|canvas|audio|video"
+#: Elements whose content is raw text up to their end tag, or to the page's end, and never text of the page.
+RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp"
+#: Elements whose content is hidden; without an end tag they end with the element that holds them.
+HIDDEN = frozenset("audio button canvas noscript object svg template video".split())
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: An opening tag ends these open elements, up to the nearest named container.
@@ -48,7 +53,7 @@ ARTICLE_WORDS = frozenset("article body content entry main post story text".spli
 FURNITURE_TAGS = frozenset("nav footer aside form header menu select fieldset dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<hid>{HIDDEN})\b[^>]*>.*?(?:</(?P=hid)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[/a-z][^<>]*\Z", re.I | re.S)
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<hid>{RAW})\b[^>]*>.*?(?:</(?P=hid)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[/a-z][^<>]*\Z", re.I | re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -80,7 +85,7 @@ def parse(source: str | None) -> Page:
     page = Page(["html"], [-1], [frozenset()], [0], [0], [0], [0], [])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with the block that holds their text
     buffer: list[str] = []
-    in_link = 0
+    in_link = hidden = 0
 
     def flush() -> None:
         if buffer:
@@ -90,7 +95,7 @@ def parse(source: str | None) -> Page:
             buffer.clear()
 
     def add(text: str) -> None:
-        if text:
+        if text and not hidden:
             buffer.append(text)
             n, node = len(text), stack[-1][1]
             page.chars[node] += n
@@ -98,11 +103,12 @@ def parse(source: str | None) -> Page:
             page.marks[node] += text.count(".") + text.count(",")
 
     def close_to(depth: int) -> None:
-        nonlocal in_link
+        nonlocal in_link, hidden
         gone = stack[depth:]
         if any(t in BLOCKS for t, _ in gone):
             flush()
         in_link -= sum(t == "a" for t, _ in gone)
+        hidden -= sum(t in HIDDEN for t, _ in gone)
         del stack[depth:]
 
     at = 0
@@ -120,7 +126,7 @@ def parse(source: str | None) -> Page:
                     close_to(k)
                     break
             continue
-        if tag == "html":
+        if tag in ("html", "head"):  # what a head holds besides raw elements is text of the body, as in browsers
             continue
         if tag in CLOSES:
             ended, limit = CLOSES[tag]
@@ -128,14 +134,14 @@ def parse(source: str | None) -> Page:
                 if stack[k][0] in ended:
                     close_to(k)
                     break
-                if stack[k][0] in limit:
+                if stack[k][0] in limit or stack[k][0] in HIDDEN:
                     break
         if tag in BLOCKS:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
                     close_to(k)
                     break
-                if stack[k][0] in BLOCKS:
+                if stack[k][0] in BLOCKS or stack[k][0] in HIDDEN:
                     break
             flush()
             if tag == "hr":
@@ -149,9 +155,10 @@ def parse(source: str | None) -> Page:
         elif tag in VOID:
             add(" ")
             page.inline[stack[-1][1]] += 1
-        else:
+        elif not (tag in HIDDEN and (m["attr"] or "").endswith("/")):
             page.inline[stack[-1][1]] += 1
             in_link += tag == "a"
+            hidden += tag in HIDDEN
             stack.append((tag, stack[-1][1]))
     add(source[at:])
     flush()
@@ -206,14 +213,30 @@ def node_features(page: Page) -> np.ndarray:
     return out
 
 
-def weak_labels(page: Page) -> np.ndarray:
-    """1 article, 0 furniture, -1 unnamed: furniture marks win over article marks on the same way from the root."""
+def weak_labels(page: Page, repeated: set[str] = frozenset()) -> np.ndarray:
+    """1 article, 0 furniture, -1 unnamed: furniture marks win over article marks on the same way from the root.
+
+    A node without marks whose text blocks are all among ``repeated`` is furniture.
+    """
     marks = node_marks(page)
     out = np.where(marks[:, 2] + marks[:, 4] > 0, 0, np.where(marks[:, 3] + marks[:, 5] > 0, 1, -1))
+    if repeated:
+        own: dict[int, bool] = {}
+        for node, text in page.blocks:
+            own[node] = own.get(node, True) and text in repeated
+        for node, again in own.items():
+            if again and out[node] < 0:
+                out[node] = 0
     out[0] = -1
     return out
 
 
+def repeated_texts(found: list[Page], least: int = 3, share: float = 0.2) -> set[str]:
+    """Block texts of a host's pages that stand on ``least`` of them and on that ``share``."""
+    n = Counter(text for p in found for text in {t for _, t in p.blocks})
+    return {t for t, k in n.items() if k >= max(least, share * len(found))}
+
+
 def varied(x: np.ndarray, y: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """The rows, with copies of a third each: without marks and tags; marked by words alone; marked by tags alone.
 
@@ -316,23 +339,35 @@ def decode(parents: list[int], logits: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = 1500) -> Boosted | None:
-    """Trees learnt from a bounded sample; None without a named block of each kind."""
-    ids = first_by_hash(pages.select(F.col(id_col).alias("id")), sample_pages)
+def site_sample(pages: DataFrame, id_col: str, html_col: str, url_col: str | None, sites: int, site_pages: int) -> DataFrame:
+    """(host, id, html): the first ``site_pages`` pages by hash of the first ``sites`` hosts, one of each id."""
+    host = F.lit("") if url_col is None else F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), "://([^/?#]*)", 1))
+    located = pages.select(host.alias("host"), F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    hosts = located.select("host", "id").join(F.broadcast(first_by_hash(located, sites, "host")), "host").groupBy("host").agg(F.approx_count_distinct("id").alias("n"))
+    # A cut at about twice the share goes before the ranking, so that a large host's ids are not sorted whole.
+    mark = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    near = located.select("host", "id").join(F.broadcast(hosts), "host").where(mark / F.lit(2.0**63) <= (2 * site_pages + 20) / F.greatest(F.col("n"), F.lit(1))).distinct()
+    ids = near.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(mark, "id"))).where(F.col("k") <= site_pages).select("host", "id")
+    return located.join(F.broadcast(ids), ["host", "id"]).dropDuplicates(["host", "id"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                found = [parse(t) for t in b.slice(at, 256).column(0).to_pylist()]
-                y = np.concatenate([weak_labels(p) for p in found])
-                x = np.concatenate([node_features(p) for p in found])[y >= 0]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float32())), pa.array(y[y >= 0], pa.int64())], names=["x", "y"])
-
-    chosen = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "id").dropDuplicates(["id"]).select("html")
-    got = chosen.mapInArrow(run, "x array<float>, y long").toArrow()
+
+def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", sites: int = 100, site_pages: int = 25) -> Boosted | None:
+    """Trees learnt from a bounded sample; None without a named block of each kind. Without a url column all pages are one host's."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        found = [parse(t) for t in table.column("html").to_pylist()]
+        again = repeated_texts(found)
+        y = np.concatenate([weak_labels(p, again) for p in found])
+        x = np.concatenate([node_features(p) for p in found])[y >= 0]
+        return pa.table({"x": pa.array(list(x), pa.list_(pa.float32())), "y": pa.array(y[y >= 0], pa.int64())})
+
+    # A group holds ``site_pages`` pages at most.
+    got = site_sample(pages, id_col, html_col, url_col, sites, site_pages).groupBy("host").applyInArrow(learn, "x array<float>, y long").toArrow()
     if not got.num_rows:
         return None
     x, y = np.array(got.column("x").to_pylist(), np.float32), got.column("y").to_numpy()
+    order = np.lexsort((*x.T, y))  # whatever order the tasks came in
+    x, y = x[order], y[order]
     if y.min() == y.max():
         return None
     return boost(*varied(x, y.astype(np.float64)))
@@ -340,11 +375,12 @@ def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "ht
 
 def extract_text(pages: DataFrame, model: Boosted | None, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (all but the html by default) with ``text``: the kept blocks in page order, an empty line between."""
-    keep = [c for c in pages.columns if c != html_col] if keep is None else keep
+    keep = [c for c in (pages.columns if keep is None else keep) if c not in (html_col, "text")]
     schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType())])
     shipped = pages.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         model = shipped.value
         for whole in batches:
             for at in range(0, whole.num_rows, 256):

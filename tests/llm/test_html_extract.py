@@ -1,4 +1,7 @@
-from basisweave.llm.html_extract import decode, extract_text, fit_extractor, parse
+import pytest
+from pyspark.sql import functions as F
+
+from basisweave.llm.html_extract import decode, extract_text, fit_extractor, op9_html_extraction, parse, repeated_texts, weak_labels
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -43,3 +46,54 @@ def test_without_named_blocks(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p><p>b</p>")], SCHEMA)
     assert fit_extractor(rows) is None
     assert extract_text(rows, None).first().text == "a\n\nb"
+
+
+@pytest.mark.parametrize(
+    ("source", "want"),
+    [
+        ("<head><title>x</title><meta charset=utf-8><body><article><p>Hello world.", ["Hello world."]),
+        ("<p>a <button>b <p>c</button> d", ["a", "d"]),
+        ("<div><p>one</p><button>two</div><p>three", ["one", "three"]),
+        ("<p>x<svg viewBox='0'/>y</p>", ["xy"]),
+        ("<p>x<svg><g><text>t</text></svg>y</p>", ["xy"]),
+        ("<p>a<noscript><img src=x>n</noscript>b<template><p>q</p></template>c", ["ab", "c"]),
+        ("<div><object>o</div><p>after", ["after"]),
+        ("<section><canvas>no</section><video><p>v</video>text", ["text"]),
+        ("<title>never closed <p>x", []),
+        ("<p>a<textarea>b", ["a"]),
+    ],
+)
+def test_hidden_elements_end_as_browsers_end_them(source, want):
+    assert [t for _, t in parse(source).blocks] == want
+
+
+def test_repeated_text_is_furniture_without_any_mark():
+    found = [parse(f"<div><div>Same line on all pages</div><div>Own text {k}</div></div>") for k in range(5)]
+    y = weak_labels(found[0], repeated_texts(found))
+    texts = {t: y[n] for n, t in found[0].blocks}
+    assert texts == {"Same line on all pages": 0, "Own text 0": -1}
+
+
+def test_held_out_hosts(spark):
+    """Trees fitted on some hosts extract the same text from the others as trees fitted there."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    fold = F.crc32(F.regexp_extract("url", "://([^/?#]*)", 1)) % 2
+    own, other = (fit_extractor(pages.where(fold == k)) for k in (0, 1))
+    a, b = (sorted(extract_text(pages.where(fold == 1), m).select("page_id", "text").collect()) for m in (own, other))
+    assert sum(x == y for x, y in zip(a, b)) >= 0.98 * len(a)
+
+
+def test_query_returns_every_page(spark, small_tables):
+    got = op9_html_extraction(spark, small_tables)
+    assert got.columns == ["page_id", "url", "text", "n_chars"]
+    got = got.collect()
+    pages = spark.read.parquet(f"{small_tables}/pages.parquet").select("page_id", "url").collect()
+    assert sorted((r.page_id, r.url) for r in got) == sorted((r.page_id, r.url) for r in pages)
+    assert all(r.n_chars == len(r.text) for r in got)
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "u", page(1))] * 500 + [(k, "u", page(k)) for k in range(2, 40)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("text", F.lit(7)).withColumn("host", F.lit("h")).withColumn("id", F.lit(1))
+    got = extract_text(df, fit_extractor(df)).select("page_id", "text", "host", "id").distinct().collect()
+    assert len(got) == 39 and all(r.text == text(r.page_id) and r.host == "h" and r.id == 1 for r in got)
