@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL_BY_QUERY = {
+    "op3_url_filters": url_filters.OP3_SQL,
     "op4_decontamination": decontaminate.OP4_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

@@ -1,6 +1,9 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from basisweave.llm.url_filters import RULES, domain_steps, filter_urls
+from basisweave.llm.url_filters import RULES, domain_steps, filter_urls, op3_url_filters, propagate
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -56,3 +59,41 @@ def test_deep_hosts_are_tied_to_their_domain(spark):
     assert by[deep[0]] == [(".".join(deep[0].split(".")[k:]), ".".join(deep[0].split(".")[k + 1 :])) for k in range(5)]
     assert by[deep[1]][0][0] == deep[1] and by[deep[1]][-1] == ("x.bad.com", "bad.com") and len(by[deep[1]]) == 126
     assert by["bad.com"] == by[""] == [] and by["a.."] == [("a..", ".")]
+
+
+def test_propagation_against_a_dense_solve(spark):
+    """Scores equal (I - d P')^-1 v, what hosts without edges hold going back to the seeds."""
+    rng, n = random.Random(4), 25
+    links = {(a, b): rng.randint(1, 5) for a in range(n) for b in range(n) if a != b and a % 6 and rng.random() < 0.15}
+    out = {a: sum(w for (x, _), w in links.items() if x == a) for a in range(n)}
+    v = np.zeros(n)
+    v[[1, 2, 7]] = 0.5, 0.3, 0.2
+    p = np.zeros((n, n))
+    for (a, b), w in links.items():
+        p[a, b] = w / out[a]
+    for a in range(n):
+        if not out[a]:
+            p[a] = v
+    want = np.linalg.solve(np.eye(n) - 0.85 * p.T, 0.15 * v)
+    edges = spark.createDataFrame([("trust", str(a), str(b), w / out[a]) for (a, b), w in links.items()], "kind string, src string, dst string, share double")
+    seeds = spark.createDataFrame([("trust", str(k), float(v[k])) for k in (1, 2, 7)], "kind string, host string, seed double")
+    got = {int(r.host): r.score for r in propagate(edges, seeds, tolerance=1e-7, cut_every=20).collect()}
+    assert all(abs(got.get(k, 0.0) - want[k]) < 1e-6 for k in range(n))
+
+
+def test_domain_edges_can_be_left_out(spark):
+    pages = spark.createDataFrame([(0, "http://bad.com/de/1", None), (1, "http://sub.bad.com/x", None)], SCHEMA)
+    on, off = ({r.page_id: r.verdict for r in filter_urls(pages, domain_edges=k).collect()} for k in (True, False))
+    assert on == {0: "block", 1: "block"} and off == {0: "block", 1: "allow"}
+
+
+def test_query_and_clashing_columns(spark, small_tables):
+    got = op3_url_filters(spark, small_tables).collect()
+    pages = spark.read.parquet(f"{small_tables}/pages.parquet")
+    want = sorted((r.page_id, *brute(r.url)[:2], getattr(brute(r.url)[2], "name", None)) for r in pages.collect())
+    assert sorted((r.page_id, r.host, r.path, r.rule) for r in got) == want
+    assert all(r.verdict == ("allow" if brute("x://" + r.host + r.path)[2].allow else "block") for r in got if r.rule)
+    odd = pages.withColumns({k: F.lit("old") for k in ("trust", "rule", "host", "verdict", "relative", "row")}).unionByName(pages.limit(3).withColumn("url", F.lit(None).cast("string")), allowMissingColumns=True)
+    out = filter_urls(odd)
+    assert {"page_id", "relative", "row", "trust", "distrust", "verdict", "rule"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
+    assert out.count() == odd.count() and out.where("verdict not in ('allow', 'block')").count() == 0
