@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-from basisweave.llm.line_dedup import drop_repeated_lines, line_bitmaps
+from basisweave.llm import line_dedup
+from basisweave.llm.common import written
+from basisweave.llm.line_dedup import drop_repeated_lines, line_bitmaps, op10_line_dedup
 
 WS = " \t\n\x0b\x0c\r"
 
@@ -47,7 +49,7 @@ def test_bitmap_words_and_long_text(make_docs):
     text = "\n".join(f"l{k % 70}" for k in range(5000))
     rows = [(k, text) for k in range(3)]
     maps = line_bitmaps(make_docs(rows), min_docs=3).collect()
-    assert len(maps) == 3 and all(len(m.dropped) == -(-5000 // 64) for m in maps)
+    assert len(maps) == 3 and all(len(m.kept) == -(-5000 // 64) for m in maps)
     got = collect(drop_repeated_lines(make_docs(rows), min_docs=3))
     assert all(v == (5000, 5000, "") for v in got.values())
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
@@ -55,3 +57,27 @@ def test_bitmap_words_and_long_text(make_docs):
 
 def test_empty_table(make_docs):
     assert drop_repeated_lines(make_docs([]), min_docs=2).count() == 0
+
+
+def test_runs_are_streamed_without_another_shuffle(make_docs, monkeypatch):
+    plans = []
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), written(df, name))[1])
+    line_dedup.line_index(make_docs([(1, "a\nb"), (2, "a")]))
+    plan = dict(plans)["line-index"]
+    assert plan.count("Exchange") == 1 and "rangepartitioning(h1" in plan
+
+
+def test_clashing_columns(make_docs):
+    rows = [(k, f"same\nown {k}") for k in range(12)]
+    docs = make_docs(rows, _doc=1, _txt=2, _kept=3, n_lines="x", n_dropped="y", kept_text="z", rank=4, head=5)
+    got = drop_repeated_lines(docs, min_docs=10)
+    assert set(got.columns) == set(docs.columns)
+    assert all((r.n_lines, r.n_dropped, r.kept_text, r._doc, r._txt, r._kept, r.rank) == (2, 1, f"own {r.doc_id}", 1, 2, 3, 4) for r in got.collect())
+
+
+def test_query_on_odd_rows(spark, small_tables):
+    got = op10_line_dedup(spark, small_tables).collect()
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text").collect()]
+    want = brute(rows, 10)
+    digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == sorted((i, (t or "").count("\n") + 1, (t or "").count("\n") + 1 - len(want[i, t or ""]), digest(want[i, t or ""])) for i, t in rows)
