@@ -2,7 +2,7 @@ import random
 import re
 from collections import Counter
 
-from basisweave.llm.quality_rules import judge
+from basisweave.llm.quality_rules import judge, op7_quality_rules
 
 
 def brute(t):
@@ -40,3 +40,25 @@ def test_lines_and_verdicts(make_docs):
     assert "cookies" not in got[4].cleaned
     assert not got[5].kept
     assert judge(make_docs([])).count() == 0
+
+
+def test_a_run_of_short_lines_is_navigation_in_any_language(make_docs):
+    clean = "Dies ist ein Satz aus einfachen Wörtern, der eine Weile weitergeht, wie Sätze es tun."
+    menu = "Startseite\nÜber uns\nKontakt\nBücher und Bilder"
+    rows = [(1, f"{clean}\n{menu}\n{clean} Noch mehr."), (2, f"{clean}\nEin Titel\n{clean} Noch mehr."), (3, f"{clean}\nEins.\nZwei.\nDrei.\nVier.\n{clean} Mehr.")]
+    got = {r.doc_id: r.cleaned for r in judge(make_docs(rows)).collect()}
+    assert got[1] == f"{clean}\n{clean} Noch mehr." and got[2] == rows[1][1] and got[3] == rows[2][1]
+
+
+def test_clashing_columns(make_docs):
+    docs = make_docs([(1, "a b"), (2, None)], _n=1, _words=2, _lines=3, _bad=4, kept="x", n_words="y", _row=5)
+    got = judge(docs)
+    assert set(got.columns) == {*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned"}
+    assert all((r._n, r._words, r._lines, r._bad, r._row, r.kept) == (1, 2, 3, 4, 5, False) for r in got.collect())
+
+
+def test_query_on_odd_rows(spark, small_tables):
+    got = op7_quality_rules(spark, small_tables).collect()
+    rows = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text").collect()
+    assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted((r.doc_id, *brute(r.text)) for r in rows)
+    assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed) for r in got)
