@@ -200,7 +200,7 @@ def fit_quality(docs: DataFrame, learnable_docs: DataFrame, labels: DataFrame, i
 
 def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """``docs`` (or its ``keep`` columns) with the calibrated probability of label 1."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

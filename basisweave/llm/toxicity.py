@@ -1,7 +1,7 @@
 """Toxicity: non-negative positive-unlabelled learning over hashed word and character-gram features.
 
 Confirmed toxic documents are the positives; any other text is unlabelled and holds an unknown toxic share, the class
-prior. Features that positives have far more often than unlabelled texts are selected from document frequencies
+prior, which is estimated from these two samples alone: labels of clean documents are not used. Features that positives have far more often than unlabelled texts are selected from document frequencies
 counted in Spark, and numpy logistic classifiers minimise the class-prior-corrected risk: the positives' share of the
 unlabelled loss is subtracted, and where that would go below zero the step is reversed, so that the classifiers don't
 overfit to "unlabelled means clean". The classifiers' mean is the score.
@@ -11,7 +11,7 @@ id; scoring covers whole texts of all rows.
 
 Defined cases: null and empty texts have no features and score the bias alone; repeated rows score alike; a null id
 counts as empty text in the fold rule; without positives every score is 0; an empty table gives no rows; extra columns
-are kept by ``score_toxicity``.
+are kept by ``score_toxicity``, but for one of the output's name, which is replaced.
 """
 
 from __future__ import annotations
@@ -114,15 +114,44 @@ def calibrated(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, f
     return best[1], best[2]
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 16_000, n_features: int = 1500, classifiers: int = 3) -> ToxicModel:
-    """Learn from ``labels`` (id, toxic) and ``docs``; both already limited to the rows that may be learnt from."""
-    known = labels.where("toxic is not null").select(F.col(id_col).alias("id"), "toxic")
-    share = known.agg(F.avg("toxic"), F.sum("toxic")).first()
+def estimate_prior(xp: np.ndarray, xu: np.ndarray, folds: int = 5, rounds: int = 3, guess: float = 0.1) -> float:
+    """The positives' share of the unlabelled sample: on rows left out of fits of positives against unlabelled, the least
+    ratio of what exceeds a threshold among the unlabelled to what does among the positives.
+
+    Above a threshold that only positives pass the ratio is the share; below it, it is larger. Thresholds that few
+    positives pass are noise, which a bound of two standard errors on both shares keeps out. The median over ``rounds``
+    ways to deal the folds is taken.
+    """
+    if min(len(xp), len(xu)) < 4 * folds:
+        return guess
+    found = []
+    for seed in range(rounds):
+        rng = np.random.default_rng(seed)
+        fp, fu = rng.permutation(len(xp)) % folds, rng.permutation(len(xu)) % folds
+        zp, zu = np.zeros(len(xp)), np.zeros(len(xu))
+        for k in range(folds):
+            w, b = nnpu_logistic(xp[fp != k], xu[fu != k], guess, seed, steps=400, decay=2e-4)
+            zp[fp == k], zu[fu == k] = xp[fp == k] @ w + b, xu[fu == k] @ w + b
+        zp, zu = np.sort(zp), np.sort(zu)
+        cuts = np.unique(zp)
+        over_p, over_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - (np.searchsorted(zu, cuts) - 1) / len(zu)
+        over_u = np.minimum(over_u, 1)
+        noise = 2 * np.sqrt(over_u * (1 - over_u) / len(zu)) / over_p + 2 * over_u / over_p * np.sqrt((1 - over_p) / (over_p * len(zp)))
+        best = int(np.argmin(over_u / over_p + noise))
+        found.append(float(over_u[best] / over_p[best]))
+    return float(np.median(found))
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 4000, max_unlabelled: int = 16_000, n_features: int = 1500, classifiers: int = 3, prior: float | None = None, min_lift: float = 3.0) -> ToxicModel:
+    """Learn from ``labels`` (id, toxic) and ``docs``; both already limited to the rows that may be learnt from.
+
+    The class prior is estimated unless given. ``max_unlabelled`` bounds the classifier's learning sample alone.
+    """
+    known = labels.where("toxic = 1").select(F.col(id_col).alias("id"))
     empty = ToxicModel(np.zeros(0, np.int64), np.zeros(0), -np.inf, 0.0)
-    if not share[1]:
+    if not known.take(1):
         return empty
-    prior = float(np.clip(share[0], 0.01, 0.5))
-    positive = first_by_hash(known.where("toxic = 1"), max_positive).withColumn("toxic", F.lit(True))
+    positive = first_by_hash(known, max_positive).withColumn("toxic", F.lit(True))
     # From all texts, confirmed ones among them: the prior is the toxic share of just this sample.
     unlabelled = first_by_hash(docs.select(F.col(id_col).alias("id")), max_unlabelled).withColumn("toxic", F.lit(False))
 
@@ -142,7 +171,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     frequency = sample.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u"))
     in_p, in_u = F.col("p") / n_p, F.col("u") / n_u
     lift = (in_p + 0.5 / n_p) / (in_u + 0.5 / n_u)
-    best = [r[0] for r in frequency.where((F.col("p") >= 5) & (lift > 0.5 / prior)).orderBy((in_p * F.log(lift)).desc(), "f").limit(n_features).collect()]
+    best = [r[0] for r in frequency.where((F.col("p") >= 5) & (lift > min_lift)).orderBy((in_p * F.log(lift)).desc(), "f").limit(n_features).collect()]
     if not best:
         return empty
     position = {f: k for k, f in enumerate(best)}
@@ -157,6 +186,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     for k, r in enumerate(rows):
         x[k, r["at"]] = 1
     toxic = np.array([r["toxic"] for r in rows])
+    # Whatever order the tasks came in: rows by their features.
+    order = np.lexsort(np.packbits(x > 0, axis=1).T)
+    x, toxic = x[order], toxic[order]
+    if prior is None:
+        prior = float(np.clip(estimate_prior(x[toxic], x[~toxic]), 0.005, 0.5))
     fits = [nnpu_logistic(x[toxic], x[~toxic], prior, seed) for seed in range(classifiers)]
     # The classifiers' mean logit, calibrated: one linear score.
     weights, bias = np.mean([w for w, _ in fits], 0), float(np.mean([b for _, b in fits]))
@@ -167,7 +201,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: ToxicModel, text_col: str = "text", keep: list[str] | None = None, out: str = "score") -> DataFrame:
     """``docs`` (or its ``keep`` columns) with the score."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c != out]
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out, T.DoubleType())])
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,11 +1,12 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basisweave.llm.quality_classifier import fit_quality, score_quality
-from basisweave.llm.toxicity import calibrated, fit_toxicity, nnpu_logistic, score_toxicity
+from basisweave.llm.quality_classifier import fit_quality, op5_quality_classifier, score_quality
+from basisweave.llm.toxicity import calibrated, estimate_prior, fit_toxicity, nnpu_logistic, op8_toxicity, score_toxicity
 
 
 def test_nnpu_separates_and_calibrates():
@@ -68,3 +69,46 @@ def test_quality_on_held_out(spark, make_docs):
     assert score_quality(make_docs([]), model).count() == 0
     one = fit_quality(docs, docs, all_rows.where("quality = 1").select("doc_id", "quality"))
     assert all(r.score > 0.99 for r in score_quality(docs.limit(3), one).collect())
+
+
+def test_prior_comes_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(3)
+    for share in (0.05, 0.2):
+        p = (rng.random((800, 40)) < 0.02).astype(np.float32)
+        p[np.arange(800), rng.integers(0, 6, 800)] = 1
+        u = (rng.random((6000, 40)) < 0.02).astype(np.float32)
+        u[:, :6] = 0
+        n = int(share * 6000)
+        u[:n] = p[rng.integers(0, 800, n)]
+        assert abs(estimate_prior(p, u) / share - 1) < 0.35
+
+
+def test_clashing_columns_are_replaced(spark, tox):
+    learn = tox.select("doc_id", "text")
+    model = fit_toxicity(learn, tox.select("doc_id", "toxic"))
+    got = score_toxicity(tox.withColumn("score", F.lit("old")).withColumn("id", F.lit(1)), model)
+    assert dict(got.dtypes)["score"] == "double" and got.columns == ["doc_id", "text", "toxic", "id", "score"] and got.count() == tox.count()
+
+
+@pytest.mark.parametrize(("query", "cut"), [(op5_quality_classifier, 0.5), (op8_toxicity, 0.7)])
+def test_queries_on_odd_rows(spark, small_tables, query, cut):
+    got = query(spark, small_tables)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and dict(got.dtypes)["predicted"] == "int"
+    got = got.collect()
+    ids = [r.doc_id for r in spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id").collect()]
+    assert sorted(r.doc_id for r in got) == sorted(ids)
+    for r in got:
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= cut) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    by = {r.doc_id: r.score for r in got}
+    assert by[9005] == by[9006] and by[9001] == by[9002]
+
+
+@pytest.mark.parametrize(("query", "label", "least"), [(op5_quality_classifier, "quality", 0.95), (op8_toxicity, "toxic", 0.9)])
+def test_held_out_ranking(spark, query, label, least):
+    """Area under the curve on the rows that no label was learnt from."""
+    tables = "/root/testdata/sf0.1"
+    rows = query(spark, tables).where("held_out").join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").select("score", label).collect()
+    score, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    order = np.argsort(np.argsort(score))
+    auc = (order[y == 1].mean() - order[y == 0].mean()) / len(y) + 0.5
+    assert auc >= least
