@@ -1,8 +1,8 @@
 """Near-duplicate documents: SimHash fingerprints linked through a forest of vantage-point trees.
 
 Two fingerprints within ``max_distance`` bits are, by the pigeonhole rule, within ``max_distance // bands`` bits on
-one of ``bands`` equal slices at least. Each slice has its own vantage-point tree over the slice's Hamming space,
-built from a bounded sample. A fingerprint has a home shard (leaf) in each tree and visits every other leaf that the
+one of ``bands`` equal slices at least. Each slice has its own vantage-point tree over the slice's Hamming space, with
+vantage points from a bounded sample. A fingerprint has a home shard (leaf) in each tree and visits every other leaf that the
 triangle bound cannot exclude for its ball; inside a shard the visitors meet the home fingerprints and the whole
 64-bit distance decides, so no link is lost. Shards with more than ``shard_rows`` home rows are split into salted
 blocks that each get all visitors. A block returns a spanning forest of its links, at most one edge a row, so a dense
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basisweave.llm.common import first_by_hash, read_table, written
+from basisweave.llm.common import first_by_hash, read_table, unused, written
 
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -75,21 +75,21 @@ class VantageTree:
 
     @classmethod
     def fit(cls, sample: np.ndarray, bits: int, depth: int, seed: int = 7) -> VantageTree:
-        """Each node's vantage point is the candidate whose distances spread most; its cut is the median distance."""
+        """Each node's vantage point is the one of eight sampled values whose distances spread most; its cut is the median distance."""
         rng = np.random.default_rng(seed)
         vantage, cut = np.zeros(2**depth - 1, np.uint64), np.full(2**depth - 1, bits // 2, np.int64)
         held = {0: np.asarray(sample, np.uint64)}
         for node in range(2**depth - 1):
             own = held.pop(node, np.zeros(0, np.uint64))
-            tries = rng.integers(0, 2**bits, 8, dtype=np.uint64)
             if len(own):
+                tries = own[rng.integers(0, len(own), 8)]
                 spread = [np.bitwise_count(own ^ v).std() for v in tries]
                 vantage[node] = tries[int(np.argmax(spread))]
                 d = np.bitwise_count(own ^ vantage[node]).astype(np.int64)
                 cut[node] = int(np.median(d))
                 held[2 * node + 1], held[2 * node + 2] = own[d <= cut[node]], own[d > cut[node]]
-            else:
-                vantage[node] = tries[0]
+            else:  # no sampled value came here: any point will do
+                vantage[node] = rng.integers(0, 2**bits, dtype=np.uint64)
         return cls(bits, depth, vantage, cut)
 
     def route(self, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,22 +101,13 @@ class VantageTree:
             rows, nodes = np.concatenate((rows[near], rows[far])), np.concatenate((2 * nodes[near] + 1, 2 * nodes[far] + 2))
         return rows, nodes - (2**self.depth - 1)
 
-
     def visit_table(self, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For all 2^bits slice values: the home leaf, and the leaves to visit as offsets and values.
-
-        The triangle bounds give the branches; for radius 0 or 1 a branch whose leaf holds none of the ball's values goes too.
-        """
+        """For all 2^bits slice values: the home leaf, and the leaves that the triangle bounds leave to visit, as offsets and values."""
         values = np.arange(2**self.bits, dtype=np.uint64)
         rows, leaves = self.route(values, 0)
         home = np.empty(len(values), np.int32)
         home[rows] = leaves
         rows, leaves = self.route(values, radius)
-        if radius <= 1:
-            reached = home[rows] == leaves
-            for k in range(self.bits if radius else 0):
-                reached |= home[rows ^ (1 << k)] == leaves
-            rows, leaves = rows[reached], leaves[reached]
         order = np.argsort(rows, kind="stable")
         return home, np.searchsorted(rows[order], np.arange(len(values) + 1)), leaves[order].astype(np.int32)
 
@@ -426,9 +417,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Fingerprints within ``max_distance`` miss pairs and blocks part them, so an exact join then finds all pairs among the
     rows that are left: no two rows that stay reach the similarity.
     """
-    kept_columns = docs.columns
-    base = written(docs.withColumn("_rid", F.monotonically_increasing_id()), "numbered")
-    own = base.select(F.col("_rid").alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kept_columns, number = docs.columns, unused(docs.columns, "rid")
+    base = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    own = base.select(F.col(number).alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked = written(near_duplicates(own.select("rid", "text"), "rid", "text", width, max_distance, **search).select(F.col("id").alias("rid"), "fp", "component"), "near-groups")
     gone: list[DataFrame] = []
     turn = 0
@@ -454,7 +445,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     dropped = gone[0]
     for g in gone[1:]:
         dropped = dropped.unionByName(g)
-    return base.join(dropped.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").select(*kept_columns)
+    return base.join(dropped.withColumnRenamed("rid", number), number, "left_anti").select(*kept_columns)
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
