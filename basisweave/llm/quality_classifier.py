@@ -4,8 +4,8 @@ Every token has a sparse random index vector that follows from its bucket alone.
 each token, the index vectors of its neighbours; summed over tasks these are the context vectors. A document's vector
 is the mean of its tokens' (length-normalised) context and index vectors. A numpy network with one hidden layer learns
 from a bounded sample of labelled documents (``max_labelled``, the first by the hash of their id), and a temperature
-fitted on a fifth of that sample calibrates its probabilities. Tokens are lower-cased runs of letters, and runs of one
-kind of punctuation; marks for digits, capitals and a word said again stand beside them.
+fitted on a fifth of that sample calibrates its probabilities. Tokens are lower-cased runs of letters, and runs of
+punctuation; marks for digits, capitals and a word said again stand beside them.
 
 Defined cases: null and empty texts have the zero vector and get the network's score for it; repeated rows score
 alike; without both labels every score is the share of label 1, or 0.5 without any; an empty table gives no rows; extra
@@ -25,13 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, first_by_hash, read_table
+from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, read_table
 
 BUCKETS = 8192
 DIM = 48
 NONZERO = 4
 _CACHE = 120_000
-_TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|([!-/:-@\[-`{-~])\1*")
+_TOKEN = re.compile(rb"[A-Za-z\x80-\xff]+|[0-9]+|[!-/:-@\[-`{-~]+")
+_CAPITALS = 1 << 30
 
 
 def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +42,7 @@ def index_vectors(buckets: int = BUCKETS, dim: int = DIM, nonzero: int = NONZERO
 
 
 class _Buckets(dict):
-    """token -> bucket, filled as tokens come; emptied when large."""
+    """token -> bucket, with ``_CAPITALS`` added for a word in capitals; filled as tokens come, emptied when large."""
 
     def __missing__(self, token: bytes) -> int:
         if len(self) > _CACHE:
@@ -52,17 +53,18 @@ class _Buckets(dict):
             out = 3 + zlib.crc32(token.lower()) % (BUCKETS - 3)
         else:
             out = 3 + zlib.crc32(token[:3]) % (BUCKETS - 3)
-        self[token] = out
+        self[token] = out = out + (_CAPITALS if len(token) > 1 and token.isupper() else 0)
         return out
 
 
 def token_buckets(text: str | None, held: _Buckets) -> np.ndarray:
     """The text's tokens as buckets; 1 stands for digits, and 2 goes before a word in capitals and a word said again."""
-    found = [m.group() for m in _TOKEN.finditer((text or "").encode("utf-8", "surrogatepass"))]
+    found = _TOKEN.findall((text or "").encode("utf-8", "surrogatepass"))
     if not found:
         return np.zeros(0, np.int64)
     out = np.fromiter(map(held.__getitem__, found), np.int64, len(found))
-    marked = np.fromiter((len(w) > 1 and w.isupper() for w in found), bool, len(found))
+    marked = out >= _CAPITALS
+    out[marked] -= _CAPITALS
     marked[1:] |= out[1:] == out[:-1]
     return np.insert(out, np.flatnonzero(marked), 2) if marked.any() else out
 
@@ -71,6 +73,7 @@ def context_vectors(docs: DataFrame, text_col: str = "text", window: int = 2) ->
     """(BUCKETS, DIM) context vectors from all rows: each task sums its own, Spark sums the tasks'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         position, sign = index_vectors()
         held, total = _Buckets(), np.zeros(BUCKETS * DIM)
         for b in batches:
@@ -205,6 +208,7 @@ def score_quality(docs: DataFrame, model: QualityModel, text_col: str = "text",
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         model, held = shipped.value, _Buckets()
         for b in batches:
             p = model.probability(pooled(b.column(text_col).to_pylist(), model.vectors, held))
