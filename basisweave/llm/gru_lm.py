@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 import numpy as np
 
 PER_CLASS = 64
+_CHUNK = 2048
 #: Input ids beyond the vocabulary: rarer words by the hash of their last bytes.
 SUFFIXES = 256
 
@@ -73,44 +74,55 @@ class GruModel:
 
         With ``grad``, adds the gradients of the negative sum there and returns those of the states too.
         """
-        p, n_classes = self.part, self.shape.classes
+        p, n_classes, width = self.part, self.shape.classes, self.shape.hidden
         kind = np.where((targets >= 0) & (targets < self.shape.words), targets // PER_CLASS, n_classes)
-        # Biases start at most at 0 and states lie in (-1, 1): the bound is for safety, no row needs a shift of its own.
-        z = np.minimum(states @ p["wk"] + p["bk"], 60)
-        at = np.arange(len(z))
-        chosen = z[at, kind]
-        np.exp(z, out=z)
-        total = z @ np.ones((n_classes + 1, 1), np.float32)
-        logp = (chosen - np.log(total[:, 0])).astype(np.float64)
-        ds = None
-        if grad is not None:
-            z /= total
-            z[at, kind] -= 1
-            if targets.min(initial=0) < 0:
-                z[targets < 0] = 0
-            grad["wk"] += states.T @ z
-            grad["bk"] += z.sum(0)
-            ds = z @ p["wk"].T
+        # A column of ones carries the biases through the products. Biases start at most at 0 and states lie in (-1, 1),
+        # so no row needs a shift of its own; should weights ever grow far, the bound keeps exp finite.
+        s = np.concatenate((states, np.ones((len(states), 1), np.float32)), 1)
+        wk = np.concatenate((p["wk"], p["bk"][None]))
+        wo = np.concatenate((p["wo"], p["bo"][:, None]), 1)
+        bounded = max(np.abs(p["wk"]).sum(0).max(initial=0), np.abs(p["wo"]).sum(1).max(initial=0)) + max(0.0, p["bk"].max(), p["bo"].max(initial=0)) < 80
+        logp = np.empty(len(s), np.float64)
+        ds = np.empty_like(states) if grad is not None else None
+
+        def softmax(rows: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            z = rows @ w
+            if not bounded:
+                np.minimum(z, 80, out=z)
+            at = np.arange(len(z)), chosen
+            own = z[at]
+            np.exp(z, out=z)
+            total = z @ np.ones((z.shape[1], 1), np.float32)
+            if grad is not None:
+                z[at] -= total[:, 0]
+            return z, total, own - np.log(total[:, 0])
+
+        for lo in range(0, len(s), _CHUNK):  # small enough to stay in a core's cache
+            part = slice(lo, lo + _CHUNK)
+            z, total, logp[part] = softmax(s[part], wk, kind[part])
+            if grad is not None:
+                inverse = 1 / total
+                if (none := targets[part] < 0).any():
+                    inverse[none] = 0
+                g = (s[part] * inverse).T @ z
+                grad["wk"] += g[:width]
+                grad["bk"] += g[width]
+                ds[part] = (z @ p["wk"].T) * inverse
         order = _sorted(kind)
         cuts = np.searchsorted(kind[order], np.arange(n_classes + 1))
-        ones = np.ones((PER_CLASS, 1), np.float32)
         for c in range(n_classes):
             rows = order[cuts[c] : cuts[c + 1]]
             if not len(rows):
                 continue
-            s, within = states[rows], targets[rows] % PER_CLASS
-            y = np.minimum(s @ p["wo"][c] + p["bo"][c], 60)
-            k = np.arange(len(rows))
-            chosen = y[k, within]
-            np.exp(y, out=y)
-            total = y @ ones
-            logp[rows] += chosen - np.log(total[:, 0])
+            own = s[rows]
+            y, total, gain = softmax(own, wo[c], targets[rows] % PER_CLASS)
+            logp[rows] += gain
             if grad is not None:
-                y /= total
-                y[k, within] -= 1
-                grad["wo"][c] += s.T @ y
-                grad["bo"][c] += y.sum(0)
-                ds[rows] += y @ p["wo"][c].T
+                inverse = 1 / total
+                g = (own * inverse).T @ y
+                grad["wo"][c] += g[:width]
+                grad["bo"][c] += g[width]
+                ds[rows] += (y @ p["wo"][c].T) * inverse
         return logp, ds
 
     def score(self, documents: list[tuple[np.ndarray, np.ndarray]], window: int = 64) -> np.ndarray:
@@ -144,8 +156,12 @@ class GruModel:
         return result
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
+    out = np.multiply(x, 0.5, out=out)
+    np.tanh(out, out=out)
+    out *= 0.5
+    out += 0.5
+    return out
 
 
 def _sorted(keys: np.ndarray) -> np.ndarray:
@@ -203,41 +219,62 @@ class Trainer:
     def _window(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
         p, n = self.model.part, self.model.shape.hidden
         lanes, steps = x.shape
-        table = p["e"][x.T] @ p["wx"] + p["bx"]
-        s_all, g_all, c_all = (np.empty((steps, lanes, w), np.float32) for w in (n, 2 * n, n))
+        ids = np.ascontiguousarray(x.T).reshape(-1)
+        embedded = p["e"][ids]
+        # What the inputs add to the two gates and to the candidate, in arrays of their own.
+        w_gate, w_new = np.ascontiguousarray(p["wx"][:, : 2 * n]), np.ascontiguousarray(p["wx"][:, 2 * n :])
+        gates = (embedded @ w_gate + p["bx"][: 2 * n]).reshape(steps, lanes, 2 * n)
+        fresh = (embedded @ w_new + p["bx"][2 * n :]).reshape(steps, lanes, n)
+        s_all, z_all, r_all, rs_all, c_all = (np.empty((steps, lanes, n), np.float32) for _ in range(5))
         for t in range(steps):
-            s = h * keep[:, t, None]
-            g = _sigmoid(table[t][:, : 2 * n] + s @ p["ug"])
-            c = np.tanh(table[t][:, 2 * n :] + (g[:, n:] * s) @ p["uc"])
-            h = s + g[:, :n] * (c - s)
-            s_all[t], g_all[t], c_all[t] = s, g, c
+            s, z, r, rs, c = s_all[t], z_all[t], r_all[t], rs_all[t], c_all[t]
+            np.multiply(h, keep[:, t, None], out=s)
+            g = s @ p["ug"]
+            g += gates[t]
+            _sigmoid(g, out=g)
+            z[:], r[:] = g[:, :n], g[:, n:]
+            np.multiply(r, s, out=rs)
+            np.matmul(rs, p["uc"], out=c)
+            c += fresh[t]
+            np.tanh(c, out=c)
+            h = c - s
+            h *= z
+            h += s
         self.grad[:] = 0
         _, ds = self.model.token_logp(s_all.reshape(-1, n), y.T.reshape(-1), self.views)
         ds = ds.reshape(steps, lanes, n)
-        dx = np.empty((steps, lanes, 3 * n), np.float32)
-        z, r = g_all[:, :, :n], g_all[:, :, n:]
-        by_c, by_z, by_r, stay = z * (1 - c_all * c_all), (c_all - s_all) * z * (1 - z), s_all * r * (1 - r), 1 - z
+        d_gate, d_new = gates, fresh  # their places are taken over
         uc, ug = np.ascontiguousarray(p["uc"].T), np.ascontiguousarray(p["ug"].T)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            d = dx[t]
-            dc = dh * by_c[t]
+            s, z, r, c, dc, dg = s_all[t], z_all[t], r_all[t], c_all[t], d_new[t], d_gate[t]
+            np.multiply(dh, z, out=dc)
+            up = dc * (c - s)
+            up *= 1 - z
+            dg[:, :n] = up
+            np.multiply(c, c, out=up)
+            dc -= up * dc
             drs = dc @ uc
-            d[:, 2 * n :] = dc
-            np.multiply(dh, by_z[t], out=d[:, :n])
-            np.multiply(drs, by_r[t], out=d[:, n : 2 * n])
-            dh = dh * stay[t] + drs * r[t] + d[:, : 2 * n] @ ug + ds[t]
+            np.multiply(drs, s, out=up)
+            up *= r
+            up *= 1 - r
+            dg[:, n:] = up
+            dh -= dh * z
+            drs *= r
+            dh += drs
+            dh += dg @ ug
+            dh += ds[t]
             dh *= keep[:, t, None]
         g = self.views
-        flat = dx.reshape(-1, 3 * n)
-        s_flat, r_flat = s_all.reshape(-1, n), g_all.reshape(-1, 2 * n)[:, n:]
-        g["ug"] += s_flat.T @ flat[:, : 2 * n]
-        g["uc"] += (r_flat * s_flat).T @ flat[:, 2 * n :]
-        g["bx"] += flat.sum(0)
-        ids = x.T.reshape(-1)
-        g["wx"] += p["e"][ids].T @ flat
+        d_gate, d_new = d_gate.reshape(-1, 2 * n), d_new.reshape(-1, n)
+        g["ug"] += s_all.reshape(-1, n).T @ d_gate
+        g["uc"] += rs_all.reshape(-1, n).T @ d_new
+        g["bx"][: 2 * n] += d_gate.sum(0)
+        g["bx"][2 * n :] += d_new.sum(0)
+        g["wx"][:, : 2 * n] += embedded.T @ d_gate
+        g["wx"][:, 2 * n :] += embedded.T @ d_new
         order, heads = _runs(ids)
-        g["e"][ids[order[heads]]] += np.add.reduceat((flat @ p["wx"].T)[order], heads, axis=0)
+        g["e"][ids[order[heads]]] += np.add.reduceat((d_gate @ w_gate.T + d_new @ w_new.T)[order], heads, axis=0)
         self._adam(1 / max(1, int((y >= 0).sum())))
         return h
 

@@ -132,6 +132,13 @@ class Encoder:
         return np.where((rank >= 0) & (rank < self.head.vocabulary), rank, self.head.vocabulary).astype(np.int32)
 
 
+def encoder_of(head: Head) -> Encoder:
+    """The head's encoder, built once a worker process: a broadcast head is the same object in all its tasks."""
+    if not hasattr(head, "_encoder"):
+        head._encoder = Encoder(head)
+    return head._encoder
+
+
 def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16, warm_documents: int = 1000, warm_chars: int = 20_000, buffer: int = 2_000_000) -> GruModel:
     """The averaged copies of all partitions; no training text gives the unigram network.
 
@@ -152,7 +159,7 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
         head, shape, flat = shipped.value
-        encoder, trainer = Encoder(head), Trainer(GruModel(shape, flat.copy()), rate=2e-3)
+        encoder, trainer = encoder_of(head), Trainer(GruModel(shape, flat.copy()), rate=2e-3)
         held, size = [], 0
         for b in batches:
             for t in b.column(0).to_pylist():
@@ -191,13 +198,15 @@ def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruMo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
         head, shape, flat = shipped.value
-        encoder, model = Encoder(head), GruModel(shape, flat)
-        rids, ids, rows, docs_held, size = [], [], [], [], 0
+        encoder, model = encoder_of(head), GruModel(shape, flat)
+        rids, ids, rows, docs_held, tail_words, tail_counts, size = [], [], [], [], [], [], 0
 
         def flush() -> pa.RecordBatch:
             logp = model.score(docs_held) / np.log(10)
             score = logp + np.array([r[3] for r in rows])
-            out = [pa.concat_arrays(rids), pa.concat_arrays(ids), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array(score, pa.float64()), pa.array([r[4] for r in rows], tail_type)]
+            pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["word", "k"])
+            tails = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32()), pairs).cast(tail_type)
+            out = [pa.concat_arrays(rids), pa.concat_arrays(ids), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array(score, pa.float64()), tails]
             return pa.RecordBatch.from_arrays(out, names=names)
 
         for b in batches:
@@ -208,13 +217,15 @@ def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruMo
                 for t in part.column(2).to_pylist():
                     rank, x, tail = encoder.encode(t)
                     known = rank[rank >= 0]
-                    kinds = [{"word": w, "k": k} for w, k in Counter(tail).items()]
-                    rows.append((len(rank), len(known), float(encoder.base[known].sum()), float(encoder.rare[known].sum()), kinds))
+                    kinds = Counter(tail)
+                    tail_words += kinds
+                    tail_counts += kinds.values()
+                    rows.append((len(rank), len(known), float(encoder.base[known].sum()), float(encoder.rare[known].sum()), len(kinds)))
                     docs_held.append((x, encoder.targets(rank)))
                     size += len(rank)
                 if size > buffer:
                     yield flush()
-                    rids, ids, rows, docs_held, size = [], [], [], [], 0
+                    rids, ids, rows, docs_held, tail_words, tail_counts, size = [], [], [], [], [], [], 0
         if rows:
             yield flush()
 

@@ -100,7 +100,7 @@ def test_queries_on_odd_rows(spark, small_tables, query, cut):
     for r in got:
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= cut) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
     by = {r.doc_id: r.score for r in got}
-    assert by[9005] == by[9006] and by[9001] == by[9002]
+    assert abs(by[9005] - by[9006]) < 1e-5 and abs(by[9001] - by[9002]) < 1e-5
 
 
 @pytest.mark.parametrize(("query", "label", "least"), [(op5_quality_classifier, "quality", 0.95), (op8_toxicity, "toxic", 0.9)])
