@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,9 +128,6 @@ class Encoder:
             x[beyond] = [m + self._suffix(w) for w in tail]
         return rank, x.astype(np.int32), tail
 
-    def targets(self, rank: np.ndarray) -> np.ndarray:
-        return np.where((rank >= 0) & (rank < self.head.vocabulary), rank, self.head.vocabulary).astype(np.int32)
-
 
 def encoder_of(head: Head) -> Encoder:
     """The head's encoder, built once a worker process: a broadcast head is the same object in all its tasks."""
@@ -139,32 +136,77 @@ def encoder_of(head: Head) -> Encoder:
     return head._encoder
 
 
-def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16, warm_documents: int = 1000, warm_chars: int = 20_000, buffer: int = 2_000_000) -> GruModel:
+_NUMBERS = {"n_tokens": pa.int64(), "n_head": pa.int64(), "base": pa.float64(), "rare": pa.float64()}
+
+
+def encode_documents(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", learn: Column | None = None) -> DataFrame:
+    """(rid, id, learn, n_tokens, n_head, base, rare, x, tail) per row, as a written table that training and scoring share.
+
+    ``x``: the input ids as 16-bit numbers; an id beyond the vocabulary is a rarer word, whose target is the rare class.
+    ``base`` and ``rare`` sum the shares of the words in the head; ``tail`` counts those beyond it.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(head)
+    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), (F.lit(True) if learn is None else learn).alias("learn"), F.col(text_col).alias("text"))
+    kept = ["rid", "id", "learn"]
+    schema = T.StructType(
+        [*numbered.select(*kept).schema.fields, *(T.StructField(c, T.LongType() if t == pa.int64() else T.DoubleType()) for c, t in _NUMBERS.items())]
+        + [T.StructField("x", T.BinaryType()), T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType())])))]
+    )
+    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_of(shipped.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                rows, ids, words, counts = [], [], [], []
+                for t in b.column("text").to_pylist():
+                    rank, x, tail = encoder.encode(t)
+                    known, kinds = rank[rank >= 0], Counter(tail)
+                    words += kinds
+                    counts += kinds.values()
+                    rows.append((len(rank), len(known), float(encoder.base[known].sum()), float(encoder.rare[known].sum()), len(kinds)))
+                    ids.append(x.astype("<u2").tobytes())
+                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "k"])
+                tails = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32()), pairs).cast(tail_type)
+                numbers = [pa.array([r[j] for r in rows], t) for j, t in enumerate(_NUMBERS.values())]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *numbers, pa.array(ids, pa.binary()), tails], names=[*kept, *_NUMBERS, "x", "tail"])
+
+    return written(numbered.mapInArrow(run, schema), "lm-ids")
+
+
+def _inputs(column: pa.Array, vocabulary: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(input ids, target ids) of each row."""
+    for x in column:
+        ids = np.frombuffer(x.as_buffer(), "<u2").astype(np.int32)
+        yield ids, np.minimum(ids, vocabulary)
+
+
+def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16, warm_documents: int = 1000, warm_chars: int = 20_000, buffer: int = 2_000_000, encoded: DataFrame | None = None) -> GruModel:
     """The averaged copies of all partitions; no training text gives the unigram network.
 
     The warm start takes ``warm_documents`` of at most ``warm_chars`` characters, which bounds what the driver holds; the
-    partitions then train on every whole document.
+    partitions then train on every whole document, from ``encoded`` if that is at hand.
     """
     spark = docs.sparkSession
+    encoded = encode_documents(docs, head, id_col, text_col) if encoded is None else encoded
     model = GruModel.start(head.counts[: head.vocabulary].astype(float), float(head.rare_total), hidden)
-    encoder = Encoder(head)
     short = docs.where(F.char_length(text_col) <= warm_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = first_by_hash(short.select("id"), warm_documents)
     chosen = short.join(F.broadcast(ids), "id").dropDuplicates(["id"])
     warm = [r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").select("text").collect()]
-    trainer = Trainer(model, lanes=32, steps=20, rate=5e-3)
-    trainer.feed([(x, encoder.targets(r)) for r, x, _ in map(encoder.encode, warm)])
-    shipped = spark.sparkContext.broadcast((head, model.shape, model.flat))
+    encoder, trainer = Encoder(head), Trainer(model, lanes=32, steps=20, rate=5e-3)
+    trainer.feed([(x, np.minimum(x, head.vocabulary)) for _, x, _ in map(encoder.encode, warm)])
+    shipped, vocabulary = spark.sparkContext.broadcast((model.shape, model.flat)), head.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
-        head, shape, flat = shipped.value
-        encoder, trainer = encoder_of(head), Trainer(GruModel(shape, flat.copy()), rate=2e-3)
+        shape, flat = shipped.value
+        trainer = Trainer(GruModel(shape, flat.copy()), rate=2e-3)
         held, size = [], 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                rank, x, _ = encoder.encode(t)
-                held.append((x, encoder.targets(rank)))
+            for x, y in _inputs(b.column(0), vocabulary):
+                held.append((x, y))
                 size += len(x)
                 if size > buffer:
                     trainer.feed(held)
@@ -177,65 +219,49 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows), dtype=np.int32)), pa.array(np.full(len(rows), trainer.tokens)), *(pa.array(rows[:, k]) for k in range(_COLUMNS))], names=["chunk", "w", *(f"v{k}" for k in range(_COLUMNS))])
 
     schema = "chunk int, w long, " + ", ".join(f"v{k} double" for k in range(_COLUMNS))
-    mean = docs.select(text_col).mapInArrow(run, schema).groupBy("chunk").agg(*((F.sum(f"v{k}") / F.sum("w")).alias(f"v{k}") for k in range(_COLUMNS))).toArrow()
+    mean = encoded.where("learn").select("x").mapInArrow(run, schema).groupBy("chunk").agg(*((F.sum(f"v{k}") / F.sum("w")).alias(f"v{k}") for k in range(_COLUMNS))).toArrow()
     if mean.num_rows:  # the size of the network, whatever the input
         order = np.argsort(mean.column(0).to_numpy())
         model = GruModel(model.shape, np.stack([mean.column(k + 1).to_numpy()[order] for k in range(_COLUMNS)], 1).reshape(-1)[: len(model.flat)])
     return model
 
 
-def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruModel, id_col: str = "doc_id", text_col: str = "text", buffer: int = 2_000_000) -> DataFrame:
-    """(id, n_tokens, n_known, base_score, score) of whole texts."""
-    shipped = docs.sparkSession.sparkContext.broadcast((head, model.shape, model.flat))
-    numbered = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("k", pa.int64())]))
-    names = ["rid", "id", "n_tokens", "n_head", "base", "score", "tail"]
-    schema = T.StructType(
-        [T.StructField("rid", T.LongType()), numbered.schema["id"], T.StructField("n_tokens", T.LongType()), T.StructField("n_head", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())]
-        + [T.StructField("tail", T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("k", T.LongType())])))]
-    )
+def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruModel, id_col: str = "doc_id", text_col: str = "text", buffer: int = 3_200_000, encoded: DataFrame | None = None) -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of whole texts, from ``encoded`` if that is at hand."""
+    encoded = encode_documents(docs, head, id_col, text_col) if encoded is None else encoded
+    shipped, vocabulary = docs.sparkSession.sparkContext.broadcast((model.shape, model.flat)), head.vocabulary
+    kept = ["rid", "id", *_NUMBERS]
+    schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField("logp", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
-        head, shape, flat = shipped.value
-        encoder, model = encoder_of(head), GruModel(shape, flat)
-        rids, ids, rows, docs_held, tail_words, tail_counts, size = [], [], [], [], [], [], 0
+        network = GruModel(*shipped.value)
+        held, rows, size = [], [], 0
 
         def flush() -> pa.RecordBatch:
-            logp = model.score(docs_held) / np.log(10)
-            score = logp + np.array([r[3] for r in rows])
-            pairs = pa.StructArray.from_arrays([pa.array(tail_words, pa.binary()), pa.array(tail_counts, pa.int64())], names=["word", "k"])
-            tails = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32()), pairs).cast(tail_type)
-            out = [pa.concat_arrays(rids), pa.concat_arrays(ids), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64()), pa.array(score, pa.float64()), tails]
-            return pa.RecordBatch.from_arrays(out, names=names)
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                rids.append(part.column(0))
-                ids.append(part.column(1))
-                for t in part.column(2).to_pylist():
-                    rank, x, tail = encoder.encode(t)
-                    known = rank[rank >= 0]
-                    kinds = Counter(tail)
-                    tail_words += kinds
-                    tail_counts += kinds.values()
-                    rows.append((len(rank), len(known), float(encoder.base[known].sum()), float(encoder.rare[known].sum()), len(kinds)))
-                    docs_held.append((x, encoder.targets(rank)))
-                    size += len(rank)
+            logp = pa.array(network.score(held) / np.log(10), pa.float64())
+            return pa.RecordBatch.from_arrays([*(pa.concat_arrays([r.column(c) for r in rows]) for c in kept), logp], names=[*kept, "logp"])
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                rows.append(b.select(kept))
+                own = list(_inputs(b.column("x"), vocabulary))
+                held += own
+                size += sum(len(x) for x, _ in own)
                 if size > buffer:
                     yield flush()
-                    rids, ids, rows, docs_held, tail_words, tail_counts, size = [], [], [], [], [], [], 0
+                    held, rows, size = [], [], 0
         if rows:
             yield flush()
 
-    own = written(numbered.mapInArrow(run, schema), "lm-scores")
-    beyond = own.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.k").join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    scored = encoded.select(*kept, "x").mapInArrow(run, schema)
+    beyond = encoded.select("rid", F.explode("tail").alias("t")).select("rid", "t.word", "t.k").join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     base = F.log10((F.col("n") + SMOOTH) / F.lit(head.total + SMOOTH * (head.distinct + 1)))
     rare = F.log10((F.col("n") + SMOOTH) / F.lit(head.rare_scale))
     summed = beyond.groupBy("rid").agg(F.sum(F.col("k") * base).alias("tail_base"), F.sum(F.col("k") * rare).alias("tail_score"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("tail_known"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return own.drop("tail").join(summed, "rid", "left").select("id", "n_tokens", (F.col("n_head") + zero("tail_known")).alias("n_known"), (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("score") + zero("tail_score")).alias("score"))
+    return scored.join(summed, "rid", "left").select("id", "n_tokens", (F.col("n_head") + zero("tail_known")).alias("n_known"), (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("logp") + F.col("rare") + zero("tail_score")).alias("score"))
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str, head_words: int = 1 << 18, vocabulary: int = 4096) -> DataFrame:
@@ -243,6 +269,7 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str, head_words: int = 1 << 18,
     training = docs.where(bucket(F.col("doc_id"), 10) != 0)
     counts = word_counts(training)
     head = head_of(counts, head_words, vocabulary)
-    model = train_network(training, head)
-    out = score_documents(docs, counts, head, model)
+    encoded = encode_documents(docs, head, learn=bucket(F.col("doc_id"), 10) != 0)
+    model = train_network(training, head, encoded=encoded)
+    out = score_documents(docs, counts, head, model, encoded=encoded)
     return out.select(F.col("id").alias("doc_id"), (bucket(F.col("id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(head.total).cast("long").alias("train_tokens"), "base_score", "score")
