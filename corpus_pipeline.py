@@ -43,10 +43,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document with one sampled segmentation."""
-    out = sample_segmentations(docs.select(*COLUMNS), k=1, keep=["doc_id", "lang", "source", "n_chars"])
-    s = F.get("samples", F.lit(0))
-    return out.select("doc_id", "lang", "source", "n_chars", s["ids"].alias("piece_ids"), F.size(s["ids"]).cast("long").alias("n_pieces"), s["log_prob"].alias("log_prob"), s["inclusion"].alias("inclusion"), F.col("exact").alias("round_trip"))
+    """Each document with its best two distinct sampled segmentations, or the one there is."""
+    out = sample_segmentations(docs.select(*COLUMNS), k=2, keep=["doc_id", "lang", "source", "n_chars"])
+    first, second = F.get("samples", F.lit(0)), F.get("samples", F.lit(1))
+    return out.select("doc_id", "lang", "source", "n_chars", first["ids"].alias("piece_ids"), F.size(first["ids"]).cast("long").alias("n_pieces"), first["log_prob"].alias("log_prob"), first["inclusion"].alias("inclusion"), second["ids"].alias("other_piece_ids"), second["log_prob"].alias("other_log_prob"), F.col("exact").alias("round_trip"))
 
 
 STAGES = [
