@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basisweave.sources import files
 from basisweave.functions.exprs import dir_acc, profit_factor, r_squared, safe_div, sharpe
 
 
@@ -66,7 +67,8 @@ def top_fraction(rows: DataFrame, fractions: Iterable[float], by: list[Column],
 
 def global_rank(rows: DataFrame, by: list[Column], out: str = "rank") -> DataFrame:
     """Row number over all rows: a range sort, then each partition's numbers start where the ones before it end."""
-    placed = rows.sort(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    # Written once: a second evaluation could draw other range bounds.
+    placed = files.kept(rows.sort(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "ranked")
     sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))  # a row a partition
     starts = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return placed.join(F.broadcast(starts), "_part").withColumn(out, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop("_part", "_at", "_first", "_before")

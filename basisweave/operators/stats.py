@@ -69,11 +69,12 @@ def engle_granger(prices: DataFrame, keys: Iterable[str], order: str, y: str, x:
 
 
 def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: int = 7) -> DataFrame:
-    """Poisson bootstrap of the mean per key: each row's weight in each replicate follows from a hash, so it needs no
-    index join and repeats exactly on any partitioning. The result has ``reps`` means a key, summarised natively."""
+    """Poisson bootstrap of the mean per key: each row's weight in each replicate follows from a hash of the row, its number
+    among rows equal to it, and the replicate, so it needs no index join and repeats exactly on any partitioning, and equal
+    rows are drawn each for itself. The result has ``reps`` means a key, summarised natively."""
     keys = list(keys)
-    row = F.xxhash64(F.lit(seed), *keys, value, F.monotonically_increasing_id() * 0)
-    u = (F.pmod(F.xxhash64(row, F.col("rep"), *[c for c in df.columns]), F.lit(1_000_000)) + 0.5) / 1_000_000
+    df = df.withColumn("_copy", F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1))))
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), *df.columns), F.lit(1_000_000)) + 0.5) / 1_000_000
     # Poisson(1) by inversion; beyond six the mass is below 1e-4.
     steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
     weight = sum((u > F.lit(s)).cast("int") for s in steps)

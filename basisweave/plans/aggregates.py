@@ -11,7 +11,7 @@ from basisweave.operators import series as s
 from basisweave.plans.catalog import query, r
 from basisweave.plans.relational import _with_fees, bets
 from basisweave.plans.sql import over
-from basisweave.sources import venue
+from basisweave.sources import files, venue
 
 
 @query("agg_01_spread_matrix", over("ticker", "SELECT coin, snapshot_idx, CAST(count(*) AS BIGINT) AS num_exchanges, round(min(mid), 4) AS price_min, round(max(mid), 4) AS price_max, round((max(mid) - min(mid)) / avg(mid) * 1e4, 4) AS total_spread_bps, arg_min(exchange, (mid, exchange)) AS cheapest_exchange, arg_min(exchange, (-mid, exchange)) AS most_expensive_exchange FROM ticker GROUP BY ALL HAVING count(*) >= 2"))
@@ -165,7 +165,7 @@ def agg_20(spark, d):
 
 def running_mean(rows, order, value):
     """Running mean over all rows in order: sums within sorted partitions, shifted by the totals of those before."""
-    placed = rows.sort(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = files.kept(rows.sort(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}), "ordered")
     own = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     totals = placed.groupBy("_part").agg(F.sum(value).alias("_s"), F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
@@ -199,7 +199,7 @@ def agg_26(spark, d):
 
 @query("agg_27_signed_rollup", over("tick", "SELECT coin, exchange, snapshot_idx, round(sum(CASE WHEN side = 'buy' THEN volume ELSE -volume END), 4) AS signed, round(sum(abs(volume)), 4) AS absolute FROM tick GROUP BY ALL"))
 def agg_27(spark, d):
-    t = venue.with_snapshot(venue.ticks(spark, d))
+    t = venue.with_snapshot(venue.ticks(spark, d), venue.bucket_of(spark, d))
     return t.groupBy("coin", "exchange", "snapshot_idx").agg(r(F.sum(F.when(F.col("side") == "buy", F.col("volume")).otherwise(-F.col("volume")))).alias("signed"), r(F.sum(F.abs("volume"))).alias("absolute"))
 
 

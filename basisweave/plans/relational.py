@@ -125,7 +125,7 @@ def prj_20(spark, d):
 
 @query("prj_21_tape_summary", over("tick", "SELECT coin, exchange, snapshot_idx, CAST(count(*) AS BIGINT) AS trade_count, round(min(mid), 4) AS price_min, round(max(mid), 4) AS price_max, round(avg(mid), 4) AS price_mean, CAST(sum(CASE WHEN side = 'buy' THEN 1 ELSE 0 END) AS BIGINT) AS buy_count, round(coalesce(sum(volume) FILTER (WHERE side = 'buy'), 0), 4) AS buy_volume, round(coalesce(sum(volume) FILTER (WHERE side = 'sell'), 0), 4) AS sell_volume, max(sec) - min(sec) AS span FROM tick GROUP BY ALL"))
 def prj_21(spark, d):
-    t = venue.with_snapshot(venue.ticks(spark, d))
+    t = venue.with_snapshot(venue.ticks(spark, d), venue.bucket_of(spark, d))
     side = lambda s: r(F.coalesce(F.sum(F.when(F.col("side") == s, F.col("volume"))), F.lit(0.0)))
     return t.groupBy("coin", "exchange", "snapshot_idx").agg(
         F.count(F.lit(1)).alias("trade_count"), r(F.min("mid")).alias("price_min"), r(F.max("mid")).alias("price_max"), r(F.avg("mid")).alias("price_mean"), F.count_if(F.col("side") == "buy").alias("buy_count"), side("buy").alias("buy_volume"), side("sell").alias("sell_volume"), (F.max(F.unix_timestamp("ts")) - F.min(F.unix_timestamp("ts"))).alias("span")

@@ -18,12 +18,21 @@ def landing(spark: SparkSession, name: str) -> str:
     """A new path below the folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="spark-"))
         base = _own[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written to the shared folder and read back: one evaluation, and no lineage to lose."""
+    path = landing(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_envelope(rows: DataFrame, path: str, payload: list[str]) -> None:
     """Hoist the key columns, the rest as compact JSON; partitioned by window for pruning."""
     hoisted = rows.withColumn("payload", F.to_json(F.struct(*payload)))

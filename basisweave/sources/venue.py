@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 #: 2024-01-01 UTC, where snapshot 0 begins, and the snapshot length in seconds.
 EPOCH = 1_704_067_200
 BUCKET = 14_400
-#: Snapshots before this one are the first run, the rest the second.
-SECOND_RUN = 84
+#: Ticks up to which a snapshot has that length; with more it shrinks in proportion, down to a second.
+FULL_BUCKET_TICKS = 10_000
+#: Seconds from the epoch after which the second run begins.
+SECOND_RUN = 84 * 14_400
 
 VENUES = ["click", "error", "purchase", "signup", "view"]
 #: Taker fee in basis points by venue, in the order of VENUES.
@@ -34,6 +36,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bucket_of(spark: SparkSession, sf_dir: str) -> int:
+    """The snapshot length for these ticks: about the same number of ticks a cell at any size, so that the grid grows with the data."""
+    n = table(spark, sf_dir, "events").count()  # from the files' footers
+    return max(1, BUCKET * FULL_BUCKET_TICKS // max(n, FULL_BUCKET_TICKS))
+
+
 def snapshot_of(ts, bucket: int = BUCKET):
     return F.floor((F.unix_timestamp(ts) - EPOCH) / bucket).cast("int")
 
@@ -42,8 +50,9 @@ def with_snapshot(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.withColumn("snapshot_idx", snapshot_of(F.col("ts"), bucket))
 
 
-def tickers(spark: SparkSession, sf_dir: str, bucket: int = BUCKET) -> DataFrame:
+def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per coin, venue and snapshot: the last tick's price and the quotes around it (one aggregate, no window)."""
+    bucket = bucket_of(spark, sf_dir)
     last = F.max_by(F.struct("mid", "event_id", "ts"), F.struct("ts", "event_id"))
     cells = with_snapshot(ticks(spark, sf_dir), bucket).groupBy("coin", "exchange", "snapshot_idx").agg(last.alias("last"), F.count(F.lit(1)).alias("n_ticks"), F.sum("volume").alias("base_volume"))
     half = F.col("mid") * (1 + F.col("last_id") % 5) / 20000
@@ -56,11 +65,12 @@ def tickers(spark: SparkSession, sf_dir: str, bucket: int = BUCKET) -> DataFrame
         .withColumn("imbalance", (F.col("bid_volume") - F.col("ask_volume")) / (F.col("bid_volume") + F.col("ask_volume")))
         .withColumn("funding_rate", (F.col("last_id") % 21 - 10) / 10000)
         .withColumn("open_interest", (1000 + F.col("last_id") % 997).cast("double"))
-        .withColumn("window_id", F.when(F.col("snapshot_idx") < SECOND_RUN, "w1").otherwise("w2"))
+        .withColumn("window_id", F.when(F.col("snapshot_idx") * bucket < SECOND_RUN, "w1").otherwise("w2"))
     )
 
 
-def candles(spark: SparkSession, sf_dir: str, bucket: int = BUCKET) -> DataFrame:
+def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bucket = bucket_of(spark, sf_dir)
     order = F.struct("ts", "event_id")
     return with_snapshot(ticks(spark, sf_dir), bucket).groupBy("coin", "exchange", "snapshot_idx").agg(
         F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"), F.sum("volume").alias("volume")
