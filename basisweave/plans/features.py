@@ -236,7 +236,7 @@ def sta_12(spark, d):
 @query("sta_06_block_bootstrap_half_life")
 def sta_06(spark, d):
     """Half-life intervals from moving blocks: each replicate draws block starts by hash, and each block's lag pairs join it by key."""
-    block, reps = 10, 100
+    block, reps = 10, 300
     w = Window.partitionBy("coin", "pair").orderBy("snapshot_idx")
     rows = pairs.spread_series(venue.tickers(spark, d)).select("coin", "pair", F.row_number().over(w).alias("rn"), F.lag("spread_bps").over(w).alias("x"), F.col("spread_bps").alias("y")).where("x is not null")
     n = rows.groupBy("coin", "pair").agg(F.max("rn").alias("n")).where(F.col("n") > 2 * block)

@@ -66,7 +66,7 @@ def fea_05(spark, d):
 def sta_10(spark, d):
     """Share of random books that beat the signal: each simulation enters once in every block of six rows, by hash, so that no
     two entries overlap, and holds two rows."""
-    sims = 200
+    sims = 5000
     w = s.series()
     moves = pairs.scored(venue.tickers(spark, d)).select("window_id", "coin", "pair", (F.row_number().over(w) - 1).alias("rn"), (F.lead("spread_bps", 2).over(w) - F.col("spread_bps")).alias("move")).where("move is not null")
     blocks = moves.select("window_id", "coin", "pair", F.floor(F.col("rn") / 6).alias("block")).distinct()
