@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from basisweave.sources import venue
 from basisweave.functions import exprs
 from basisweave.operators import backtest, books, joins, metrics, series, stats
 
@@ -106,3 +107,22 @@ def test_bootstrap_repeats_on_any_partitioning(spark):
 def test_zero_denominators_are_null(spark):
     row = spark.createDataFrame([(0.0, 0.0)], "a double, b double").select(*(exprs.spread_bps(F.col("a"), F.col("b"), c).alias(c) for c in ("signed", "absolute", "range", "percent"))).first()
     assert all(v is None for v in row)
+
+
+def test_bootstrap_draws_equal_rows_each_for_itself(spark):
+    """Ties must not narrow or widen the interval: half zeros, half ones, against the binomial's deviation."""
+    rows = spark.createDataFrame([("k", float(i % 2)) for i in range(400)], "key string, v double")
+    got = stats.bootstrap(rows, "v", ["key"], 400).first()
+    assert got.reps == 400 and 0.43 < got.lo < 0.47 < got.median < 0.53 < got.hi < 0.57
+
+
+def test_global_rank_numbers_every_row_once(spark):
+    rows = spark.range(5000).selectExpr("(id * 7919) % 5003 AS v")
+    got = metrics.global_rank(rows, [F.col("v")]).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 5001)) and all(a.v <= b.v for a, b in zip(got, got[1:]))
+
+
+def test_snapshots_shrink_as_ticks_grow(spark):
+    """The grid grows with the data: the cells hold about the same number of ticks."""
+    small, large = (venue.bucket_of(spark, f"/root/testdata/sf{k}") for k in ("0.01", "0.1"))
+    assert small == venue.BUCKET and large * 10 == small
