@@ -42,7 +42,8 @@ def test_tree_visits_every_ball():
     home, offsets, leaves = tree.visit_table(1)
     for v in range(2**10):
         near = {int(home[v])} | {int(home[v ^ (1 << k)]) for k in range(10)}
-        assert near == set(leaves[offsets[v] : offsets[v + 1]].tolist())
+        assert near <= set(leaves[offsets[v] : offsets[v + 1]].tolist())
+    assert len(leaves) < 0.6 * 2**10 * 2**4  # and the triangle bounds prune
     rows, found = tree.route(np.arange(2**10, dtype=np.uint64), 2)
     reach = {v: set() for v in range(2**10)}
     for a, b in zip(rows.tolist(), found.tolist()):
