@@ -23,7 +23,12 @@ def spread_series(cells: DataFrame, convention: str = "signed") -> DataFrame:
 
 def scored(cells: DataFrame, w: int = 20, min_periods: int = 6, n_lags: int = 3, horizon: int = 1) -> DataFrame:
     """Spread series with rolling z, its lags, the row-based target and the model-free prediction."""
-    s = spread_series(cells).withColumn("zscore", rolling_z(F.col("spread_bps"), frame(w=w), min_periods))
+    return scored_series(spread_series(cells), w, min_periods, n_lags, horizon)
+
+
+def scored_series(spreads: DataFrame, w: int = 20, min_periods: int = 6, n_lags: int = 3, horizon: int = 1) -> DataFrame:
+    """``scored`` for spreads that are there already, such as a live buffer's."""
+    s = spreads.withColumn("zscore", rolling_z(F.col("spread_bps"), frame(w=w), min_periods))
     lagged = lags(s, ["zscore"], n_lags)
     return lagged.withColumns({"target": F.lead("zscore", horizon).over(series(KEYS)), "pred": 0.6 * F.col("zscore") + 0.2 * F.col("zscore_lag1")})
 

@@ -68,6 +68,66 @@ def engle_granger(prices: DataFrame, keys: Iterable[str], order: str, y: str, x:
     return adf(resid, "resid", keys, order, max_lag).join(ratio, keys)
 
 
+def engle_granger_both(prices: DataFrame, keys: Iterable[str], order: str, a: str, b: str, max_lag: int = 8) -> DataFrame:
+    """Engle-Granger on logarithms in both directions; the one of lower statistic stays (ties: ``a`` on ``b``)."""
+    keys = list(keys)
+    logs = prices.where((F.col(a) > 0) & (F.col(b) > 0)).withColumns({"_a": F.ln(a), "_b": F.ln(b)})
+    both = engle_granger(logs, keys, order, "_a", "_b", max_lag).withColumn("direction", F.lit("a_on_b")).unionByName(engle_granger(logs, keys, order, "_b", "_a", max_lag).withColumn("direction", F.lit("b_on_a")))
+    stat = F.nanvl("adf_stat", F.lit(float("inf")))
+    best = F.min_by(F.struct("direction", "adf_stat", "lags", "n", "stationary", "hedge_ratio", "intercept"), F.struct(stat, "direction"))
+    return both.groupBy(*keys).agg(best.alias("b")).select(*keys, "b.*")
+
+
+#: 5 % critical values of the trace and largest-eigenvalue tests with a constant, by series less rank (1, 2).
+JOHANSEN_TRACE_5 = (3.8415, 15.4943)
+JOHANSEN_MAX_5 = (3.8415, 14.2639)
+
+
+def johansen(df: DataFrame, cols: tuple[str, str], keys: Iterable[str], order: str) -> DataFrame:
+    """Trace and largest-eigenvalue statistics of two series per key, with a constant and one lagged difference.
+
+    The moments of differences, lagged levels and lagged differences are native sums, so a series of any length is one small
+    matrix a key before Python sees it. Rows with nulls go; keys of ten complete rows or fewer, or of a constant series, are null."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy(order)
+    k = len(cols)
+    # Levels from their first value: the same statistics, and sums that don't cancel.
+    clean = df.dropna(subset=list(cols))
+    level = clean.select(*keys, order, *((F.col(c) - F.first(c).over(w)).alias(f"x{i}") for i, c in enumerate(cols)))
+    step = level.withColumns({f"l{i}": F.lag(f"x{i}").over(w) for i in range(k)}).withColumns({f"d{i}": F.col(f"x{i}") - F.col(f"l{i}") for i in range(k)})
+    step = step.withColumns({f"p{i}": F.lag(f"d{i}").over(w) for i in range(k)}).withColumn("one", F.lit(1.0))
+    v = [*(f"d{i}" for i in range(k)), *(f"l{i}" for i in range(k)), "one", *(f"p{i}" for i in range(k))]
+    ready = F.col("p0").isNotNull()
+    sums = F.array(*(F.sum(F.when(ready, F.col(a) * F.col(b))) for a in v for b in v))
+    moments = step.groupBy(*keys).agg(F.count("p0").alias("n"), sums.alias("m"))
+
+    def solve(batches):
+        for pdf in batches:
+            found = [johansen_statistics(m, n, k) if n > 10 else (None,) * 4 for m, n in zip(pdf["m"], pdf["n"])]
+            out = pd.DataFrame(found, columns=["trace_0", "trace_1", "max_0", "max_1"], dtype="float64")
+            yield pd.concat([pdf[[*keys, "n"]].reset_index(drop=True), out], axis=1)
+
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
+    found = moments.mapInPandas(solve, f"{kinds}, n long, trace_0 double, trace_1 double, max_0 double, max_1 double")
+    first, second = F.col("trace_0") > JOHANSEN_TRACE_5[1], F.col("trace_1") > JOHANSEN_TRACE_5[0]
+    return found.withColumns({"rank_trace": F.when(~first, 0).when(~second, 1).otherwise(2), "rank_max": F.when(F.col("max_0") <= JOHANSEN_MAX_5[1], 0).when(F.col("max_1") <= JOHANSEN_MAX_5[0], 1).otherwise(2)}).withColumns(
+        {c: F.when(F.col("trace_0").isNotNull() & ~F.isnan("trace_0"), F.col(c)) for c in ("trace_0", "trace_1", "max_0", "max_1", "rank_trace", "rank_max")}
+    )
+
+
+def johansen_statistics(moments, n: int, k: int) -> tuple[float, ...]:
+    """Trace and largest-eigenvalue statistics for rank 0 and 1 from the moment matrix of (differences, levels, 1, lagged differences)."""
+    s = np.asarray(moments, float).reshape(3 * k + 1, -1) / n
+    a, z = slice(0, 2 * k), slice(2 * k, None)
+    if not np.isfinite(s).all() or (np.diag(s) <= 0).any():
+        return (np.nan,) * 4
+    r = s[a, a] - s[a, z] @ np.linalg.pinv(s[z, z]) @ s[z, a]
+    r00, r01, r11 = r[:k, :k], r[:k, k:], r[k:, k:]
+    lam = np.linalg.eigvals(np.linalg.pinv(r11) @ r01.T @ np.linalg.pinv(r00) @ r01).real
+    gain = -n * np.log1p(-np.clip(np.sort(lam)[::-1], 0, 1 - 1e-12))
+    return float(gain.sum()), float(gain[1]), float(gain[0]), float(gain[1])
+
+
 def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: int = 7) -> DataFrame:
     """Poisson bootstrap of the mean per key: each row's weight in each replicate follows from a hash of the row, its number
     among rows equal to it, and the replicate, so it needs no index join and repeats exactly on any partitioning, and equal

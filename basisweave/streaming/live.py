@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from basisweave.sources.files import landing
+from basisweave.operators import pairs
+from basisweave.operators.series import KEYS
+from basisweave.sources.files import kept, landing
 
 
 def replay(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
@@ -94,3 +97,60 @@ def stream_sliding(spark: SparkSession, ticks: DataFrame) -> DataFrame:
     agg = stream.groupBy(F.window("at", "4 hours", "1 hour"), "exchange").agg(F.count(F.lit(1)).alias("n"), F.avg("mid").alias("mean"))
     out = drain(agg.select(F.col("window.start").alias("start"), "exchange", "n", "mean"), "slides").where("exchange is not null")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "exchange", "n", F.round("mean", 4).alias("mean"))
+
+
+def _run(stream: DataFrame, state: str, path: str | None = None, batch=None) -> None:
+    """One start of a query from its checkpoint, until it has taken all that landed."""
+    w = stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True)
+    (w.foreachBatch(batch) if batch else w.outputMode("append").format("parquet").option("path", path)).start().awaitTermination()
+
+
+def tail_ingest(rows: DataFrame, wave: Column, waves: int = 3, files: int = 4) -> DataFrame:
+    """JSON lines that land in waves, tailed by a query that is stopped after each wave and started anew from its checkpoint,
+    a few files a trigger: each line is read once, whatever earlier starts had read."""
+    spark = rows.sparkSession
+    landed, source, sink = kept(rows.withColumn("_wave", wave), "rows"), landing(spark, "tail"), landing(spark, "tailed")
+    for k in range(waves):
+        landed.where(F.col("_wave") == k).drop("_wave").write.mode("append").json(source)
+        _run(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).json(source), f"{sink}-state", sink)
+    return spark.read.schema(rows.schema).parquet(sink)
+
+
+def closed_snapshots(cells: DataFrame, late: Column, cut: int, delay: int = 2) -> DataFrame:
+    """Venues per coin and snapshot, emitted once when the watermark of ``delay`` snapshots closes it. Rows land in two waves
+    with a restart between them: what is before ``cut`` and not ``late``, then the rest. Late rows of closed snapshots go; a
+    snapshot that is still open waits."""
+    spark = cells.sparkSession
+    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("snapshot_idx") * 14_400)
+    rows = cells.select("coin", "snapshot_idx", at.alias("at"), (late | (F.col("snapshot_idx") >= cut)).alias("second"))
+    landed, source, sink = kept(rows, "cells"), landing(spark, "waves"), landing(spark, "closed")
+    for second in (False, True):
+        landed.where(F.col("second") == second).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source).withWatermark("at", f"{delay * 14_400} seconds")
+        closed = stream.groupBy("at", "coin", "snapshot_idx").agg(F.count(F.lit(1)).alias("n"))
+        _run(closed, f"{sink}-state", sink)
+    return spark.read.schema(closed.schema).parquet(sink).drop("at")
+
+
+def live_signals(spreads: DataFrame, wave: Column, waves: int = 3, w: int = 20, tau: float = 0.5) -> DataFrame:
+    """Signals of spreads that land in waves of time: each micro-batch is scored behind a buffer of its series' last rows, with
+    the batch job's own functions, gated at ``tau`` and written. Buffer and signals are named by the batch, so a batch that
+    is run again replaces its own, and the query is restarted after each wave."""
+    spark = spreads.sparkSession
+    n_lags = 3
+    landed, source, base = kept(spreads.withColumn("_wave", wave), "spreads"), landing(spark, "live"), landing(spark, "signals")
+
+    def score(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("_fresh", F.lit(True))
+        if number:
+            rows = rows.unionByName(spark.read.parquet(f"{base}/buffer/{number - 1}").withColumn("_fresh", F.lit(False)))
+        behind = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("snapshot_idx")))
+        rows.drop("_fresh").withColumn("_behind", behind).where(F.col("_behind") <= w + n_lags).drop("_behind").write.mode("overwrite").parquet(f"{base}/buffer/{number}")
+        signals = pairs.scored_series(rows, w, n_lags=n_lags).where(F.col("_fresh") & (F.abs("pred") >= tau))
+        signals.select(*KEYS, "snapshot_idx", "zscore", "pred").write.mode("overwrite").parquet(f"{base}/out/{number}")
+
+    for k in range(waves):
+        landed.where(F.col("_wave") == k).drop("_wave").write.mode("append").parquet(source)
+        _run(spark.readStream.schema(spreads.schema).parquet(source), f"{base}-state", batch=score)
+    kinds = ", ".join(f"{c} {spreads.schema[c].dataType.simpleString()}" for c in (*KEYS, "snapshot_idx"))
+    return spark.read.schema(f"{kinds}, zscore double, pred double").option("recursiveFileLookup", "true").parquet(f"{base}/out")

@@ -126,3 +126,35 @@ def test_snapshots_shrink_as_ticks_grow(spark):
     """The grid grows with the data: the cells hold about the same number of ticks."""
     small, large = (venue.bucket_of(spark, f"/root/testdata/sf{k}") for k in ("0.01", "0.1"))
     assert small == venue.BUCKET and large * 10 == small
+
+
+def test_johansen_equals_residual_regressions(spark):
+    rng = np.random.default_rng(3)
+    common = rng.normal(size=150).cumsum()
+    a, b = 5 + common + rng.normal(size=150) * 0.3, 2 + 0.5 * common + rng.normal(size=150) * 0.3
+    data = [("k", i, float(a[i]), float(b[i])) for i in range(150)] + [("short", i, float(i), 1.0) for i in range(5)] + [("flat", i, 1.0, float(a[i])) for i in range(40)] + [("k", 150, None, 1.0)]
+    got = {r["key"]: r for r in stats.johansen(spark.createDataFrame(data, "key string, at int, a double, b double"), ("a", "b"), ["key"], "at").collect()}
+    y = np.column_stack([a, b])
+    dy = np.diff(y, axis=0)
+    z = np.column_stack([np.ones(148), dy[:-1]])
+    r0, r1 = (m - z @ np.linalg.lstsq(z, m, rcond=None)[0] for m in (dy[1:], y[1:-1]))
+    s00, s01, s11 = r0.T @ r0, r0.T @ r1, r1.T @ r1
+    lam = np.sort(np.linalg.eigvals(np.linalg.solve(s11, s01.T) @ np.linalg.solve(s00, s01)).real)[::-1]
+    assert got["k"]["n"] == 148 and got["k"]["trace_0"] == pytest.approx(-148 * np.log(1 - lam).sum(), rel=1e-6)
+    assert got["k"]["trace_1"] == pytest.approx(-148 * np.log(1 - lam[1]), rel=1e-6) and got["k"]["rank_trace"] >= 1
+    assert got["short"]["trace_0"] is None and got["flat"]["rank_max"] is None
+
+
+def test_engle_granger_both_keeps_the_lower_statistic(spark):
+    rng = np.random.default_rng(5)
+    x = 100 + rng.normal(size=120).cumsum() * 0.5
+    y = 50 + 0.4 * x + rng.normal(size=120)
+    df = spark.createDataFrame([("k", i, float(y[i]), float(x[i])) for i in range(120)], "key string, at int, a double, b double")
+    best = stats.engle_granger_both(df, ["key"], "at", "a", "b").first()
+
+    def one(u, v):
+        slope, base = np.polyfit(np.log(v), np.log(u), 1)
+        return stats.adf_statistic(np.log(u) - base - slope * np.log(v))[0]
+
+    found = {"a_on_b": one(y, x), "b_on_a": one(x, y)}
+    assert best["adf_stat"] == pytest.approx(min(found.values()), rel=1e-6) and best["direction"] == min(found, key=found.get)
