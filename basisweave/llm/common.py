@@ -53,6 +53,11 @@ def first_by_hash(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
     return rows.where(order <= min(2**63 - 1, int(share * 2**63))).select(key).distinct().orderBy(order, key).limit(n)
 
 
+def one_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per value of ``keys`` (nulls are equal) with the ``text`` of least hash, in whatever order the tasks come."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def one_blas_thread() -> None:
     """Limit numpy's matrix products to one thread: Spark already runs a task on each core, and waiting threads cost its time."""
     for lib in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):

@@ -10,7 +10,8 @@ exchanged for other words of the same meaning, so that no single mark decides. D
 a dropped block is dropped.
 
 Defined cases: null and empty html give an empty text; pages without any block tag are one block; unclosed and
-misnested tags are closed as browsers do; a cut-off tag at the end is dropped; repeated rows are treated alike; an empty
+misnested tags are closed as browsers do; comments end where browsers end them (`<!-->`, `--!>`); a cut-off tag at the
+end is dropped; repeated rows are treated alike; an empty
 table gives no rows; extra columns pass through ``extract_text``, but for one named ``text``, which is replaced.
 """
 
@@ -53,7 +54,7 @@ ARTICLE_WORDS = frozenset("article body content entry main post story text".spli
 FURNITURE_TAGS = frozenset("nav footer aside form header menu select fieldset dialog".split())
 ARTICLE_TAGS = frozenset("article main".split())
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<hid>{RAW})\b[^>]*>.*?(?:</(?P=hid)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[/a-z][^<>]*\Z", re.I | re.S)
+_TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<hid>{RAW})\b[^>]*>.*?(?:</(?P=hid)\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[/a-z][^<>]*\Z", re.I | re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -348,7 +349,7 @@ def site_sample(pages: DataFrame, id_col: str, html_col: str, url_col: str | Non
     mark = F.shiftrightunsigned(F.xxhash64("id"), 1)
     near = located.select("host", "id").join(F.broadcast(hosts), "host").where(mark / F.lit(2.0**63) <= (2 * site_pages + 20) / F.greatest(F.col("n"), F.lit(1))).distinct()
     ids = near.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy(mark, "id"))).where(F.col("k") <= site_pages).select("host", "id")
-    return located.join(F.broadcast(ids), ["host", "id"]).dropDuplicates(["host", "id"])
+    return located.join(F.broadcast(ids), ["host", "id"]).groupBy("host", "id").agg(F.min_by("html", F.xxhash64("html")).alias("html"))
 
 
 def fit_extractor(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", url_col: str | None = "url", sites: int = 100, site_pages: int = 25) -> Boosted | None:

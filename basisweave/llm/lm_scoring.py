@@ -7,7 +7,7 @@ unigram distribution, warms up on ``warm_documents`` documents, then every parti
 training documents by truncated backpropagation, and the copies are averaged, weighted by their tokens.
 
 Defined cases: a null or empty text is one end token; an unseen word has count 0; a null id is held out, its text being
-empty for the fold rule; repeated rows score alike; without training documents all counts are 0; an empty table gives
+empty for the fold rule; repeated rows score alike, and of an id's different texts the one of least hash warms the network; without training documents all counts are 0; an empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, read_table, written
+from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, one_text, read_table, written
 from basisweave.llm.gru_lm import SUFFIXES, GruModel, Trainer
 
 END = b""
@@ -193,7 +193,7 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
     model = GruModel.start(head.counts[: head.vocabulary].astype(float), float(head.rare_total), hidden)
     short = docs.where(F.char_length(text_col) <= warm_chars).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     ids = first_by_hash(short.select("id"), warm_documents)
-    chosen = short.join(F.broadcast(ids), "id").dropDuplicates(["id"])
+    chosen = one_text(short.join(F.broadcast(ids), "id"), "id")
     warm = [r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").select("text").collect()]
     encoder, trainer = Encoder(head), Trainer(model, lanes=32, steps=20, rate=5e-3)
     trainer.feed([(x, np.minimum(x, head.vocabulary)) for _, x, _ in map(encoder.encode, warm)])

@@ -8,8 +8,9 @@ fitted on a fifth of that sample calibrates its probabilities. Tokens are lower-
 punctuation; marks for digits, capitals and a word said again stand beside them.
 
 Defined cases: null and empty texts have the zero vector and get the network's score for it; repeated rows score
-alike; without both labels every score is the share of label 1, or 0.5 without any; an empty table gives no rows; extra
-columns are kept by ``score_quality``.
+alike, and of an id's different texts the one of least hash is learnt; labels other than 0 and 1, and null ids, teach
+nothing; where not both labels meet a document every score is the share of label 1 among those that do, or 0.5 without
+any; an empty table gives no rows; extra columns are kept by ``score_quality``.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, read_table
+from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, one_text, read_table
 
 BUCKETS = 8192
 DIM = 48
@@ -174,15 +175,11 @@ def train_network(vectors: np.ndarray, x: np.ndarray, y: np.ndarray, hidden: int
 def fit_quality(docs: DataFrame, learnable_docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 12_000) -> QualityModel:
     """Word vectors from all of ``docs``; the network from ``labels`` (id, quality) and the rows of ``learnable_docs``."""
     vectors = word_vectors(context_vectors(docs, text_col))
-    known = labels.where("quality is not null").select(F.col(id_col).alias("id"), "quality")
+    known = labels.where("quality in (0, 1)").select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality"))
     # Both labels get half of the sample, so that a rare one is learnt; a prior shift puts the odds back.
     share = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
-    if set(share) < {0, 1}:
-        rate = share.get(1, 0) / sum(share.values()) if share else 0.5
-        z = np.zeros(vectors.shape[1] + 2)
-        return QualityModel(vectors, z, z + 1, np.zeros((len(z), 1)), np.zeros(1), np.zeros(1), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))), 1.0)
     parts = [first_by_hash(known.where(F.col("quality") == q), max_labelled // 2).withColumn("quality", F.lit(q)) for q in (0, 1)]
-    chosen = learnable_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "id").dropDuplicates(["id", "quality"])
+    chosen = one_text(learnable_docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(parts[0].unionByName(parts[1])), "id"), "id", "quality")
     shipped = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +189,12 @@ def fit_quality(docs: DataFrame, learnable_docs: DataFrame, labels: DataFrame, i
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("quality"), pa.array(list(x), pa.list_(pa.float32()))], names=["id", "quality", "x"])
 
     schema = T.StructType([chosen.schema["id"], T.StructField("quality", T.IntegerType()), T.StructField("x", T.ArrayType(T.FloatType()))])
-    rows = chosen.mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id").toArrow()
+    rows = chosen.mapInArrow(run, schema).orderBy(F.xxhash64("id"), "id", "quality").toArrow()
     x, y = np.array(rows.column("x").to_pylist(), np.float32), rows.column("quality").to_numpy().astype(np.float64)
+    if not 0 < y.sum() < len(y):  # only labels that met a document teach
+        rate = y.mean() if len(y) else 0.5
+        z = np.zeros(vectors.shape[1] + 2)
+        return QualityModel(vectors, z, z + 1, np.zeros((len(z), 1)), np.zeros(1), np.zeros(1), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))), 1.0)
     model = train_network(vectors, x, y)
     sampled = y.mean()
     true = share[1] / (share[0] + share[1])

@@ -9,7 +9,8 @@ overfit to "unlabelled means clean". The classifiers' mean is the score.
 The learning sample is bounded by ``max_positive`` and ``max_unlabelled`` documents, the first by the hash of their
 id; scoring covers whole texts of all rows.
 
-Defined cases: null and empty texts have no features and score the bias alone; repeated rows score alike; a null id
+Defined cases: null and empty texts have no features and score the bias alone; repeated rows score alike, and of an id's different texts the one
+of least hash is learnt; a null id teaches nothing and
 counts as empty text in the fold rule; without positives every score is 0; an empty table gives no rows; extra columns
 are kept by ``score_toxicity``, but for one of the output's name, which is replaced.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, first_by_hash, read_table, written
+from basisweave.llm.common import bucket, first_by_hash, one_text, read_table, written
 
 #: ASCII letters lower-cased and digits stay, other ASCII becomes a space; bytes from 0x80 on are letters.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isdigit() or "a" <= chr(b) <= "z" else b + 32 if "A" <= chr(b) <= "Z" else 0x20 for b in range(256))
@@ -162,7 +163,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column("toxic"), lists], names=["toxic", "features"])
 
     # Bounded by the two parameters: the chosen ids are broadcast, and texts meet them where they lie.
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), "id").dropDuplicates(["id", "toxic"]).select("toxic", "text")
+    chosen = one_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(positive.unionByName(unlabelled)), "id"), "id", "toxic").select("toxic", "text")
     sample = written(chosen.mapInArrow(features, "toxic boolean, features array<long>"), "toxic-sample")
     sizes = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)

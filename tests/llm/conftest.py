@@ -32,6 +32,10 @@ def small_tables(spark, tmp_path_factory):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     labels.unionByName(spark.createDataFrame([(None, None, None), (9001, 1, 0), (9005, 0, 1), (9005, 0, 1)], labels.schema)).withColumn("score", F.lit("x")).write.parquet(f"{folder}/labels.parquet")
     for name in ("pages", "benchmark"):
-        t = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
-        t.limit(150).withColumns({k: F.lit(v) for k, v in extra.items() if k not in t.columns}).write.parquet(f"{folder}/{name}.parquet")
+        t = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(150)
+        key, *rest = t.columns
+        blank = [None] * len(rest)
+        odd = [(None, *blank), (9001, *blank), (9002, *[""] * len(rest)), (9003, *[LONG[:60_000]] * len(rest)), (9004, *["tie tie tie"] * len(rest)), (9005, *["tie tie tie"] * len(rest))]
+        t = t.unionByName(spark.createDataFrame(odd, t.schema)).unionByName(t.limit(2))
+        t.withColumns({k: F.lit(v) for k, v in extra.items() if k not in t.columns}).write.parquet(f"{folder}/{name}.parquet")
     return folder

@@ -112,3 +112,38 @@ def test_held_out_ranking(spark, query, label, least):
     order = np.argsort(np.argsort(score))
     auc = (order[y == 1].mean() - order[y == 0].mean()) / len(y) + 0.5
     assert auc >= least
+
+
+def labelled_tables(spark, folder, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+TEXTS = [(k, f"plain words number {k} of a row") for k in range(40)]
+
+
+@pytest.mark.parametrize(
+    "docs, labels, known",
+    [
+        ([], [(k, k % 2, 0) for k in range(30)], None),  # labels of both kinds, no documents
+        (TEXTS, [(k, 1, 0) for k in range(20)] + [(1000 + k, 0, 0) for k in range(20)], 1.0),  # only one kind meets a document
+        (TEXTS, [(k, 1 + k % 2, 0) for k in range(30)], 1.0),  # a label beyond 0 and 1
+        (TEXTS, [(None, 1, 0), (None, None, None)], 0.5),
+    ],
+)
+def test_quality_with_labels_that_meet_no_document(spark, tmp_path, docs, labels, known):
+    got = op5_quality_classifier(spark, labelled_tables(spark, tmp_path, docs, labels)).collect()
+    assert sorted(r.doc_id for r in got) == [d for d, _ in docs]
+    assert all(r.score == pytest.approx(known, abs=1e-6) and r.predicted == int(known >= 0.5) for r in got)
+
+
+def test_an_ids_different_texts_are_learnt_alike_in_any_order(spark, tmp_path):
+    docs = [(k, f"good words {k}" if k % 2 else "BAD %%% || !!") for k in range(60)] + [(k, f"another text of {k}") for k in range(60)]
+    labels = [(k, k % 2, 0) for k in range(60)]
+    runs = []
+    for n, rows in enumerate((docs, docs[::-1])):
+        folder = tmp_path / str(n)
+        labelled_tables(spark, folder, rows, labels)
+        runs.append({(r.doc_id, round(r.score, 5)) for r in op5_quality_classifier(spark, str(folder)).collect()})
+    assert runs[0] == runs[1]

@@ -90,8 +90,8 @@ def test_domain_edges_can_be_left_out(spark):
 def test_query_and_clashing_columns(spark, small_tables):
     got = op3_url_filters(spark, small_tables).collect()
     pages = spark.read.parquet(f"{small_tables}/pages.parquet")
-    want = sorted((r.page_id, *brute(r.url)[:2], getattr(brute(r.url)[2], "name", None)) for r in pages.collect())
-    assert sorted((r.page_id, r.host, r.path, r.rule) for r in got) == want
+    want = sorted(((r.page_id, *brute(r.url)[:2], getattr(brute(r.url)[2], "name", None)) for r in pages.collect()), key=str)
+    assert sorted(((r.page_id, r.host, r.path, r.rule) for r in got), key=str) == want
     assert all(r.verdict == ("allow" if brute("x://" + r.host + r.path)[2].allow else "block") for r in got if r.rule)
     odd = pages.withColumns({k: F.lit("old") for k in ("trust", "rule", "host", "verdict", "relative", "row")}).unionByName(pages.limit(3).withColumn("url", F.lit(None).cast("string")), allowMissingColumns=True)
     out = filter_urls(odd)
