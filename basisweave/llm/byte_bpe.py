@@ -32,8 +32,9 @@ from pyspark.sql import types as T
 from basisweave.llm.common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-_CACHE, _LONGEST = 300_000, 64
-_CHARS = 2_000_000
+_CACHE, _LONGEST = 150_000, 64
+#: Characters scanned at once (a longer text alone), and rows taken out of a batch at once: what a worker holds.
+_CHARS, _ROWS = 400_000, 256
 _BLOCK = 256
 
 LETTER, NUMBER, OTHER, SPACE_ON, BLANK_LAST, SPACE_LAST, SHORT, LONG, END = range(9)
@@ -309,6 +310,12 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(values, pa.int32()))
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            yield whole.slice(at, _ROWS)
+
+
 def _parts(sizes: list[int]) -> Iterator[tuple[int, int]]:
     """(first row, rows) of runs of about ``_CHARS``."""
     start = held = 0
@@ -359,8 +366,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", kee
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger, (_, _, lengths) = shipped.value.merger(), shipped.value.tokens()
-        for whole in batches:
-            texts = whole.column(text_col).to_pylist()
+        for b in sliced(batches):
+            texts = b.column(text_col).to_pylist()
             for at, n in _parts([len(t or "") for t in texts]):
                 ids, counts = encode_texts(texts[at : at + n], merger)
                 total = np.append(0, np.cumsum(lengths[ids]))
@@ -369,7 +376,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], text_col: str = "text", kee
                 # One offset more than ids a text; each text's begin at 0.
                 row = np.repeat(np.arange(n), counts + 1)
                 offsets = total[np.arange(len(row)) - row] - total[starts][row]
-                yield pa.RecordBatch.from_arrays([*(whole.column(c).slice(at, n) for c in keep), _lists(ids, counts), _lists(offsets, counts + 1)], names=[*keep, "ids", "offsets"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(at, n) for c in keep), _lists(ids, counts), _lists(offsets, counts + 1)], names=[*keep, "ids", "offsets"])
 
     return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
@@ -382,7 +389,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, place, _ = shipped.value.tokens()
-        for b in batches:
+        for b in sliced(batches):
             out = []
             for ids, offsets in zip(b.column("ids"), b.column("offsets")):
                 if not ids.is_valid:
