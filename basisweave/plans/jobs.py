@@ -229,16 +229,16 @@ def ml_18(spark, d):
     return k.select("window_id", (p >= 0.85).alias("validation")).groupBy("window_id", "validation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("str_13_stream_spread_matrix", over("ticker", "SELECT coin, snapshot_idx, CAST(count(*) AS BIGINT) AS num_exchanges, round(max(mid) - min(mid), 4) AS price_range FROM ticker GROUP BY ALL"))
+@query("str_13_stream_spread_matrix", over("ticker", "SELECT coin, snapshot_idx, CAST(count(*) AS BIGINT) AS num_exchanges, round(max(mid) - min(mid), 4) AS price_range FROM ticker WHERE snapshot_idx < (SELECT max(snapshot_idx) FROM ticker) GROUP BY ALL"))
 def str_13(spark, d):
-    return live.stream_spread_matrix(spark, venue.tickers(spark, d))
+    return live.stream_spread_matrix(spark, venue.tickers(spark, d), venue.bucket_of(spark, d))
 
 
-@query("str_11_stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type AS exchange, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS volume FROM events GROUP BY ALL")
+@query("str_11_stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type AS exchange, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS volume FROM events WHERE date_trunc('hour', ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) GROUP BY 1, 2")
 def str_11(spark, d):
     return live.stream_hourly(spark, venue.ticks(spark, d))
 
 
 @query("str_05_stream_settlement", over("bet", "SELECT window_id, coin, pair, snapshot_idx, round(pnl_proxy, 6) AS pnl_proxy FROM bet WHERE abs_pred >= 0.5"))
 def str_05(spark, d):
-    return live.stream_settlement(spark, pairs.scored(venue.tickers(spark, d)))
+    return live.stream_settlement(spark, pairs.scored(venue.tickers(spark, d)), venue.bucket_of(spark, d))

@@ -503,10 +503,3 @@ def udaf_01(spark, d):
     """Sharpe, profit factor and direction accuracy as composed aggregate columns."""
     v = F.col("gross_bps")
     return bets(spark, d).groupBy("coin").agg(r(x.sharpe(v), 6).alias("sharpe"), r(x.profit_factor(v), 6).alias("profit_factor"), r(F.avg("dir_hit"), 6).alias("dir_acc"))
-
-
-@query("str_14_feed_stalls", over("cell", "SELECT coin, exchange, CAST(count(*) AS BIGINT) AS n_stalls, max(gap) AS longest FROM (SELECT coin, exchange, snapshot_idx - lag(snapshot_idx) OVER (PARTITION BY coin, exchange ORDER BY snapshot_idx) AS gap FROM cell) WHERE gap > 1 GROUP BY ALL"))
-def str_14(spark, d):
-    """Feeds that miss snapshots: how often, and the longest silence."""
-    gap = F.col("snapshot_idx") - F.lag("snapshot_idx").over(Window.partitionBy("coin", "exchange").orderBy("snapshot_idx"))
-    return venue.tickers(spark, d).select("coin", "exchange", gap.alias("gap")).where("gap > 1").groupBy("coin", "exchange").agg(_count("n_stalls"), F.max("gap").alias("longest"))

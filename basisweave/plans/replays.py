@@ -29,7 +29,7 @@ def str_06(spark, d):
     t = venue.tickers(spark, d)
     lo, hi = t.agg(F.min("snapshot_idx"), F.max("snapshot_idx")).first()
     cut = (lo or 0) + ((hi or 0) - (lo or 0)) // 2
-    out = live.closed_snapshots(t, (F.col("last_id") % 10 == 0) & (F.col("snapshot_idx") < cut), cut)
+    out = live.closed_snapshots(t, (F.col("last_id") % 10 == 0) & (F.col("snapshot_idx") < cut), cut, venue.bucket_of(spark, d))
     return out.select("coin", "snapshot_idx", "n", (F.col("n") >= 5).alias("complete"))
 
 

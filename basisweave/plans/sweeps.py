@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from basisweave.functions import exprs as x
 from basisweave.operators import books, pairs
 from basisweave.operators import series as s
-from basisweave.plans.catalog import ORACLE_SQL_BY_QUERY, query, r
+from basisweave.plans.catalog import query, r
 from basisweave.plans.relational import bets
 from basisweave.plans.sql import over
 from basisweave.sources import venue
@@ -78,13 +78,7 @@ def sta_10(spark, d):
     return random.crossJoin(F.broadcast(actual)).groupBy("actual").agg(F.count(F.lit(1)).alias("sims"), F.avg((F.col("mean") >= F.col("actual")).cast("double")).alias("share_better"), F.avg("mean").alias("mean_random"))
 
 
-@query("str_08_stream_tick_pairing", ORACLE_SQL_BY_QUERY["jn_05_last_tick_pairing"])
-def str_08(spark, d):
-    p = live.stream_tick_pairing(spark, venue.ticks(spark, d), "click", "view")
-    return p.select("event_id", "coin", r(x.spread_bps(F.col("mid_a"), F.col("mid_b"), "relative")).alias("spread_bps"), (F.col("age") <= 3600).alias("fresh"))
-
-
-@query("str_12_stream_sliding", "SELECT start, exchange, CAST(count(*) AS BIGINT) AS n, round(avg(100 + value), 4) AS mean FROM (SELECT event_type AS exchange, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts) - INTERVAL 2 HOUR, date_trunc('hour', ts) - INTERVAL 3 HOUR]) AS start FROM events) GROUP BY ALL")
+@query("str_12_stream_sliding", "SELECT start, exchange, CAST(count(*) AS BIGINT) AS n, round(avg(100 + value), 4) AS mean FROM (SELECT event_type AS exchange, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR, date_trunc('hour', ts) - INTERVAL 2 HOUR, date_trunc('hour', ts) - INTERVAL 3 HOUR]) AS start FROM events) GROUP BY ALL HAVING start + INTERVAL 5 HOUR <= (SELECT max(ts) FROM events)")
 def str_12(spark, d):
     return live.stream_sliding(spark, venue.ticks(spark, d))
 

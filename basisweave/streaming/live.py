@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from basisweave.operators import pairs
 from basisweave.operators.series import KEYS
 from basisweave.sources.files import kept, landing
+from basisweave.sources.venue import EPOCH
 
 
 def replay(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
@@ -27,75 +28,48 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def stream_spread_matrix(spark: SparkSession, cells: DataFrame) -> DataFrame:
-    """Per coin and snapshot, venue count and price range, emitted when the watermark closes the snapshot."""
-    rows = cells.select("coin", "exchange", "snapshot_idx", "mid", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("snapshot_idx") * 14_400).alias("at"))
-    stream = replay(spark, _with_marker(rows), "cells").withWatermark("at", "4 hours")
-    agg = stream.groupBy(F.window("at", "4 hours"), "coin", "snapshot_idx").agg(F.count("mid").alias("num_exchanges"), F.max("mid").alias("hi"), F.min("mid").alias("lo"))
-    out = drain(agg.select("coin", "snapshot_idx", "num_exchanges", "hi", "lo"), "matrix").where("coin is not null")
+def snapshot_time(bucket: int) -> Column:
+    """When a snapshot begins: its number counts lengths of ``bucket`` seconds from the grid's epoch. 64-bit throughout."""
+    return F.timestamp_seconds(F.lit(EPOCH).cast("long") + F.col("snapshot_idx").cast("long") * F.lit(bucket).cast("long"))
+
+
+def stream_spread_matrix(spark: SparkSession, cells: DataFrame, bucket: int) -> DataFrame:
+    """Per coin and snapshot, venue count and price range, emitted when the watermark, a snapshot behind, closes the snapshot.
+    The last snapshot stays open: nothing after it has come."""
+    rows = cells.select("coin", "exchange", "snapshot_idx", "mid", snapshot_time(bucket).alias("at"))
+    stream = replay(spark, rows, "cells").withWatermark("at", f"{bucket} seconds")
+    agg = stream.groupBy("at", "coin", "snapshot_idx").agg(F.count("mid").alias("num_exchanges"), F.max("mid").alias("hi"), F.min("mid").alias("lo"))
+    out = drain(agg.select("coin", "snapshot_idx", "num_exchanges", "hi", "lo"), "matrix")
     return out.select("coin", "snapshot_idx", "num_exchanges", F.round(F.col("hi") - F.col("lo"), 4).alias("price_range"))
 
 
 def stream_hourly(spark: SparkSession, ticks: DataFrame) -> DataFrame:
-    """Tumbling hours per venue."""
-    rows = ticks.select("exchange", "volume", F.col("ts").alias("at"))
-    stream = replay(spark, _with_marker(rows), "ticks").withWatermark("at", "1 hour")
+    """Tumbling hours per venue, as far as the watermark, an hour behind, has closed them."""
+    stream = replay(spark, ticks.select("exchange", "volume", F.col("ts").alias("at")), "ticks").withWatermark("at", "1 hour")
     agg = stream.groupBy(F.window("at", "1 hour"), "exchange").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
-    out = drain(agg.select(F.col("window.start").alias("hour"), "exchange", "n", "volume"), "hours").where("exchange is not null")
+    out = drain(agg.select(F.col("window.start").alias("hour"), "exchange", "n", "volume"), "hours")
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "exchange", "n", F.round("volume", 4).alias("volume"))
 
 
-def _with_marker(rows: DataFrame) -> DataFrame:
-    """One far-future row without keys, so that the watermark passes the last real window."""
-    spark = rows.sparkSession
-    marker = spark.range(1).select(*(F.to_timestamp(F.lit("2100-01-01")).alias("at") if f.name == "at" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema.fields))
-    return rows.unionByName(marker)
-
-
-def stream_settlement(spark: SparkSession, sig: DataFrame, tau: float = 0.5) -> DataFrame:
+def stream_settlement(spark: SparkSession, sig: DataFrame, bucket: int, tau: float = 0.5) -> DataFrame:
     """Bets meet the next snapshot's z in a stream-stream join whose state the watermarks bound."""
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("snapshot_idx") * 14_400)
+    at = snapshot_time(bucket)
     bets = sig.where((F.abs("pred") >= tau)).select("window_id", "coin", "pair", "snapshot_idx", "zscore", at.alias("at"))
     marks = sig.where("zscore is not null").select("window_id", "coin", "pair", (F.col("snapshot_idx") - 1).alias("snapshot_idx"), F.col("zscore").alias("zscore_fwd"), at.alias("at"))
-    b = replay(spark, bets, "bets").withWatermark("at", "1 day").alias("b")
-    m = replay(spark, marks, "marks").withWatermark("at", "1 day").alias("m")
+    b = replay(spark, bets, "bets").withWatermark("at", f"{6 * bucket} seconds").alias("b")
+    m = replay(spark, marks, "marks").withWatermark("at", f"{6 * bucket} seconds").alias("m")
     keys = [F.col(f"b.{k}") == F.col(f"m.{k}") for k in ("window_id", "coin", "pair", "snapshot_idx")]
-    near = (F.col("m.at") >= F.col("b.at")) & (F.col("m.at") <= F.col("b.at") + F.expr("interval 4 hours"))
+    near = (F.col("m.at") >= F.col("b.at")) & (F.col("m.at") <= F.col("b.at") + F.make_dt_interval(secs=F.lit(bucket)))
     joined = b.join(m, keys[0] & keys[1] & keys[2] & keys[3] & near)
     out = drain(joined.select("b.window_id", "b.coin", "b.pair", "b.snapshot_idx", (F.signum("b.zscore") * F.col("m.zscore_fwd")).alias("pnl_proxy")), "settled")
     return out.withColumn("pnl_proxy", F.round("pnl_proxy", 6))
 
 
-def stream_tick_pairing(spark: SparkSession, ticks: DataFrame, a: str, b: str) -> DataFrame:
-    """Two feeds paired tick by tick with keyed state: the last price and time of each side survive from batch to batch."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    rows = ticks.where(F.col("exchange").isin(a, b)).select("event_id", "coin", "exchange", "mid", F.unix_micros("ts").alias("us"))
-    stream = replay(spark, rows, "feeds")
-
-    def pair(key, batches, state):
-        price = dict(zip(("a", "ta", "b", "tb"), state.get)) if state.exists else dict.fromkeys(("a", "ta", "b", "tb"))
-        out = []
-        for t in pd.concat(batches).sort_values(["us", "event_id"]).itertuples():
-            side = "a" if t.exchange == a else "b"
-            price[side], price["t" + side] = float(t.mid), int(t.us) // 1_000_000
-            if price["a"] is not None and price["b"] is not None:
-                now = int(t.us) // 1_000_000
-                out.append((t.event_id, key[0], price["a"], price["b"], max(now - price["ta"], now - price["tb"])))
-        state.update((price["a"], price["ta"], price["b"], price["tb"]))
-        yield pd.DataFrame(out, columns=["event_id", "coin", "mid_a", "mid_b", "age"])
-
-    paired = stream.groupBy("coin").applyInPandasWithState(pair, "event_id long, coin string, mid_a double, mid_b double, age long", "a double, ta long, b double, tb long", "append", GroupStateTimeout.NoTimeout)
-    return drain(paired, "paired")
-
-
 def stream_sliding(spark: SparkSession, ticks: DataFrame) -> DataFrame:
-    """Sliding statistics: four hours, every hour, per venue."""
-    rows = ticks.select("exchange", "mid", F.col("ts").alias("at"))
-    stream = replay(spark, _with_marker(rows), "sliding").withWatermark("at", "1 hour")
+    """Sliding statistics: four hours, every hour, per venue, as far as the watermark, an hour behind, has closed them."""
+    stream = replay(spark, ticks.select("exchange", "mid", F.col("ts").alias("at")), "sliding").withWatermark("at", "1 hour")
     agg = stream.groupBy(F.window("at", "4 hours", "1 hour"), "exchange").agg(F.count(F.lit(1)).alias("n"), F.avg("mid").alias("mean"))
-    out = drain(agg.select(F.col("window.start").alias("start"), "exchange", "n", "mean"), "slides").where("exchange is not null")
+    out = drain(agg.select(F.col("window.start").alias("start"), "exchange", "n", "mean"), "slides")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "exchange", "n", F.round("mean", 4).alias("mean"))
 
 
@@ -116,17 +90,17 @@ def tail_ingest(rows: DataFrame, wave: Column, waves: int = 3, files: int = 4) -
     return spark.read.schema(rows.schema).parquet(sink)
 
 
-def closed_snapshots(cells: DataFrame, late: Column, cut: int, delay: int = 2) -> DataFrame:
+def closed_snapshots(cells: DataFrame, late: Column, cut: int, bucket: int, delay: int = 2) -> DataFrame:
     """Venues per coin and snapshot, emitted once when the watermark of ``delay`` snapshots closes it. Rows land in two waves
     with a restart between them: what is before ``cut`` and not ``late``, then the rest. Late rows of closed snapshots go; a
     snapshot that is still open waits."""
     spark = cells.sparkSession
-    at = F.timestamp_seconds(F.lit(1_704_067_200) + F.col("snapshot_idx") * 14_400)
+    at = snapshot_time(bucket)
     rows = cells.select("coin", "snapshot_idx", at.alias("at"), (late | (F.col("snapshot_idx") >= cut)).alias("second"))
     landed, source, sink = kept(rows, "cells"), landing(spark, "waves"), landing(spark, "closed")
     for second in (False, True):
         landed.where(F.col("second") == second).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(rows.schema).parquet(source).withWatermark("at", f"{delay * 14_400} seconds")
+        stream = spark.readStream.schema(rows.schema).parquet(source).withWatermark("at", f"{delay * bucket} seconds")
         closed = stream.groupBy("at", "coin", "snapshot_idx").agg(F.count(F.lit(1)).alias("n"))
         _run(closed, f"{sink}-state", sink)
     return spark.read.schema(closed.schema).parquet(sink).drop("at")
