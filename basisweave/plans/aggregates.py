@@ -10,7 +10,7 @@ from basisweave.operators import metrics, pairs
 from basisweave.operators import series as s
 from basisweave.plans.catalog import query, r
 from basisweave.plans.relational import _with_fees, bets
-from basisweave.plans.sql import over
+from basisweave.plans.sql import BUCKET, over
 from basisweave.sources import files, venue
 
 
@@ -114,19 +114,19 @@ def agg_13(spark, d):
     return _rounded(metrics.tau_sweep(pairs.scored(venue.tickers(spark, d)), (0.0, 0.25, 0.5, 0.75, 0.9, 1.0, 1.25, 1.5)), ["tau"])
 
 
-@query("agg_14_period_sharpe", over("bet", "WITH h AS (SELECT window_id, snapshot_idx // 6 AS day, sum(pnl_proxy) AS pnl FROM bet WHERE abs_pred >= 0.5 GROUP BY ALL) SELECT window_id, CAST(count(*) AS BIGINT) AS n_days, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) AS sharpe FROM h GROUP BY 1"))
+@query("agg_14_period_sharpe", over("bet", f"WITH h AS (SELECT window_id, snapshot_idx * {BUCKET} // 86400 AS day, sum(pnl_proxy) AS pnl FROM bet WHERE abs_pred >= 0.5 GROUP BY ALL) SELECT window_id, CAST(count(*) AS BIGINT) AS n_days, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) AS sharpe FROM h GROUP BY 1"))
 def agg_14(spark, d):
-    day = bets(spark, d).where("abs_pred >= 0.5").groupBy("window_id", F.floor(F.col("snapshot_idx") / 6).alias("day")).agg(F.sum("pnl_proxy").alias("pnl"))
+    day = bets(spark, d).where("abs_pred >= 0.5").groupBy("window_id", venue.day_of(venue.bucket_of(spark, d)).alias("day")).agg(F.sum("pnl_proxy").alias("pnl"))
     return day.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_days"), r(x.sharpe(F.col("pnl")), 6).alias("sharpe"))
 
 
-@query("agg_14_period_sharpe_with_empty", over("bet", "WITH g AS (SELECT DISTINCT window_id, unnest(range(CASE WHEN window_id = 'w1' THEN 0 ELSE 14 END, CASE WHEN window_id = 'w1' THEN 14 ELSE 30 END)) AS day FROM bet), h AS (SELECT window_id, snapshot_idx // 6 AS day, sum(pnl_proxy) AS pnl FROM bet WHERE abs_pred >= 1.2 GROUP BY ALL) SELECT window_id, round(avg(coalesce(pnl, 0)) / nullif(stddev_samp(coalesce(pnl, 0)), 0), 6) AS sharpe FROM g LEFT JOIN h USING (window_id, day) GROUP BY 1"))
+@query("agg_14_period_sharpe_with_empty", over("bet", f"WITH b AS (SELECT *, snapshot_idx * {BUCKET} // 86400 AS day FROM bet), g AS (SELECT window_id, unnest(range(min(day), max(day) + 1)) AS day FROM b GROUP BY 1), h AS (SELECT window_id, day, sum(pnl_proxy) AS pnl FROM b WHERE abs_pred >= 1.2 GROUP BY ALL) SELECT window_id, CAST(count(*) AS BIGINT) AS n_days, CAST(count(pnl) AS BIGINT) AS n_traded, round(avg(coalesce(pnl, 0)) / nullif(stddev_samp(coalesce(pnl, 0)), 0), 6) AS sharpe FROM g LEFT JOIN h USING (window_id, day) GROUP BY 1"))
 def agg_14_empty(spark, d):
-    b = bets(spark, d)
-    first = F.col("window_id") == "w1"
-    grid = b.select("window_id").distinct().withColumn("day", F.explode(F.when(first, F.sequence(F.lit(0), F.lit(13))).otherwise(F.sequence(F.lit(14), F.lit(29)))))
-    day = b.where("abs_pred >= 1.2").groupBy("window_id", F.floor(F.col("snapshot_idx") / 6).cast("int").alias("day")).agg(F.sum("pnl_proxy").alias("pnl"))
-    return grid.join(day, ["window_id", "day"], "left").fillna(0.0, ["pnl"]).groupBy("window_id").agg(r(x.sharpe(F.col("pnl")), 6).alias("sharpe"))
+    """Days from a run's first bet to its last; those without a confident one count as zero."""
+    b = bets(spark, d).withColumn("day", venue.day_of(venue.bucket_of(spark, d)))
+    grid = b.groupBy("window_id").agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    day = b.where("abs_pred >= 1.2").groupBy("window_id", "day").agg(F.sum("pnl_proxy").alias("pnl"))
+    return grid.join(day, ["window_id", "day"], "left").groupBy("window_id").agg(F.count(F.lit(1)).alias("n_days"), F.count("pnl").alias("n_traded"), r(x.sharpe(F.coalesce("pnl", F.lit(0.0))), 6).alias("sharpe"))
 
 
 _NET = "SELECT *, gross_bps - 5 AS net_bps, 1 + snapshot_idx % 3 AS hold FROM bet WHERE abs_pred >= 0.5"
@@ -232,11 +232,12 @@ def agg_34(spark, d):
     return p.groupBy("coin").agg(r(F.expr("percentile(spread_bps, 0.01)"), 3).alias("lo"), r(F.expr("percentile(spread_bps, 0.99)"), 3).alias("hi"), r(F.avg("spread_bps")).alias("mean"), r(F.stddev_samp("spread_bps")).alias("std"))
 
 
-@query("agg_36_missing_report", over("ticker", "WITH g AS (SELECT coin, exchange, unnest(range(0, 180)) AS snapshot_idx FROM (SELECT DISTINCT coin, exchange FROM ticker)) SELECT g.coin, g.exchange, round(avg((t.mid IS NULL)::INT), 6) AS missing FROM g LEFT JOIN ticker t USING (coin, exchange, snapshot_idx) GROUP BY ALL"))
+@query("agg_36_missing_report", over("ticker", "WITH s AS (SELECT min(snapshot_idx) AS lo, max(snapshot_idx) AS hi FROM ticker), g AS (SELECT coin, exchange, unnest(range(lo, hi + 1)) AS snapshot_idx FROM (SELECT DISTINCT coin, exchange FROM ticker), s) SELECT g.coin, g.exchange, CAST(count(t.mid) AS BIGINT) AS n, round(avg((t.mid IS NULL)::INT), 6) AS missing FROM g LEFT JOIN ticker t USING (coin, exchange, snapshot_idx) GROUP BY ALL"))
 def agg_36(spark, d):
-    t = venue.tickers(spark, d).select("coin", "exchange", "snapshot_idx", "mid")
-    grid = t.select("coin", "exchange").distinct().withColumn("snapshot_idx", F.explode(F.sequence(F.lit(0), F.lit(179))))
-    return grid.join(t, ["coin", "exchange", "snapshot_idx"], "left").groupBy("coin", "exchange").agg(r(F.avg(F.col("mid").isNull().cast("double")), 6).alias("missing"))
+    """Of the snapshots from the first to the last of all series, those that a series has no price in. No grid is laid out."""
+    own = venue.tickers(spark, d).groupBy("coin", "exchange").agg(F.count("mid").alias("n"), F.min("snapshot_idx").alias("lo"), F.max("snapshot_idx").alias("hi"))
+    span = own.agg((F.max("hi") - F.min("lo") + 1).alias("grid"))
+    return own.crossJoin(F.broadcast(span)).select("coin", "exchange", "n", r(1 - F.col("n") / F.col("grid"), 6).alias("missing"))
 
 
 @query("agg_37_pair_ranking", over("pair", "SELECT coin, pair, round(avg(spread_bps), 4) AS mean, round(stddev_samp(spread_bps), 4) AS std, round(min(spread_bps), 4) AS lo, round(max(spread_bps), 4) AS hi, round(max(spread_bps) - min(spread_bps), 4) AS width FROM pair GROUP BY ALL"))

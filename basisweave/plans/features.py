@@ -75,9 +75,15 @@ def flt_10(spark, d):
     return venue.ticks(spark, d).select("event_id", age.alias("age")).where("age is not null").select("event_id", (F.col("age") > 1800).alias("stale"))
 
 
-@query("flt_11_sparse_assets", over("ticker", "SELECT coin, exchange, CAST(count(*) AS BIGINT) AS n FROM ticker GROUP BY ALL HAVING 1 - count(*) / 180.0 <= 0.2"))
+@query("flt_11_sparse_assets", over("ticker", "WITH s AS (SELECT max(snapshot_idx) - min(snapshot_idx) + 1 AS grid FROM ticker), k AS (SELECT coin, exchange FROM ticker GROUP BY ALL HAVING 1 - count(*) / (SELECT grid FROM s) <= 0.2), t AS (SELECT coin, snapshot_idx, count(*) AS n_assets FROM ticker SEMI JOIN k USING (coin, exchange) GROUP BY ALL) SELECT coin, exchange, CAST(count(*) AS BIGINT) AS n FROM ticker SEMI JOIN k USING (coin, exchange) JOIN t USING (coin, snapshot_idx) WHERE n_assets >= 2 GROUP BY ALL"))
 def flt_11(spark, d):
-    return venue.tickers(spark, d).groupBy("coin", "exchange").agg(F.count(F.lit(1)).alias("n")).where(1 - F.col("n") / 180.0 <= 0.2)
+    """Series that lack over a fifth of the observed grid go, then snapshots of a coin that fewer than two series are left in."""
+    t = venue.tickers(spark, d).select("coin", "exchange", "snapshot_idx")
+    own = t.groupBy("coin", "exchange").agg(F.count(F.lit(1)).alias("n"), F.min("snapshot_idx").alias("lo"), F.max("snapshot_idx").alias("hi"))
+    span = own.agg((F.max("hi") - F.min("lo") + 1).alias("grid"))
+    dense = own.crossJoin(F.broadcast(span)).where(1 - F.col("n") / F.col("grid") <= 0.2).select("coin", "exchange")
+    left = t.join(dense, ["coin", "exchange"], "left_semi").groupBy("coin", "snapshot_idx").agg(F.collect_set("exchange").alias("venues")).where(F.size("venues") >= 2)
+    return left.select("coin", F.explode("venues").alias("exchange")).groupBy("coin", "exchange").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("flt_12_near_duplicate_series", over("pair", "SELECT coin, exchange_a, exchange_b FROM pair GROUP BY ALL HAVING abs(corr(mid_a, mid_b)) <= 0.9999 AND var_pop(mid_a) > 0 AND var_pop(mid_b) > 0"))

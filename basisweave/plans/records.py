@@ -12,7 +12,7 @@ from basisweave.operators import backtest, metrics, pairs
 from basisweave.operators import series as s
 from basisweave.plans.catalog import query, r
 from basisweave.plans.relational import bets
-from basisweave.plans.sql import over
+from basisweave.plans.sql import BUCKET, over
 from basisweave.sources import files, venue
 
 _KEY = ["window_id", "coin", "pair", "snapshot_idx"]
@@ -364,11 +364,11 @@ def pos_18(spark, d):
     return bets(spark, d).select(*_KEY, "direction", "dir_hit", r("pnl_proxy", 6), r("spread_delta_bps"), r("gross_bps"))
 
 
-@query("pos_12_book_summary", over("bet", "WITH k AS (SELECT * FROM bet WHERE abs_pred >= 0.5), h AS (SELECT window_id, snapshot_idx // 6 AS bar, sum(pnl_proxy) AS pnl FROM k GROUP BY ALL) SELECT window_id, CAST(count(*) AS BIGINT) AS n, round(avg(dir_hit), 6) AS dir_acc, round(avg(pnl_proxy), 6) AS mean_pnl, round(avg(pnl_proxy) / nullif(stddev_samp(pnl_proxy), 0), 6) AS sharpe, (SELECT round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) FROM h WHERE h.window_id = k.window_id) AS bar_sharpe FROM k GROUP BY window_id"))
+@query("pos_12_book_summary", over("bet", f"WITH k AS (SELECT * FROM bet WHERE abs_pred >= 0.5), h AS (SELECT window_id, snapshot_idx * {BUCKET} // 86400 AS bar, sum(pnl_proxy) AS pnl FROM k GROUP BY ALL) SELECT window_id, CAST(count(*) AS BIGINT) AS n, round(avg(dir_hit), 6) AS dir_acc, round(avg(pnl_proxy), 6) AS mean_pnl, round(avg(pnl_proxy) / nullif(stddev_samp(pnl_proxy), 0), 6) AS sharpe, (SELECT round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) FROM h WHERE h.window_id = k.window_id) AS bar_sharpe FROM k GROUP BY window_id"))
 def pos_12(spark, d):
     k = bets(spark, d).where("abs_pred >= 0.5")
     own = k.groupBy("window_id").agg(_count(), r(F.avg("dir_hit"), 6).alias("dir_acc"), r(F.avg("pnl_proxy"), 6).alias("mean_pnl"), r(x.sharpe(F.col("pnl_proxy")), 6).alias("sharpe"))
-    bars = k.groupBy("window_id", F.floor(F.col("snapshot_idx") / 6).alias("bar")).agg(F.sum("pnl_proxy").alias("pnl"))
+    bars = k.groupBy("window_id", venue.day_of(venue.bucket_of(spark, d)).alias("bar")).agg(F.sum("pnl_proxy").alias("pnl"))
     return own.join(bars.groupBy("window_id").agg(r(x.sharpe(F.col("pnl")), 6).alias("bar_sharpe")), "window_id", "left")
 
 

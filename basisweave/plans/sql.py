@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+#: The snapshot length in seconds.
+BUCKET = "(SELECT greatest(1, 144000000 // greatest(count(*), 10000)) FROM events)"
+
 BASE = {
     "tick": """SELECT event_id, ts, event_type AS exchange, 'C' || CAST(user_id % 3 AS VARCHAR) AS coin, 100 + value AS mid, value AS volume,
   CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, CAST(floor(epoch(ts)) AS BIGINT) AS sec,
-  CAST(floor((floor(epoch(ts)) - 1704067200) / (SELECT greatest(1, 144000000 // greatest(count(*), 10000)) FROM events)) AS INTEGER) AS snapshot_idx FROM events""",
+  CAST(floor((floor(epoch(ts)) - 1704067200) / """ + BUCKET + """) AS INTEGER) AS snapshot_idx FROM events""",
     "cell": """SELECT coin, exchange, snapshot_idx, arg_max(mid, (ts, event_id)) AS mid, arg_max(event_id, (ts, event_id)) AS last_id, max(ts) AS ts,
   count(*) AS n_ticks, sum(volume) AS base_volume FROM tick GROUP BY ALL""",
     "ticker": """SELECT *, mid - mid * (1 + last_id % 5) / 20000 AS bid, mid + mid * (1 + last_id % 5) / 20000 AS ask,
   CAST(100 + last_id % 37 AS DOUBLE) AS bid_volume, CAST(100 + last_id % 53 AS DOUBLE) AS ask_volume,
   (CAST(100 + last_id % 37 AS DOUBLE) - (100 + last_id % 53)) / (200 + last_id % 37 + last_id % 53) AS imbalance,
   (last_id % 21 - 10) / 10000 AS funding_rate, CAST(1000 + last_id % 997 AS DOUBLE) AS open_interest,
-  CASE WHEN snapshot_idx * (SELECT greatest(1, 144000000 // greatest(count(*), 10000)) FROM events) < 1209600 THEN 'w1' ELSE 'w2' END AS window_id FROM cell""",
+  CASE WHEN snapshot_idx * """ + BUCKET + """ < 1209600 THEN 'w1' ELSE 'w2' END AS window_id FROM cell""",
     "candle": """SELECT coin, exchange, snapshot_idx, arg_min(mid, (ts, event_id)) AS open, max(mid) AS high, min(mid) AS low,
   arg_max(mid, (ts, event_id)) AS close, sum(volume) AS volume FROM tick GROUP BY ALL""",
     "pair": """SELECT a.coin, a.window_id, a.snapshot_idx, a.exchange AS exchange_a, b.exchange AS exchange_b, a.exchange || '__' || b.exchange AS pair,

@@ -46,6 +46,11 @@ def snapshot_of(ts, bucket: int = BUCKET):
     return F.floor((F.unix_timestamp(ts) - EPOCH) / bucket).cast("int")
 
 
+def day_of(bucket: int):
+    """The day, counted from the epoch, that a snapshot begins in."""
+    return F.floor(F.col("snapshot_idx").cast("long") * F.lit(bucket).cast("long") / 86_400)
+
+
 def with_snapshot(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.withColumn("snapshot_idx", snapshot_of(F.col("ts"), bucket))
 
