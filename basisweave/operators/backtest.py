@@ -1,28 +1,29 @@
-"""Sequential position rules as JVM folds over a series, one task per series and parameter set."""
+"""Sequential position rules: a JVM fold over a series for one parameter set, a vectorised pass over all sets of a grid."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from basisweave.operators.series import KEYS, series
 
 _TRADE = "array<struct<entry:int,exit:int,direction:int,entry_spread:double,exit_spread:double,reason:string>>"
 
 
-def hysteresis(sig: DataFrame, keys: Iterable[str], params: DataFrame | None = None, entry: float = 2.0, exit: float = 0.5, max_hold: int = 50, cooldown: int = 0, order: str = "snapshot_idx", z: str = "zscore", spread: str = "spread_bps") -> DataFrame:
+def hysteresis(sig: DataFrame, keys: Iterable[str], entry: float = 2.0, exit: float = 0.5, max_hold: int = 50, cooldown: int = 0, order: str = "snapshot_idx", z: str = "zscore", spread: str = "spread_bps") -> DataFrame:
     """Trades of the rule: enter against |z| >= entry, leave when z comes within exit or after ``max_hold`` bars.
 
-    A bar without z is skipped whole; no entry on an exit bar nor within ``cooldown`` bars after it. ``params`` (entry_z,
-    exit_z, max_hold, cooldown and any other columns) is a small grid that every series meets.
+    A bar without z is skipped whole; no entry on an exit bar nor within ``cooldown`` bars after it.
     """
     keys = list(keys)
     bars = sig.where(F.col(z).isNotNull()).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).cast("int").alias("t"), F.col(z).alias("z"), F.col(spread).alias("s")))).alias("bars"))
-    if params is None:
-        bars = bars.withColumns({"entry_z": F.lit(float(entry)), "exit_z": F.lit(float(exit)), "max_hold": F.lit(max_hold), "cooldown": F.lit(cooldown)})
-        extra: list[str] = []
-    else:
-        bars, extra = bars.crossJoin(F.broadcast(params)), [c for c in params.columns]
+    bars = bars.withColumns({"entry_z": F.lit(float(entry)), "exit_z": F.lit(float(exit)), "max_hold": F.lit(max_hold), "cooldown": F.lit(cooldown)})
     state = F.struct(F.lit(0).alias("d"), F.lit(0).alias("t0"), F.lit(0.0).alias("s0"), F.lit(-1_000_000).alias("free"), F.array().cast(_TRADE).alias("trades"))
 
     def step(a, x):
@@ -38,10 +39,104 @@ def hysteresis(sig: DataFrame, keys: Iterable[str], params: DataFrame | None = N
 
     folded = bars.withColumn("trade", F.explode(F.aggregate("bars", state, step, lambda a: a["trades"])))
     gross = F.col("trade.direction") * (F.col("trade.exit_spread") - F.col("trade.entry_spread"))
-    return folded.select(*keys, *extra, "trade.*", gross.alias("gross_bps"), (F.col("trade.exit") - F.col("trade.entry")).alias("hold"))
+    return folded.select(*keys, "trade.*", gross.alias("gross_bps"), (F.col("trade.exit") - F.col("trade.entry")).alias("hold"))
 
 
 def grid(spark, entries: Iterable[float], exits: Iterable[float], holds: Iterable[int], cooldowns: Iterable[int] = (0,)) -> DataFrame:
     """All combinations as a small table with a number each."""
     rows = [(k, float(e), float(x), int(h), int(c)) for k, (e, x, h, c) in enumerate((e, x, h, c) for e in entries for x in exits for h in holds for c in cooldowns)]
     return spark.createDataFrame(rows, "combo int, entry_z double, exit_z double, max_hold int, cooldown int")
+
+
+_GRID = "combo int, entry_z double, exit_z double, max_hold int, cooldown int"
+_FOUND = "entry int, exit int, direction int, entry_spread double, exit_spread double, reason string, gross_bps double, hold int"
+
+
+def hysteresis_grid(sig: DataFrame, keys: Iterable[str], params: DataFrame, order: str = "snapshot_idx", z: str = "zscore", spread: str = "spread_bps") -> DataFrame:
+    """The trades of ``hysteresis`` for every row of ``params`` (columns as of ``grid``, a small table), one pass for all of them.
+
+    Series lie sorted in their partitions and stream through in batches; what is held is a position a combination, so neither
+    the length of a series nor the number of its trades counts. A bar is a few vector operations over the combinations."""
+    keys = list(keys)
+    rows = [tuple(p) for p in params.select("combo", "entry_z", "exit_z", "max_hold", "cooldown").orderBy("combo").collect()]
+    combo, enter_z, exit_z, most, wait = (np.array(c) for c in zip(*rows))
+    bars = sig.where(F.col(z).isNotNull()).select(*keys, F.col(order).cast("int").alias("_t"), F.col(z).alias("_z"), F.col(spread).alias("_s"))
+    schema = T.StructType([*bars.select(*keys).schema.fields, *T.StructType.fromDDL(f"{_GRID}, {_FOUND}").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, d, t0, s0, free = None, *(np.zeros(0),) * 4
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = list(zip(*(b.column(k).to_pylist() for k in keys)))
+            found: list[tuple] = []
+            for k, (t, x, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_t", "_z", "_s")))):
+                if own[k] != last:
+                    last, d, t0, s0, free = own[k], np.zeros(len(combo), np.int32), np.zeros(len(combo), np.int32), np.zeros(len(combo)), np.full(len(combo), -(2**31), np.int64)
+                inside = d != 0
+                back = inside & np.where(d == 1, x >= -exit_z, x <= exit_z)
+                enter = ~inside & (abs(x) >= enter_z) & (t >= free)
+                gone = np.flatnonzero(back | (inside & (t - t0 >= most)))
+                if len(gone):
+                    found.append((np.full(len(gone), k), gone, t0[gone], np.full(len(gone), t), d[gone], s0[gone], np.full(len(gone), s), back[gone]))
+                    d[gone], free[gone] = 0, t + 1 + wait[gone]
+                if enter.any():
+                    d[enter], t0[enter], s0[enter] = (-1 if x > 0 else 1), t, s
+            if found:
+                row, which, entry, leave, way, first, then, signal = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(b.column(k).take(pa.array(row)) for k in keys),
+                        *(pa.array(c[which], kind) for c, kind in ((combo, pa.int32()), (enter_z, pa.float64()), (exit_z, pa.float64()), (most, pa.int32()), (wait, pa.int32()))),
+                        *(pa.array(c, kind) for c, kind in ((entry, pa.int32()), (leave, pa.int32()), (way, pa.int32()), (first, pa.float64()), (then, pa.float64()))),
+                        pa.array(np.where(signal, "signal", "timeout")),
+                        pa.array(way * (then - first), pa.float64()),
+                        pa.array(leave - entry, pa.int32()),
+                    ],
+                    names=[f.name for f in schema.fields],
+                )
+
+    return bars.repartition(*keys).sortWithinPartitions(*keys, "_t").mapInArrow(run, schema)
+
+
+def ou_signal(spreads: DataFrame, keys: Iterable[str] = KEYS, order: str = "snapshot_idx", min_obs: int = 20, warmup: int = 10) -> DataFrame:
+    """The spread against its series' own mean-reverting fit: ``z_residual`` over the deviation of one step, ``z_stationary`` over the
+    long-run deviation. The fit regresses the change on the level; series of fewer than ``min_obs`` changes, that do not
+    revert, or of no residual are refused. The first ``warmup`` rows have no z."""
+    keys = list(keys)
+    w = series(keys, order)
+    moved = spreads.withColumn("_x", F.lag("spread_bps").over(w)).withColumn("_y", F.col("spread_bps") - F.col("_x"))
+    slope, base = F.regr_slope("_y", "_x"), F.regr_intercept("_y", "_x")
+    left = F.regr_syy("_y", "_x") - F.regr_sxy("_y", "_x") * F.regr_sxy("_y", "_x") / F.nullif(F.regr_sxx("_y", "_x"), F.lit(0.0))
+    fit = moved.groupBy(*keys).agg(F.regr_count("_y", "_x").alias("_n"), slope.alias("_b"), base.alias("_a"), left.alias("_sse"))
+    fit = fit.where((F.col("_n") >= min_obs) & (F.col("_b") < 0) & (F.col("_sse") > 1e-9))
+    fit = fit.select(*keys, (-F.col("_b")).alias("theta"), (F.col("_a") / -F.col("_b")).alias("mu"), F.sqrt(F.col("_sse") / F.col("_n")).alias("sigma"))
+    # A step keeps 1 - theta of the distance: the long-run variance is sigma^2 / (1 - (1 - theta)^2), if that is less than one.
+    fit = fit.withColumn("stationary", F.when(F.col("theta") < 2, F.col("sigma") / F.sqrt(1 - (1 - F.col("theta")) * (1 - F.col("theta")))))
+    ready = F.row_number().over(w) > warmup
+    away = F.col("spread_bps") - F.col("mu")
+    return spreads.join(fit, keys).withColumns({"z_residual": F.when(ready, away / F.col("sigma")), "z_stationary": F.when(ready, away / F.col("stationary"))})
+
+
+def adaptive_signal(spreads: DataFrame, keys: Iterable[str] = KEYS, order: str = "snapshot_idx", window: int = 20, multiple: float = 3.0, least: int = 10) -> DataFrame:
+    """``z_adaptive``: the spread against the rows before it, as many as ``multiple`` half-lives of the fit over the ``window`` rows
+    before it (``window`` where that does not revert). Sums come from running sums joined at the row before the window."""
+    keys = list(keys)
+    w = series(keys, order)
+    past = w.rowsBetween(-(window - 1), -1)  # window rows before this one make window - 1 changes
+    moved = spreads.withColumn("_x", F.lag("spread_bps").over(w)).withColumn("_y", F.col("spread_bps") - F.col("_x"))
+    moved = moved.withColumns({"_b": F.regr_slope("_y", "_x").over(past), "_rn": F.row_number().over(w)})
+    # Deviations from the first value keep differences of running sums exact enough.
+    run = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = F.col("spread_bps") - F.first("spread_bps").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    wanted = F.round(F.lit(multiple * float(np.log(2))) / -F.col("_b")).cast("long")
+    length = F.when(F.col("_b") < 0, F.greatest(F.lit(least).cast("long"), F.least(wanted, (F.col("_rn") - 1).cast("long")))).otherwise(F.lit(window).cast("long"))
+    sums = moved.withColumn("_d", d).withColumns({"_s": F.coalesce(F.sum("_d").over(run), F.lit(0.0)), "_q": F.coalesce(F.sum(F.col("_d") * F.col("_d")).over(run), F.lit(0.0)), "_w": length})
+    sums = sums.withColumn("_start", F.greatest(F.lit(1).cast("long"), F.col("_rn") - F.col("_w")))
+    before = sums.select(*keys, F.col("_rn").cast("long").alias("_start"), F.col("_s").alias("_s0"), F.col("_q").alias("_q0"))
+    met = sums.where(F.col("_rn") > window).join(before, [*keys, "_start"])
+    n = F.col("_rn") - F.col("_start")
+    mean = (F.col("_s") - F.col("_s0")) / n
+    var = F.greatest((F.col("_q") - F.col("_q0")) / n - mean * mean, F.lit(0.0))
+    z = F.when(F.sqrt(var) > 1e-10, (F.col("_d") - mean) / F.sqrt(var)).otherwise(F.lit(0.0))
+    return met.withColumn("z_adaptive", z).select(*spreads.columns, "z_adaptive")

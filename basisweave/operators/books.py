@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basisweave.functions.exprs import safe_div
+from basisweave.operators.metrics import global_rank
 from basisweave.operators.series import KEYS
+from basisweave.sources.files import kept
 
 
 def ranked_capacity(candidates: DataFrame, max_open: int, order: list[Column], session: tuple[str, ...] = ("window_id", "snapshot_idx")) -> DataFrame:
@@ -15,6 +21,35 @@ def ranked_capacity(candidates: DataFrame, max_open: int, order: list[Column], s
     return candidates.withColumn("slot", F.row_number().over(Window.partitionBy(*session).orderBy(*order))).where(F.col("slot") <= max_open)
 
 
+def fifo_capacity(candidates: DataFrame, horizon: int, max_open: int, session: tuple[str, ...] = ("window_id",), key: tuple[str, ...] = ("coin", "pair"), exits: str = "has_exit", order: str = "snapshot_idx") -> DataFrame:
+    """The candidates that a book of ``max_open`` slots takes: at each snapshot bets of ``horizon`` snapshots ago settle, then rows
+    open in the order of ``key``, one bet a key, while there is room. A bet whose exit row is absent (``exits`` false) keeps its
+    slot and its key to the end of the session.
+
+    No more than ``max_open`` keys are busy and no more than that many bets open at a snapshot, so its first 2 * ``max_open`` rows decide;
+    the rest goes before the shuffle's sort. Sessions are independent, and one streams through in batches with at most
+    ``max_open`` bets held: the fold is sequential in its session, whose rows are few a snapshot."""
+    first = F.row_number().over(Window.partitionBy(*session, order).orderBy(*key))
+    few = candidates.withColumn("_k", first).where(F.col("_k") <= 2 * max_open).drop("_k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, book = None, {}
+        for b in batches:
+            taken = []
+            sessions, ends = list(zip(*(b.column(c).to_pylist() for c in session))), b.column(exits).to_pylist()
+            for k, (s, at, own) in enumerate(zip(sessions, b.column(order).to_pylist(), zip(*(b.column(c).to_pylist() for c in key)))):
+                if now is None or now[0] != s:
+                    now, book = (s, at), {}
+                elif now[1] != at:
+                    now, book = (s, at), {own: end for own, end in book.items() if end is None or end > at}
+                if own not in book and len(book) < max_open:
+                    book[own] = at + horizon if ends[k] else None
+                    taken.append(k)
+            yield b.take(pa.array(taken, pa.int64()))
+
+    return few.repartition(*session).sortWithinPartitions(*session, order, *key).mapInArrow(run, few.schema)
+
+
 def persistence_runs(sig: DataFrame, tau: float, max_hold: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Holds while |pred| >= tau, the sign stays and snapshots are consecutive, cut every ``max_hold`` rows: gaps and islands."""
     w = Window.partitionBy(*keys).orderBy("snapshot_idx")
@@ -78,3 +113,17 @@ def passive_fills(orders: DataFrame, ticks: DataFrame, keys: tuple[str, ...], wa
     met = reach.join(slotted, [*keys, "slot"]).where((F.col("at") > F.col("placed")) & (F.col("at") <= F.col("placed") + wait) & crossed)
     first = met.groupBy("order_id").agg(F.min("at").alias("filled_at"))
     return orders.join(first, "order_id", "left").withColumn("fill_seconds", F.col("filled_at") - F.col("placed"))
+
+
+def isotonic_blocks(bets: DataFrame, by: list[Column], x: str = "abs_pred", y: str = "gross_bps", most: int = 40, rows_a_block: int = 50) -> DataFrame:
+    """Expected ``y`` by ``x``: rows ranked by ``by`` in at most ``most`` equal blocks, whose means get a monotone fit.
+
+    The ranks come from range-sorted runs; what the fit sees is a row a block."""
+    ranked = global_rank(bets, by)
+    total = bets.agg(F.count(F.lit(1)).alias("_n"))
+    blocks = F.least(F.lit(most), F.greatest(F.lit(5), F.floor(F.col("_n") / rows_a_block)))
+    at = F.floor((F.col("rank") * F.col("_blocks") - 1) / F.col("_n"))
+    means = ranked.crossJoin(F.broadcast(total)).withColumn("_blocks", blocks).groupBy(at.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"))
+    means = kept(means, "blocks")
+    fit = IsotonicRegression(featuresCol="mean_x", labelCol="mean_y", predictionCol="expected").fit(means)
+    return fit.transform(means)

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,14 +143,52 @@ def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: i
     return means.groupBy(*keys).agg(F.count("mean").alias("reps"), F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.5)").alias("median"), F.expr("percentile(mean, 0.975)").alias("hi"))
 
 
-def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, lags: Iterable[int]) -> DataFrame:
-    """Rescaled-range exponent per series: blocks of each length, range of the cumulated deviation over the deviation."""
+def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, n_lags: int = 30, least: int = 10, most: int = 500) -> DataFrame:
+    """Rescaled-range exponent per series: ``n_lags`` block lengths, evenly spaced by their logarithm from ``least`` to a quarter of
+    the series (``most`` at most), equal ones once; the mean over whole blocks of the cumulated deviation's range over the
+    deviation, regressed on the length. Null with five lengths or fewer.
+
+    A row meets a length a block, so a series is never one task: blocks are shuffled, not series."""
     keys = list(keys)
-    sizes = F.array(*(F.lit(int(k)) for k in lags))
-    rn = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
-    rows = df.select(*keys, col, rn.alias("rn")).withColumn("size", F.explode(sizes)).withColumn("block", F.floor(F.col("rn") / F.col("size")))
+    own = Window.partitionBy(*keys)
+    rn = F.row_number().over(own.orderBy(order)) - 1
+    top = F.least(F.floor(F.col("n") / 4), F.lit(most).cast("long"))
+    step = (F.log10(top) - float(np.log10(least))) / (n_lags - 1)
+    sizes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n_lags - 1)), lambda k: F.floor(F.pow(F.lit(10.0), float(np.log10(least)) + k * step) + 1e-9)))
+    rows = df.select(*keys, col, rn.alias("rn"), F.count(F.lit(1)).over(own).alias("n")).where(top >= least)
+    cut = rows.select(*keys, col, "rn", "n", F.explode(sizes).alias("size")).withColumn("block", F.floor(F.col("rn") / F.col("size"))).where((F.col("block") + 1) * F.col("size") <= F.col("n"))
     b = Window.partitionBy(*keys, "size", "block")
-    cum = rows.withColumns({"_n": F.count(F.lit(1)).over(b), "_d": F.col(col) - F.avg(col).over(b)}).where("_n = size").withColumn("_c", F.sum("_d").over(b.orderBy("rn")))
-    rs = cum.groupBy(*keys, "size", "block").agg((F.max("_c") - F.min("_c")).alias("range"), F.stddev_pop(col).alias("sd")).where("sd > 0")
-    mean = rs.groupBy(*keys, "size").agg(F.avg(F.col("range") / F.col("sd")).alias("rs"))
-    return mean.groupBy(*keys).agg(F.regr_slope(F.ln("rs"), F.ln("size")).alias("hurst"), F.count(F.lit(1)).alias("n_lags"))
+    cum = cut.withColumn("_d", F.col(col) - F.avg(col).over(b)).withColumn("_c", F.sum("_d").over(b.orderBy("rn")))
+    rs = cum.groupBy(*keys, "size", "block").agg((F.max("_c") - F.min("_c")).alias("range"), F.stddev_samp(col).alias("sd")).where("sd > 0")
+    mean = rs.groupBy(*keys, "size").agg(F.avg(F.col("range") / F.col("sd")).alias("rs")).where("rs > 0")
+    fit = mean.groupBy(*keys).agg(F.regr_slope(F.ln("rs"), F.ln("size")).alias("_h"), F.count(F.lit(1)).alias("n_lags"))
+    return fit.select(*keys, F.when(F.col("n_lags") > 5, F.col("_h")).alias("hurst"), "n_lags")
+
+
+def normal_upper_quantile(tail: Column, terms: int = 80, steps: int = 5) -> Column:
+    """The standard normal value that ``tail`` (at most 0.05) lies above, as an expression: Newton steps on the logarithm of the
+    tail, which keep relative precision however small it is, from a start of sqrt(-2 ln tail). The tail over the
+    density is a continued fraction of ``terms`` terms."""
+    mills = lambda x: 1 / (x + F.aggregate(F.sequence(F.lit(terms), F.lit(1)), F.lit(0.0), lambda f, k: k / (x + f)))
+    log_density = lambda x: -x * x / 2 - 0.9189385332046727  # noqa: E731  half the logarithm of 2 pi
+
+    def step(x: Column, _: Column) -> Column:
+        with_ratio = F.transform(F.array(mills(x)), lambda m: x + (log_density(x) + F.ln(m) - F.ln(tail)) * m)
+        return with_ratio[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.sqrt(-2 * F.ln(tail)), step)
+
+
+def effective_tests(series: DataFrame, keys: Iterable[str], order: Iterable[str], value: str) -> DataFrame:
+    """One row: ``n_tests`` series, and ``n_effective`` independent ones by the variance of their correlation matrix's eigenvalues,
+    1 + (m - 1)(1 - var / m). The eigenvalues' squares sum to the squares of the correlations, so no decomposition is needed.
+    The matrix grows with the square of the series; each correlation is an aggregate of joined rows."""
+    keys, order = list(keys), list(order)
+    name = F.concat_ws("|", *keys)
+    a = series.select(*order, name.alias("_a"), F.col(value).alias("_x"))
+    b = series.select(*order, name.alias("_b"), F.col(value).alias("_y"))
+    each = a.join(b, order).where("_a < _b").groupBy("_a", "_b").agg(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)).alias("r"))
+    square = each.agg((2 * F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).alias("_square"))
+    m = series.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n_tests"))
+    variance = F.coalesce(F.col("_square") / F.nullif(F.col("n_tests") - 1, F.lit(0)), F.lit(0.0))
+    return m.crossJoin(square).select("n_tests", (1 + (F.col("n_tests") - 1) * (1 - variance / F.col("n_tests"))).alias("n_effective"))

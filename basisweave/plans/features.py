@@ -152,12 +152,6 @@ def agg_39(spark, d):
     return bets(spark, d).groupBy("coin").agg(lift("dir_hit").alias("lift"), lift("pnl_proxy").alias("pnl_lift"))
 
 
-@query("agg_19_isotonic_blocks", over("bet", "WITH k AS (SELECT abs_pred, gross_bps, (row_number() OVER (ORDER BY round(abs_pred, 9), window_id, coin, pair, snapshot_idx) - 1) // 200 AS b FROM bet) SELECT CAST(b AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS n, round(avg(abs_pred), 6) AS mean_abs_pred, round(avg(gross_bps), 4) AS mean_gross FROM k GROUP BY b"))
-def agg_19(spark, d):
-    ranked = metrics.global_rank(bets(spark, d), [F.round("abs_pred", 9), F.col("window_id"), F.col("coin"), F.col("pair"), F.col("snapshot_idx")])
-    return ranked.groupBy(F.floor((F.col("rank") - 1) / 200).alias("block")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("abs_pred"), 6).alias("mean_abs_pred"), r(F.avg("gross_bps")).alias("mean_gross"))
-
-
 @query("win_16_venue_share", over("ticker", "WITH v AS (SELECT coin, exchange, snapshot_idx, n_ticks / sum(n_ticks) OVER (PARTITION BY coin, snapshot_idx) AS share FROM ticker) SELECT coin, exchange, snapshot_idx, round(avg(share) OVER w, 6) AS mean_share, round(stddev_samp(share) OVER w, 6) AS std_share FROM v WINDOW w AS (PARTITION BY coin, exchange ORDER BY snapshot_idx ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)"))
 def win_16(spark, d):
     share = F.col("n_ticks") / F.sum("n_ticks").over(Window.partitionBy("coin", "snapshot_idx"))
@@ -214,16 +208,6 @@ def pos_17(spark, d):
     return venue.candles(spark, d).withColumn("ret", F.col("close") / F.lag("close").over(w) - 1).groupBy("coin", "exchange").agg(r(F.sum("ret"), 6).alias("total"))
 
 
-@query("pos_06_parameter_stability")
-def pos_06(spark, d):
-    """Mean gain of each perturbation of a centre beside the centre's."""
-    z = pairs.scored(venue.tickers(spark, d)).select(*_KEY, "zscore", "spread_bps")
-    t = backtest.hysteresis(z, s.KEYS, params=backtest.grid(spark, (1.2, 1.5, 1.8), (0.4, 0.5, 0.6), (10, 12, 14)))
-    by = t.groupBy("combo", "entry_z", "exit_z", "max_hold").agg(F.count(F.lit(1)).alias("n"), F.avg("gross_bps").alias("mean"))
-    centre = by.where("entry_z = 1.5 and exit_z = 0.5 and max_hold = 12").select(F.col("mean").alias("centre"))
-    return by.crossJoin(F.broadcast(centre)).select("entry_z", "exit_z", "max_hold", "n", r("mean").alias("mean"), r(F.col("mean") / F.nullif("centre", F.lit(0.0)) - 1).alias("change"))
-
-
 @query("sta_08_autocorrelation_half_life", over("pair", "WITH l AS (SELECT coin, pair, spread_bps - lag(spread_bps) OVER w AS dy, lag(spread_bps) OVER w AS x FROM pair WINDOW w AS (PARTITION BY coin, pair ORDER BY snapshot_idx)) SELECT coin, pair, round(sum(dy * x) / sum(x * x), 6) AS slope FROM l WHERE x IS NOT NULL GROUP BY ALL"))
 def sta_08(spark, d):
     w = Window.partitionBy("coin", "pair").orderBy("snapshot_idx")

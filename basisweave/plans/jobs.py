@@ -154,24 +154,11 @@ def pos_04(spark, d):
     best 20 by mean net of those with ten trades."""
     z = _z_variants(spark, d, (10, 15, 20, 30, 40, 60), 12.0)
     grid = backtest.grid(spark, (1.0, 1.25, 1.5, 1.75, 2.0), (0.0, 0.1, 0.25, 0.4, 0.5, 0.75), (6, 12, 24), (0, 2, 5))
-    t = backtest.hysteresis(z, (*s.KEYS, "w", "gated"), params=grid).withColumn("net", F.col("gross_bps") - 16)
+    t = backtest.hysteresis_grid(z, (*s.KEYS, "w", "gated"), grid).withColumn("net", F.col("gross_bps") - 16)
     by = t.groupBy("w", "gated", "combo", "entry_z", "exit_z", "max_hold", "cooldown").agg(F.count(F.lit(1)).alias("n"), r(F.avg("net")).alias("avg_net"), r(F.avg((F.col("net") > 0).cast("double"))).alias("win_rate"))
     return by.where("n >= 10").orderBy(F.desc("avg_net"), "w", "gated", "combo").limit(20)
 
 
-@query("pos_05_walk_forward")
-def pos_05(spark, d):
-    """Four folds of time: the best of 270 combinations in each, and what it earned in the next."""
-    z = pairs.scored(venue.tickers(spark, d)).select(*_KEY, "zscore", "spread_bps")
-    grid = backtest.grid(spark, (1.0, 1.25, 1.5, 1.75, 2.0), (0.0, 0.1, 0.25, 0.4, 0.5, 0.75), (6, 12, 24), (0, 2, 5))
-    span = z.agg(F.min("snapshot_idx").alias("lo"), F.max("snapshot_idx").alias("hi"))
-    t = backtest.hysteresis(z, s.KEYS, params=grid).crossJoin(F.broadcast(span)).withColumn("fold", F.floor(4 * (F.col("entry") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)).cast("int"))
-    by = files.kept(t.groupBy("fold", "combo").agg(F.round(F.avg("gross_bps"), 6).alias("mean"), F.count(F.lit(1)).alias("n")).where("n >= 10"), "folds")
-    best = by.groupBy((F.col("fold") + 1).alias("fold")).agg(F.max_by("combo", F.struct("mean", -F.col("combo"))).alias("combo"), F.max("mean").alias("train_mean"))
-    out = by.join(F.broadcast(best), ["fold", "combo"])
-    return out.select("fold", "combo", r("train_mean"), r("mean").alias("test_mean"), "n", r(F.col("mean") / F.nullif("train_mean", F.lit(0.0))).alias("retention"))
-
-
 @query("sta_05_ou_fit", over("pair", "WITH l AS (SELECT coin, pair, spread_bps AS y, lag(spread_bps) OVER (PARTITION BY coin, pair ORDER BY snapshot_idx) AS x FROM pair), f AS (SELECT coin, pair, regr_slope(y, x) AS phi, regr_r2(y, x) AS r2, regr_count(y, x) AS n FROM l GROUP BY ALL) SELECT coin, pair, CAST(n AS BIGINT) AS n, round(phi, 6) AS phi, round(r2, 6) AS r2, CASE WHEN phi > 0 AND phi < 1 THEN round(0.6931471805599453 / -ln(phi), 4) END AS half_life FROM f"))
 def sta_05(spark, d):
     o = stats.ou_fit(pairs.spread_series(venue.tickers(spark, d)), "spread_bps", ["coin", "pair"], "snapshot_idx")
@@ -189,12 +176,6 @@ def sta_02(spark, d):
     return stats.engle_granger(p, ["coin", "pair"], "snapshot_idx", "mid_a", "mid_b")
 
 
-@query("sta_07_hurst")
-def sta_07(spark, d):
-    h = stats.hurst(pairs.spread_series(venue.tickers(spark, d)), "spread_bps", ["coin", "pair"], "snapshot_idx", sorted({round(8 * 12.5 ** (k / 29)) for k in range(30)}))
-    return h.select("coin", "pair", r("hurst", 6), "n_lags")
-
-
 @query("sta_09_bootstrap_mean")
 def sta_09(spark, d):
     b = bets(spark, d).select("window_id", "coin", "pair", "snapshot_idx", "gross_bps")

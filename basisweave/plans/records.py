@@ -350,15 +350,6 @@ def srt_07(spark, d):
     return metrics.global_rank(g, [F.desc_nulls_last(F.abs("corr")), F.col("coin"), F.col("pair")]).select("coin", "pair", "corr", F.col("rank").cast("int").alias("place"))
 
 
-@query("sta_11_effective_tests", over("pair", "WITH c AS (SELECT coin, pair, corr(mid_a, mid_b) AS c, count(*) AS n FROM pair GROUP BY ALL), t AS (SELECT *, count(*) OVER () AS m FROM c) SELECT coin, pair, CAST(m AS BIGINT) AS n_tests, round(0.05 / m, 10) AS level, abs(c) * sqrt((n - 2) / (1 - c * c)) > 3.5 AS stands FROM t"))
-def sta_11(spark, d):
-    """Correlations against the level that all tests together leave to each."""
-    c = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "pair").agg(F.corr("mid_a", "mid_b").alias("c"), _count())
-    m = c.agg(F.count(F.lit(1)).alias("n_tests"))
-    stands = F.abs("c") * F.sqrt((F.col("n") - 2) / (1 - F.col("c") * F.col("c"))) > 3.5
-    return c.crossJoin(F.broadcast(m)).select("coin", "pair", "n_tests", r(0.05 / F.col("n_tests"), 10).alias("level"), stands.alias("stands"))
-
-
 @query("pos_18_settlement_record", over("bet", f"SELECT {_K}, direction, CASE WHEN zscore_fwd = 0 THEN 0 ELSE dir_hit END AS dir_hit, round(pnl_proxy, 6) AS pnl_proxy, round(spread_delta_bps, 4) AS spread_delta_bps, round(gross_bps, 4) AS gross_bps FROM bet"))
 def pos_18(spark, d):
     return bets(spark, d).select(*_KEY, "direction", "dir_hit", r("pnl_proxy", 6), r("spread_delta_bps"), r("gross_bps"))
@@ -372,33 +363,6 @@ def pos_12(spark, d):
     return own.join(bars.groupBy("window_id").agg(r(x.sharpe(F.col("pnl")), 6).alias("bar_sharpe")), "window_id", "left")
 
 
-@query("pos_08_fifo_book", over("bet", "WITH k AS (SELECT *, row_number() OVER (PARTITION BY window_id, snapshot_idx ORDER BY coin, pair) AS k FROM bet WHERE abs_pred >= 0.5) SELECT window_id, coin, CAST(count(*) AS BIGINT) AS n, round(sum(gross_bps), 3) AS gross FROM k WHERE k <= 5 GROUP BY ALL"))
-def pos_08(spark, d):
-    """Bets open in row order while there is room; with a horizon of one snapshot all room is free again at the next."""
-    order = Window.partitionBy("window_id", "snapshot_idx").orderBy("coin", "pair")
-    book = bets(spark, d).where("abs_pred >= 0.5").withColumn("k", F.row_number().over(order)).where("k <= 5")
-    return book.groupBy("window_id", "coin").agg(_count(), r(F.sum("gross_bps"), 3).alias("gross"))
-
-
-@query("pos_02_in_sample_ou_book")
-def pos_02(spark, d):
-    """Hysteresis on the z-score around each series' own long-run mean and deviation."""
-    p = pairs.spread_series(venue.tickers(spark, d))
-    fit = p.groupBy(*s.KEYS).agg(F.avg("spread_bps").alias("mu"), F.stddev_samp("spread_bps").alias("sd")).where("sd > 0")
-    z = p.join(fit, list(s.KEYS)).withColumn("zscore", (F.col("spread_bps") - F.col("mu")) / F.col("sd"))
-    t = backtest.hysteresis(z, s.KEYS, entry=1.5, exit=0.5, max_hold=12)
-    return t.groupBy("coin").agg(_count(), r(F.avg("gross_bps")).alias("mean_gross"), r(F.avg("hold")).alias("mean_hold"))
-
-
-@query("pos_03_gated_book")
-def pos_03(spark, d):
-    """The same rule where the spread's trailing deviation pays the cost, with a cooldown after each exit."""
-    f = s.frame(w=20)
-    sig = pairs.scored(venue.tickers(spark, d)).withColumn("sd", F.stddev_samp("spread_bps").over(f))
-    t = backtest.hysteresis(sig.withColumn("zscore", F.when(F.col("sd") >= 12, F.col("zscore"))), s.KEYS, entry=1.5, exit=0.5, max_hold=12, cooldown=3)
-    return t.groupBy("coin", "reason").agg(_count(), r(F.avg("gross_bps")).alias("mean_gross"))
-
-
 @query("ml_01_model_rows", over("sig", "SELECT window_id, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT pair) AS BIGINT) AS n_pairs, round(avg(coalesce(zscore_lag3, 0)), 6) AS mean_lag3 FROM sig WHERE target IS NOT NULL GROUP BY window_id"))
 def ml_01(spark, d):
     rows = pairs.scored(venue.tickers(spark, d)).where("target is not null")
