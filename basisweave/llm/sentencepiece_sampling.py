@@ -541,5 +541,6 @@ def decode_pieces(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sample_segmentations(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, keep=["doc_id"])
-    rows = out.select("doc_id", "exact", F.posexplode("samples").alias("sample", "s"))
-    return rows.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), F.xxhash64("s.ids").alias("ids_xxh64"), "s.log_prob", "s.perturbed", "s.inclusion", F.col("exact").alias("round_trip"))
+    rows = out.select("doc_id", "exact", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "exact", "s.*")
+    back = decode_pieces(rows)
+    return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "log_prob", "perturbed", "inclusion", F.col("exact").alias("round_trip"))

@@ -1,11 +1,12 @@
 """URL filters, native: longest-prefix host rules, then trust and distrust propagated over the host link graph.
 
 Hosts are nodes. Edges are the absolute links found in the pages, one weighted row per pair of hosts (aggregated
-before any shuffle), and, unless ``domain_edges`` is off, the domain tree: a host and its parent domain point at each
-other, so that sites that link nowhere still hang together. Personalised PageRank runs from the hosts whose pages the allow rules take; distrust
+before any shuffle), and, unless ``domain_edges`` is off, a host and the nearest parent domain that has pages of its own
+point at each other. A suffix without pages (co.uk) ties nobody, nor does a parent of more than ``max_children`` hosts:
+its hosts are strangers that share a name (github.io). Personalised PageRank runs from the hosts whose pages the allow rules take; distrust
 runs the same way over the reversed edges from the hosts whose pages the block rules take. Both walks share one edge
-table and advance together until a round moves less than ``tolerance`` of the mass. A host's pages that no rule fits are blocked if its distrust exceeds ``min_distrust``
-times the mean seed, so that the number of blocked hosts does not matter, and ``ratio`` times its trust.
+table and advance together until a round moves less than ``tolerance`` of the mass. A host's pages that no rule fits are blocked if its distrust exceeds ``min_share``
+times the uniform share (one over the number of hosts with pages) and ``ratio`` times its trust.
 
 Defined cases: a null url or one without "://" has empty host and path, fits no rule and is allowed; null html has no
 links; repeated rows are judged alike; an empty table gives no rows; extra columns pass through ``filter_urls``, but for
@@ -62,19 +63,25 @@ def best_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> Co
     return reduce(lambda rest, r: F.when(fits(r), F.struct(F.lit(r.name).alias("name"), F.lit(r.allow).alias("allow"))).otherwise(rest), reversed(ordered), empty)
 
 
-def domain_steps(host: Column) -> Column:
-    """The (src, dst) steps from the host over all its parent domains down to two labels; none for two labels or fewer.
-
-    A domain name has at most 127 labels; a longer host steps to its last 127 at once.
-    """
+def parent_domains(host: Column) -> Column:
+    """All parent domains of two labels or more, the nearest first; of a host of over 128 labels (a name has 127 at most) the last 127."""
     labels = F.split(host, "\\.")
     n = F.size(labels)
-    names = F.concat(F.array(host), F.transform(F.sequence(F.greatest(F.lit(1), n - 127), n - 2), lambda k: F.array_join(F.slice(labels, k + 1, n), ".")))
-    return F.when(n > 2, F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.struct(F.get(names, k - 1).alias("src"), F.get(names, k).alias("dst"))))
+    names = F.transform(F.sequence(F.greatest(F.lit(2), n - 126), n - 1), lambda k: F.array_join(F.slice(labels, k, n), "."))
+    return F.when(n > 2, names).otherwise(F.array().cast("array<string>"))
+
+
+def domain_ties(hosts: DataFrame, max_children: int = 100) -> DataFrame:
+    """(src, dst): each host and its nearest parent domain among ``hosts``, but for parents of more than ``max_children`` of them."""
+    parents = hosts.where("host <> ''").select(F.col("host").alias("dst"))
+    near = hosts.select(F.col("host").alias("src"), F.explode(parent_domains(F.col("host"))).alias("dst")).join(parents, "dst")
+    ties = near.groupBy("src").agg(F.max_by("dst", F.length("dst")).alias("dst"))
+    few = ties.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= max_children).select("dst")
+    return ties.join(few, "dst").select("src", "dst")
 
 
-def host_edges(pages: DataFrame, hosts: DataFrame, domain_edges: bool = True) -> DataFrame:
-    """(src, dst, weight): links between different hosts, counted by page, and the domain tree both ways."""
+def host_edges(pages: DataFrame, hosts: DataFrame, domain_edges: bool = True, max_children: int = 100) -> DataFrame:
+    """(src, dst, weight): links between different hosts, counted by page, and the ties to parent domains both ways."""
     links = (
         pages.where(F.col("html").contains("//"))
         .select("host", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lower_ascii))).alias("dst"))
@@ -84,8 +91,7 @@ def host_edges(pages: DataFrame, hosts: DataFrame, domain_edges: bool = True) ->
     )
     if not domain_edges:
         return links
-    # Each host and all its parent domains.
-    tree = hosts.select(F.explode(domain_steps(F.col("host"))).alias("s")).select("s.src", "s.dst", F.lit(1.0).alias("weight")).distinct()
+    tree = domain_ties(hosts, max_children).withColumn("weight", F.lit(1.0))
     return links.unionByName(tree).unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
@@ -112,34 +118,34 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, toleran
     return score.join(F.broadcast(mass(score)), "kind").select("kind", "host", (F.col("score") / F.col("mass")).alias("score"))
 
 
-def host_trust(pages: DataFrame, domain_edges: bool = True, **walk) -> DataFrame:
-    """(host, trust, distrust, relative) from ``pages`` (host, html, rule); relative is the distrust in mean seeds."""
+def host_trust(pages: DataFrame, domain_edges: bool = True, max_children: int = 100, **walk) -> DataFrame:
+    """(host, trust, distrust, relative) from ``pages`` (host, html, rule); relative is the distrust in uniform shares."""
     hosts = written(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.count_if("rule.allow").alias("n_allow"), F.count_if(~F.col("rule.allow")).alias("n_block")), "hosts")
-    raw = written(host_edges(pages, hosts, domain_edges), "host-edges")
+    raw = written(host_edges(pages, hosts, domain_edges, max_children), "host-edges")
     both = raw.select(F.lit("trust").alias("kind"), "src", "dst", "weight").unionByName(raw.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     out = both.groupBy("kind", "src").agg(F.sum("weight").alias("total"))
     edges = written(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "host-shares")
     seeded = hosts.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("n_allow").alias("k")), F.struct(F.lit("distrust").alias("kind"), F.col("n_block").alias("k")))).alias("s")).select("host", "s.kind", "s.k").where("k > 0 and host <> ''")
-    total = seeded.groupBy("kind").agg(F.sum("k").alias("all"), F.count(F.lit(1)).alias("n_seeds"))
-    seeds = written(seeded.join(F.broadcast(total), "kind").select("kind", "host", (F.col("k") / F.col("all")).alias("seed"), "n_seeds"), "host-seeds")
+    total = seeded.groupBy("kind").agg(F.sum("k").alias("all"))  # two rows
+    seeds = written(seeded.join(F.broadcast(total), "kind").select("kind", "host", (F.col("k") / F.col("all")).alias("seed")), "host-seeds")
     score = propagate(edges, seeds, **walk)
-    sizes = F.broadcast(seeds.groupBy("kind").agg(F.max("n_seeds").alias("n_seeds")))  # two rows
+    n_hosts = hosts.where("host <> ''").count()
     of = lambda kind, c: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col(c))), F.lit(0.0))
-    scaled = score.join(sizes, "kind").withColumn("relative", F.col("score") * F.col("n_seeds"))
-    return scaled.groupBy("host").agg(of("trust", "score").alias("trust"), of("distrust", "score").alias("distrust"), of("distrust", "relative").alias("relative"))
+    wide = score.groupBy("host").agg(of("trust", "score").alias("trust"), of("distrust", "score").alias("distrust"))
+    return wide.withColumn("relative", F.col("distrust") * n_hosts)
 
 
 OUTPUTS = ("host", "path", "rule", "trust", "distrust", "verdict")
 
 
-def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = 2.0, min_distrust: float = 1e-6, domain_edges: bool = True, **walk) -> DataFrame:
+def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, ratio: float = 2.0, min_share: float = 0.1, domain_edges: bool = True, **walk) -> DataFrame:
     """``pages`` (url, html, anything else) with host, path, rule, trust, distrust and verdict, without html."""
     keep = [c for c in pages.columns if c not in OUTPUTS and c != "html"]
     own = pages.select(F.struct(*keep).alias("row"), "html", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = own.withColumn("rule", best_rule(F.col("host"), F.col("path"), rules))
     scores = written(host_trust(ruled.select("host", "html", "rule"), domain_edges, **walk), "host-trust")
     joined = ruled.drop("html").join(scores, "host", "left").fillna(0.0, ["trust", "distrust", "relative"])
-    distrusted = (F.col("relative") > min_distrust) & (F.col("distrust") > ratio * F.col("trust"))
+    distrusted = (F.col("relative") > min_share) & (F.col("distrust") > ratio * F.col("trust"))
     verdict = F.when(F.coalesce(F.col("rule.allow"), ~distrusted), "allow").otherwise("block")
     return joined.select("row.*", "host", "path", F.col("rule.name").alias("rule"), "trust", "distrust", verdict.alias("verdict"))
 
@@ -166,18 +172,18 @@ hosts AS (SELECT host, count(*) FILTER (WHERE allow) AS n_allow, count(*) FILTER
 link AS (SELECT host AS src, dst, CAST(count(*) AS DOUBLE) AS weight FROM (
   SELECT DISTINCT page_id, host, lower(unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?(?:https?:)?//([^/?#"''\s>]+)', 1))) AS dst FROM ruled) WHERE host <> '' AND dst <> host GROUP BY ALL),
 label AS (SELECT host, string_split(host, '.') AS l FROM hosts),
-tree AS (SELECT DISTINCT array_to_string(list_slice(l, k, len(l)), '.') AS src, array_to_string(list_slice(l, k + 1, len(l)), '.') AS dst
-         FROM (SELECT l, unnest(range(1, len(l) - 1)) AS k FROM label WHERE len(l) > 2)),
+near AS (SELECT src, arg_max(up, length(up)) AS dst FROM (SELECT host AS src, array_to_string(list_slice(l, unnest(range(2, len(l))), len(l)), '.') AS up FROM label WHERE len(l) > 2) JOIN hosts ON hosts.host = up AND up <> '' GROUP BY src),
+tree AS (SELECT src, dst FROM near WHERE dst IN (SELECT dst FROM near GROUP BY dst HAVING count(*) <= 100)),
 edge AS (SELECT * FROM link UNION ALL SELECT src, dst, 1.0 FROM tree UNION ALL SELECT dst, src, 1.0 FROM tree),
 both_ways AS (SELECT 'trust' AS kind, src, dst, weight FROM edge UNION ALL SELECT 'distrust', dst, src, weight FROM edge),
 share AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM both_ways),
 seeded AS (SELECT 'trust' AS kind, host, n_allow AS k FROM hosts WHERE n_allow > 0 AND host <> '' UNION ALL SELECT 'distrust', host, n_block FROM hosts WHERE n_block > 0 AND host <> ''),
-seed AS MATERIALIZED (SELECT kind, host, k / sum(k) OVER (PARTITION BY kind) AS seed, count(*) OVER (PARTITION BY kind) AS n_seeds FROM seeded),
+seed AS MATERIALIZED (SELECT kind, host, k / sum(k) OVER (PARTITION BY kind) AS seed FROM seeded),
 s0 AS (SELECT kind, host, seed AS score FROM seed),
 {walk},
 final AS (SELECT s.kind, s.host, score / sum(score) OVER (PARTITION BY s.kind) AS score FROM s{rounds} s),
 wide AS (SELECT host, coalesce(sum(score) FILTER (WHERE kind = 'trust'), 0) AS trust, coalesce(sum(score) FILTER (WHERE kind = 'distrust'), 0) AS distrust FROM final GROUP BY host)
-SELECT page_id, r.host, path, rule, CASE WHEN coalesce(allow, NOT (coalesce(distrust, 0) * (SELECT coalesce(max(n_seeds), 0) FROM seed WHERE kind = 'distrust') > 1e-6 AND coalesce(distrust, 0) > 2 * coalesce(trust, 0)))
+SELECT page_id, r.host, path, rule, CASE WHEN coalesce(allow, NOT (coalesce(distrust, 0) * (SELECT count(*) FROM hosts WHERE host <> '') > 0.1 AND coalesce(distrust, 0) > 2 * coalesce(trust, 0)))
        THEN 'allow' ELSE 'block' END AS verdict
 FROM ruled r LEFT JOIN wide USING (host)
 """

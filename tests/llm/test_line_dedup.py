@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import defaultdict
 
+import duckdb
+
 from basisweave.llm import line_dedup
 from basisweave.llm.common import written
 from basisweave.llm.line_dedup import drop_repeated_lines, line_bitmaps, op10_line_dedup
@@ -81,3 +83,14 @@ def test_query_on_odd_rows(spark, small_tables):
     want = brute(rows, 10)
     digest = lambda lines: hashlib.sha256("\n".join(lines).encode()).hexdigest()
     assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_sha256) for r in got) == sorted((i, (t or "").count("\n") + 1, (t or "").count("\n") + 1 - len(want[i, t or ""]), digest(want[i, t or ""])) for i, t in rows)
+
+
+def test_query_and_sql_count_documents_alike(spark, tmp_path):
+    """Five ids of two texts each are ten documents; a repeated row is none."""
+    rows = [(k, f"shared\nown {k} {v}") for k in range(5) for v in range(2)] + [(k, f"rare\n{k}") for k in range(9)] * 2
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op10_line_dedup(spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.sql(line_dedup.OP10_SQL).fetchall())
+    assert sorted(r[2] for r in got) == [0] * 18 + [1] * 10

@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import numpy as np
@@ -119,3 +120,13 @@ def test_query_returns_two_samples_of_every_text(spark, small_tables):
     assert set(per) == set(ids) and all(r.round_trip for r in rows)
     for own in per.values():
         assert all(r.n_pieces >= 0 and r.log_prob <= 1e-9 and 0 <= r.inclusion <= 1 for r in own)
+
+
+def test_query_ids_decode_with_the_library(spark, small_tables):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL_PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text").collect()}
+    for r in op6_sentencepiece_sampling(spark, small_tables).collect():
+        digest = hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+        assert r.decoded_sha256 == digest and r.n_pieces == len(r.ids)
+        if len(r.ids) < 5000:
+            assert model.decode(r.ids) == texts[r.doc_id]

@@ -147,3 +147,20 @@ def test_stage_blocks_stay_bounded(make_docs, monkeypatch):
     kept = {r.doc_id for r in drop_near_duplicates(make_docs(rows), block_rows=8, max_distance=31).collect()}
     assert sum(seen) >= len(rows) and max(seen) <= 24
     assert kept == set(range(120))
+
+
+def test_query_against_brute_force(spark, small_tables):
+    """Hexadecimal form, the sign bit, ties and components of the whole query."""
+    docs = spark.read.parquet(f"{small_tables}/documents.parquet").select("doc_id", "text").collect()
+    prints = [slow_hash(r.text) for r in docs]
+    ids = [r.doc_id for r in docs]
+    label = groups(len(docs), [(a, b) for a in range(len(docs)) for b in range(a) if bin(prints[a] ^ prints[b]).count("1") <= 4])
+    least = {}
+    for g, i in zip(label, ids):
+        if i is not None:
+            least[g] = min(least.get(g, i), i)
+    got = simhash_dedup.op2_simhash_dedup(spark, small_tables)
+    assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
+    want = [(i, f"{p:016x}", least.get(g)) for i, p, g in zip(ids, prints, label)]
+    assert sorted(((r.doc_id, r.fingerprint, r.component_id) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert any(p >> 63 for p in prints) and len(set(label)) < len(docs)

@@ -1,9 +1,10 @@
 import random
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from basisweave.llm.url_filters import RULES, domain_steps, filter_urls, op3_url_filters, propagate
+from basisweave.llm.url_filters import OP3_SQL, RULES, domain_ties, filter_urls, op3_url_filters, propagate
 
 SCHEMA = "page_id long, url string, html string"
 
@@ -45,7 +46,7 @@ def test_verdict_does_not_depend_on_the_number_of_blocked_hosts(spark):
     fed = [(0, "http://bad0.com/de/1", None), (1, "http://fed.net/a", '<a href="http://bad0.com/x">x</a>')]
     for n in (3, 400):
         pages = fed + [(k + 1, f"http://bad{k}.com/de/1", None) for k in range(1, n)]
-        got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, SCHEMA), min_distrust=0.01).collect()}
+        got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
         assert got[1].rule is None and got[1].verdict == "block"
 
 
@@ -54,11 +55,29 @@ def test_deep_hosts_are_tied_to_their_domain(spark):
     pages = [(0, "http://bad.com/de/1", None), *((k, f"http://{h}/x", None) for k, h in enumerate(deep, 1))]
     got = {r.page_id: r for r in filter_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
     assert got[1].verdict == "block"
-    steps = spark.createDataFrame([(h,) for h in [*deep, "bad.com", "", "a.."]], "h string").select("h", domain_steps(F.col("h")).alias("s")).collect()
-    by = {r.h: [tuple(x) for x in r.s or []] for r in steps}
-    assert by[deep[0]] == [(".".join(deep[0].split(".")[k:]), ".".join(deep[0].split(".")[k + 1 :])) for k in range(5)]
-    assert by[deep[1]][0][0] == deep[1] and by[deep[1]][-1] == ("x.bad.com", "bad.com") and len(by[deep[1]]) == 126
-    assert by["bad.com"] == by[""] == [] and by["a.."] == [("a..", ".")]
+    ties = {(r.src, r.dst) for r in domain_ties(spark.createDataFrame([(h,) for h in [*deep, "bad.com", "", "a..", "c.d.e.bad.com", "com"]], "host string")).collect()}
+    assert ties == {(deep[0], "c.d.e.bad.com"), ("c.d.e.bad.com", "bad.com"), (deep[1], "bad.com")}
+
+
+def test_hosts_that_share_a_suffix_are_strangers(spark):
+    link = '<a href="http://evil.com/x">x</a>'
+    pages = [(0, "http://evil.com/de/1", None), (1, "http://bad.co.uk/a", link), (2, "http://innocent.co.uk/a", None), (3, "http://lonely.net/a", None)]
+    got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(pages, SCHEMA)).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "allow"}
+    # A parent with pages of its own and few hosts answers for them; one with many hosts does not.
+    hosting = [(10, "http://pages.io/a", None), *((100 + k, f"http://s{k}.pages.io/a", link if k == 0 else None) for k in range(30)), *pages]
+    got = {r.page_id: r.verdict for r in filter_urls(spark.createDataFrame(hosting, SCHEMA), max_children=20).collect()}
+    assert got[100] == "block" and {got[100 + k] for k in range(1, 30)} == {"allow"}
+
+
+def test_faint_distrust_does_not_block(spark):
+    """The threshold counts in uniform shares: thirty hosts that link to one blocked site have about half of its distrust."""
+    link = '<a href="http://evil.com/x">x</a>'
+    pages = [(0, "http://evil.com/de/1", None), *((k, f"http://h{k}.net/", link) for k in range(1, 31)), *((1000 + k, f"http://quiet{k}.net/", None) for k in range(3))]
+    out = filter_urls(spark.createDataFrame(pages, SCHEMA), min_share=0.5)
+    strict = filter_urls(spark.createDataFrame(pages, SCHEMA), min_share=5.0)
+    assert out.where("page_id between 1 and 30 and verdict = 'block'").count() == 30
+    assert strict.where("page_id between 1 and 30 and verdict = 'block'").count() == 0
 
 
 def test_propagation_against_a_dense_solve(spark):
@@ -97,3 +116,19 @@ def test_query_and_clashing_columns(spark, small_tables):
     out = filter_urls(odd)
     assert {"page_id", "relative", "row", "trust", "distrust", "verdict", "rule"} <= set(out.columns) and len(set(out.columns)) == len(out.columns)
     assert out.count() == odd.count() and out.where("verdict not in ('allow', 'block')").count() == 0
+
+
+def test_query_and_sql_on_links_and_suffixes(spark, tmp_path):
+    rng = random.Random(8)
+    names = [f"{p}{n}.{s}" for p in ("", "www.", "a.b.") for n in ("bad", "good", "plain", "other") for s in ("com", "co.uk", "io")] + ["co.uk", "example.org"]
+    pages = []
+    for k in range(150):
+        links = "".join(f'<a href="https://{h.upper()}/x">l</a>' for h in rng.sample(names, rng.randrange(3)))
+        pages.append((k, f"http://{rng.choice(names)}/{rng.choice(['de', 'fr', 'es', 'en/1', 'x'])}/{k}", links or None))
+    pages += [(900, None, "<a href=//good.com>x</a>"), (901, "", None), (902, "http://a../x", None), pages[3]]
+    spark.createDataFrame(pages, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(map(tuple, op3_url_filters(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.sql(OP3_SQL).fetchall(), key=str)
+    assert len({g[4] for g in got if g[3] is None}) == 2
