@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: MacKinnon's 1 %, 5 % and 10 % critical values of the constant-only Dickey-Fuller test: b0 + b1/n + b2/n^2.
@@ -128,19 +130,60 @@ def johansen_statistics(moments, n: int, k: int) -> tuple[float, ...]:
     return float(gain.sum()), float(gain[1]), float(gain[0]), float(gain[1])
 
 
-def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: int = 7) -> DataFrame:
+#: The cumulated mass of Poisson(1) at 0 to 6; beyond six it is below 1e-4.
+_POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582])
+
+
+def poisson_weights(hashes: np.ndarray, reps: int) -> np.ndarray:
+    """(rows, reps) weights: the row's hash and the replicate's number, mixed by splitmix64, give a uniform number each."""
+    with np.errstate(over="ignore"):
+        z = hashes.view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        z ^= z >> np.uint64(31)
+    u = (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return np.searchsorted(_POISSON, u.ravel()).reshape(u.shape)
+
+
+def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: int = 7, rows_at_once: int = 64, keys_held: int = 200) -> DataFrame:
     """Poisson bootstrap of the mean per key: each row's weight in each replicate follows from a hash of the row, its number
     among rows equal to it, and the replicate, so it needs no index join and repeats exactly on any partitioning, and equal
-    rows are drawn each for itself. The result has ``reps`` means a key, summarised natively."""
+    rows are drawn each for itself. A task draws all replicates of a row side by side and hands on two numbers a key and
+    replicate, however many rows it has; their means are summarised natively."""
     keys = list(keys)
     df = df.withColumn("_copy", F.row_number().over(Window.partitionBy(*df.columns).orderBy(F.lit(1))))
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("rep"), *df.columns), F.lit(1_000_000)) + 0.5) / 1_000_000
-    # Poisson(1) by inversion; beyond six the mass is below 1e-4.
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    weight = sum((u > F.lit(s)).cast("int") for s in steps)
-    spread = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("_w", weight)
-    means = spread.groupBy(*keys, "rep").agg((F.sum(F.col("_w") * F.col(value)) / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))
-    return means.groupBy(*keys).agg(F.count("mean").alias("reps"), F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.5)").alias("median"), F.expr("percentile(mean, 0.975)").alias("hi"))
+    drawn = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.xxhash64(F.lit(seed), *df.columns).alias("_h"))
+    schema = T.StructType([*drawn.select(*keys).schema.fields, T.StructField("rep", T.IntegerType()), T.StructField("_w", T.LongType()), T.StructField("_s", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for own, (w, s) in held.items():
+                names = [pa.array([v] * reps, pa_type) for v, pa_type in zip(own, kinds)]
+                yield pa.RecordBatch.from_arrays([*names, pa.array(np.arange(reps, dtype=np.int32)), pa.array(w), pa.array(s)], names=[*keys, "rep", "_w", "_s"])
+            held.clear()
+
+        kinds: list[pa.DataType] = []
+        for b in batches:
+            kinds = [b.column(k).type for k in keys]
+            v, h = b.column("_v").to_numpy(), b.column("_h").to_numpy()
+            groups: dict[tuple, list[int]] = {}
+            for k, own in enumerate(zip(*(b.column(c).to_pylist() for c in keys))):
+                groups.setdefault(own, []).append(k)
+            for own, at in groups.items():
+                total = held.setdefault(own, [np.zeros(reps, np.int64), np.zeros(reps)])
+                for lo in range(0, len(at), rows_at_once):
+                    part = np.array(at[lo : lo + rows_at_once])
+                    w = poisson_weights(np.ascontiguousarray(h[part]), reps)
+                    total[0] += w.sum(0)
+                    total[1] += v[part] @ w
+                if len(held) > keys_held:
+                    yield from flush()
+        yield from flush()
+
+    merged = drawn.mapInArrow(run, schema).groupBy(*keys, "rep").agg((F.sum("_s") / F.nullif(F.sum("_w"), F.lit(0))).alias("mean"))
+    return merged.groupBy(*keys).agg(F.count("mean").alias("reps"), F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.5)").alias("median"), F.expr("percentile(mean, 0.975)").alias("hi"))
 
 
 def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, n_lags: int = 30, least: int = 10, most: int = 500) -> DataFrame:

@@ -205,9 +205,12 @@ def ml_06(spark, d):
 
 @query("ml_18_chronological_carve", over("sig", "WITH k AS (SELECT window_id, percent_rank() OVER (PARTITION BY window_id ORDER BY snapshot_idx) AS p FROM sig WHERE target IS NOT NULL) SELECT window_id, p >= 0.85 AS validation, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY ALL"))
 def ml_18(spark, d):
-    k = pairs.scored(venue.tickers(spark, d)).where("target is not null")
-    p = F.percent_rank().over(Window.partitionBy("window_id").orderBy("snapshot_idx"))
-    return k.select("window_id", (p >= 0.85).alias("validation")).groupBy("window_id", "validation").agg(F.count(F.lit(1)).alias("n"))
+    """Percent ranks from a count a snapshot: the running sum sees snapshots, not rows."""
+    k = pairs.scored(venue.tickers(spark, d)).where("target is not null").groupBy("window_id", "snapshot_idx").agg(F.count(F.lit(1)).alias("n"))
+    own = Window.partitionBy("window_id")
+    before = F.sum("n").over(own.orderBy("snapshot_idx").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    p = F.coalesce(before / F.nullif(F.sum("n").over(own) - 1, F.lit(0)), F.lit(0.0))
+    return k.select("window_id", (p >= 0.85).alias("validation"), "n").groupBy("window_id", "validation").agg(F.sum("n").alias("n"))
 
 
 @query("str_13_stream_spread_matrix", over("ticker", "SELECT coin, snapshot_idx, CAST(count(*) AS BIGINT) AS num_exchanges, round(max(mid) - min(mid), 4) AS price_range FROM ticker WHERE snapshot_idx < (SELECT max(snapshot_idx) FROM ticker) GROUP BY ALL"))

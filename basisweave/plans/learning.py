@@ -92,7 +92,7 @@ def ml_14(spark, d):
     sig = pairs.scored(venue.tickers(spark, d)).select(*_KEY, "target", *_FEATURES)
     large = venue.with_snapshot(venue.ticks(spark, d), bucket).where("volume >= 90").groupBy("coin", "snapshot_idx").agg(F.sum(F.when(F.col("side") == "buy", F.col("volume")).otherwise(-F.col("volume"))).alias("signed"), F.sum("volume").alias("size"))
     # Known at the snapshot's end, so a row sees those before it.
-    rows = joins.asof(sig, large.withColumn("snapshot_idx", F.col("snapshot_idx") + 1), ["coin"], "snapshot_idx", ["signed", "size"], tolerance=6)
+    rows = joins.asof(sig, large.withColumn("snapshot_idx", F.col("snapshot_idx") + 1), ["coin"], "snapshot_idx", ["signed", "size"], tolerance=6, chunk=100)
     rows = rows.withColumns({f"aux_{c}": F.coalesce(f"{c}_asof", F.lit(0.0)) for c in ("signed", "size")}).dropna(subset=["target", *_FEATURES])
     val, test = experiments.snapshot_marks(sig, (0.6, 0.8))
     t = F.col("snapshot_idx")

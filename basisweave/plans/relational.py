@@ -245,13 +245,13 @@ def _legs(spark, d):
 @query("jn_05_asof_join", over("tick", _ASOF_SQL))
 def jn_05_asof(spark, d):
     left, right = _legs(spark, d)
-    return joins.asof(left, right, ["coin"], "sec", ["mid"]).select("event_id", "coin", r("mid_asof"), F.coalesce("sec_asof", F.lit(-1)).alias("sec_asof"))
+    return joins.asof(left, right, ["coin"], "sec", ["mid"], chunk=86_400).select("event_id", "coin", r("mid_asof"), F.coalesce("sec_asof", F.lit(-1)).alias("sec_asof"))
 
 
 @query("jn_06_asof_tolerance", over("tick", _ASOF_SQL.replace("round(q.mid, 4) AS mid_asof, coalesce(q.sec, -1) AS sec_asof", "CASE WHEN l.sec - q.sec <= 1800 THEN round(q.mid, 4) END AS mid_asof, CASE WHEN l.sec - q.sec <= 1800 THEN q.sec ELSE -1 END AS sec_asof")))
 def jn_06(spark, d):
     left, right = _legs(spark, d)
-    return joins.asof(left, right, ["coin"], "sec", ["mid"], tolerance=1800).select("event_id", "coin", r("mid_asof"), F.coalesce("sec_asof", F.lit(-1)).alias("sec_asof"))
+    return joins.asof(left, right, ["coin"], "sec", ["mid"], tolerance=1800, chunk=86_400).select("event_id", "coin", r("mid_asof"), F.coalesce("sec_asof", F.lit(-1)).alias("sec_asof"))
 
 
 @query("jn_07_left_forward_fill", over("ticker", "SELECT coin, exchange, snapshot_idx, last_value(CASE WHEN last_id % 4 = 0 THEN open_interest END IGNORE NULLS) OVER (PARTITION BY coin, exchange ORDER BY snapshot_idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open_interest FROM ticker"))

@@ -158,3 +158,23 @@ def test_engle_granger_both_keeps_the_lower_statistic(spark):
 
     found = {"a_on_b": one(y, x), "b_on_a": one(x, y)}
     assert best["adf_stat"] == pytest.approx(min(found.values()), rel=1e-6) and best["direction"] == min(found, key=found.get)
+
+
+def test_asof_over_seams(spark):
+    """Cut into chunks, long silences and chunks without a right row among them, it finds what one sorted pass finds."""
+    rng = np.random.default_rng(8)
+    left = [(f"k{rng.integers(3)}", int(t), int(i)) for i, t in enumerate(rng.integers(0, 2000, 300))]
+    right = [(f"k{rng.integers(4)}", int(t), float(v)) for t, v in zip(rng.choice([*range(50), *range(600, 900), 1999], 120), rng.normal(size=120))]
+    l, r = spark.createDataFrame(left, "k string, t long, i long"), spark.createDataFrame(right, "k string, t long, v double")  # noqa: E741
+    want = sorted((i, k, max(((s, v) for q, s, v in right if q == k and s <= t), default=(None, None))[::-1]) for k, t, i in left)
+    for chunk in (None, 10, 700, 10_000):
+        got = joins.asof(l.repartition(3), r.repartition(3), ["k"], "t", ["v"], chunk=chunk)
+        assert sorted((x.i, x.k, (x.v_asof, x.t_asof)) for x in got.collect()) == want
+    near = {x.i: x.v_asof for x in joins.asof(l, r, ["k"], "t", ["v"], tolerance=20, chunk=50).collect()}
+    assert near == {i: v if s is not None and t - s <= 20 else None for (i, _, (v, s)), t in ((w, next(t for _, t, i in left if i == w[0])) for w in want)}
+
+
+def test_poisson_weights_have_mean_and_variance_one():
+    w = stats.poisson_weights(np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 400), 500)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03
+    assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.2
