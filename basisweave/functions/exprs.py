@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -10,6 +10,15 @@ def safe_div(x: Column, y: Column) -> Column:
     return x / F.nullif(y, F.lit(0.0))
 
 
+def corr(x: Column | str, y: Column | str, over: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of the rows that have both, as an aggregate or ``over`` a window; null where either is constant, which
+    the built-in one refuses with an error in ANSI mode."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    agg = (lambda c: c) if over is None else (lambda c: c.over(over))
+    return safe_div(agg(F.covar_pop(a, b)), agg(F.stddev_pop(a)) * agg(F.stddev_pop(b)))
+
+
 def spread_bps(p1: Column, p2: Column, convention: str = "signed") -> Column:
     """Basis-point spread of two prices. signed: over the mean; absolute: its size; relative: over the first; range: over the lower."""
     mean = (p1 + p2) / 2

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basisweave.sources import files
-from basisweave.functions.exprs import dir_acc, profit_factor, r_squared, safe_div, sharpe
+from basisweave.functions.exprs import corr, dir_acc, profit_factor, r_squared, safe_div, sharpe
 
 
 def forecast_metrics(pred: Column, actual: Column) -> list[Column]:
@@ -20,7 +20,7 @@ def forecast_metrics(pred: Column, actual: Column) -> list[Column]:
         F.sqrt(F.avg(err * err)).alias("rmse"),
         r_squared(pred, actual).alias("r2"),
         dir_acc(pred, actual).alias("dir_acc"),
-        F.corr(pred, actual).alias("corr"),
+        corr(pred, actual).alias("corr"),
         F.stddev_samp(actual).alias("target_std"),
     ]
 
@@ -87,3 +87,15 @@ def book_summary(net: str = "net_bps", gross: str = "gross_bps", hold: str = "ho
         F.expr(f"percentile({hold}, 0.5)").alias("median_hold"),
         F.expr(f"percentile({hold}, 0.9)").alias("p90_hold"),
     ]
+
+
+def area_under_curve(rows: DataFrame, group: str, score: str, label: str) -> DataFrame:
+    """(group, auc): the share of pairs of a positive and a negative that ``score`` puts in order, ties half; null with one kind alone.
+
+    From the rank sum of the positives, with ranks of sorted runs over all groups; a group's ranks begin where the ones
+    before it end."""
+    ranked = global_rank(rows.select(group, F.col(score).alias("_s"), F.col(label).alias("_l")), [F.col(group), F.col("_s")])
+    ties = ranked.groupBy(group, "_s").agg(F.avg("rank").alias("_at"), F.min("rank").alias("_first"), F.count_if(F.col("_l") > 0).alias("_p"), F.count_if(F.col("_l") <= 0).alias("_n"))
+    own = ties.groupBy(group).agg(F.sum(F.col("_at") * F.col("_p")).alias("_sum"), F.min("_first").alias("_begin"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    inside = F.col("_sum") - F.col("_p") * (F.col("_begin") - 1) - F.col("_p") * (F.col("_p") + 1) / 2
+    return own.select(group, (inside / F.nullif(F.col("_p") * F.col("_n"), F.lit(0))).alias("auc"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from basisweave.functions.exprs import corr
+
 #: MacKinnon's 1 %, 5 % and 10 % critical values of the constant-only Dickey-Fuller test: b0 + b1/n + b2/n^2.
 ADF_CRITICAL = {1: (-3.43035, -6.5393, -16.786), 5: (-2.86154, -2.8903, -4.234), 10: (-2.56677, -1.5384, -2.809)}
 
@@ -230,7 +232,7 @@ def effective_tests(series: DataFrame, keys: Iterable[str], order: Iterable[str]
     name = F.concat_ws("|", *keys)
     a = series.select(*order, name.alias("_a"), F.col(value).alias("_x"))
     b = series.select(*order, name.alias("_b"), F.col(value).alias("_y"))
-    each = a.join(b, order).where("_a < _b").groupBy("_a", "_b").agg(F.coalesce(F.corr("_x", "_y"), F.lit(0.0)).alias("r"))
+    each = a.join(b, order).where("_a < _b").groupBy("_a", "_b").agg(F.coalesce(corr("_x", "_y"), F.lit(0.0)).alias("r"))
     square = each.agg((2 * F.coalesce(F.sum(F.col("r") * F.col("r")), F.lit(0.0))).alias("_square"))
     m = series.select(*keys).distinct().agg(F.count(F.lit(1)).alias("n_tests"))
     variance = F.coalesce(F.col("_square") / F.nullif(F.col("n_tests") - 1, F.lit(0)), F.lit(0.0))

@@ -65,25 +65,25 @@ def agg_05(spark, d):
 def agg_06(spark, d):
     z = F.col("zscore")
     return pairs.scored(venue.tickers(spark, d)).groupBy("coin").agg(
-        r(F.avg(z.isNull().cast("double")), 6).alias("null_share"), r(x.sample_skew(z), 5).alias("skew"), r(x.sample_kurtosis(z), 5).alias("kurt"), r(F.avg((F.abs(z) < 0.1).cast("double")), 6).alias("near_zero"), r(F.corr("zscore", "target"), 5).alias("corr_target")
+        r(F.avg(z.isNull().cast("double")), 6).alias("null_share"), r(x.sample_skew(z), 5).alias("skew"), r(x.sample_kurtosis(z), 5).alias("kurt"), r(F.avg((F.abs(z) < 0.1).cast("double")), 6).alias("near_zero"), r(x.corr("zscore", "target"), 5).alias("corr_target")
     )
 
 
 @query("agg_07_venue_correlation", over("pair", "SELECT coin, exchange_a, exchange_b, round(corr(mid_a, mid_b), 6) AS corr, CAST(count(*) AS BIGINT) AS n FROM pair GROUP BY ALL"))
 def agg_07(spark, d):
-    return pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "exchange_a", "exchange_b").agg(r(F.corr("mid_a", "mid_b"), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
+    return pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "exchange_a", "exchange_b").agg(r(x.corr("mid_a", "mid_b"), 6).alias("corr"), F.count(F.lit(1)).alias("n"))
 
 
 @query("agg_08_spearman", over("pair", "WITH k AS (SELECT coin, pair, rank() OVER (PARTITION BY coin, pair ORDER BY mid_a) + (count(*) OVER (PARTITION BY coin, pair, mid_a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY coin, pair ORDER BY mid_b) + (count(*) OVER (PARTITION BY coin, pair, mid_b) - 1) / 2.0 AS rb FROM pair) SELECT coin, pair, round(corr(ra, rb), 6) AS spearman FROM k GROUP BY ALL"))
 def agg_08(spark, d):
     p = pairs.spread_series(venue.tickers(spark, d))
     average = lambda c: F.rank().over(Window.partitionBy("coin", "pair").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("coin", "pair", c)) - 1) / 2
-    return p.select("coin", "pair", average("mid_a").alias("ra"), average("mid_b").alias("rb")).groupBy("coin", "pair").agg(r(F.corr("ra", "rb"), 6).alias("spearman"))
+    return p.select("coin", "pair", average("mid_a").alias("ra"), average("mid_b").alias("rb")).groupBy("coin", "pair").agg(r(x.corr("ra", "rb"), 6).alias("spearman"))
 
 
 @query("agg_09_fisher_interval", over("pair", "SELECT coin, pair, round(tanh(atanh(c) - 1.959963984540054 / sqrt(n - 3)), 6) AS lo, round(tanh(atanh(c) + 1.959963984540054 / sqrt(n - 3)), 6) AS hi FROM (SELECT coin, pair, corr(mid_a, mid_b) AS c, count(*) AS n FROM pair GROUP BY ALL) WHERE n > 3"))
 def agg_09(spark, d):
-    c = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "pair").agg(F.corr("mid_a", "mid_b").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 3")
+    c = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "pair").agg(x.corr("mid_a", "mid_b").alias("c"), F.count(F.lit(1)).alias("n")).where("n > 3")
     half = 1.959963984540054 / F.sqrt(F.col("n") - 3)
     return c.select("coin", "pair", r(F.tanh(F.atanh("c") - half), 6).alias("lo"), r(F.tanh(F.atanh("c") + half), 6).alias("hi"))
 

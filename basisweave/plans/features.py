@@ -88,7 +88,7 @@ def flt_11(spark, d):
 
 @query("flt_12_near_duplicate_series", over("pair", "SELECT coin, exchange_a, exchange_b FROM pair GROUP BY ALL HAVING abs(corr(mid_a, mid_b)) <= 0.9999 AND var_pop(mid_a) > 0 AND var_pop(mid_b) > 0"))
 def flt_12(spark, d):
-    c = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "exchange_a", "exchange_b").agg(F.abs(F.corr("mid_a", "mid_b")).alias("c"), F.var_pop("mid_a").alias("va"), F.var_pop("mid_b").alias("vb"))
+    c = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "exchange_a", "exchange_b").agg(F.abs(x.corr("mid_a", "mid_b")).alias("c"), F.var_pop("mid_a").alias("va"), F.var_pop("mid_b").alias("vb"))
     return c.where("c <= 0.9999 and va > 0 and vb > 0").select("coin", "exchange_a", "exchange_b")
 
 
@@ -218,7 +218,7 @@ def sta_08(spark, d):
 @query("sta_12_master_pairs", over("pair", "WITH l AS (SELECT coin, pair, mid_a, mid_b, spread_bps AS y, lag(spread_bps) OVER (PARTITION BY coin, pair ORDER BY snapshot_idx) AS x FROM pair) SELECT coin, pair, round(corr(mid_a, mid_b), 6) AS corr, round(regr_slope(mid_a, mid_b), 6) AS hedge_ratio, round(regr_slope(y, x), 6) AS phi FROM l GROUP BY ALL"))
 def sta_12(spark, d):
     p = pairs.spread_series(venue.tickers(spark, d))
-    corr = p.groupBy("coin", "pair").agg(r(F.corr("mid_a", "mid_b"), 6).alias("corr"), r(F.regr_slope("mid_a", "mid_b"), 6).alias("hedge_ratio"))
+    corr = p.groupBy("coin", "pair").agg(r(x.corr("mid_a", "mid_b"), 6).alias("corr"), r(F.regr_slope("mid_a", "mid_b"), 6).alias("hedge_ratio"))
     ou = stats.ou_fit(p, "spread_bps", ["coin", "pair"], "snapshot_idx").select("coin", "pair", r("phi", 6))
     return corr.join(ou, ["coin", "pair"], "full_outer")
 

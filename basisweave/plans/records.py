@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from basisweave.functions import exprs as x
-from basisweave.operators import backtest, metrics, pairs
+from basisweave.operators import books, features_frame, metrics, pairs
 from basisweave.operators import series as s
 from basisweave.plans.catalog import query, r
 from basisweave.plans.relational import bets
@@ -36,20 +36,26 @@ def src_02(spark, d):
     return read.where("_corrupt_record is null and error is null").select("coin", "exchange", "snapshot_idx", r("mid"))
 
 
-@query("src_03_sharded_log", over("ticker", "SELECT window_id, CAST(count(*) AS BIGINT) AS n, round(sum(mid), 3) AS mid FROM ticker GROUP BY 1"))
+@query("src_03_sharded_log", over("ticker", "SELECT window_id, CAST(count(*) AS BIGINT) AS n, round(sum(mid), 3) AS mid, round(arg_min(mid, (snapshot_idx, last_id)), 4) AS first_mid, round(arg_max(mid, (snapshot_idx, last_id)), 4) AS last_mid FROM ticker GROUP BY 1"))
 def src_03(spark, d):
+    """Shards whose lines may begin with a byte-order mark, as joined files' do; the order is the data's, not the files'."""
     path = files.landing(spark, "shards")
-    venue.tickers(spark, d).select("window_id", "mid").write.option("maxRecordsPerFile", 500).json(path)
-    return spark.read.schema("window_id string, mid double").json(f"{path}/*.json").groupBy("window_id").agg(_count(), r(F.sum("mid"), 3).alias("mid"))
+    line = F.to_json(F.struct("window_id", "snapshot_idx", "last_id", "mid"))
+    venue.tickers(spark, d).select(F.when(F.col("last_id") % 50 == 0, F.concat(F.lit("\ufeff"), line)).otherwise(line).alias("value")).write.option("maxRecordsPerFile", 500).text(path)
+    log = files.read_marked_lines(spark, path, "window_id string, snapshot_idx int, last_id long, mid double")
+    at = F.struct("snapshot_idx", "last_id")
+    return log.groupBy("window_id").agg(_count(), r(F.sum("mid"), 3).alias("mid"), r(F.min_by("mid", at)).alias("first_mid"), r(F.max_by("mid", at)).alias("last_mid"))
 
 
-@query("src_05_pooled_runs", over("ticker", "SELECT window_id, CASE WHEN window_id = 'w1' THEN 'train' ELSE 'test' END AS role, exchange, CAST(count(*) AS BIGINT) AS n FROM ticker GROUP BY ALL"))
+@query("src_05_pooled_runs", over("ticker", "SELECT window_id, CASE WHEN window_id = 'w1' THEN 'train' ELSE 'test' END AS role, exchange, CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN window_id = 'w2' THEN open_interest END) AS BIGINT) AS n_interest FROM ticker GROUP BY ALL"))
 def src_05(spark, d):
-    """Runs read one by one, tagged from a small catalogue of windows and pooled."""
-    t = venue.tickers(spark, d)
-    catalogue = spark.createDataFrame([("w1", "train"), ("w2", "test")], "window_id string, role string")
-    pooled = t.where("window_id = 'w1'").unionByName(t.where("window_id = 'w2'"))
-    return pooled.join(F.broadcast(catalogue), "window_id").groupBy("window_id", "role", "exchange").agg(_count())
+    """Two runs landed apart, the second with a table column the first has not, read by a catalogue of windows and pooled."""
+    t = venue.tickers(spark, d).select("window_id", "coin", "exchange", "snapshot_idx", "mid", "open_interest")
+    base = files.landing(spark, "runs")
+    for run, columns in (("w1", ["coin", "exchange", "snapshot_idx", "mid"]), ("w2", ["coin", "exchange", "snapshot_idx", "mid", "open_interest"])):
+        t.where(F.col("window_id") == run).select(*columns).write.parquet(f"{base}/{run}/ticker")
+    pooled = files.pool_runs(spark, base, {"w1": "train", "w2": "test"}, "ticker")
+    return pooled.groupBy("window_id", "role", "exchange").agg(_count(), F.count("open_interest").alias("n_interest"))
 
 
 @query("src_07_ticker_close", over("ticker", "SELECT coin, exchange, CAST(epoch_us(ts) // 1000 AS BIGINT) AS timestamp, round(mid, 4) AS close FROM ticker"))
@@ -68,23 +74,46 @@ def src_08(spark, d):
     return both.select("coin", "exchange", n.cast("int").alias("snapshot_idx"), r("close"))
 
 
-@query("src_10_checked_panel", over("ticker", "SELECT coin, snapshot_idx, round(avg(mid), 4) AS price FROM ticker WHERE funding_rate IS NOT NULL GROUP BY ALL"))
+@query("src_10_checked_panel", over("ticker", "SELECT 'perp' AS source, coin, snapshot_idx, round(avg(mid), 4) AS price FROM ticker WHERE exchange <> 'view' AND funding_rate IS NOT NULL GROUP BY ALL UNION ALL SELECT 'pool', coin, snapshot_idx, round(sum(mid * base_volume) / sum(base_volume), 4) FROM ticker WHERE exchange = 'view' AND base_volume > 0 GROUP BY ALL"))
 def src_10(spark, d):
-    """A price panel from perpetual marks; a source without one of the needed columns is refused."""
+    """A price panel from landed perpetual marks and, weighted by liquidity, from pools whose time is their run's name; a
+    source without one of the needed columns is refused."""
     t = venue.tickers(spark, d)
-    if missing := {"coin", "snapshot_idx", "mid", "funding_rate"} - set(t.columns):
-        raise ValueError(f"the source lacks {sorted(missing)}")
-    return t.where("funding_rate is not null").groupBy("coin", "snapshot_idx").agg(r(F.avg("mid")).alias("price"))
-
-
-@query("src_11_friction_scan", over("ticker", "SELECT t.coin, t.exchange, t.snapshot_idx, round((ask - bid) / ((ask + bid) / 2) * 1e4, 4) AS width_bps, round(imbalance, 6) AS imbalance, last_id % 5 <> 0 AS can_withdraw FROM ticker t"))
+    bucket = venue.bucket_of(spark, d)
+    perps, pools = files.landing(spark, "perps"), files.landing(spark, "pools")
+    t.where("exchange <> 'view'").select("coin", "snapshot_idx", F.col("mid").alias("mark_price"), "funding_rate").write.parquet(perps)
+    begin = F.timestamp_seconds(F.lit(venue.EPOCH).cast("long") + F.col("snapshot_idx").cast("long") * bucket)
+    t.where("exchange = 'view'").select(F.col("coin").alias("token"), F.col("mid").alias("price_usd"), F.col("base_volume").alias("liquidity_usd"), F.date_format(begin, "yyyyMMdd'T'HHmmss").alias("run_id")).write.parquet(pools)
+    marks = files.required(spark.read.parquet(perps), ["coin", "snapshot_idx", "mark_price", "funding_rate"]).where("funding_rate is not null")
+    pool = files.required(spark.read.parquet(pools), ["token", "price_usd", "liquidity_usd", "run_id"]).where("liquidity_usd > 0")
+    at = venue.snapshot_of(F.to_timestamp("run_id", "yyyyMMdd'T'HHmmss"), bucket)
+    price = F.sum(F.col("price_usd") * F.col("liquidity_usd")) / F.sum("liquidity_usd")
+    panel = marks.groupBy("coin", "snapshot_idx").agg(r(F.avg("mark_price")).alias("price")).withColumn("source", F.lit("perp"))
+    other = pool.groupBy(F.col("token").alias("coin"), at.alias("snapshot_idx")).agg(r(price).alias("price")).withColumn("source", F.lit("pool"))
+    return panel.unionByName(other).select("source", "coin", "snapshot_idx", "price")
+
+
+@query("src_11_friction_scan", over("ticker", "SELECT coin, exchange, snapshot_idx, round((ask - bid) / ((ask + bid) / 2) * 1e4, 4) AS width_bps, CASE WHEN last_id % 4 <> 0 THEN round(imbalance, 6) END AS imbalance, CASE WHEN last_id % 3 <> 0 THEN last_id % 5 <> 0 END AS can_withdraw, CASE WHEN last_id % 11 = 0 THEN 'maintenance' ELSE 'ok' END AS status FROM ticker"))
 def src_11(spark, d):
-    """Ticker, book and withdrawal signals of one run, joined on snapshot and venue."""
+    """Four signals of one run, landed as lines and scanned apart: tickers, books and withdrawal flags by snapshot, venue and
+    coin, the venue's status only where it is not ok."""
     t = venue.tickers(spark, d)
-    on = ["coin", "exchange", "snapshot_idx"]
-    book, withdrawal = t.select(*on, "imbalance"), t.select(*on, (F.col("last_id") % 5 != 0).alias("can_withdraw"))
-    joined = t.select(*on, "bid", "ask").join(book, on, "left").join(withdrawal, on, "left")
-    return joined.select(*on, r(x.crossing_bps(F.col("bid"), F.col("ask"))).alias("width_bps"), r("imbalance", 6), "can_withdraw")
+    path, on = files.landing(spark, "friction"), ["coin", "exchange", "snapshot_idx"]
+    signals = {
+        "ticker": (t, ["bid", "ask"], "bid double, ask double"),
+        "orderbook": (t.where("last_id % 4 <> 0"), ["imbalance"], "imbalance double"),
+        "withdrawal": (t.where("last_id % 3 <> 0").withColumn("can_withdraw", F.col("last_id") % 5 != 0), ["can_withdraw"], "can_withdraw boolean"),
+        "status": (t.where("last_id % 11 = 0").withColumn("status", F.lit("maintenance")), ["status"], "status string"),
+    }
+    scans = []
+    for name, (rows, columns, kinds) in signals.items():
+        files.write_signals(rows.select(F.lit(name).alias("type"), "ts", *on, *columns), f"{path}/{name}")
+        schema = f"type string, ts timestamp, coin string, exchange string, snapshot_idx int, {kinds}, error string"
+        scans.append(files.read_signals(spark, f"{path}/{name}", schema, name).select(*on, *columns))
+    first, *rest = scans
+    for other in rest:
+        first = first.join(other, on, "left")
+    return first.select(*on, r(x.crossing_bps(F.col("bid"), F.col("ask"))).alias("width_bps"), r("imbalance", 6), "can_withdraw", F.coalesce("status", F.lit("ok")).alias("status"))
 
 
 @query("src_14_filtered_features", over("pair", "SELECT coin, snapshot_idx, round(spread_bps, 4) AS spread_bps FROM pair WHERE pair = 'click__view'"))
@@ -189,12 +218,16 @@ def prj_23(spark, d):
     return pairs.spread_series(venue.tickers(spark, d)).select(*_KEY, r(ln("mid_a") - ln("mid_b"), 8).alias("log_diff"))
 
 
-@query("prj_27_networks", over("ticker", "SELECT coin, exchange, snapshot_idx, unnest(CASE WHEN last_id % 6 = 0 THEN [NULL] ELSE list_slice(['erc', 'sol', 'trx'], 1, 1 + last_id % 3) END) AS network FROM ticker"))
+@query("prj_27_networks", over("ticker", "SELECT coin, exchange, snapshot_idx, network, CASE network WHEN 'erc' THEN 1 WHEN 'sol' THEN 2 WHEN 'trx' THEN 3 END * 0.5 + CASE WHEN network IS NOT NULL THEN last_id % 3 END AS withdraw_fee, CASE network WHEN 'erc' THEN 10.0 WHEN 'sol' THEN 20.0 WHEN 'trx' THEN 30.0 END::DOUBLE AS min_withdraw FROM (SELECT *, unnest(CASE WHEN last_id % 6 = 0 THEN [NULL] ELSE list_slice(['erc', 'sol', 'trx'], 1, 1 + last_id % 3) END) AS network FROM ticker)").replace("THEN 3 END * 0.5 +", "THEN 3 END * 0.5::DOUBLE +"))
 def prj_27(spark, d):
-    """A row per network of an asset, one with null where it has none."""
-    all_ = F.array(*(F.lit(n) for n in ("erc", "sol", "trx")))
-    held = F.when(F.col("last_id") % 6 != 0, F.slice(all_, F.lit(1), (1 + F.col("last_id") % 3).cast("int")))
-    return venue.tickers(spark, d).select("coin", "exchange", "snapshot_idx", F.explode_outer(held).alias("network"))
+    """A row per network of an asset with its own fee and least amount, one with nulls where it has none; from a payload."""
+    t = venue.tickers(spark, d)
+    net = lambda k, n: F.struct(F.lit(n).alias("network"), F.struct(((k + 1) * F.lit(0.5) + F.col("last_id") % 3).alias("fee")).alias("withdraw"), F.struct(F.lit(10.0 * (k + 1)).alias("min")).alias("limits"))
+    held = F.slice(F.array(*(net(k, n) for k, n in enumerate(("erc", "sol", "trx")))), F.lit(1), (1 + F.col("last_id") % 3).cast("int"))
+    sent = t.select("coin", "exchange", "snapshot_idx", F.to_json(F.struct(F.when(F.col("last_id") % 6 != 0, held).alias("networks"))).alias("payload"))
+    read = F.from_json("payload", "networks array<struct<network:string, withdraw:struct<fee:double>, limits:struct<min:double>>>")["networks"]
+    out = sent.select("coin", "exchange", "snapshot_idx", F.explode_outer(read).alias("n"))
+    return out.select("coin", "exchange", "snapshot_idx", "n.network", F.col("n.withdraw.fee").alias("withdraw_fee"), F.col("n.limits.min").alias("min_withdraw"))
 
 
 @query("prj_28_fee_lookup", over("fee", "SELECT event_id, coalesce(taker_bps, 8.0) AS taker_bps FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'OTHER' ELSE upper(event_type) END AS venue FROM events) LEFT JOIN fee ON venue = upper(exchange)"))
@@ -259,27 +292,27 @@ def fea_06(spark, d):
     return spark.read.parquet(path).groupBy("coin", "pair").agg(_count(), r(F.avg("zscore_lag1"), 6).alias("mean_lag1"))
 
 
-def _bounds(train, columns):
-    return train.agg(*(F.expr(f"percentile({c}, array(0.01, 0.99))").alias(f"{c}_q") for c in columns))
+def _columns_sql(template: str, join: str = ", ") -> str:
+    return join.join(template.replace("@", c) for c in _FEATURES)
 
 
 @query(
     "fea_09_model_frame",
     over(
         "sig",
-        f"""{_M_SQL}, b AS (SELECT quantile_cont(spread_bps, 0.01) AS lo, quantile_cont(spread_bps, 0.99) AS hi FROM m WHERE window_id = 'w1'),
-c AS (SELECT m.*, greatest(lo, least(hi, spread_bps)) AS v FROM m, b), f AS (SELECT avg(v) AS mu, stddev_samp(v) AS sd FROM c WHERE window_id = 'w1')
-SELECT {_K}, round((v - mu) / sd, 6) AS spread_std, round(sign(spread_bps) * ln(1 + abs(spread_bps)), 6) AS spread_log, round(target, 6) AS target FROM c, f WHERE target IS NOT NULL""",
+        f"""{_M_SQL}, w AS (SELECT * FROM m WHERE window_id = 'w1' AND target IS NOT NULL),
+n AS (SELECT {_columns_sql("avg((@ IS NULL)::INT) <= 0.4 AND abs(coalesce(corr(@, target), 0)) >= 0.005 AS k_@, quantile_cont(@, 0.01) AS lo_@, quantile_cont(@, 0.99) AS hi_@")} FROM w),
+f AS (SELECT {_columns_sql("avg(greatest(lo_@, least(hi_@, @))) FILTER (WHERE @ IS NOT NULL) AS mu_@, stddev_samp(greatest(lo_@, least(hi_@, @))) FILTER (WHERE @ IS NOT NULL) AS sd_@")} FROM w, n)
+""" + " UNION ALL ".join(f"SELECT window_id, '{c}' AS feature, CAST(count({c}) AS BIGINT) AS n, round(avg((greatest(lo_{c}, least(hi_{c}, {c})) - mu_{c}) / sd_{c}), 5) AS mean, round(stddev_samp((greatest(lo_{c}, least(hi_{c}, {c})) - mu_{c}) / sd_{c}), 5) AS sd FROM m, n, f WHERE target IS NOT NULL AND k_{c} AND {c} IS NOT NULL GROUP BY ALL" for c in _FEATURES),
     ),
 )
 def fea_09(spark, d):
-    """Rows with a target; the spread clipped and standardised by what the first run says, and its signed logarithm."""
-    m = files.kept(_matrix(spark, d), "matrix")
-    train = F.col("window_id") == "w1"
-    clipped = m.crossJoin(F.broadcast(_bounds(m.where(train), ["spread_bps"]))).withColumn("v", F.greatest(F.col("spread_bps_q")[0], F.least(F.col("spread_bps_q")[1], F.col("spread_bps"))))
-    fit = clipped.where(train).agg(F.avg("v").alias("mu"), F.stddev_samp("v").alias("sd"))
-    out = clipped.crossJoin(F.broadcast(fit)).where("target is not null")
-    return out.select(*_KEY, r((F.col("v") - F.col("mu")) / F.col("sd"), 6).alias("spread_std"), r(x.signed_log1p(F.col("spread_bps")), 6).alias("spread_log"), r("target", 6))
+    """The frame a model gets: features that are there and tell something on the first run, clipped and standardised by what that
+    run says, for both runs; a row a run and feature of it."""
+    rows = files.kept(_matrix(spark, d).where("target is not null").select("window_id", "target", *_FEATURES), "matrix")
+    frame, kept = features_frame.fitted_frame(rows, F.col("window_id") == "w1", _FEATURES, "target")
+    long = frame.select("window_id", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in kept)))) if kept else frame.select("window_id", F.lit(None).cast("string").alias("feature"), F.lit(None).cast("double").alias("v")).limit(0)
+    return long.where("v is not null").groupBy("window_id", "feature").agg(_count(), r(F.avg("v"), 5).alias("mean"), r(F.stddev_samp("v"), 5).alias("sd"))
 
 
 @query("ml_17_train_fitted_transforms", over("pair", "WITH b AS (SELECT coin, quantile_cont(spread_bps, 0.01) AS lo, quantile_cont(spread_bps, 0.99) AS hi FROM pair WHERE window_id = 'w1' GROUP BY coin) SELECT coin, window_id, CAST(count(*) FILTER (WHERE spread_bps < lo OR spread_bps > hi) AS BIGINT) AS n_clipped, round(avg(greatest(lo, least(hi, spread_bps))), 4) AS mean FROM pair JOIN b USING (coin) GROUP BY ALL"))
@@ -294,16 +327,19 @@ def ml_17(spark, d):
 def flt_13(spark, d):
     """Null share and correlation with the target of each feature in one pass, and whether it stays."""
     m = _matrix(spark, d).where("target is not null")
-    stats = m.agg(*(F.struct(F.avg(F.col(c).isNull().cast("int")).alias("null_share"), F.corr(c, "target").alias("corr")).alias(c) for c in _FEATURES))
+    stats = m.agg(*(F.struct(F.avg(F.col(c).isNull().cast("int")).alias("null_share"), x.corr(c, "target").alias("corr")).alias(c) for c in _FEATURES))
     out = stats.select(F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c)["null_share"].alias("u"), F.round(F.col(c)["corr"], 4).alias("corr")) for c in _FEATURES))))
     return out.select("feature", r(F.col("u"), 6).alias("null_share"), "corr", ((F.col("u") <= 0.4) & (F.coalesce(F.abs("corr"), F.lit(0.0)) >= 0.005)).alias("kept"))
 
 
-@query("flt_14_advice", over("sig", "SELECT pair, avg((zscore IS NULL)::INT) > 0.5 AS too_sparse, abs(round(corr(zscore, target), 4)) < 0.01 AS weak, round(max(abs(spread_bps)), 3) > 4 * round(stddev_samp(spread_bps), 3) AS winsorise FROM sig GROUP BY pair"))
+@query("flt_14_advice", over("sig", "SELECT pair, avg((zscore IS NULL)::INT) > 0.5 AS too_sparse, abs(round(corr(zscore, target), 4)) < 0.01 AS weak, abs(round(skewness(spread_bps), 6)) > 0.1 AS take_log, round(kurtosis(spread_bps), 6) > -1.1 AS winsorise, round(skewness(spread_bps), 4) AS skew, round(kurtosis(spread_bps), 4) AS kurtosis FROM sig GROUP BY pair"))
 def flt_14(spark, d):
-    """Advisory flags per pair: sparse, weak against the target, long-tailed."""
+    """Advisory flags per pair: sparse, weak against the target, skewed, heavy-tailed. The limits are parameters; the given ticks are
+    all but uniform, so they are set low here for both answers to occur."""
     g = pairs.scored(venue.tickers(spark, d)).groupBy("pair")
-    return g.agg((F.avg(F.col("zscore").isNull().cast("int")) > 0.5).alias("too_sparse"), (F.abs(F.round(F.corr("zscore", "target"), 4)) < 0.01).alias("weak"), (F.round(F.max(F.abs("spread_bps")), 3) > 4 * F.round(F.stddev_samp("spread_bps"), 3)).alias("winsorise"))
+    v = F.col("spread_bps")
+    flags = features_frame.advice(F.col("zscore"), v, F.col("target"), skew=0.1, kurtosis=-1.1)
+    return g.agg(*flags, r(x.sample_skew(v)).alias("skew"), r(x.sample_kurtosis(v)).alias("kurtosis"))
 
 
 @query("jn_12_leg_fees", over("bet", "SELECT window_id, coin, pair, snapshot_idx, fa.taker_bps + fb.taker_bps AS fee_bps FROM bet JOIN fee fa ON fa.exchange = exchange_a JOIN fee fb ON fb.exchange = exchange_b", "fee"))
@@ -321,13 +357,32 @@ def jn_16(spark, d):
     return met.groupBy("tau", "cost").agg(_count(), r(F.avg(F.col("gross_bps") - F.col("cost"))).alias("mean_net"))
 
 
-@query("agg_21_session_gate", over("bet", "SELECT window_id, gate, CAST(count(*) AS BIGINT) AS n, round(avg(gross_bps), 4) AS mean_gross, round(avg(gross_bps - 12), 4) AS mean_net, round(avg((gross_bps > 12)::INT), 6) AS win_rate, round(avg(gross_bps) / nullif(stddev_samp(gross_bps), 0), 6) AS sharpe FROM bet, (VALUES ('all', 0.0), ('loose', 0.5), ('tight', 1.0)) AS g(gate, tau) WHERE abs_pred >= CAST(tau AS DOUBLE) GROUP BY ALL"))
+@query(
+    "agg_21_session_gate",
+    over(
+        "bet",
+        """WITH b AS (SELECT window_id, coin, pair, snapshot_idx, abs_pred, -gross_bps AS gross FROM bet), k AS (SELECT *, row_number() OVER (ORDER BY round(abs_pred, 9), window_id, coin, pair, snapshot_idx) AS rank, count(*) OVER () AS n FROM b WHERE window_id = 'w1'),
+m AS (SELECT (rank * least(40, greatest(5, n // 50)) - 1) // n AS block, avg(abs_pred) AS x, avg(gross) AS y FROM k GROUP BY 1),
+i AS (SELECT u.block AS lo, v.block AS hi, avg(c.y) AS mean FROM m u JOIN m v ON v.block >= u.block JOIN m c ON c.block BETWEEN u.block AND v.block GROUP BY ALL),
+t AS (SELECT m.block, any_value(m.x) AS x, max(least) AS y FROM m JOIN (SELECT q.block, lo, min(mean) AS least FROM m q JOIN i ON lo <= q.block AND hi >= q.block GROUP BY ALL) l ON l.block = m.block GROUP BY m.block),
+s AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY block) AS x1, lead(y) OVER (ORDER BY block) AS y1 FROM t),
+e AS (SELECT b.*, CASE WHEN x0 IS NULL THEN (SELECT y FROM t ORDER BY block LIMIT 1) WHEN x1 IS NULL THEN y0 ELSE y0 + (abs_pred - x0) * (y1 - y0) / (x1 - x0) END AS expected FROM b ASOF LEFT JOIN s ON b.abs_pred >= s.x0),
+g AS (SELECT *, 'all' AS gate FROM e UNION ALL SELECT *, 'tau' FROM e WHERE abs_pred >= 0.5 UNION ALL SELECT *, 'calibrated' FROM e WHERE round(expected, 6) >= 3000)
+SELECT window_id, gate, CAST(count(*) AS BIGINT) AS n, round(avg(gross), 4) AS mean_gross, round(avg(gross - 12), 4) AS mean_net, round(avg((gross > 12)::INT), 6) AS win_rate, round(avg(gross) / nullif(stddev_samp(gross), 0), 6) AS sharpe FROM g GROUP BY ALL""",
+    ),
+)
 def agg_21(spark, d):
-    """The session's book under no gate and two confidence gates, before and after a flat cost."""
-    gates = F.array(*(F.struct(F.lit(g).alias("gate"), F.lit(t).alias("tau")) for g, t in (("all", 0.0), ("loose", 0.5), ("tight", 1.0))))
-    b = bets(spark, d).withColumn("g", F.explode(F.filter(gates, lambda g: F.col("abs_pred") >= g["tau"]))).select("window_id", "g.gate", "gross_bps")
+    """The session's reversion book under no gate, a confidence gate, and a gate on the gross that the first run's monotone
+    calibration expects of a bet, before and after cost. The calibration is at most forty knots."""
+    b = files.kept(bets(spark, d).select(*_KEY, "abs_pred", (-F.col("gross_bps")).alias("gross_bps")), "session")
+    order = [F.round("abs_pred", 9), F.col("window_id"), F.col("coin"), F.col("pair"), F.col("snapshot_idx")]
+    fit = books.isotonic_blocks(b.where("window_id = 'w1'"), order)
+    knots = [(k["mean_x"], k["expected"]) for k in fit.select("mean_x", "expected").collect()]
+    expected = books.calibrate(F.col("abs_pred"), knots) if knots else F.lit(None).cast("double")
+    gates = F.array(F.struct(F.lit("all").alias("gate"), F.lit(True).alias("on")), F.struct(F.lit("tau").alias("gate"), (F.col("abs_pred") >= 0.5).alias("on")), F.struct(F.lit("calibrated").alias("gate"), (F.round(expected, 6) >= 3000).alias("on")))
+    gated = b.select("window_id", "gross_bps", F.inline(F.filter(gates, lambda g: g["on"])))
     v = F.col("gross_bps")
-    return b.groupBy("window_id", "gate").agg(_count(), r(F.avg(v)).alias("mean_gross"), r(F.avg(v - 12)).alias("mean_net"), r(F.avg((v > 12).cast("int")), 6).alias("win_rate"), r(x.sharpe(v), 6).alias("sharpe"))
+    return gated.groupBy("window_id", "gate").agg(_count(), r(F.avg(v)).alias("mean_gross"), r(F.avg(v - 12)).alias("mean_net"), r(F.avg((v > 12).cast("int")), 6).alias("win_rate"), r(x.sharpe(v), 6).alias("sharpe"))
 
 
 @query("srt_03_ranked_reports", over("bet", "WITH g AS (SELECT coin, pair, count(*) AS n, round(avg(gross_bps), 6) AS avg_net FROM bet GROUP BY ALL) SELECT coin, pair, CAST(n AS BIGINT) AS n, avg_net, round(avg_net * sqrt(least(n, 200)), 4) AS score FROM g WHERE n >= 20 ORDER BY avg_net DESC, coin, pair LIMIT 20"))
@@ -346,7 +401,7 @@ def srt_06(spark, d):
 
 @query("srt_07_by_correlation", over("pair", "SELECT coin, pair, c AS corr, CAST(row_number() OVER (ORDER BY abs(c) DESC NULLS LAST, coin, pair) AS INTEGER) AS place FROM (SELECT coin, pair, round(corr(mid_a, mid_b), 6) AS c FROM pair GROUP BY coin, pair)"))
 def srt_07(spark, d):
-    g = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "pair").agg(r(F.corr("mid_a", "mid_b"), 6).alias("corr"))
+    g = pairs.spread_series(venue.tickers(spark, d)).groupBy("coin", "pair").agg(r(x.corr("mid_a", "mid_b"), 6).alias("corr"))
     return metrics.global_rank(g, [F.desc_nulls_last(F.abs("corr")), F.col("coin"), F.col("pair")]).select("coin", "pair", "corr", F.col("rank").cast("int").alias("place"))
 
 
@@ -375,21 +430,25 @@ def ml_07(spark, d):
     rows = pairs.scored(venue.tickers(spark, d)).where("pred is not null and target is not null")
     both = rows.select("window_id", F.col("pred").alias("model"), F.col("zscore").alias("naive"), "target").unpivot(["window_id", "target"], ["model", "naive"], "name", "p")
     err = F.col("target") - F.col("p")
-    return both.groupBy("window_id", "name").agg(_count(), r(F.avg(F.abs(err)), 6).alias("mae"), r(F.sqrt(F.avg(err * err)), 6).alias("rmse"), r(F.corr("p", "target"), 6).alias("corr"))
+    return both.groupBy("window_id", "name").agg(_count(), r(F.avg(F.abs(err)), 6).alias("mae"), r(F.sqrt(F.avg(err * err)), 6).alias("rmse"), r(x.corr("p", "target"), 6).alias("corr"))
 
 
 @query("ml_03_sign_classifier")
 def ml_03(spark, d):
-    """A logistic model of the target's sign on the first run, its accuracy on both; rows without a sign are left out."""
+    """A logistic model of the target's sign on the first run, its accuracy and area under the curve on both; rows without a
+    sign are left out."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     columns = ["zscore", "zscore_lag1", "zscore_lag2", "spread_bps"]
     rows = pairs.scored(venue.tickers(spark, d)).where("target <> 0").dropna(subset=columns).withColumn("label", (F.col("target") > 0).cast("double"))
     model = Pipeline(stages=[VectorAssembler(inputCols=columns, outputCol="features"), LogisticRegression(maxIter=50)]).fit(rows.where("window_id = 'w1'"))
+    scored = files.kept(model.transform(rows).select("window_id", "label", "prediction", vector_to_array("probability")[1].alias("p")), "signs")
     hit = (F.col("prediction") == F.col("label")).cast("int")
-    return model.transform(rows).groupBy("window_id").agg(_count(), r(F.avg(hit)).alias("accuracy"))
+    areas = metrics.area_under_curve(scored, "window_id", "p", "label")
+    return scored.groupBy("window_id").agg(_count(), r(F.avg(hit), 6).alias("accuracy")).join(areas, "window_id").select("window_id", "n", "accuracy", r("auc", 6))
 
 
 @query("ml_16_saved_model_scores", over("sig", "WITH f AS (SELECT regr_slope(target, zscore) AS b, regr_intercept(target, zscore) AS a FROM sig WHERE window_id = 'w1' AND target IS NOT NULL AND zscore IS NOT NULL) SELECT window_id, CAST(count(*) AS BIGINT) AS n, round(avg(abs(a + b * zscore - target)), 4) AS mae FROM sig, f WHERE target IS NOT NULL AND zscore IS NOT NULL GROUP BY window_id"))

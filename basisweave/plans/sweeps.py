@@ -30,7 +30,7 @@ def ml_12(spark, d):
     zs = p.select(*_KEY, *(s.rolling_z(F.col("spread_bps"), s.frame(w=w), mp).alias(f"z{w}") for w, mp in _WINDOWS))
     both = zs.select(*_KEY, *(c for w, _ in _WINDOWS for c in (F.col(f"z{w}"), F.lead(f"z{w}").over(s.series()).alias(f"y{w}"))))
     long = both.select(F.inline(F.array(*(F.struct(F.lit(w).alias("w"), F.col(f"z{w}").alias("z"), F.col(f"y{w}").alias("y")) for w, _ in _WINDOWS)))).where("z is not null and y is not null")
-    return long.groupBy("w").agg(F.count(F.lit(1)).alias("n"), r(F.corr("z", "y"), 6).alias("corr"), r(x.dir_acc(F.col("z"), F.col("y")), 6).alias("dir_acc"))
+    return long.groupBy("w").agg(F.count(F.lit(1)).alias("n"), r(x.corr("z", "y"), 6).alias("corr"), r(x.dir_acc(F.col("z"), F.col("y")), 6).alias("dir_acc"))
 
 
 @query("agg_32_fill_statistics", over("tick", "WITH o AS (SELECT event_id AS order_id, coin, sec AS placed, mid * 0.98 AS price FROM tick WHERE exchange = 'purchase'), f AS (SELECT o.order_id, min(t.sec) AS hit FROM o JOIN tick t ON t.coin = o.coin AND t.exchange = 'click' AND t.sec > o.placed AND t.sec <= o.placed + 14400 AND t.mid <= o.price GROUP BY 1) SELECT coin, round(count(hit) / count(*), 6) AS fill_rate, round(quantile_cont(hit - placed, 0.5), 4) AS p50, round(quantile_cont(hit - placed, 0.9), 4) AS p90 FROM o LEFT JOIN f USING (order_id) GROUP BY coin"))

@@ -212,7 +212,7 @@ SELECT coin, pair, which, CAST(n_tests AS BIGINT) AS n_tests, round(n_effective,
 def sta_11(spark, d):
     """Correlations of two venues' prices against the level that all tests, or the effective number of them, leave to each."""
     p = pairs.spread_series(venue.tickers(spark, d))
-    c = p.groupBy("coin", "pair").agg(F.corr("mid_a", "mid_b").alias("c"), F.count(F.lit(1)).alias("n"))
+    c = p.groupBy("coin", "pair").agg(x.corr("mid_a", "mid_b").alias("c"), F.count(F.lit(1)).alias("n"))
     m = stats.effective_tests(p, ["coin", "pair"], ["snapshot_idx"], "spread_bps")
     both = c.crossJoin(F.broadcast(m)).withColumn("which", F.explode(F.array(F.lit("all"), F.lit("effective"))))
     level = both.withColumn("level", 0.05 / F.when(F.col("which") == "all", F.col("n_tests")).otherwise(F.col("n_effective")))

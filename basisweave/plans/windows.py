@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from basisweave.functions import exprs as x
 from basisweave.operators import pairs
 from basisweave.operators import series as s
 from basisweave.plans.catalog import query, r
@@ -94,7 +95,7 @@ def win_09(spark, d):
 @query("win_10_rolling_correlation", over("pair", f"SELECT {KEYS}, CASE WHEN count(*) OVER f >= 30 THEN round(corr(mid_a, mid_b) OVER f, 6) END AS corr FROM pair WINDOW f AS (PARTITION BY window_id, coin, pair ORDER BY snapshot_idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)"))
 def win_10(spark, d):
     f = s.frame(w=60)
-    return spreads(spark, d).select(*_KEY, F.when(F.count(F.lit(1)).over(f) >= 30, r(F.corr("mid_a", "mid_b").over(f), 6)).alias("corr"))
+    return spreads(spark, d).select(*_KEY, F.when(F.count(F.lit(1)).over(f) >= 30, r(x.corr("mid_a", "mid_b", f), 6)).alias("corr"))
 
 
 @query("win_11_running_index", over("pair", f"SELECT {KEYS}, CAST(row_number() OVER (PARTITION BY window_id, coin, pair ORDER BY snapshot_idx) AS INTEGER) AS k FROM pair"))
@@ -162,7 +163,7 @@ def win_22(spark, d):
 def win_23(spark, d):
     c = F.col("spread_bps")
     l = spreads(spark, d).withColumn("y", F.lag(c).over(s.series()))  # noqa: E741
-    return l.groupBy("coin", "pair").agg(r(F.corr("spread_bps", "y"), 6).alias("level_autocorr"), r(F.corr(c - F.col("y"), F.col("y")), 6).alias("change_level_corr"))
+    return l.groupBy("coin", "pair").agg(r(x.corr("spread_bps", "y"), 6).alias("level_autocorr"), r(x.corr(c - F.col("y"), F.col("y")), 6).alias("change_level_corr"))
 
 
 @query("win_24_latest_z", over("z", "SELECT coin, pair, CAST(max(snapshot_idx) AS INTEGER) AS snapshot_idx, round(arg_max(zscore, snapshot_idx), 6) AS zscore FROM z WHERE zscore IS NOT NULL GROUP BY ALL"))

@@ -65,6 +65,29 @@ def read_signals(spark: SparkSession, path: str, schema: str, signal: str) -> Da
     return rows.where((F.col("type") == signal) & F.col("_corrupt_record").isNull() & F.col("error").isNull()).drop("_corrupt_record", "error")
 
 
+def read_marked_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines that may begin with a byte-order mark; lines that don't parse go."""
+    line = F.regexp_replace("value", "^\ufeff", "")
+    parsed = F.from_json(line, f"{schema}, _corrupt_record string", {"columnNameOfCorruptRecord": "_corrupt_record"})
+    return spark.read.text(path).select(parsed.alias("r")).select("r.*").where("_corrupt_record is null").drop("_corrupt_record")
+
+
+def pool_runs(spark: SparkSession, base: str, roles: dict[str, str], name: str) -> DataFrame:
+    """One table of several runs below ``base``, tagged by run and role; columns that a run lacks are null."""
+    out = None
+    for run, role in roles.items():
+        rows = spark.read.parquet(f"{base}/{run}/{name}").withColumns({"window_id": F.lit(run), "role": F.lit(role)})
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def required(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows``, refused where one of the columns is missing."""
+    if missing := sorted(set(columns) - set(rows.columns)):
+        raise ValueError(f"the source lacks {missing}")
+    return rows
+
+
 def write_candle_tree(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("coin", "exchange").parquet(path)
 

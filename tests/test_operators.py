@@ -178,3 +178,46 @@ def test_poisson_weights_have_mean_and_variance_one():
     w = stats.poisson_weights(np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 400), 500)
     assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.03
     assert abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.2 and abs(np.corrcoef(w[0], w[1])[0, 1]) < 0.2
+
+
+def test_area_under_curve_against_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"g{k % 2}", float(rng.integers(0, 12)), float(rng.integers(0, 2))) for k in range(200)] + [("one", 0.5, 1.0), ("one", 0.7, 1.0)]
+    got = {r.g: r.auc for r in metrics.area_under_curve(spark.createDataFrame(rows, "g string, s double, l double").repartition(3), "g", "s", "l").collect()}
+    for g in ("g0", "g1"):
+        pos, neg = ([s for q, s, v in rows if q == g and v == k] for k in (1.0, 0.0))
+        assert got[g] == pytest.approx(np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg]))
+    assert got["one"] is None
+
+
+def test_fitted_frame_prunes_and_scales(spark):
+    from basisweave.operators.features_frame import fitted_frame
+
+    rng = np.random.default_rng(6)
+    y = rng.normal(size=500)
+    rows = [(k, bool(k < 400), float(v + rng.normal()) if k % 9 else None, float(v) if k % 2 else None, 1.0, float(v)) for k, v in enumerate(y)]
+    df = spark.createDataFrame(rows, "i int, train boolean, good double, sparse double, constant double, target double")
+    frame, kept = fitted_frame(df, F.col("train"), ["good", "sparse", "constant"], "target")
+    assert kept == ["good"] and frame.columns == ["i", "train", "target", "good"]
+    own = [r.good for r in frame.where("train and good is not null").collect()]
+    assert np.mean(own) == pytest.approx(0, abs=1e-9) and np.std(own, ddof=1) == pytest.approx(1)
+    assert frame.where("good is null").count() == df.where("good is null").count()
+    assert fitted_frame(df.where("false"), F.col("train"), ["good"], "target")[1] == []
+
+
+def test_sources_are_checked_and_marks_stripped(spark, tmp_path):
+    from basisweave.sources import files
+
+    with pytest.raises(ValueError, match="price"):
+        files.required(spark.range(1), ["id", "price"])
+    (tmp_path / "signals.jsonl").write_text('﻿{"a": 1}\n{"a": 2}\n{"a": \n\n')
+    (tmp_path / "signals_001.jsonl").write_text('﻿{"a": 3}\n')
+    assert sorted(r.a for r in files.read_marked_lines(spark, f"{tmp_path}/signals*.jsonl", "a int").where("a is not null").collect()) == [1, 2, 3]
+
+
+def test_correlation_of_constants_and_gaps(spark):
+    rng = np.random.default_rng(9)
+    rows = [("c", 1.0, float(k)) for k in range(5)] + [("one", 1.0, 2.0)] + [("v", None if k % 5 == 0 else float(a), None if k % 7 == 0 else float(a + b)) for k, (a, b) in enumerate(rng.normal(size=(80, 2)))]
+    got = {r.k: r.c for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(exprs.corr("x", "y").alias("c")).collect()}
+    own = [(x, y) for k, x, y in rows if k == "v" and x is not None and y is not None]
+    assert got["c"] is None and got["one"] is None and got["v"] == pytest.approx(np.corrcoef(*zip(*own))[0, 1])
