@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from basisweave.functions.exprs import r_squared
 from basisweave.operators import experiments, joins, pairs, panel
 from basisweave.operators.metrics import forecast_metrics
 from basisweave.operators.series import KEYS
@@ -108,3 +109,87 @@ def ml_14(spark, d):
     scored = experiments.with_fits(tested, ["features"], every, fits).select("features", "target", "pred")
     naive = rows.where("role = 'test'").select(F.lit("naive").alias("features"), "target", F.col("zscore").alias("pred"))
     return _rounded(scored.unionByName(naive).groupBy("features").agg(*forecast_metrics(F.col("pred"), F.col("target"))), "features")
+
+
+@query("ml_09_engineered_and_raw")
+def ml_09(spark, d):
+    """What lags and z-scores add to the legs' raw channels: one fit of each set on the first run, on the same rows of both; the
+    first run's last 15 % of snapshots chooses the penalty."""
+    rows = panel.model_features(_panel(spark, d)).where("target is not null")
+    names = [c for c in rows.columns if c not in (*_KEY, "target")]
+    mark = experiments.snapshot_marks(rows.where("window_id = 'w1'"), (0.85,))[0]
+    role = F.when(F.col("window_id") == "w2", "test").when(F.col("snapshot_idx") < mark, "train").otherwise("val")
+    rows = files.kept(rows.withColumn("role", role), "raw")
+    sets = {"engineered": [c for c in names if c.startswith("base_")], "raw": [c for c in names if not c.startswith("base_")], "both": names}
+    fits = {}
+    for name, features in sets.items():
+        m = experiments.moments(rows, ["role"], features, "target")
+        if ("train",) in m and ("val",) in m:
+            beta = dict(zip(["", *features], experiments.chosen_ridge(m["train",], m["val",])[1]))
+            fits[name,] = [beta[""], *(beta.get(c, 0.0) for c in names)]
+    long = rows.where("role <> 'train'").withColumn("features", F.explode(F.array(*(F.lit(s) for s in sets))))
+    scored = experiments.with_fits(long, ["features"], names, fits)
+    return _rounded(scored.groupBy("features", "role").agg(*forecast_metrics(F.col("pred"), F.col("target"))), "features", "role")
+
+
+_R2 = "1 - sum((y - @) * (y - @)) / nullif(count(*) * var_pop(y), 0)"
+
+
+@query(
+    "ml_15_protocols",
+    over(
+        "sig",
+        f"""WITH s AS (SELECT snapshot_idx, row_number() OVER (ORDER BY snapshot_idx) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT snapshot_idx FROM sig)),
+q AS (SELECT min(snapshot_idx) FILTER (WHERE rank > n // 4) AS a, min(snapshot_idx) FILTER (WHERE rank > n // 2) AS b, min(snapshot_idx) FILTER (WHERE rank > 3 * n // 4) AS c FROM s),
+p AS (SELECT zscore AS z, target AS y, CASE WHEN snapshot_idx < a THEN 0 WHEN snapshot_idx < b THEN 1 WHEN snapshot_idx < c THEN 2 ELSE 3 END AS part FROM sig, q WHERE zscore IS NOT NULL AND target IS NOT NULL),
+l AS (SELECT 'chronological' AS protocol, CASE part WHEN 3 THEN 'test' WHEN 2 THEN 'val' ELSE 'train' END AS role, z, y FROM p UNION ALL SELECT 'inverted', CASE part WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END, z, y FROM p),
+f AS (SELECT protocol, regr_slope(y, z) AS slope, regr_intercept(y, z) AS base FROM l WHERE role = 'train' GROUP BY 1),
+t AS (SELECT l.*, base + slope * z AS pred FROM l JOIN f USING (protocol)), u AS (SELECT * FROM t UNION ALL SELECT protocol, 'all', z, y, pred FROM t)
+SELECT protocol, role, CAST(count(*) AS BIGINT) AS n, round({_R2.replace('@', 'pred')}, 6) AS r2, round({_R2.replace('@', 'z')}, 6) AS naive_r2, round(({_R2.replace('@', 'pred')}) - ({_R2.replace('@', 'z')}), 5) AS lift FROM u GROUP BY ALL""",
+    ),
+)
+def ml_15(spark, d):
+    """The same fit learnt forward in time and backward, scored on four splits beside naive persistence."""
+    sig = pairs.scored(venue.tickers(spark, d)).select(*_KEY, "target", "zscore")
+    a, b, c = experiments.snapshot_marks(sig, (0.25, 0.5, 0.75))
+    t = F.col("snapshot_idx")
+    forward = F.when(t < b, "train").when(t < c, "val").otherwise("test")
+    backward = F.when(t < a, "test").when(t < b, "val").otherwise("train")
+    each = F.array(*(F.struct(F.lit(n).alias("protocol"), role.alias("role")) for n, role in (("chronological", forward), ("inverted", backward))))
+    rows = files.kept(sig.dropna(subset=["target", "zscore"]).select("zscore", "target", F.inline(each)), "protocols")
+    m = experiments.moments(rows.where("role = 'train'"), ["protocol"], ["zscore"], "target")
+    scored = experiments.with_fits(rows, ["protocol"], ["zscore"], {g: experiments.ridge(own) for g, own in m.items()})
+    split = scored.withColumn("role", F.explode(F.array(F.col("role"), F.lit("all"))))
+    model, naive = (r_squared(F.col(p), F.col("target")) for p in ("pred", "zscore"))
+    return split.groupBy("protocol", "role").agg(F.count(F.lit(1)).alias("n"), r(model, 6).alias("r2"), r(naive, 6).alias("naive_r2"), r(model - naive, 5).alias("lift"))
+
+
+@query(
+    "ml_19_fee_targets",
+    over(
+        "fwd",
+        """WITH y AS (SELECT window_id, zscore AS z, spread_bps_fwd - spread_bps AS move, k, CASE k WHEN 'level' THEN zscore_fwd WHEN 'bps' THEN spread_bps_fwd - spread_bps ELSE sign(spread_bps_fwd - spread_bps) * greatest(abs(spread_bps_fwd - spread_bps) - 1500, 0) END AS y FROM fwd, (VALUES ('level'), ('bps'), ('bps_net')) t(k) WHERE zscore IS NOT NULL AND zscore_fwd IS NOT NULL),
+f AS (SELECT k, regr_slope(y, z) AS slope, regr_intercept(y, z) AS base FROM y WHERE window_id = 'w1' GROUP BY k),
+t AS (SELECT k, z, base + slope * z AS pred, move FROM y JOIN f USING (k) WHERE window_id = 'w2'),
+g AS (SELECT k, CASE WHEN k = 'level' THEN -sign(z - pred) ELSE sign(pred) END * move AS gross FROM t WHERE CASE k WHEN 'level' THEN abs(z - pred) >= 1 WHEN 'bps' THEN abs(pred) >= 1500 ELSE abs(pred) > 0 END)
+SELECT k AS target, CAST(count(*) AS BIGINT) AS n, round(avg(gross), 4) AS mean_gross, round(avg(gross - 1500), 4) AS mean_net, round(avg((gross > 1500)::INT), 6) AS win_rate, round(avg(gross - 1500) / nullif(stddev_samp(gross), 0), 6) AS sharpe FROM g GROUP BY k""",
+    ),
+)
+def ml_19(spark, d):
+    """Retrained for the later z, for the spread's change, and for the change beyond cost: what each target's trades earn on the second
+    run. One pass gives all fits."""
+    cost = 1500.0
+    sig = pairs.align_forward(pairs.scored(venue.tickers(spark, d)), 1).dropna(subset=["zscore", "zscore_fwd"])
+    move = F.col("spread_bps_fwd") - F.col("spread_bps")
+    beyond = F.signum(move) * F.greatest(F.abs(move) - cost, F.lit(0.0))
+    targets = F.array(*(F.struct(F.lit(n).alias("target"), y.alias("y")) for n, y in (("level", F.col("zscore_fwd")), ("bps", move), ("bps_net", beyond))))
+    rows = files.kept(sig.select("window_id", "zscore", move.alias("move"), F.inline(targets)), "targets")
+    m = experiments.moments(rows.where("window_id = 'w1'"), ["target"], ["zscore"], "y")
+    t = experiments.with_fits(rows.where("window_id = 'w2'"), ["target"], ["zscore"], {g: experiments.ridge(own) for g, own in m.items()})
+    fall = F.col("zscore") - F.col("pred")
+    level = F.col("target") == "level"
+    side = F.when(level, -F.signum(fall)).otherwise(F.signum("pred"))
+    taken = F.when(level, F.abs(fall) >= 1).when(F.col("target") == "bps", F.abs("pred") >= cost).otherwise(F.abs("pred") > 0)
+    g = t.where(taken).withColumn("gross", side * F.col("move"))
+    net = F.col("gross") - cost
+    return g.groupBy("target").agg(F.count(F.lit(1)).alias("n"), r(F.avg("gross")).alias("mean_gross"), r(F.avg(net)).alias("mean_net"), r(F.avg((net > 0).cast("int")), 6).alias("win_rate"), r(F.avg(net) / F.nullif(F.stddev_samp("gross"), F.lit(0.0)), 6).alias("sharpe"))
