@@ -111,3 +111,24 @@ def str_14(spark, d):
     rows = venue.ticks(spark, d).select("coin", "exchange", F.unix_millis("ts").alias("at_ms"), F.lit(1).cast("long").alias("n"))
     rows, wave = _waves(rows, _DELAY)
     return stateful.replayed(rows, wave, ["coin", "exchange"], stateful.Stalls(_GAP), _DELAY).select("coin", "exchange", "last_ms", "raised_ms")
+
+
+@query(
+    "str_07_archive_and_replay",
+    over(
+        "tick",
+        """WITH m AS (SELECT coin, exchange, epoch_us(ts) // 1000 AS ms FROM tick), b AS (SELECT min(ms) AS lo, max(ms) AS hi FROM m),
+g AS (SELECT 1 AS gen, * FROM m UNION ALL SELECT 0, m.* FROM m, b WHERE (ms - lo) // ((hi - lo) // 3 + 1) < 2), c AS (SELECT gen, max(ms) - 3600000 AS cut FROM g GROUP BY gen),
+t AS (SELECT g.*, cut FROM g JOIN c USING (gen) WHERE ms <= cut),
+s AS (SELECT gen, coin, exchange, ms AS last_ms FROM (SELECT *, coalesce(lead(ms) OVER (PARTITION BY gen, coin, exchange ORDER BY ms), cut) - ms AS silence FROM t) WHERE silence > 14400000)
+SELECT coin, exchange, last_ms, bool_or(gen = 0) AS archived FROM s GROUP BY coin, exchange, last_ms HAVING bool_or(gen = 1)""",
+    ),
+)
+def str_07(spark, d):
+    """The stall watch is restarted from zero after two of three waves: what it reports now, and whether the archive has it too.
+    Rows are told apart by what they are about, so a replay adds none twice."""
+    rows = venue.ticks(spark, d).select("coin", "exchange", F.unix_millis("ts").alias("at_ms"), F.lit(1).cast("long").alias("n"))
+    lo, hi = rows.agg(F.min("at_ms"), F.max("at_ms")).first()
+    wave = F.floor((F.col("at_ms") - F.lit(lo or 0)) / (((hi or 0) - (lo or 0)) // 3 + 1)).cast("int")
+    out = stateful.replayed(rows, wave, ["coin", "exchange"], stateful.Stalls(_GAP), _DELAY, anew_after=2)
+    return out.groupBy("coin", "exchange", "last_ms").agg(F.bool_or(F.col("generation") == 0).alias("archived"), F.bool_or(F.col("generation") == 1).alias("_now")).where("_now").drop("_now")

@@ -107,27 +107,35 @@ def in_order(stream: DataFrame, keys: list[str], rule: Rule) -> DataFrame:
     return stream.groupBy(*keys).transformWithStateInPandas(InOrder(rule, keys, names, empty), schema, "Append", "EventTime")
 
 
-def replayed(rows: DataFrame, wave: Column, keys: list[str], rule: Rule, delay_ms: int, waves: int = 3) -> DataFrame:
+def replayed(rows: DataFrame, wave: Column, keys: list[str], rule: Rule, delay_ms: int, waves: int = 3, anew_after: int | None = None) -> DataFrame:
     """The rule's results for rows (keys, ``at_ms``, the rule's columns) that land in waves, with the query stopped after each wave and
     started anew from its checkpoint. Rows may land out of order by up to ``delay_ms``; rows within that of the last are still
-    waiting in state at the end."""
+    waiting in state at the end.
+
+    ``anew_after`` waves the outputs are archived and the query begins again from zero, over all that has landed, with a sink and a
+    checkpoint of its own: the result then has ``generation``, 0 for the archive. Nothing is overwritten, so a start that
+    fails half-way leaves the archive as it was."""
     spark = rows.sparkSession
     landed, source, sink = kept(rows.withColumn("_wave", wave).withColumn("at", F.timestamp_millis("at_ms")), "rows"), landing(spark, "feed"), landing(spark, "ruled")
+    generation = 0
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
     try:
         for k in range(waves):
+            generation += k == anew_after
             part = landed.where(F.col("_wave") == k).drop("_wave")
             part.write.mode("append").parquet(source)
             stream = spark.readStream.schema(part.schema).parquet(source).withWatermark("at", f"{delay_ms} milliseconds")
             out = in_order(stream, keys, rule)
-            out.writeStream.outputMode("append").option("checkpointLocation", f"{sink}-state").format("parquet").option("path", sink).trigger(availableNow=True).start().awaitTermination()
+            out.writeStream.outputMode("append").option("checkpointLocation", f"{sink}-state-{generation}").format("parquet").option("path", f"{sink}/generation={generation}").trigger(availableNow=True).start().awaitTermination()
     finally:
         if before is None:
             spark.conf.unset(_PROVIDER)
         else:
             spark.conf.set(_PROVIDER, before)
-    return spark.read.schema(out.schema).parquet(sink)
+    # Each generation by its own sink, whose log names the files of committed batches alone.
+    each = [spark.read.schema(out.schema).parquet(f"{sink}/generation={g}").withColumn("generation", F.lit(g)) for g in range(generation + 1)]
+    return each[0].drop("generation") if anew_after is None else each[0].unionByName(each[1])
 
 
 @dataclass
