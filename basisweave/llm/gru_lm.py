@@ -63,11 +63,18 @@ class GruModel:
         """What each input id adds to the gates."""
         return self.part["e"] @ self.part["wx"] + self.part["bx"]
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    def advance(self, h: np.ndarray, x: np.ndarray) -> None:
+        """The next states, in the place of ``h``; ``x``: what the inputs add to the gates."""
         n = self.shape.hidden
-        g = _sigmoid(x[:, : 2 * n] + h @ self.part["ug"])
-        c = np.tanh(x[:, 2 * n :] + (g[:, n:] * h) @ self.part["uc"])
-        return h + g[:, :n] * (c - h)
+        g = h @ self.part["ug"]
+        g += x[:, : 2 * n]
+        _sigmoid(g, out=g)
+        c = (g[:, n:] * h) @ self.part["uc"]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        c -= h
+        c *= g[:, :n]
+        h += c
 
     def token_logp(self, states: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(target | state); targets are word ranks, ``shape.words`` and more for the rare class, or -1 for no token.
@@ -125,32 +132,36 @@ class GruModel:
                 ds[rows] += (y @ p["wo"][c].T) * inverse
         return logp, ds
 
-    def score(self, documents: list[tuple[np.ndarray, np.ndarray]], window: int = 64) -> np.ndarray:
-        """ln P of each document, given as (input ids, target ids); the state is carried over the whole document."""
+    def score(self, documents: list[tuple[np.ndarray, np.ndarray]], at_once: int = 65_536) -> np.ndarray:
+        """ln P of each document, given as (input ids, target ids); the state is carried over the whole document.
+
+        Documents advance side by side, the longest first, in windows of about ``at_once`` tokens: the fewer are left, the more
+        steps a window has."""
         out = np.zeros(len(documents))
         order = np.argsort([-len(x) for x, _ in documents], kind="stable")
-        lengths = np.array([len(documents[k][0]) for k in order])
-        ends = np.cumsum(lengths)
-        starts = ends - lengths
+        lengths = np.array([len(documents[k][0]) for k in order], np.int64)
+        starts = np.cumsum(lengths) - lengths
         x_all = np.concatenate([np.zeros(0, np.int32), *(documents[k][0] for k in order)])
         y_all = np.concatenate([np.zeros(0, np.int32), *(documents[k][1] for k in order)])
         table, h = self.inputs(), np.zeros((len(order), self.shape.hidden), np.float32)
-        for t0 in range(0, int(lengths[0]) if len(lengths) else 0, window):
-            n = int(np.searchsorted(-lengths, -t0, side="left"))  # documents longer than t0
-            h = h[:n]
-            steps = min(window, int(lengths[0]) - t0)
-            states, owner, target = [], [], []
-            for t in range(t0, t0 + steps):
-                m = int(np.searchsorted(-lengths[:n], -t, side="left"))
-                at = starts[:m] + t
-                states.append(h[:m])
-                owner.append(np.arange(m))
-                target.append(y_all[at])
-                h = np.concatenate((self.step(h[:m], table[x_all[at]]), h[m:])) if m < n else self.step(h, table[x_all[at]])
-            states, owner, target = np.concatenate(states), np.concatenate(owner), np.concatenate(target)
-            for at in range(0, len(owner), 32768):
-                logp, _ = self.token_logp(states[at : at + 32768], target[at : at + 32768])
-                out[:n] += np.bincount(owner[at : at + 32768], logp, n)
+        longest, t0 = int(lengths[0]) if len(lengths) else 0, 0
+        while t0 < longest:
+            left = int(np.searchsorted(-lengths, -t0, side="left"))  # documents longer than t0
+            times = np.arange(t0, min(longest, t0 + max(8, at_once // left)))
+            wide = np.searchsorted(-lengths[:left], -times, side="left")
+            h, ends = h[:left].copy(), np.cumsum(wide)
+            owner = np.arange(ends[-1]) - np.repeat(ends - wide, wide)
+            at = starts[owner] + np.repeat(times, wide)
+            x, target = table[x_all[at]], y_all[at]
+            states, place = np.empty((len(at), self.shape.hidden), np.float32), 0
+            for m in wide.tolist():
+                states[place : place + m] = h[:m]
+                self.advance(h[:m], x[place : place + m])
+                place += m
+            for lo in range(0, len(at), 32768):
+                logp, _ = self.token_logp(states[lo : lo + 32768], target[lo : lo + 32768])
+                out[:left] += np.bincount(owner[lo : lo + 32768], logp, left)
+            t0 = int(times[-1]) + 1
         result = np.zeros(len(documents))
         result[order] = out
         return result

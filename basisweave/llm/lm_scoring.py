@@ -226,7 +226,7 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
     return model
 
 
-def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruModel, id_col: str = "doc_id", text_col: str = "text", buffer: int = 3_200_000, encoded: DataFrame | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruModel, id_col: str = "doc_id", text_col: str = "text", buffer: int = 6_400_000, encoded: DataFrame | None = None) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of whole texts, from ``encoded`` if that is at hand."""
     encoded = encode_documents(docs, head, id_col, text_col) if encoded is None else encoded
     shipped, vocabulary = docs.sparkSession.sparkContext.broadcast((model.shape, model.flat)), head.vocabulary
