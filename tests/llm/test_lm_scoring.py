@@ -51,7 +51,7 @@ def test_state_is_carried_across_windows():
     model = GruModel.start(np.arange(100, 0, -1).astype(float), 1.0)
     rng = np.random.default_rng(1)
     docs = [(x := rng.integers(0, 100, n).astype(np.int32), x) for n in (1, 3, 70, 200, 65)]
-    assert np.allclose(model.score(docs, window=64), model.score(docs, window=7), atol=1e-3)
+    assert np.allclose(model.score(docs), model.score(docs, at_once=7), atol=1e-3)
     one = [float(model.score([d])[0]) for d in docs]
     assert np.allclose(model.score(docs), one, atol=1e-3)
 
