@@ -147,3 +147,24 @@ def test_an_ids_different_texts_are_learnt_alike_in_any_order(spark, tmp_path):
         labelled_tables(spark, folder, rows, labels)
         runs.append({(r.doc_id, round(r.score, 5)) for r in op5_quality_classifier(spark, str(folder)).collect()})
     assert runs[0] == runs[1]
+
+
+def test_queries_on_held_out_rows(spark, tmp_path):
+    """Both whole queries: contract columns, the fold rule, and accuracy on rows whose labels were not learnt."""
+    rng = random.Random(11)
+    plain = [f"{a}{b}" for a in ("ma", "so", "ti", "ke", "lu") for b in ("ren", "dal", "mot", "vis", "gon", "per")]
+    docs, labels = [], []
+    for k in range(1500):
+        words, toxic, good = rng.choices(plain, k=rng.randint(8, 40)), int(k % 6 == 0), int(k % 4 > 0)
+        for _ in range(3 * toxic):
+            words.insert(rng.randrange(len(words)), rng.choice(["vileword", "grimword", "foulword"]))
+        docs.append((k, " ".join(words if good else [w.upper() + "!!" for w in words])))
+        labels.append((k, good, toxic))
+    folder = labelled_tables(spark, tmp_path, docs, labels)
+    held = {k for k, _ in docs if zlib.crc32(str(k).encode()) % 3 == 1}
+    for query, column, cut in ((op5_quality_classifier, 1, 0.5), (op8_toxicity, 2, 0.7)):
+        got = query(spark, folder).collect()
+        assert {r.doc_id for r in got if r.held_out} == held and len(got) == len(docs)
+        assert all(r.predicted == int(r.score >= cut) and 0 <= r.score <= 1 for r in got)
+        own = [r for r in got if r.held_out]
+        assert np.mean([r.predicted == labels[r.doc_id][column] for r in own]) > 0.95

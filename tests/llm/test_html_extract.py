@@ -112,3 +112,11 @@ def test_query_on_odd_pages(spark, small_tables):
     by_id = {r.page_id: r.text for r in got}
     assert by_id[9001] == "" and by_id[9002] == "" and by_id[9004] == by_id[9005] == "tie tie tie"
     assert len(by_id[9003]) > 59_000
+
+
+def test_query_gives_the_articles(spark, tmp_path):
+    """The whole query against the text that the pages were made from."""
+    rows = [(k, f"http://h{k % 5}.net/{k}", page(k, ad=("div class='ad'", "aside", "div id='sidebar'")[k % 3])) for k in range(120)]
+    spark.createDataFrame(rows, SCHEMA).repartition(4).write.parquet(f"{tmp_path}/pages.parquet")
+    got = op9_html_extraction(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(k, text(k), len(text(k))) for k in range(120)]
