@@ -55,9 +55,11 @@ def with_snapshot(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return rows.withColumn("snapshot_idx", snapshot_of(F.col("ts"), bucket))
 
 
-def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per coin, venue and snapshot: the last tick's price and the quotes around it (one aggregate, no window)."""
-    bucket = bucket_of(spark, sf_dir)
+def tickers(spark: SparkSession, sf_dir: str, bucket: int | None = None) -> DataFrame:
+    """One row per coin, venue and snapshot: the last tick's price and the quotes around it (one aggregate, no window).
+
+    ``bucket`` fixes the snapshot's seconds, so that more ticks change no earlier row; by default it follows their number."""
+    bucket = bucket or bucket_of(spark, sf_dir)
     last = F.max_by(F.struct("mid", "event_id", "ts"), F.struct("ts", "event_id"))
     cells = with_snapshot(ticks(spark, sf_dir), bucket).groupBy("coin", "exchange", "snapshot_idx").agg(last.alias("last"), F.count(F.lit(1)).alias("n_ticks"), F.sum("volume").alias("base_volume"))
     half = F.col("mid") * (1 + F.col("last_id") % 5) / 20000
@@ -74,8 +76,8 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bucket = bucket_of(spark, sf_dir)
+def candles(spark: SparkSession, sf_dir: str, bucket: int | None = None) -> DataFrame:
+    bucket = bucket or bucket_of(spark, sf_dir)
     order = F.struct("ts", "event_id")
     return with_snapshot(ticks(spark, sf_dir), bucket).groupBy("coin", "exchange", "snapshot_idx").agg(
         F.min_by("mid", order).alias("open"), F.max("mid").alias("high"), F.min("mid").alias("low"), F.max_by("mid", order).alias("close"), F.sum("volume").alias("volume")

@@ -221,3 +221,11 @@ def test_correlation_of_constants_and_gaps(spark):
     got = {r.k: r.c for r in spark.createDataFrame(rows, "k string, x double, y double").groupBy("k").agg(exprs.corr("x", "y").alias("c")).collect()}
     own = [(x, y) for k, x, y in rows if k == "v" and x is not None and y is not None]
     assert got["c"] is None and got["one"] is None and got["v"] == pytest.approx(np.corrcoef(*zip(*own))[0, 1])
+
+
+def test_a_fixed_bucket_keeps_earlier_snapshots(spark):
+    """With the length given, a longer table repeats the cells that a shorter one has."""
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    small = venue.tickers(spark, "/root/testdata/sf0.001", bucket=7_200)
+    assert small.agg(F.max("snapshot_idx")).first()[0] > venue.tickers(spark, "/root/testdata/sf0.001").agg(F.max("snapshot_idx")).first()[0]
+    assert small.agg(F.sum("n_ticks")).first()[0] == e.count()
