@@ -23,6 +23,7 @@ those that bear the name of an output, which are replaced.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -476,15 +477,16 @@ def _batches(texts: list[str | None], chars: int) -> Iterator[tuple[int, int]]:
 SAMPLE = "array<struct<ids:array<int>,log_prob:double,perturbed:double,inclusion:double>>"
 
 
-def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = 2, model_path: str = MODEL_PATH, keep: list[str] | None = None, batch_chars: int = BATCH_CHARS) -> DataFrame:
-    """``keep`` columns (all by default) with ``samples`` and ``exact``: whether each sample decodes to the text.
+def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", k: int = 2, model_path: str = MODEL_PATH, keep: list[str] | None = None, batch_chars: int = BATCH_CHARS, digests: bool = False) -> DataFrame:
+    """``keep`` columns (all by default) with ``samples`` and ``exact``: whether each sample decodes to the text; with ``digests`` also
+    ``decoded_sha256``, the hash of what each sample decodes to.
 
     ``inclusion`` is the probability that a segmentation is among the first ``k``, given the value that follows them.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("samples", "exact")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("samples", "exact", "decoded_sha256")]
     key, text = unused(docs.columns, "key"), unused(docs.columns, "text")
     sample = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64())]))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("samples", T._parse_datatype_string(SAMPLE)), T.StructField("exact", T.BooleanType())])
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("samples", T._parse_datatype_string(SAMPLE)), T.StructField("exact", T.BooleanType()), *([T.StructField("decoded_sha256", T.ArrayType(T.StringType()))] if digests else [])])
 
     def rows_of(held: Vocabulary, b: pa.RecordBatch, texts: list[str | None], keys: list[str]) -> pa.RecordBatch:
         lattices, found = search_batch(held, texts, keys, k)
@@ -493,12 +495,13 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
         counts = np.array([len(paths) for paths, _ in found], np.int64)
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.concatenate([np.zeros(0, np.int32), *ids])
-        exact = _round_trip(held, flat, sizes, counts, texts)
+        exact, decoded = _round_trip(held, flat, sizes, counts, texts, digests)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(flat))
         columns = np.array(scores, np.float64).reshape(-1, 3)
         rows = pa.StructArray.from_arrays([lists, *(pa.array(np.ascontiguousarray(columns[:, j])) for j in range(3))], names=["ids", "log_prob", "perturbed", "inclusion"])
         samples = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), rows)
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), samples.cast(sample), pa.array(exact)], names=[*keep, "samples", "exact"])
+        more = [pa.ListArray.from_arrays(samples.offsets, pa.array(decoded, pa.string()))] if digests else []
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), samples.cast(sample), pa.array(exact), *more], names=[f.name for f in schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = vocabulary(model_path)
@@ -511,18 +514,21 @@ def sample_segmentations(docs: DataFrame, key_col: str = "doc_id", text_col: str
     return keyed.mapInArrow(run, schema)
 
 
-def _round_trip(held: Vocabulary, flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    """Whether all samples of each text decode to it."""
+def _round_trip(held: Vocabulary, flat: np.ndarray, sizes: np.ndarray, counts: np.ndarray, texts: list[str | None], digests: bool = False) -> tuple[np.ndarray, list[str]]:
+    """Whether all samples of each text decode to it, and, if asked, the hash of what each sample decodes to."""
     wanted = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
     got = held.decoded_bytes(flat)
     ends = np.concatenate(([0], np.cumsum(sizes)))
     length = np.concatenate(([0], np.cumsum(held.bytes_size[flat])))[ends]
-    out, at = np.ones(len(texts), bool), 0
+    out, hashes, at = np.ones(len(texts), bool), [], 0
     for k, (n, w) in enumerate(zip(counts.tolist(), wanted)):
         for s in range(at, at + n):
-            out[k] &= got[length[s] : length[s + 1]].tobytes() == w
+            own = got[length[s] : length[s + 1]].tobytes()
+            out[k] &= own == w
+            if digests:
+                hashes.append(hashlib.sha256(own[1:]).hexdigest())  # without the blank that the encoding puts first
         at += n
-    return out
+    return out, hashes
 
 
 def decode_pieces(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL_PATH) -> DataFrame:
@@ -540,7 +546,6 @@ def decode_pieces(rows: DataFrame, ids_col: str = "ids", model_path: str = MODEL
 
 
 def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sample_segmentations(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, keep=["doc_id"])
-    rows = out.select("doc_id", "exact", F.posexplode("samples").alias("sample", "s")).select("doc_id", "sample", "exact", "s.*")
-    back = decode_pieces(rows)
-    return back.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "log_prob", "perturbed", "inclusion", F.col("exact").alias("round_trip"))
+    out = sample_segmentations(read_table(spark, sf_dir, "documents").select("doc_id", "text"), k=2, keep=["doc_id"], digests=True)
+    rows = out.select("doc_id", "exact", "decoded_sha256", F.posexplode("samples").alias("sample", "s"))
+    return rows.select("doc_id", "sample", F.size("s.ids").cast("long").alias("n_pieces"), "s.ids", F.get("decoded_sha256", "sample").alias("decoded_sha256"), "s.log_prob", "s.perturbed", "s.inclusion", F.col("exact").alias("round_trip"))
