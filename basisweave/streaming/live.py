@@ -19,6 +19,13 @@ def replay(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(path)
 
 
+def ended(rows: DataFrame, ahead: int) -> DataFrame:
+    """``rows`` (with the event time ``at``) and one empty row, ``ahead`` seconds after the last: the end of the feed, by which the
+    watermark passes every window that holds a row. The end's own window stays open, so it is in no result."""
+    last = (F.max("at") + F.make_dt_interval(secs=F.lit(ahead))).alias("at")
+    return rows.unionByName(rows.agg(last).where("at is not null"), allowMissingColumns=True)
+
+
 def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run the stream over what has landed and read its sink."""
     spark = stream.sparkSession
@@ -34,10 +41,10 @@ def snapshot_time(bucket: int) -> Column:
 
 
 def stream_spread_matrix(spark: SparkSession, cells: DataFrame, bucket: int) -> DataFrame:
-    """Per coin and snapshot, venue count and price range, emitted when the watermark, a snapshot behind, closes the snapshot.
-    The last snapshot stays open: nothing after it has come."""
+    """Per coin and snapshot, venue count and price range, emitted when the watermark, a snapshot behind, closes the snapshot;
+    the last is closed by the end of the feed."""
     rows = cells.select("coin", "exchange", "snapshot_idx", "mid", snapshot_time(bucket).alias("at"))
-    stream = replay(spark, rows, "cells").withWatermark("at", f"{bucket} seconds")
+    stream = replay(spark, ended(rows, 2 * bucket), "cells").withWatermark("at", f"{bucket} seconds")
     agg = stream.groupBy("at", "coin", "snapshot_idx").agg(F.count("mid").alias("num_exchanges"), F.max("mid").alias("hi"), F.min("mid").alias("lo"))
     out = drain(agg.select("coin", "snapshot_idx", "num_exchanges", "hi", "lo"), "matrix")
     return out.select("coin", "snapshot_idx", "num_exchanges", F.round(F.col("hi") - F.col("lo"), 4).alias("price_range"))
