@@ -51,8 +51,8 @@ def stream_spread_matrix(spark: SparkSession, cells: DataFrame, bucket: int) ->
 
 
 def stream_hourly(spark: SparkSession, ticks: DataFrame) -> DataFrame:
-    """Tumbling hours per venue, as far as the watermark, an hour behind, has closed them."""
-    stream = replay(spark, ticks.select("exchange", "volume", F.col("ts").alias("at")), "ticks").withWatermark("at", "1 hour")
+    """Tumbling hours per venue, emitted when the watermark, an hour behind, closes them; the last by the end of the feed."""
+    stream = replay(spark, ended(ticks.select("exchange", "volume", F.col("ts").alias("at")), 3 * 3600), "ticks").withWatermark("at", "1 hour")
     agg = stream.groupBy(F.window("at", "1 hour"), "exchange").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"))
     out = drain(agg.select(F.col("window.start").alias("hour"), "exchange", "n", "volume"), "hours")
     return out.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "exchange", "n", F.round("volume", 4).alias("volume"))
