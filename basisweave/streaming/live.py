@@ -73,8 +73,9 @@ def stream_settlement(spark: SparkSession, sig: DataFrame, bucket: int, tau: flo
 
 
 def stream_sliding(spark: SparkSession, ticks: DataFrame) -> DataFrame:
-    """Sliding statistics: four hours, every hour, per venue, as far as the watermark, an hour behind, has closed them."""
-    stream = replay(spark, ticks.select("exchange", "mid", F.col("ts").alias("at")), "sliding").withWatermark("at", "1 hour")
+    """Sliding statistics: four hours, every hour, per venue, emitted when the watermark, an hour behind, closes them; the last
+    by the end of the feed."""
+    stream = replay(spark, ended(ticks.select("exchange", "mid", F.col("ts").alias("at")), 6 * 3600), "sliding").withWatermark("at", "1 hour")
     agg = stream.groupBy(F.window("at", "4 hours", "1 hour"), "exchange").agg(F.count(F.lit(1)).alias("n"), F.avg("mid").alias("mean"))
     out = drain(agg.select(F.col("window.start").alias("start"), "exchange", "n", "mean"), "slides")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "exchange", "n", F.round("mean", 4).alias("mean"))

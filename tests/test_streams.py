@@ -20,3 +20,9 @@ def ticks(spark):
 def test_hours_have_every_tick(spark):
     out = live.stream_hourly(spark, ticks(spark)).collect()
     assert sum(r.n for r in out) == 18 and max(r.hour for r in out) == DAY + dt.timedelta(hours=5) and {r.exchange for r in out} == {"click", "view"}
+
+
+def test_slides_have_every_tick_four_times(spark):
+    out = live.stream_sliding(spark, ticks(spark)).collect()
+    assert sum(r.n for r in out) == 4 * 18 and max(r.start for r in out) == DAY + dt.timedelta(hours=5)
+    assert {r.exchange for r in out} == {"click", "view"}
