@@ -188,6 +188,34 @@ def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: i
     return merged.groupBy(*keys).agg(F.count("mean").alias("reps"), F.expr("percentile(mean, 0.025)").alias("lo"), F.expr("percentile(mean, 0.5)").alias("median"), F.expr("percentile(mean, 0.975)").alias("hi"))
 
 
+def block_bootstrap_slopes(df: DataFrame, col: str, keys: Iterable[str], order: str, block: int, reps: int, seed: int = 11) -> DataFrame:
+    """Moving-block bootstrap of the level regressed on its lag: ``phi`` per series and replicate.
+
+    A block is drawn whole, so what meets a draw is the block's moments (one row a start, from a sliding window), not its rows;
+    draws are numbers alone, made in tasks of a replicate of a series and shuffled once. Series of ``2 * block`` rows or fewer have none."""
+    keys = list(keys)
+    own = Window.partitionBy(*keys)
+    w = own.orderBy(order)
+    # From the series' mean: the same slope, and sums that don't cancel.
+    rows = df.select(*keys, F.row_number().over(w).alias("rn"), F.lag(col).over(w).alias("_l"), (F.col(col) - F.avg(col).over(own)).alias("_y"))
+    rows = rows.withColumn("_x", F.when(F.col("_l").isNotNull(), F.lag("_y").over(Window.partitionBy(*keys).orderBy("rn"))))
+    n = rows.where("_l is not null").groupBy(*keys).agg(F.max("rn").alias("n")).where(F.col("n") > 2 * block)
+    series = n.withColumn("_id", F.dense_rank().over(Window.orderBy(*keys)))  # a row a series
+    ahead = Window.partitionBy("_id").orderBy("rn").rowsBetween(0, block - 1)
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    parts = {"m": F.when(both, 1.0), "x": F.when(both, F.col("_x")), "y": F.when(both, F.col("_y")), "xx": F.when(both, F.col("_x") * F.col("_x")), "xy": F.col("_x") * F.col("_y")}
+    moments = rows.join(F.broadcast(series.select(*keys, "_id")), keys).select("_id", "rn", *(F.coalesce(F.sum(c).over(ahead), F.lit(0.0)).alias(k) for k, c in parts.items()))
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    draws = series.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).repartition(tasks, "_id", "rep")
+    draws = draws.withColumn("j", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))))
+    start = F.pmod(F.xxhash64(F.lit(seed), *keys, "rep", "j"), (F.col("n") - block).cast("long"))
+    wanted = draws.select("_id", "rep", (start + 1).cast("int").alias("rn"))
+    sums = wanted.join(moments.hint("shuffle_hash"), ["_id", "rn"]).groupBy("_id", "rep").agg(*(F.sum(k).alias(k) for k in parts))
+    across = F.col("xx") - F.col("x") * F.col("x") / F.col("m")
+    phi = (F.col("xy") - F.col("x") * F.col("y") / F.col("m")) / F.nullif(across, F.lit(0.0))
+    return sums.where("m > 1").withColumn("phi", phi).join(F.broadcast(series), "_id").select(*keys, "rep", "phi")
+
+
 def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, n_lags: int = 30, least: int = 10, most: int = 500) -> DataFrame:
     """Rescaled-range exponent per series: ``n_lags`` block lengths, evenly spaced by their logarithm from ``least`` to a quarter of
     the series (``most`` at most), equal ones once; the mean over whole blocks of the cumulated deviation's range over the

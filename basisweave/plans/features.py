@@ -225,13 +225,7 @@ def sta_12(spark, d):
 
 @query("sta_06_block_bootstrap_half_life")
 def sta_06(spark, d):
-    """Half-life intervals from moving blocks: each replicate draws block starts by hash, and each block's lag pairs join it by key."""
-    block, reps = 10, 300
-    w = Window.partitionBy("coin", "pair").orderBy("snapshot_idx")
-    rows = pairs.spread_series(venue.tickers(spark, d)).select("coin", "pair", F.row_number().over(w).alias("rn"), F.lag("spread_bps").over(w).alias("x"), F.col("spread_bps").alias("y")).where("x is not null")
-    n = rows.groupBy("coin", "pair").agg(F.max("rn").alias("n")).where(F.col("n") > 2 * block)
-    draws = n.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps)))).withColumn("j", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / block).cast("int"))))
-    start = F.pmod(F.xxhash64(F.lit(11), "coin", "pair", "rep", "j"), (F.col("n") - block).cast("long"))
-    wanted = draws.withColumn("rn", F.explode(F.sequence(start + 1, start + block))).select("coin", "pair", "rep", F.col("rn").cast("int").alias("rn"))
-    fit = wanted.join(rows, ["coin", "pair", "rn"]).groupBy("coin", "pair", "rep").agg(F.regr_slope("y", "x").alias("phi")).where("phi > 0 and phi < 1").withColumn("half_life", F.lit(0.6931471805599453) / -F.ln("phi"))
+    """Half-life intervals from moving blocks: each replicate draws block starts by hash."""
+    fit = stats.block_bootstrap_slopes(pairs.spread_series(venue.tickers(spark, d)), "spread_bps", ["coin", "pair"], "snapshot_idx", 10, 300)
+    fit = fit.where("phi > 0 and phi < 1").withColumn("half_life", F.lit(0.6931471805599453) / -F.ln("phi"))
     return fit.groupBy("coin", "pair").agg(F.count(F.lit(1)).alias("reps"), r(F.expr("percentile(half_life, 0.025)")).alias("lo"), r(F.expr("percentile(half_life, 0.975)")).alias("hi"))
