@@ -216,6 +216,25 @@ def block_bootstrap_slopes(df: DataFrame, col: str, keys: Iterable[str], order:
     return sums.where("m > 1").withColumn("phi", phi).join(F.broadcast(series), "_id").select(*keys, "rep", "phi")
 
 
+def random_entries(moves: DataFrame, keys: Iterable[str], rn: str, move: str, sims: int, block: int = 6, choices: int = 4, seed: int = 3) -> DataFrame:
+    """``mean`` per simulation of signed moves: each simulation enters every block of ``block`` rows of a series once, at one of its
+    first ``choices`` rows and on a side, by hash; an entry where no move is known counts nothing.
+
+    A block is one row with its moves beside each other, so a simulation picks in place and only a sum and a count a
+    simulation leave a task."""
+    keys = list(keys)
+    place = F.col(rn) % block
+    each = [F.max(F.when(place == k, F.col(move))).alias(f"_m{k}") for k in range(choices)]
+    blocks = moves.groupBy(*keys, F.floor(F.col(rn) / block).alias("block")).agg(*each)
+    tasks = max(int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    entries = blocks.repartition(tasks, *keys, "block").withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
+    u = F.pmod(F.xxhash64(F.lit(seed), "sim", *keys, "block"), F.lit(2 * choices))
+    picked = entries.withColumn("_u", u)
+    at = F.pmod(F.col("_u"), F.lit(choices))
+    found = F.coalesce(*(F.when(at == k, F.col(f"_m{k}")) for k in range(choices)))
+    return picked.select("sim", (F.when(F.col("_u") < choices, 1).otherwise(-1) * found).alias("_g")).groupBy("sim").agg(F.avg("_g").alias("mean")).where("mean is not null")
+
+
 def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, n_lags: int = 30, least: int = 10, most: int = 500) -> DataFrame:
     """Rescaled-range exponent per series: ``n_lags`` block lengths, evenly spaced by their logarithm from ``least`` to a quarter of
     the series (``most`` at most), equal ones once; the mean over whole blocks of the cumulated deviation's range over the

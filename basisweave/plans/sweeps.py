@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from basisweave.functions import exprs as x
-from basisweave.operators import books, pairs
+from basisweave.operators import books, pairs, stats
 from basisweave.operators import series as s
 from basisweave.plans.catalog import query, r
 from basisweave.plans.relational import bets
@@ -69,11 +69,7 @@ def sta_10(spark, d):
     sims = 5000
     w = s.series()
     moves = pairs.scored(venue.tickers(spark, d)).select("window_id", "coin", "pair", (F.row_number().over(w) - 1).alias("rn"), (F.lead("spread_bps", 2).over(w) - F.col("spread_bps")).alias("move")).where("move is not null")
-    blocks = moves.select("window_id", "coin", "pair", F.floor(F.col("rn") / 6).alias("block")).distinct()
-    entries = blocks.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(sims))))
-    u = F.pmod(F.xxhash64(F.lit(3), "sim", "window_id", "coin", "pair", "block"), F.lit(8))
-    picked = entries.select("sim", "window_id", "coin", "pair", (F.col("block") * 6 + F.pmod(u, F.lit(4))).cast("int").alias("rn"), F.when(u < 4, 1).otherwise(-1).alias("side"))
-    random = picked.join(moves, ["window_id", "coin", "pair", "rn"]).groupBy("sim").agg(F.avg(F.col("side") * F.col("move")).alias("mean"))
+    random = stats.random_entries(moves, s.KEYS, "rn", "move", sims)
     actual = bets(spark, d).where("abs_pred >= 0.5").agg(F.avg(-F.col("direction") * F.col("spread_delta_bps")).alias("actual"))
     return random.crossJoin(F.broadcast(actual)).groupBy("actual").agg(F.count(F.lit(1)).alias("sims"), F.avg((F.col("mean") >= F.col("actual")).cast("double")).alias("share_better"), F.avg("mean").alias("mean_random"))
 

@@ -22,3 +22,17 @@ def test_block_bootstrap_slopes_are_those_of_the_drawn_rows(spark):
         for rep, pairs in drawn.items():
             x, t = np.array(pairs).T
             assert abs(got[p, rep] - np.polyfit(x, t, 1)[0]) < 1e-9
+
+
+def test_random_entries_pick_one_move_a_block(spark):
+    moves = {("C0", k): float(k * k % 17) for k in range(31) if k not in (7, 30)} | {("C1", 2): 5.0}
+    df = spark.createDataFrame([(c, k, m) for (c, k), m in moves.items()], "coin string, rn int, move double")
+    blocks = spark.createDataFrame(sorted({(c, k // 6) for c, k in moves}), "coin string, block long")
+    drawn = blocks.withColumn("sim", F.explode(F.sequence(F.lit(1), F.lit(40)))).select("sim", "coin", "block", F.pmod(F.xxhash64(F.lit(3), "sim", "coin", "block"), F.lit(8)).alias("u")).collect()
+    want: dict[int, list] = {}
+    for r in drawn:
+        m = moves.get((r.coin, r.block * 6 + r.u % 4))
+        if m is not None:
+            want.setdefault(r.sim, []).append(m if r.u < 4 else -m)
+    got = {r.sim: r["mean"] for r in stats.random_entries(df, ["coin"], "rn", "move", 40).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - np.mean(v)) < 1e-9 for k, v in want.items())
