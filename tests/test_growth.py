@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from basisweave.operators import stats
+from basisweave.operators import backtest, stats
 
 
 def test_block_bootstrap_slopes_are_those_of_the_drawn_rows(spark):
@@ -36,3 +36,38 @@ def test_random_entries_pick_one_move_a_block(spark):
             want.setdefault(r.sim, []).append(m if r.u < 4 else -m)
     got = {r.sim: r["mean"] for r in stats.random_entries(df, ["coin"], "rn", "move", 40).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - np.mean(v)) < 1e-9 for k, v in want.items())
+
+
+def _loop(bars, entry, exit, most, wait):
+    d, t0, s0, free, out = 0, 0, 0.0, -(2**31), []
+    for t, z, s in bars:
+        if d:
+            back = z >= -exit if d == 1 else z <= exit
+            if back or t - t0 >= most:
+                out.append((t0, t, d, d * (s - s0)))
+                d, free = 0, t + 1 + wait
+        elif abs(z) >= entry and t >= free:
+            d, t0, s0 = (-1 if z > 0 else 1), t, s
+    return out
+
+
+def test_positions_over_several_batches_and_their_totals(spark):
+    rng = np.random.default_rng(2)
+    n = 25_000  # more than a batch holds
+    at = np.cumsum(rng.integers(1, 4, n))
+    series = {k: list(zip(at.tolist(), (3 * np.sin(np.arange(n) / (5 + k)) + rng.normal(size=n)).tolist(), rng.normal(size=n).tolist())) for k in (0, 1)}
+    sig = spark.createDataFrame([(k, *b) for k, bars in series.items() for b in bars], "k int, snapshot_idx int, zscore double, spread_bps double")
+    params = backtest.grid(spark, (1.0, 2.5), (0.0, 0.5), (6, 10**6), (-1, 3))
+    lo, hi = int(at.min()), int(at.max())
+    got = {(r.k, r.combo, r.fold): (r.n, r.net, r.won) for r in backtest.hysteresis_totals(sig, ["k"], params, 0.25, (lo, hi, 4)).collect()}
+    want: dict[tuple, list] = {}
+    for p in params.collect():
+        for k, bars in series.items():
+            trades = _loop(bars, p.entry_z, p.exit_z, p.max_hold, p.cooldown)
+            for t0, _, _, gross in trades:
+                want.setdefault((k, p.combo, 4 * (t0 - lo) // (hi - lo + 1)), []).append(gross - 0.25)
+            if p.combo in (0, 7):
+                one = backtest.hysteresis(sig.where(f"k = {k}"), ["k"], p.entry_z, p.exit_z, p.max_hold, p.cooldown).orderBy("entry").collect()
+                assert [(r.entry, r.exit, r.direction, r.gross_bps) for r in one] == trades
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == len(v) and abs(got[k][1] - sum(v)) < 1e-6 and got[k][2] == sum(x > 0 for x in v) for k, v in want.items())
