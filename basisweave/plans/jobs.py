@@ -154,8 +154,8 @@ def pos_04(spark, d):
     best 20 by mean net of those with ten trades."""
     z = _z_variants(spark, d, (10, 15, 20, 30, 40, 60), 12.0)
     grid = backtest.grid(spark, (1.0, 1.25, 1.5, 1.75, 2.0), (0.0, 0.1, 0.25, 0.4, 0.5, 0.75), (6, 12, 24), (0, 2, 5))
-    t = backtest.hysteresis_grid(z, (*s.KEYS, "w", "gated"), grid).withColumn("net", F.col("gross_bps") - 16)
-    by = t.groupBy("w", "gated", "combo", "entry_z", "exit_z", "max_hold", "cooldown").agg(F.count(F.lit(1)).alias("n"), r(F.avg("net")).alias("avg_net"), r(F.avg((F.col("net") > 0).cast("double"))).alias("win_rate"))
+    t = backtest.hysteresis_totals(z, (*s.KEYS, "w", "gated"), grid, cost=16)
+    by = t.groupBy("w", "gated", "combo", "entry_z", "exit_z", "max_hold", "cooldown").agg(F.sum("n").alias("n"), r(F.sum("net") / F.sum("n")).alias("avg_net"), r(F.sum("won") / F.sum("n")).alias("win_rate"))
     return by.where("n >= 10").orderBy(F.desc("avg_net"), "w", "gated", "combo").limit(20)
 
 
