@@ -99,10 +99,10 @@ SELECT CAST(fold AS INTEGER) AS fold, combo, round(train_mean, 4) AS train_mean,
 def pos_05(spark, d):
     """Four folds of time: the best of 270 combinations in each, and what it earned in the next."""
     z = pairs.scored(venue.tickers(spark, d)).select(*_KEY, "zscore", "spread_bps")
-    span = z.agg(F.min("snapshot_idx").alias("lo"), F.max("snapshot_idx").alias("hi"))
-    t = backtest.hysteresis_grid(z, s.KEYS, backtest.grid(spark, _ENTRIES, _EXITS, _HOLDS, _WAITS)).crossJoin(F.broadcast(span))
-    t = t.withColumn("fold", F.floor(4 * (F.col("entry") - F.col("lo")) / (F.col("hi") - F.col("lo") + 1)).cast("int"))
-    by = files.kept(t.groupBy("fold", "combo").agg(F.round(F.avg("gross_bps"), 6).alias("mean"), F.count(F.lit(1)).alias("n")).where("n >= 10"), "folds")
+    lo, hi = z.agg(F.min("snapshot_idx"), F.max("snapshot_idx")).first()
+    t = backtest.hysteresis_totals(z, s.KEYS, backtest.grid(spark, _ENTRIES, _EXITS, _HOLDS, _WAITS), folds=(lo or 0, hi or 0, 4))
+    by = t.groupBy("fold", "combo").agg(F.round(F.sum("net") / F.sum("n"), 6).alias("mean"), F.sum("n").alias("n"))
+    by = files.kept(by.where("n >= 10"), "folds")
     best = by.groupBy((F.col("fold") + 1).alias("fold")).agg(F.max_by("combo", F.struct("mean", -F.col("combo"))).alias("combo"), F.max("mean").alias("train_mean"))
     out = by.join(F.broadcast(best), ["fold", "combo"])
     return out.select("fold", "combo", r("train_mean"), r("mean").alias("test_mean"), "n", r(F.col("mean") / F.nullif("train_mean", F.lit(0.0))).alias("retention"))
@@ -141,10 +141,9 @@ def pos_06(spark, d):
     p = p.withColumns({f"z{w}": s.rolling_z(F.col("spread_bps"), f, 6) for w, f in frames.items()} | {f"sd{w}": F.stddev_samp("spread_bps").over(f) for w, f in frames.items()})
     variants = F.array(*(F.struct(F.lit(w).alias("w"), F.lit(float(g)).alias("vol"), F.when(F.col(f"sd{w}") >= g * 1500, F.col(f"z{w}")).alias("zscore")) for w, g in _SIGNALS))
     sig = p.select(*_KEY, "spread_bps", F.inline(variants))
-    t = backtest.hysteresis_grid(sig, (*s.KEYS, "w", "vol"), backtest.grid(spark, _AROUND["entry"], _AROUND["exit"], (12,), (2,)))
+    t = backtest.hysteresis_totals(sig, (*s.KEYS, "w", "vol"), backtest.grid(spark, _AROUND["entry"], _AROUND["exit"], (12,), (2,)), cost=16)
     moves = spark.createDataFrame([(m[0], m[1], int(m[2]), *(float(v) for v in m[3:])) for m in _MOVES], "param string, value double, w int, vol double, entry_z double, exit_z double")
-    net = F.col("gross_bps") - 16
-    met = F.broadcast(moves).join(t.groupBy("w", "vol", "entry_z", "exit_z").agg(F.count("gross_bps").alias("n"), F.sum(net).alias("net"), F.count_if(net > 0).alias("won")), ["w", "vol", "entry_z", "exit_z"], "left")
+    met = F.broadcast(moves).join(t.groupBy("w", "vol", "entry_z", "exit_z").agg(F.sum("n").alias("n"), F.sum("net").alias("net"), F.sum("won").alias("won")), ["w", "vol", "entry_z", "exit_z"], "left")
     out = met.select("param", "value", F.coalesce("n", F.lit(0)).alias("n"), r(F.col("net") / F.col("n")).alias("avg_net"), r(F.col("won") / F.col("n"), 6).alias("win_rate"))
     base = out.where((F.col("param") == "entry") & (F.col("value") == _CENTRE["entry"])).select(F.col("avg_net").alias("base"))
     return out.crossJoin(F.broadcast(base)).select("param", "value", "n", "avg_net", "win_rate", r(F.col("avg_net") - F.col("base")).alias("delta"))
