@@ -1,9 +1,12 @@
 """Jobs whose draws grow with the data, against the plain form of what they compute."""
 
 import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from basisweave.operators import backtest, stats
+from basisweave.streaming import stateful
 
 
 def test_block_bootstrap_slopes_are_those_of_the_drawn_rows(spark):
@@ -71,3 +74,55 @@ def test_positions_over_several_batches_and_their_totals(spark):
                 assert [(r.entry, r.exit, r.direction, r.gross_bps) for r in one] == trades
     assert got.keys() == want.keys()
     assert all(got[k][0] == len(v) and abs(got[k][1] - sum(v)) < 1e-6 and got[k][2] == sum(x > 0 for x in v) for k, v in want.items())
+
+
+class _State:
+    def __init__(self):
+        self.v = None
+
+    def exists(self):
+        return self.v is not None
+
+    def get(self):
+        return self.v
+
+    def put(self, v):
+        self.v = v
+
+    update = put
+
+    def appendList(self, v):
+        self.v = [*(self.v or []), *v]
+
+    def clear(self):
+        self.v = None
+
+
+class _Handle:
+    def __init__(self):
+        self.list, self.value, self.timers = _State(), _State(), []
+        self.getListState, self.getValueState = lambda *_: self.list, lambda *_: self.value
+        self.registerTimer = self.timers.append
+
+
+class _Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = lambda: ms
+
+
+@pytest.mark.parametrize("at_once", [7, 20_000])
+def test_a_batch_is_one_value_of_state_and_parts_change_nothing(monkeypatch, at_once):
+    monkeypatch.setattr(stateful, "_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    rows = pd.DataFrame({"at_ms": rng.integers(0, 4000, 1000), "order_id": [None if k % 3 else k for k in range(1000)], "price": rng.normal(100, 3, 1000)}).astype({"order_id": float})
+    p = stateful.InOrder(stateful.Fills(50), ["coin", "side"], {"at_ms": True, "order_id": True, "price": False}, {"coin": "object", "side": "object", "order_id": "Int64", "placed_ms": "Int64", "filled_ms": "Int64"})
+    handle = _Handle()
+    p.init(handle)
+    list(p.handleInputRows(("C0", "buy"), iter([rows[:600], rows[600:]]), None))
+    assert len(handle.list.v) == 2 and handle.timers == [rows["at_ms"].min()]
+    got = []
+    for now in (1500, 3000, 10_000):
+        got += [tuple(None if pd.isna(v) else v for v in r) for f in p.handleExpiredTimer(("C0", "buy"), _Now(now), None) for r in f[["order_id", "placed_ms", "filled_ms"]].itertuples(index=False)]
+    plain = [tuple(None if pd.isna(v) else v for v in r) for r in rows.itertuples(index=False)]
+    _, want, _ = stateful.Fills(50).advance(("C0", "buy"), None, sorted(((int(a), None if o is None else int(o), x) for a, o, x in plain), key=lambda r: tuple((v is not None, v) for v in r)), 10_000)
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 334 and handle.list.v is None
