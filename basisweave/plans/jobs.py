@@ -215,7 +215,7 @@ def ml_18(spark, d):
 
 @query("str_13_stream_spread_matrix", over("ticker", "SELECT coin, snapshot_idx, CAST(count(*) AS BIGINT) AS num_exchanges, round(max(mid) - min(mid), 4) AS price_range FROM ticker GROUP BY ALL"))
 def str_13(spark, d):
-    return live.stream_spread_matrix(spark, venue.tickers(spark, d), venue.bucket_of(spark, d))
+    return live.stream_spread_matrix(spark, venue.tickers(spark, d), venue.bucket_of(spark, d), ends=True)
 
 
 @query("str_11_stream_hourly_counts", "SELECT date_trunc('hour', ts) AS hour, event_type AS exchange, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS volume FROM events GROUP BY ALL")

@@ -40,11 +40,11 @@ def snapshot_time(bucket: int) -> Column:
     return F.timestamp_seconds(F.lit(EPOCH).cast("long") + F.col("snapshot_idx").cast("long") * F.lit(bucket).cast("long"))
 
 
-def stream_spread_matrix(spark: SparkSession, cells: DataFrame, bucket: int) -> DataFrame:
-    """Per coin and snapshot, venue count and price range, emitted when the watermark, a snapshot behind, closes the snapshot;
-    the last is closed by the end of the feed."""
+def stream_spread_matrix(spark: SparkSession, cells: DataFrame, bucket: int, ends: bool = False) -> DataFrame:
+    """Per coin and snapshot, venue count and price range, emitted when the watermark, a snapshot behind, closes the snapshot.
+    The last stays open while more may come; where the feed ``ends`` with ``cells``, its end closes it."""
     rows = cells.select("coin", "exchange", "snapshot_idx", "mid", snapshot_time(bucket).alias("at"))
-    stream = replay(spark, ended(rows, 2 * bucket), "cells").withWatermark("at", f"{bucket} seconds")
+    stream = replay(spark, ended(rows, 2 * bucket) if ends else rows, "cells").withWatermark("at", f"{bucket} seconds")
     agg = stream.groupBy("at", "coin", "snapshot_idx").agg(F.count("mid").alias("num_exchanges"), F.max("mid").alias("hi"), F.min("mid").alias("lo"))
     out = drain(agg.select("coin", "snapshot_idx", "num_exchanges", "hi", "lo"), "matrix")
     return out.select("coin", "snapshot_idx", "num_exchanges", F.round(F.col("hi") - F.col("lo"), 4).alias("price_range"))

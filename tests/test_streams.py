@@ -9,7 +9,7 @@ DAY = dt.datetime(2024, 1, 1)
 
 def test_matrix_has_the_last_snapshot(spark):
     cells = spark.createDataFrame([("C0", v, k, float(10 * k + n)) for k in (0, 1, 5) for n, v in enumerate(("click", "view"))], "coin string, exchange string, snapshot_idx int, mid double")
-    out = {(r.coin, r.snapshot_idx): (r.num_exchanges, r.price_range) for r in live.stream_spread_matrix(spark, cells, 24).collect()}
+    out = {(r.coin, r.snapshot_idx): (r.num_exchanges, r.price_range) for r in live.stream_spread_matrix(spark, cells, 24, ends=True).collect()}
     assert out == {("C0", k): (2, 1.0) for k in (0, 1, 5)}
 
 
