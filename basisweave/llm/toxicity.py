@@ -81,15 +81,16 @@ class ToxicModel:
 
 
 def nnpu_logistic(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps: int = 1000, batch: int = 256, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise pi R_p(+) + max(0, R_u(-) - pi R_p(-)) by Adam."""
+    """Weights and bias that minimise pi R_p(+) + max(0, R_u(-) - pi R_p(-)) by Adam; a batch's rows alone become floats."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(xp.shape[1]), -1.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for step in range(1, steps + 1):
-        p, u = xp[rng.integers(0, len(xp), batch)], xu[rng.integers(0, len(xu), batch)]
-        sp, su = 1 / (1 + np.exp(-(p @ w + b))), 1 / (1 + np.exp(-(u @ w + b)))
+        p, u = xp[rng.integers(0, len(xp), batch)].astype(float), xu[rng.integers(0, len(xu), batch)].astype(float)
+        zp, zu = p @ w + b, u @ w + b
+        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
         # Logistic losses: R_p(-) and R_u(-) are means of softplus(z).
-        gap = np.logaddexp(0, u @ w + b).mean() - prior * np.logaddexp(0, p @ w + b).mean()
+        gap = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         if gap >= 0:
             gp, gu = np.full(batch, -prior / batch), su / batch
         else:
@@ -101,6 +102,11 @@ def nnpu_logistic(xp: np.ndarray, xu: np.ndarray, prior: float, seed: int, steps
     return w, float(b)
 
 
+def logits(x: np.ndarray, w: np.ndarray, b: float, at_once: int = 1024) -> np.ndarray:
+    """``x @ w + b``, a few rows at once: a product with the whole matrix would hold it as floats."""
+    return np.concatenate([np.zeros(0), *(x[lo : lo + at_once].astype(float) @ w + b for lo in range(0, len(x), at_once))])
+
+
 def calibrated(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[float, float]:
     """Scale and shift of the logits: for each scale of a grid the shift that makes the unlabelled mean the prior (where
     the corrected risk is flat in the shift), then the scale of least corrected risk."""
@@ -132,7 +138,7 @@ def estimate_prior(xp: np.ndarray, xu: np.ndarray, folds: int = 5, rounds: int =
         zp, zu = np.zeros(len(xp)), np.zeros(len(xu))
         for k in range(folds):
             w, b = nnpu_logistic(xp[fp != k], xu[fu != k], guess, seed, steps=400, decay=2e-4)
-            zp[fp == k], zu[fu == k] = xp[fp == k] @ w + b, xu[fu == k] @ w + b
+            zp[fp == k], zu[fu == k] = logits(xp[fp == k], w, b), logits(xu[fu == k], w, b)
         zp, zu = np.sort(zp), np.sort(zu)
         cuts = np.unique(zp)
         over_p, over_u = 1 - np.searchsorted(zp, cuts) / len(zp), 1 - (np.searchsorted(zu, cuts) - 1) / len(zu)
@@ -179,24 +185,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [[position[f] for f in own if f in position] for own in b.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["toxic", "at"])
-
-    rows = sample.mapInArrow(keep, "toxic boolean, at array<int>").collect()
-    x = np.zeros((len(rows), len(best)), np.float32)
-    for k, r in enumerate(rows):
-        x[k, r["at"]] = 1
-    toxic = np.array([r["toxic"] for r in rows])
+            bits = np.zeros((b.num_rows, len(position)), bool)
+            for k, own in enumerate(b.column("features").to_pylist()):
+                bits[k, [position[f] for f in own if f in position]] = True
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([r.tobytes() for r in np.packbits(bits, axis=1)], pa.binary())], names=["toxic", "bits"])
+
+    # A row comes as bits and stays a byte a feature, so that the bounded sample is small on the driver.
+    rows = sample.mapInArrow(keep, "toxic boolean, bits binary").toArrow()
+    packed = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
+    toxic = rows.column("toxic").to_numpy()
     # Whatever order the tasks came in: rows by their features.
-    order = np.lexsort(np.packbits(x > 0, axis=1).T)
-    x, toxic = x[order], toxic[order]
+    order = np.lexsort(packed.T)
+    packed, toxic = packed[order], toxic[order]
+    xp, xu = (np.unpackbits(packed[own], axis=1, count=len(best)).view(bool) for own in (toxic, ~toxic))
     if prior is None:
-        prior = float(np.clip(estimate_prior(x[toxic], x[~toxic]), 0.005, 0.5))
-    fits = [nnpu_logistic(x[toxic], x[~toxic], prior, seed) for seed in range(classifiers)]
+        prior = float(np.clip(estimate_prior(xp, xu), 0.005, 0.5))
+    fits = [nnpu_logistic(xp, xu, prior, seed) for seed in range(classifiers)]
     # The classifiers' mean logit, calibrated: one linear score.
     weights, bias = np.mean([w for w, _ in fits], 0), float(np.mean([b for _, b in fits]))
-    z = x @ weights + bias
-    scale, shift = calibrated(z[toxic], z[~toxic], prior)
+    scale, shift = calibrated(logits(xp, weights, bias), logits(xu, weights, bias), prior)
     return ToxicModel(np.array(best, np.int64), scale * weights, scale * bias + shift, prior)
 
 

@@ -168,3 +168,15 @@ def test_queries_on_held_out_rows(spark, tmp_path):
         assert all(r.predicted == int(r.score >= cut) and 0 <= r.score <= 1 for r in got)
         own = [r for r in got if r.held_out]
         assert np.mean([r.predicted == labels[r.doc_id][column] for r in own]) > 0.95
+
+
+def test_toxic_sample_is_a_byte_a_feature_on_the_driver(spark, tox, monkeypatch):
+    """Floats, and copies of them, took the pipeline's driver over its memory."""
+    from basisweave.llm import toxicity
+
+    sizes, fit = [], toxicity.nnpu_logistic
+    monkeypatch.setattr(toxicity, "nnpu_logistic", lambda xp, xu, *a, **b: sizes.append((xp.nbytes / xp.size, xu.nbytes / xu.size)) or fit(xp, xu, *a, **b))
+    model = fit_toxicity(tox.select("doc_id", "text"), tox.select("doc_id", "toxic"))
+    assert len(model.features) and set(sizes) == {(1.0, 1.0)}
+    x, w = np.random.default_rng(1).random((5000, 40)) < 0.2, np.arange(40.0)
+    assert np.allclose(toxicity.logits(x, w, 0.5), x.astype(float) @ w + 0.5) and len(toxicity.logits(x[:0], w, 0.5)) == 0
