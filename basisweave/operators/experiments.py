@@ -36,6 +36,13 @@ def moments(rows: DataFrame, groups: Iterable[str], features: Iterable[str], tar
     return out
 
 
+def with_constant(m: np.ndarray, value: float) -> np.ndarray:
+    """The moments ``m`` of (1, features, target) with a last feature that is ``value`` in all of their rows."""
+    out = np.insert(np.insert(m, -1, value * m[0], 0), -1, 0.0, 1)
+    out[:, -2] = np.insert(value * m[0], -1, value * value * m[0, 0])
+    return out
+
+
 def ridge(m: np.ndarray, penalty: float = 0.0) -> np.ndarray:
     """(intercept, slopes) of least squares with ``penalty`` on the slopes of standardised features; constant ones get 0."""
     n = m[0, 0]

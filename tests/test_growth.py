@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from basisweave.operators import backtest, stats
+from basisweave.operators import backtest, models, stats
 from basisweave.streaming import stateful
 
 
@@ -126,3 +126,31 @@ def test_a_batch_is_one_value_of_state_and_parts_change_nothing(monkeypatch, at_
     plain = [tuple(None if pd.isna(v) else v for v in r) for r in rows.itertuples(index=False)]
     _, want, _ = stateful.Fills(50).advance(("C0", "buy"), None, sorted(((int(a), None if o is None else int(o), x) for a, o, x in plain), key=lambda r: tuple((v is not None, v) for v in r)), 10_000)
     assert sorted(got, key=str) == sorted(want, key=str) and len(got) == 334 and handle.list.v is None
+
+
+def test_walk_forward_reads_its_input_once(spark):
+    """Every fold against least squares; the input is evaluated once, whatever the folds."""
+    rng = np.random.default_rng(8)
+    names = ("zscore", "zscore_lag1", "zscore_lag2", "zscore_lag3", "spread_bps")
+    pdf = pd.DataFrame({"window_id": "w1", "coin": "C0", "pair": rng.choice(["a__b", "a__c", "b__c"], 600, p=[0.2, 0.5, 0.3]), "snapshot_idx": np.arange(600, dtype=np.int32), **{c: rng.normal(size=600) for c in names}})
+    pdf.loc[pdf["snapshot_idx"] < 150, "pair"] = "a__c"  # the others are unseen in the first fold
+    pdf["target"] = 0.5 * pdf["zscore"] + 0.3 * (pdf["pair"] == "a__b") + rng.normal(size=600) / 10
+    pdf.loc[::50, "zscore_lag1"] = None
+    seen, schema = spark.sparkContext.accumulator(0), spark.createDataFrame(pdf).schema
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    got = {r.fold: r for r in models.walk_forward(spark.createDataFrame(pdf).mapInArrow(counted, schema), 3).collect()}
+    assert seen.value == 600 and set(got) == {1, 2, 3}
+    data = pdf.dropna()
+    lo, hi = int(data["snapshot_idx"].min()), int(data["snapshot_idx"].max())
+    for k, r in got.items():
+        start, stop = (lo + (hi + 1 - lo) * j // 4 for j in (k, k + 1))
+        train, test = data[data["snapshot_idx"] < start], data[(data["snapshot_idx"] >= start) & (data["snapshot_idx"] < stop)]
+        order = {p: i for i, p in enumerate(train["pair"].value_counts().index)}
+        x = lambda d: np.column_stack([np.ones(len(d)), d[list(names)], d["pair"].map(order).fillna(len(order))])
+        miss = test["target"] - x(test) @ np.linalg.lstsq(x(train), train["target"], rcond=None)[0]
+        assert r.n == len(test) and r.mae == pytest.approx(miss.abs().mean(), abs=6e-5)
