@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from basisweave.functions.exprs import r_squared
@@ -115,17 +116,20 @@ def ml_14(spark, d):
 def ml_09(spark, d):
     """What lags and z-scores add to the legs' raw channels: one fit of each set on the first run, on the same rows of both; the
     first run's last 15 % of snapshots chooses the penalty."""
-    rows = panel.model_features(_panel(spark, d)).where("target is not null")
+    # Written once, before the mark: all else reads the rows there.
+    rows = files.kept(panel.model_features(_panel(spark, d)).where("target is not null"), "raw")
     names = [c for c in rows.columns if c not in (*_KEY, "target")]
     mark = experiments.snapshot_marks(rows.where("window_id = 'w1'"), (0.85,))[0]
     role = F.when(F.col("window_id") == "w2", "test").when(F.col("snapshot_idx") < mark, "train").otherwise("val")
-    rows = files.kept(rows.withColumn("role", role), "raw")
+    rows = rows.withColumn("role", role)
     sets = {"engineered": [c for c in names if c.startswith("base_")], "raw": [c for c in names if not c.startswith("base_")], "both": names}
-    fits = {}
-    for name, features in sets.items():
-        m = experiments.moments(rows, ["role"], features, "target")
-        if ("train",) in m and ("val",) in m:
-            beta = dict(zip(["", *features], experiments.chosen_ridge(m["train",], m["val",])[1]))
+    # A set's moments are a part of those of all features: one pass for all sets.
+    m, fits = experiments.moments(rows, ["role"], names, "target"), {}
+    if ("train",) in m and ("val",) in m:
+        for name, features in sets.items():
+            at = [0, *(1 + names.index(c) for c in features), len(names) + 1]
+            train, val = (m[part,][np.ix_(at, at)] for part in ("train", "val"))
+            beta = dict(zip(["", *features], experiments.chosen_ridge(train, val)[1]))
             fits[name,] = [beta[""], *(beta.get(c, 0.0) for c in names)]
     long = rows.where("role <> 'train'").withColumn("features", F.explode(F.array(*(F.lit(s) for s in sets))))
     scored = experiments.with_fits(long, ["features"], names, fits)

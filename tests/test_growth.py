@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from basisweave.operators import backtest, models, stats
+from basisweave.operators import backtest, experiments, models, stats
+from basisweave.plans.registry import QUERIES
 from basisweave.streaming import stateful
 
 
@@ -154,3 +155,10 @@ def test_walk_forward_reads_its_input_once(spark):
         x = lambda d: np.column_stack([np.ones(len(d)), d[list(names)], d["pair"].map(order).fillna(len(order))])
         miss = test["target"] - x(test) @ np.linalg.lstsq(x(train), train["target"], rcond=None)[0]
         assert r.n == len(test) and r.mae == pytest.approx(miss.abs().mean(), abs=6e-5)
+
+
+def test_feature_sets_share_one_moment_matrix(spark, monkeypatch):
+    passes, moments = [], experiments.moments
+    monkeypatch.setattr(experiments, "moments", lambda *a, **b: passes.append(a[1]) or moments(*a, **b))
+    got = {(r.features, r.role) for r in QUERIES["ml_09_engineered_and_raw"](spark, "/root/testdata/sf0.001").collect()}
+    assert len(passes) == 1 and got == {(f, role) for f in ("engineered", "raw", "both") for role in ("val", "test")}
