@@ -134,20 +134,36 @@ def johansen_statistics(moments, n: int, k: int) -> tuple[float, ...]:
 
 #: The cumulated mass of Poisson(1) at 0 to 6; beyond six it is below 1e-4.
 _POISSON = np.array([0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582])
+#: The weight by a uniform number's first 16 bits, and those first bits that a bound of the cumulated mass parts.
+_FIRST = 2.0**-16
+_WEIGHT = np.searchsorted(_POISSON, np.arange(1 << 16) * _FIRST).astype(np.uint8)
+_PARTED = np.unique((_POISSON / _FIRST).astype(np.int64))
+_IS_PARTED = np.isin(np.arange(1 << 16), _PARTED)
+_MIXED = 255  # where the first bits don't tell
+_WEIGHT[_IS_PARTED] = _MIXED
 
 
 def poisson_weights(hashes: np.ndarray, reps: int) -> np.ndarray:
-    """(rows, reps) weights: the row's hash and the replicate's number, mixed by splitmix64, give a uniform number each."""
-    with np.errstate(over="ignore"):
-        z = hashes.view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z ^= z >> np.uint64(31)
-    u = (z >> np.uint64(11)).astype(np.float64) * 2.0**-53
-    return np.searchsorted(_POISSON, u.ravel()).reshape(u.shape)
-
+    """(rows, reps) weights: the row's hash and the replicate's number, mixed by splitmix64, give a uniform number each.
 
-def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: int = 7, rows_at_once: int = 64, keys_held: int = 200) -> DataFrame:
+    The number's first 16 bits tell its weight by table but for the six values that hold a bound."""
+    with np.errstate(over="ignore"):
+        z = hashes.view(np.uint64)[:, None] + (np.arange(1, reps + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+        held = np.empty_like(z)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            np.right_shift(z, np.uint64(shift), out=held)
+            z ^= held
+            z *= np.uint64(factor)
+        np.right_shift(z, np.uint64(31), out=held)
+        z ^= held
+    np.right_shift(z, np.uint64(48), out=held)
+    w = _WEIGHT.take(held.view(np.int64))
+    mixed = np.nonzero(w == _MIXED)
+    w[mixed] = np.searchsorted(_POISSON, (z[mixed] >> np.uint64(11)).astype(np.float64) * 2.0**-53)
+    return w
+
+
+def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: int = 7, rows_at_once: int = 16, keys_held: int = 200) -> DataFrame:
     """Poisson bootstrap of the mean per key: each row's weight in each replicate follows from a hash of the row, its number
     among rows equal to it, and the replicate, so it needs no index join and repeats exactly on any partitioning, and equal
     rows are drawn each for itself. A task draws all replicates of a row side by side and hands on two numbers a key and
@@ -177,9 +193,10 @@ def bootstrap(df: DataFrame, value: str, keys: Iterable[str], reps: int, seed: i
                 total = held.setdefault(own, [np.zeros(reps, np.int64), np.zeros(reps)])
                 for lo in range(0, len(at), rows_at_once):
                     part = np.array(at[lo : lo + rows_at_once])
-                    w = poisson_weights(np.ascontiguousarray(h[part]), reps)
-                    total[0] += w.sum(0)
-                    total[1] += v[part] @ w
+                    # The weights' sums are whole numbers, exact as doubles too: one product for both sums.
+                    sums = np.stack([np.ones(len(part)), v[part]]) @ poisson_weights(np.ascontiguousarray(h[part]), reps).astype(np.float64)
+                    total[0] += sums[0].astype(np.int64)
+                    total[1] += sums[1]
                 if len(held) > keys_held:
                     yield from flush()
         yield from flush()

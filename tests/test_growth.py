@@ -162,3 +162,16 @@ def test_feature_sets_share_one_moment_matrix(spark, monkeypatch):
     monkeypatch.setattr(experiments, "moments", lambda *a, **b: passes.append(a[1]) or moments(*a, **b))
     got = {(r.features, r.role) for r in QUERIES["ml_09_engineered_and_raw"](spark, "/root/testdata/sf0.001").collect()}
     assert len(passes) == 1 and got == {(f, role) for f in ("engineered", "raw", "both") for role in ("val", "test")}
+
+
+def test_poisson_weights_by_table_are_those_of_the_whole_number():
+    """A byte a weight, told by the first 16 bits but where those hold a bound of the cumulated mass."""
+    h = np.random.default_rng(5).integers(-(2**63), 2**63 - 1, 300)
+    w = stats.poisson_weights(h, 1000)
+    for k in range(300):
+        z = [(int(h[k]) + j * 0x9E3779B97F4A7C15) % 2**64 for j in range(1, 1001)]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = [(x ^ (x >> shift)) * factor % 2**64 for x in z]
+        u = np.array([((x ^ (x >> 31)) >> 11) * 2.0**-53 for x in z])
+        assert (w[k] == np.searchsorted(stats._POISSON, u)).all()
+    assert w.dtype == np.uint8
