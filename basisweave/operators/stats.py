@@ -252,24 +252,59 @@ def random_entries(moves: DataFrame, keys: Iterable[str], rn: str, move: str, si
     return picked.select("sim", (F.when(F.col("_u") < choices, 1).otherwise(-1) * found).alias("_g")).groupBy("sim").agg(F.avg("_g").alias("mean")).where("mean is not null")
 
 
-def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, n_lags: int = 30, least: int = 10, most: int = 500) -> DataFrame:
+def block_lengths(n: int, n_lags: int, least: int, most: int) -> list[int]:
+    """Block lengths for a series of ``n`` rows, evenly spaced by their logarithm, equal ones once."""
+    step = (np.log10(min(n // 4, most)) - np.log10(least)) / (n_lags - 1)
+    return sorted({int(np.floor(10.0 ** (np.log10(least) + k * step) + 1e-9)) for k in range(n_lags)})
+
+
+def rescaled_ranges(y: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The cumulated deviation's range over the deviation of each row of ``y``, a block; blocks of one value are left out.
+    Values that are not ``known`` count nothing."""
+    n = known.sum(1)
+    # From the block's first value: the same figures, and exact zeros where all are equal.
+    d = np.where(known, y - y[np.arange(len(y)), known.argmax(1)][:, None], 0.0)
+    d = np.where(known, d - (d.sum(1) / np.maximum(n, 1))[:, None], 0.0)
+    sd = np.sqrt((d * d).sum(1) / np.maximum(n - 1, 1))
+    c, seen = np.cumsum(d, axis=1), np.maximum.accumulate(known, axis=1)
+    span = np.where(seen, c, -np.inf).max(1) - np.where(seen, c, np.inf).min(1)
+    whole = (n > 1) & ~(sd <= 0)
+    return span[whole] / sd[whole]
+
+
+def hurst(df: DataFrame, col: str, keys: Iterable[str], order: str, n_lags: int = 30, least: int = 10, most: int = 500, chunk: int = 8192) -> DataFrame:
     """Rescaled-range exponent per series: ``n_lags`` block lengths, evenly spaced by their logarithm from ``least`` to a quarter of
     the series (``most`` at most), equal ones once; the mean over whole blocks of the cumulated deviation's range over the
     deviation, regressed on the length. Null with five lengths or fewer.
 
-    A row meets a length a block, so a series is never one task: blocks are shuffled, not series."""
-    keys = list(keys)
+    A row goes to the task of its ``chunk`` of the series, and to the chunk before if a block that begins there may reach it:
+    a row is shuffled about once for all lengths, and a task holds a chunk. Sums a chunk and length come out."""
+    keys, chunk = list(keys), max(chunk, most)
     own = Window.partitionBy(*keys)
     rn = F.row_number().over(own.orderBy(order)) - 1
-    top = F.least(F.floor(F.col("n") / 4), F.lit(most).cast("long"))
-    step = (F.log10(top) - float(np.log10(least))) / (n_lags - 1)
-    sizes = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n_lags - 1)), lambda k: F.floor(F.pow(F.lit(10.0), float(np.log10(least)) + k * step) + 1e-9)))
-    rows = df.select(*keys, col, rn.alias("rn"), F.count(F.lit(1)).over(own).alias("n")).where(top >= least)
-    cut = rows.select(*keys, col, "rn", "n", F.explode(sizes).alias("size")).withColumn("block", F.floor(F.col("rn") / F.col("size"))).where((F.col("block") + 1) * F.col("size") <= F.col("n"))
-    b = Window.partitionBy(*keys, "size", "block")
-    cum = cut.withColumn("_d", F.col(col) - F.avg(col).over(b)).withColumn("_c", F.sum("_d").over(b.orderBy("rn")))
-    rs = cum.groupBy(*keys, "size", "block").agg((F.max("_c") - F.min("_c")).alias("range"), F.stddev_samp(col).alias("sd")).where("sd > 0")
-    mean = rs.groupBy(*keys, "size").agg(F.avg(F.col("range") / F.col("sd")).alias("rs")).where("rs > 0")
+    rows = df.select(*keys, F.col(col).cast("double").alias("_y"), rn.alias("rn"), F.count(F.lit(1)).over(own).alias("n")).where(F.least(F.floor(F.col("n") / 4), F.lit(most)) >= least)
+    at = F.floor(F.col("rn") / chunk)
+    reached = F.when((at > 0) & (F.col("rn") % chunk < most), F.array(at - 1, at)).otherwise(F.array(at))
+    dealt = rows.select(*keys, "_y", "rn", "n", F.explode(reached).alias("_chunk"))
+    schema = T.StructType([*dealt.select(*keys).schema.fields, T.StructField("size", T.LongType()), T.StructField("_s", T.DoubleType()), T.StructField("_n", T.LongType())])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("rn")
+        y, known = table.column("_y").fill_null(0.0).to_numpy(), table.column("_y").is_valid().to_numpy()
+        first, n, start = table.column("rn")[0].as_py(), table.column("n")[0].as_py(), table.column("_chunk")[0].as_py() * chunk
+        sums = []
+        for size in block_lengths(n, n_lags, least, most):
+            # Blocks that begin in the chunk and end in the series.
+            lo, hi = -(-start // size), min(-(-(start + chunk) // size), n // size)
+            if hi > lo:
+                part = slice(lo * size - first, hi * size - first)
+                rs = rescaled_ranges(y[part].reshape(-1, size), known[part].reshape(-1, size))
+                sums.append((size, float(rs.sum()), len(rs)))
+        names = [pa.array([table.column(k)[0].as_py()] * len(sums), table.column(k).type) for k in keys]
+        return pa.Table.from_arrays([*names, *(pa.array([r[k] for r in sums], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.int64())))], names=[*keys, "size", "_s", "_n"])
+
+    # Dealt by chunk: the series' own partitions would do for Spark, and leave a series in one task.
+    mean = dealt.repartition(*keys, "_chunk").groupBy(*keys, "_chunk").applyInArrow(run, schema).groupBy(*keys, "size").agg((F.sum("_s") / F.nullif(F.sum("_n"), F.lit(0))).alias("rs")).where("rs > 0")
     fit = mean.groupBy(*keys).agg(F.regr_slope(F.ln("rs"), F.ln("size")).alias("_h"), F.count(F.lit(1)).alias("n_lags"))
     return fit.select(*keys, F.when(F.col("n_lags") > 5, F.col("_h")).alias("hurst"), "n_lags")
 

@@ -175,3 +175,23 @@ def test_poisson_weights_by_table_are_those_of_the_whole_number():
         u = np.array([((x ^ (x >> 31)) >> 11) * 2.0**-53 for x in z])
         assert (w[k] == np.searchsorted(stats._POISSON, u)).all()
     assert w.dtype == np.uint8
+
+
+def test_hurst_of_a_series_in_chunks(spark):
+    """Blocks over the seams, nulls, and blocks of one value; a series is in several tasks."""
+    rng = np.random.default_rng(4)
+    y = np.cumsum(rng.normal(size=1300))
+    y[300:420] = y[300]
+    values = [None if k % 97 == 5 or 640 <= k < 655 else float(v) for k, v in enumerate(y)]
+    df = spark.createDataFrame([("a", k, v) for k, v in enumerate(values)] + [("few", k, 1.0) for k in range(39)], "name string, t int, v double")
+    got = stats.hurst(df, "v", ["name"], "t", most=60, chunk=100).collect()
+    points = []
+    for size in sorted({int(np.floor(10 ** (1 + k * (np.log10(60) - 1) / 29) + 1e-9)) for k in range(30)}):
+        rs = []
+        for b in range(1300 // size):
+            own = np.array([v for v in values[b * size : (b + 1) * size] if v is not None])
+            if len(own) > 1 and np.ptp(own) > 0:
+                rs.append(np.ptp(np.cumsum(own - own.mean())) / own.std(ddof=1))
+        points.append((np.log(size), np.log(np.mean(rs))))
+    assert [r.name for r in got] == ["a"] and got[0].n_lags == len(points)
+    assert got[0].hurst == pytest.approx(np.polyfit(*zip(*points), 1)[0])
