@@ -12,7 +12,9 @@ from dataclasses import dataclass, field
 import numpy as np
 
 PER_CLASS = 64
-_CHUNK = 2048
+_CHUNK = 1024
+#: Documents that advance side by side in scoring: their states stay in a core's cache.
+_ABREAST = 1024
 #: Input ids beyond the vocabulary: rarer words by the hash of their last bytes.
 SUFFIXES = 256
 
@@ -66,85 +68,92 @@ class GruModel:
     def advance(self, h: np.ndarray, x: np.ndarray) -> None:
         """The next states, in the place of ``h``; ``x``: what the inputs add to the gates."""
         n = self.shape.hidden
-        g = h @ self.part["ug"]
-        g += x[:, : 2 * n]
+        self._advance(h, _blocks(x, n), _blocks(self.part["ug"], n))
+
+    def _advance(self, h: np.ndarray, x: np.ndarray, ug: np.ndarray) -> None:
+        """``advance`` on blocks of their own for the two gates and the candidate."""
+        g = np.matmul(h, ug)
+        g += x[:2]
         _sigmoid(g, out=g)
-        c = (g[:, n:] * h) @ self.part["uc"]
-        c += x[:, 2 * n :]
-        np.tanh(c, out=c)
+        g[1] *= h
+        c = g[1] @ self.part["uc"]
+        c += x[2]
+        _tanh(c, out=c)
         c -= h
-        c *= g[:, :n]
+        c *= g[0]
         h += c
 
-    def token_logp(self, states: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln P(target | state); targets are word ranks, ``shape.words`` and more for the rare class, or -1 for no token.
+    def token_logp(self, states: np.ndarray, targets: np.ndarray, grad: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray | None, np.ndarray | None]:
+        """ln P(target | state) and None; targets are word ranks, ``shape.words`` and more for the rare class, or -1 for no token.
 
-        With ``grad``, adds the gradients of the negative sum there and returns those of the states too.
+        With ``grad``, adds the gradients of the negative sum there and returns None and those of the states.
         """
         p, n_classes, width = self.part, self.shape.classes, self.shape.hidden
         kind = np.where((targets >= 0) & (targets < self.shape.words), targets // PER_CLASS, n_classes)
+        order = _sorted(kind)
+        kind, targets = kind[order], targets[order]
+        cuts, inner, none = np.searchsorted(kind, np.arange(n_classes + 1)).tolist(), targets % PER_CLASS, targets < 0
         # A column of ones carries the biases through the products. Biases start at most at 0 and states lie in (-1, 1),
         # so no row needs a shift of its own; should weights ever grow far, the bound keeps exp finite.
-        s = np.concatenate((states, np.ones((len(states), 1), np.float32)), 1)
+        s = np.ones((len(states), width + 1), np.float32)
+        s[:, :width] = states.take(order, axis=0)
         wk = np.concatenate((p["wk"], p["bk"][None]))
         wo = np.concatenate((p["wo"], p["bo"][:, None]), 1)
         bounded = max(np.abs(p["wk"]).sum(0).max(initial=0), np.abs(p["wo"]).sum(1).max(initial=0)) + max(0.0, p["bk"].max(), p["bo"].max(initial=0)) < 80
-        logp = np.empty(len(s), np.float64)
-        ds = np.empty_like(states) if grad is not None else None
-
-        def softmax(rows: np.ndarray, w: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            z = rows @ w
-            if not bounded:
-                np.minimum(z, 80, out=z)
-            at = np.arange(len(z)), chosen
-            own = z[at]
-            np.exp(z, out=z)
-            total = z @ np.ones((z.shape[1], 1), np.float32)
-            if grad is not None:
-                z[at] -= total[:, 0]
-            return z, total, own - np.log(total[:, 0])
-
-        for lo in range(0, len(s), _CHUNK):  # small enough to stay in a core's cache
-            part = slice(lo, lo + _CHUNK)
-            z, total, logp[part] = softmax(s[part], wk, kind[part])
-            if grad is not None:
-                inverse = 1 / total
-                if (none := targets[part] < 0).any():
-                    inverse[none] = 0
-                g = (s[part] * inverse).T @ z
-                grad["wk"] += g[:width]
-                grad["bk"] += g[width]
-                ds[part] = (z @ p["wk"].T) * inverse
-        order = _sorted(kind)
-        cuts = np.searchsorted(kind[order], np.arange(n_classes + 1))
+        result = np.zeros(len(s)) if grad is None else np.zeros_like(states)
+        counted, ones = np.arange(_CHUNK), np.ones((max(PER_CLASS, n_classes + 1), 1), np.float32)
+
+        def softmax(first: int, end: int, w: np.ndarray, chosen: np.ndarray, back: np.ndarray, into: np.ndarray | None) -> None:
+            for lo in range(first, end, _CHUNK):  # small enough to stay in a core's cache
+                part = slice(lo, min(end, lo + _CHUNK))
+                z = s[part] @ w
+                if not bounded:
+                    np.minimum(z, 80, out=z)
+                at = counted[: len(z)], chosen[part]
+                own = z[at] if into is None else None
+                np.exp(z, out=z)
+                total = z @ ones[: z.shape[1]]
+                if into is None:
+                    result[part] += own - np.log(total[:, 0])
+                    continue
+                z *= 1 / total
+                z[at] -= 1
+                if w is wk and none[part].any():
+                    z[none[part]] = 0
+                into += z.T @ s[part]
+                result[part] += z @ back
+
+        g_kind, g_word = np.zeros((n_classes + 1, width + 1), np.float32), np.zeros((n_classes, PER_CLASS, width + 1), np.float32)
+        softmax(0, len(s), wk, kind, p["wk"].T, None if grad is None else g_kind)
         for c in range(n_classes):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if not len(rows):
-                continue
-            own = s[rows]
-            y, total, gain = softmax(own, wo[c], targets[rows] % PER_CLASS)
-            logp[rows] += gain
-            if grad is not None:
-                inverse = 1 / total
-                g = (own * inverse).T @ y
-                grad["wo"][c] += g[:width]
-                grad["bo"][c] += g[width]
-                ds[rows] += (y @ p["wo"][c].T) * inverse
-        return logp, ds
+            softmax(cuts[c], cuts[c + 1], wo[c], inner, p["wo"][c].T, None if grad is None else g_word[c])
+        if grad is not None:
+            grad["wk"] += g_kind[:, :width].T
+            grad["bk"] += g_kind[:, width]
+            grad["wo"] += g_word[:, :, :width].swapaxes(1, 2)
+            grad["bo"] += g_word[:, :, width]
+        back = np.empty_like(result)
+        back[order] = result
+        return (back, None) if grad is None else (None, back)
 
     def score(self, documents: list[tuple[np.ndarray, np.ndarray]], at_once: int = 65_536) -> np.ndarray:
         """ln P of each document, given as (input ids, target ids); the state is carried over the whole document.
 
-        Documents advance side by side, the longest first, in windows of about ``at_once`` tokens: the fewer are left, the more
-        steps a window has."""
+        Documents of about equal length advance side by side, the longest first, in windows of about ``at_once`` tokens: the fewer
+        are left, the more steps a window has."""
+        result, order = np.zeros(len(documents)), np.argsort([-len(x) for x, _ in documents], kind="stable")
+        table, ug = _blocks(self.inputs(), self.shape.hidden), _blocks(self.part["ug"], self.shape.hidden)
+        for lo in range(0, len(order), _ABREAST):
+            own = order[lo : lo + _ABREAST]
+            result[own] = self._score_sorted([documents[k] for k in own.tolist()], table, ug, at_once)
+        return result
+
+    def _score_sorted(self, documents: list[tuple[np.ndarray, np.ndarray]], table: np.ndarray, ug: np.ndarray, at_once: int) -> np.ndarray:
         out = np.zeros(len(documents))
-        order = np.argsort([-len(x) for x, _ in documents], kind="stable")
-        lengths = np.array([len(documents[k][0]) for k in order], np.int64)
+        lengths = np.array([len(x) for x, _ in documents], np.int64)
         starts = np.cumsum(lengths) - lengths
-        x_all = np.concatenate([np.zeros(0, np.int32), *(documents[k][0] for k in order)])
-        y_all = np.concatenate([np.zeros(0, np.int32), *(documents[k][1] for k in order)])
-        table, h = self.inputs(), np.zeros((len(order), self.shape.hidden), np.float32)
-        longest, t0 = int(lengths[0]) if len(lengths) else 0, 0
+        x_all, y_all = np.concatenate([x for x, _ in documents]), np.concatenate([y for _, y in documents])
+        h, longest, t0 = np.zeros((len(documents), self.shape.hidden), np.float32), int(lengths[0]), 0
         while t0 < longest:
             left = int(np.searchsorted(-lengths, -t0, side="left"))  # documents longer than t0
             times = np.arange(t0, min(longest, t0 + max(8, at_once // left)))
@@ -152,41 +161,43 @@ class GruModel:
             h, ends = h[:left].copy(), np.cumsum(wide)
             owner = np.arange(ends[-1]) - np.repeat(ends - wide, wide)
             at = starts[owner] + np.repeat(times, wide)
-            x, target = table[x_all[at]], y_all[at]
+            x, target = table.take(x_all[at], axis=1), y_all[at]
             states, place = np.empty((len(at), self.shape.hidden), np.float32), 0
             for m in wide.tolist():
                 states[place : place + m] = h[:m]
-                self.advance(h[:m], x[place : place + m])
+                self._advance(h[:m], x[:, place : place + m], ug)
                 place += m
-            for lo in range(0, len(at), 32768):
-                logp, _ = self.token_logp(states[lo : lo + 32768], target[lo : lo + 32768])
-                out[:left] += np.bincount(owner[lo : lo + 32768], logp, left)
+            out[:left] += np.bincount(owner, self.token_logp(states, target)[0], left)
             t0 = int(times[-1]) + 1
-        result = np.zeros(len(documents))
-        result[order] = out
-        return result
+        return out
 
 
-def _sigmoid(x: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
-    out = np.multiply(x, 0.5, out=out)
-    np.tanh(out, out=out)
-    out *= 0.5
-    out += 0.5
+def _sigmoid(x: np.ndarray, out: np.ndarray, scale: float = 1) -> np.ndarray:
+    """By exp, which numpy computes several times faster than tanh; the bound keeps it finite."""
+    np.multiply(x, -scale, out=out)
+    np.minimum(out, 80, out=out)
+    np.exp(out, out=out)
+    out += 1
+    return np.reciprocal(out, out=out)
+
+
+def _tanh(x: np.ndarray, out: np.ndarray) -> np.ndarray:
+    _sigmoid(x, out, 2)
+    out *= 2
+    out -= 1
     return out
 
 
+def _blocks(rows: np.ndarray, n: int) -> np.ndarray:
+    """(rows, k * n) as k arrays of n columns, each in one piece."""
+    return np.ascontiguousarray(rows.reshape(len(rows), -1, n).swapaxes(0, 1))
+
+
 def _sorted(keys: np.ndarray) -> np.ndarray:
     """Stable order of small non-negative keys; 16-bit ones are sorted by radix."""
     return np.argsort(keys.astype(np.uint16) if len(keys) and keys.max() < 65536 else keys, kind="stable")
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key, and where in it each key's run begins."""
-    order = _sorted(keys)
-    own = keys[order]
-    return order, np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-
-
 def _views(flat: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
     out, at = {}, 0
     for name, size in shape.parts().items():
@@ -231,61 +242,63 @@ class Trainer:
         p, n = self.model.part, self.model.shape.hidden
         lanes, steps = x.shape
         ids = np.ascontiguousarray(x.T).reshape(-1)
-        embedded = p["e"][ids]
-        # What the inputs add to the two gates and to the candidate, in arrays of their own.
-        w_gate, w_new = np.ascontiguousarray(p["wx"][:, : 2 * n]), np.ascontiguousarray(p["wx"][:, 2 * n :])
-        gates = (embedded @ w_gate + p["bx"][: 2 * n]).reshape(steps, lanes, 2 * n)
-        fresh = (embedded @ w_new + p["bx"][2 * n :]).reshape(steps, lanes, n)
-        s_all, z_all, r_all, rs_all, c_all = (np.empty((steps, lanes, n), np.float32) for _ in range(5))
+        embedded = p["e"].take(ids, axis=0)
+        # The two gates and the candidate have arrays of their own.
+        wx, ug, uc = _blocks(p["wx"], n), _blocks(p["ug"], n), p["uc"]
+        x_all = np.matmul(embedded, wx).reshape(3, steps, lanes * n)
+        x_all += np.tile(p["bx"].reshape(3, 1, n), lanes)
+        x_all, cleared = x_all.reshape(3, steps, lanes, n), [np.flatnonzero(k == 0) for k in keep.T]
+        s_all, rs_all, c_all = (np.empty((steps, lanes, n), np.float32) for _ in range(3))
+        g_all = np.empty((steps, 2, lanes, n), np.float32)
         for t in range(steps):
-            s, z, r, rs, c = s_all[t], z_all[t], r_all[t], rs_all[t], c_all[t]
-            np.multiply(h, keep[:, t, None], out=s)
-            g = s @ p["ug"]
-            g += gates[t]
+            s, g, rs, c = s_all[t], g_all[t], rs_all[t], c_all[t]
+            s[:] = h
+            s[cleared[t]] = 0
+            np.matmul(s, ug, out=g)
+            g += x_all[:2, t]
             _sigmoid(g, out=g)
-            z[:], r[:] = g[:, :n], g[:, n:]
-            np.multiply(r, s, out=rs)
-            np.matmul(rs, p["uc"], out=c)
-            c += fresh[t]
-            np.tanh(c, out=c)
+            np.multiply(g[1], s, out=rs)
+            np.matmul(rs, uc, out=c)
+            c += x_all[2, t]
+            _tanh(c, out=c)
             h = c - s
-            h *= z
+            h *= g[0]
             h += s
         self.grad[:] = 0
         _, ds = self.model.token_logp(s_all.reshape(-1, n), y.T.reshape(-1), self.views)
-        ds = ds.reshape(steps, lanes, n)
-        d_gate, d_new = gates, fresh  # their places are taken over
-        uc, ug = np.ascontiguousarray(p["uc"].T), np.ascontiguousarray(p["ug"].T)
+        ds, d_all = ds.reshape(steps, lanes, n), x_all  # its place is taken over
+        uc, ug = np.ascontiguousarray(uc.T), np.ascontiguousarray(ug.swapaxes(1, 2))
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            s, z, r, c, dc, dg = s_all[t], z_all[t], r_all[t], c_all[t], d_new[t], d_gate[t]
+            s, z, r, c, dz, dr, dc = s_all[t], g_all[t, 0], g_all[t, 1], c_all[t], d_all[0, t], d_all[1, t], d_all[2, t]
             np.multiply(dh, z, out=dc)
-            up = dc * (c - s)
-            up *= 1 - z
-            dg[:, :n] = up
+            dh -= dc
+            np.subtract(c, s, out=dz)
+            dz *= dc
+            up = 1 - z
+            dz *= up
             np.multiply(c, c, out=up)
-            dc -= up * dc
+            up *= dc
+            dc -= up
             drs = dc @ uc
-            np.multiply(drs, s, out=up)
-            up *= r
-            up *= 1 - r
-            dg[:, n:] = up
-            dh -= dh * z
+            np.multiply(drs, s, out=dr)
+            dr *= r
+            np.subtract(1, r, out=up)
+            dr *= up
             drs *= r
             dh += drs
-            dh += dg @ ug
+            dh += np.matmul(dz, ug[0], out=up)
+            dh += np.matmul(dr, ug[1], out=up)
             dh += ds[t]
-            dh *= keep[:, t, None]
-        g = self.views
-        d_gate, d_new = d_gate.reshape(-1, 2 * n), d_new.reshape(-1, n)
-        g["ug"] += s_all.reshape(-1, n).T @ d_gate
-        g["uc"] += rs_all.reshape(-1, n).T @ d_new
-        g["bx"][: 2 * n] += d_gate.sum(0)
-        g["bx"][2 * n :] += d_new.sum(0)
-        g["wx"][:, : 2 * n] += embedded.T @ d_gate
-        g["wx"][:, 2 * n :] += embedded.T @ d_new
-        order, heads = _runs(ids)
-        g["e"][ids[order[heads]]] += np.add.reduceat((d_gate @ w_gate.T + d_new @ w_new.T)[order], heads, axis=0)
+            dh[cleared[t]] = 0
+        g, d_all, s_all = self.views, d_all.reshape(3, -1, n), s_all.reshape(-1, n)
+        g["ug"] += np.concatenate(np.matmul(s_all.T, d_all[:2]), 1)
+        g["uc"] += rs_all.reshape(-1, n).T @ d_all[2]
+        g["bx"] += (np.ones((1, len(s_all)), np.float32) @ d_all).reshape(-1)
+        g["wx"] += np.concatenate(np.matmul(embedded.T, d_all), 1)
+        de = np.matmul(d_all, wx.swapaxes(1, 2)).sum(0)
+        for k in range(de.shape[1]):
+            g["e"][:, k] += np.bincount(ids, de[:, k], len(g["e"]))
         self._adam(1 / max(1, int((y >= 0).sum())))
         return h
 

@@ -1,6 +1,7 @@
 """Language-model scores of whole documents: a smoothed unigram base and a gated recurrent network.
 
-Counts come from all training documents: each task counts its own words, Spark adds them up. The ``head`` most
+Counts come from all training documents: each task counts its own words, Spark adds them up. Arrow splits texts in pieces
+of bounded size, and a piece's distinct words are looked up once each. The ``head`` most
 frequent words (a bounded number, chosen from a histogram of counts) go to the tasks; what a document holds beyond
 them meets the count table in a join, so nothing broadcast grows with the vocabulary. The network starts from the
 unigram distribution, warms up on ``warm_documents`` documents, then every partition trains its own copy over all its
@@ -14,23 +15,23 @@ no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basisweave.llm.common import bucket, first_by_hash, one_blas_thread, one_text, read_table, written
+from basisweave.llm.common import bucket, first_by_hash, keep_freed_memory, one_blas_thread, one_text, read_table, written
 from basisweave.llm.gru_lm import SUFFIXES, GruModel, Trainer
 
 END = b""
 SMOOTH = 0.1
-_FLUSH = 400_000
+#: Bytes of text that a task splits into words at once, a longer text apart.
+_PIECE = 8_000_000
 _COLUMNS = 64
 
 
@@ -41,25 +42,36 @@ def tokens(text: str | None) -> list[bytes]:
     return out
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents, as a written table; a task's counts are flushed when they grow large."""
+def token_array(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The ``tokens`` of all texts, one after another, and how many each text has."""
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null("")))
+    # A space behind the last word leaves one empty string after it, the end; an empty text is that string alone.
+    gap = pc.if_else(pc.equal(pc.binary_length(trimmed), 0), "", " ").cast(trimmed.type)
+    split = pc.ascii_split_whitespace(pc.binary_join_element_wise(trimmed, gap, pa.scalar("", trimmed.type)))
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    return split.flatten().cast(pa.binary()), lengths
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-            held.clear()
-            return out
+def _pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``_PIECE`` bytes of text."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PIECE, side="right")))
+            yield b.slice(at, end - at)
+            at = end
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(tokens(t))
-                if len(held) > _FLUSH:
-                    yield flush()
-        yield flush()
 
-    return written(docs.select(text_col).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, n) over all documents, as a written table; tasks count the words of a piece at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _pieces(batches, "text"):
+            counted = token_array(b.column(0))[0].value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], names=["word", "n"])
+
+    return written(docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
 
 
 @dataclass
@@ -101,32 +113,52 @@ def head_of(counts: DataFrame, size: int, vocabulary: int) -> Head:
     return Head([words[k] for k in order], n[order], total, distinct, min(vocabulary, len(words)))
 
 
+@dataclass
+class Encoded:
+    """Texts as numbers: tokens and tokens in the head a text, sums of their shares, the input ids of all texts one after
+    another, and the words beyond the head: how many distinct ones a text has, which, and how often."""
+
+    n_tokens: np.ndarray
+    n_head: np.ndarray
+    base: np.ndarray
+    rare: np.ndarray
+    x: np.ndarray
+    n_tail: np.ndarray
+    tail: pa.Array
+    tail_counts: np.ndarray
+
+
 class Encoder:
-    """Texts to ids: the rank in the head or -1; input and target ids of the network."""
+    """Texts to the input ids of the network, and what of them the head knows. Each distinct word is looked up once a piece."""
 
     def __init__(self, head: Head):
         self.head = head
-        self.rank = {w: k for k, w in enumerate(head.words)}
-        self.base = head.base_logp(head.counts)
-        self.rare = np.log10((head.counts + SMOOTH) / head.rare_scale)
-        self.rare[: head.vocabulary] = 0
-        self.suffix = np.array([self._suffix(w) for w in head.words] or [0], np.int32)
+        self.words = pa.array(head.words, pa.binary())
+        base, rare = head.base_logp(head.counts), np.log10((head.counts + SMOOTH) / head.rare_scale)
+        rare[: head.vocabulary] = 0
+        # What no word of the head is, rank -1, adds nothing.
+        self.base, self.rare = np.append(base, 0.0), np.append(rare, 0.0)
 
     @staticmethod
-    def _suffix(word: bytes) -> int:
-        return zlib.crc32(word[-3:]) % SUFFIXES
-
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """(ranks, input ids, words beyond the head)."""
-        words = tokens(text)
-        rank = np.fromiter(map(self.rank.get, words, repeat(-1)), np.int32, len(words))
-        m = self.head.vocabulary
-        x = np.where(rank < m, rank, m + self.suffix[rank])
-        beyond = np.flatnonzero(rank < 0).tolist()
-        tail = [words[k] for k in beyond]
-        if tail:
-            x[beyond] = [m + self._suffix(w) for w in tail]
-        return rank, x.astype(np.int32), tail
+    def _suffix(words: pa.Array) -> np.ndarray:
+        ends = pc.binary_slice(words, -3).dictionary_encode()
+        return np.array([zlib.crc32(w) % SUFFIXES for w in ends.dictionary.to_pylist()], np.int64)[ends.indices.to_numpy()]
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        n, m = len(texts), self.head.vocabulary
+        words, lengths = token_array(texts)
+        coded = words.dictionary_encode()
+        distinct, codes = coded.dictionary, coded.indices.to_numpy()
+        ranks = pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy()
+        ids = np.where((ranks >= 0) & (ranks < m), ranks, m + self._suffix(distinct)).astype("<u2")
+        owner = np.repeat(np.arange(n), lengths)
+        beyond = ranks[codes] < 0
+        tail, counts = np.unique(owner[beyond] * len(distinct) + codes[beyond], return_counts=True)
+        per_text = lambda values: np.bincount(owner, values[codes], n)
+        return Encoded(
+            lengths, lengths - np.bincount(owner[beyond], minlength=n), per_text(self.base[ranks]), per_text(self.rare[ranks]), ids[codes],
+            np.bincount(tail // max(1, len(distinct)), minlength=n), distinct.take(pa.array(tail % max(1, len(distinct)))), counts,
+        )
 
 
 def encoder_of(head: Head) -> Encoder:
@@ -156,21 +188,14 @@ def encode_documents(docs: DataFrame, head: Head, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shipped.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                rows, ids, words, counts = [], [], [], []
-                for t in b.column("text").to_pylist():
-                    rank, x, tail = encoder.encode(t)
-                    known, kinds = rank[rank >= 0], Counter(tail)
-                    words += kinds
-                    counts += kinds.values()
-                    rows.append((len(rank), len(known), float(encoder.base[known].sum()), float(encoder.rare[known].sum()), len(kinds)))
-                    ids.append(x.astype("<u2").tobytes())
-                pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(counts, pa.int64())], names=["word", "k"])
-                tails = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(r[4] for r in rows)]), pa.int32()), pairs).cast(tail_type)
-                numbers = [pa.array([r[j] for r in rows], t) for j, t in enumerate(_NUMBERS.values())]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *numbers, pa.array(ids, pa.binary()), tails], names=[*kept, *_NUMBERS, "x", "tail"])
+        for b in _pieces(batches, "text"):
+            e = encoder.encode(b.column("text"))
+            pairs = pa.StructArray.from_arrays([e.tail, pa.array(e.tail_counts, pa.int64())], names=["word", "k"])
+            tails = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(e.n_tail)), pa.int32()), pairs).cast(tail_type)
+            ends = np.append(0, np.cumsum(2 * e.n_tokens)).astype(np.int32)
+            ids = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(e.x)])
+            numbers = [pa.array(getattr(e, c), t) for c, t in _NUMBERS.items()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *numbers, ids, tails], names=[*kept, *_NUMBERS, "x", "tail"])
 
     return written(numbered.mapInArrow(run, schema), "lm-ids")
 
@@ -195,12 +220,14 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
     ids = first_by_hash(short.select("id"), warm_documents)
     chosen = one_text(short.join(F.broadcast(ids), "id"), "id")
     warm = [r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").select("text").collect()]
-    encoder, trainer = Encoder(head), Trainer(model, lanes=32, steps=20, rate=5e-3)
-    trainer.feed([(x, np.minimum(x, head.vocabulary)) for _, x, _ in map(encoder.encode, warm)])
+    trainer, first = Trainer(model, lanes=32, steps=20, rate=5e-3), Encoder(head).encode(pa.array(warm, pa.string()))
+    x = first.x.astype(np.int32)
+    trainer.feed([(k, np.minimum(k, head.vocabulary)) for k in np.split(x, np.cumsum(first.n_tokens)[:-1])] if warm else [])
     shipped, vocabulary = spark.sparkContext.broadcast((model.shape, model.flat)), head.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
+        keep_freed_memory()
         shape, flat = shipped.value
         trainer = Trainer(GruModel(shape, flat.copy()), rate=2e-3)
         held, size = [], 0
@@ -235,6 +262,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruMo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
+        keep_freed_memory()
         network = GruModel(*shipped.value)
         held, rows, size = [], [], 0
 

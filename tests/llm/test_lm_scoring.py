@@ -1,15 +1,17 @@
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from basisweave.llm.common import first_by_hash
 from basisweave.llm.gru_lm import GruModel, Trainer
-from basisweave.llm.lm_scoring import head_of, op1_lm_scoring, score_documents, tokens, train_network, word_counts
+from basisweave.llm.lm_scoring import Encoder, Head, head_of, op1_lm_scoring, score_documents, token_array, tokens, train_network, word_counts
 
 
 def corpus(n, seed=0):
@@ -138,3 +140,41 @@ def test_scores_do_not_depend_on_windows():
     assert together == pytest.approx([model.score([d])[0] for d in docs], abs=1e-3)
     assert together == pytest.approx(model.score(docs, at_once=1), abs=1e-3) and together[2] == 0
     assert model.score([]).tolist() == []
+
+
+def test_pieces_are_encoded_as_single_texts():
+    odd = [None, "", " ", "\n\t ", " a", "a ", "a\x1cb \x0b x  y", "\u00c4\u00d6 a\u00c4\u00a0B", "x" * 3000, *(f" A{chr(c)}{chr(c)}b{chr(c)}" for c in range(128)), *corpus(30)]
+    flat, lengths = token_array(pa.array(["cut", *odd]).slice(1))
+    assert flat.to_pylist() == [w for t in odd for w in tokens(t)] and lengths.tolist() == [len(tokens(t)) for t in odd]
+    c = Counter(w for t in odd for w in tokens(t)).most_common(80)
+    head = Head([w for w, _ in c], np.array([n for _, n in c]), 5000, 300, 40)
+    rank, e = {w: k for k, (w, _) in enumerate(c)}, Encoder(head).encode(pa.array(odd))
+    at = tail_at = 0
+    for k, t in enumerate(odd):
+        words = tokens(t)
+        known, tail = [w for w in words if w in rank], Counter(w for w in words if w not in rank)
+        assert e.n_tokens[k] == len(words) and e.n_head[k] == len(known)
+        assert e.base[k] == pytest.approx(sum(math.log10((c[rank[w]][1] + 0.1) / (5000 + 30.1)) for w in known))
+        assert e.rare[k] == pytest.approx(sum(math.log10((c[rank[w]][1] + 0.1) / head.rare_scale) for w in known if rank[w] >= 40))
+        assert e.x[at : at + len(words)].tolist() == [rank[w] if rank.get(w, 99) < 40 else 40 + zlib.crc32(w[-3:]) % 256 for w in words]
+        assert dict(zip(e.tail.to_pylist()[tail_at : tail_at + e.n_tail[k]], e.tail_counts[tail_at : tail_at + e.n_tail[k]].tolist(), strict=True)) == tail
+        at, tail_at = at + len(words), tail_at + e.n_tail[k]
+    assert at == len(e.x) and tail_at == len(e.tail) and len(Encoder(head).encode(pa.array([], pa.string())).x) == 0
+
+
+def test_encoding_costs_less_than_a_lookup_a_token():
+    rng = random.Random(5)
+    texts = [" ".join(f"word{int(rng.paretovariate(0.6)) % 40_000}" for _ in range(500)) for _ in range(600)]
+    c = Counter(w for t in texts for w in tokens(t)).most_common(20_000)
+    encoder, rank = Encoder(Head([w for w, _ in c], np.array([n for _, n in c]), 300_600, 40_000, 4096)), {w: k for k, (w, _) in enumerate(c)}
+
+    def least(run):
+        times = []
+        for _ in range(5):
+            start = time.process_time()
+            run()
+            times.append(time.process_time() - start)
+        return min(times)
+
+    column = pa.array(texts)
+    assert least(lambda: encoder.encode(column)) < 0.8 * least(lambda: [Counter(w for w in tokens(t) if rank.get(w, -1) < 0) or [rank.get(w) for w in tokens(t)] for t in texts])
