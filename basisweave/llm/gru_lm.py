@@ -152,7 +152,7 @@ class GruModel:
         out = np.zeros(len(documents))
         lengths = np.array([len(x) for x, _ in documents], np.int64)
         starts = np.cumsum(lengths) - lengths
-        x_all, y_all = np.concatenate([x for x, _ in documents]), np.concatenate([y for _, y in documents])
+        x_all, y_all = (np.concatenate([d[k] for d in documents], dtype=np.int32) for k in (0, 1))
         h, longest, t0 = np.zeros((len(documents), self.shape.hidden), np.float32), int(lengths[0]), 0
         while t0 < longest:
             left = int(np.searchsorted(-lengths, -t0, side="left"))  # documents longer than t0
@@ -222,8 +222,7 @@ class Trainer:
 
         The last lane is filled up with targets of -1, which teach nothing.
         """
-        x = np.concatenate([np.zeros(0, np.int32), *(d[0] for d in documents)])
-        y = np.concatenate([np.zeros(0, np.int32), *(d[1] for d in documents)])
+        x, y = (np.concatenate([np.zeros(0, np.int32), *(d[k] for d in documents)], dtype=np.int32) for k in (0, 1))
         fresh = np.zeros(len(x), np.float32)
         if len(x):
             fresh[np.cumsum([0, *(len(d[0]) for d in documents if len(d[0]))])[:-1]] = 1

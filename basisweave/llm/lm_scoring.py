@@ -31,7 +31,7 @@ from basisweave.llm.gru_lm import SUFFIXES, GruModel, Trainer
 END = b""
 SMOOTH = 0.1
 #: Bytes of text that a task splits into words at once, a longer text apart.
-_PIECE = 8_000_000
+_PIECE = 2_000_000
 _COLUMNS = 64
 
 
@@ -200,11 +200,11 @@ def encode_documents(docs: DataFrame, head: Head, id_col: str = "doc_id", text_c
     return written(numbered.mapInArrow(run, schema), "lm-ids")
 
 
-def _inputs(column: pa.Array, vocabulary: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(input ids, target ids) of each row."""
+def _inputs(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(input ids, target ids) of each row, in the column's own memory: ids beyond the vocabulary are the rare class as targets."""
     for x in column:
-        ids = np.frombuffer(x.as_buffer(), "<u2").astype(np.int32)
-        yield ids, np.minimum(ids, vocabulary)
+        ids = np.frombuffer(x.as_buffer(), "<u2")
+        yield ids, ids
 
 
 def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col: str = "text", hidden: int = 16, warm_documents: int = 1000, warm_chars: int = 20_000, buffer: int = 2_000_000, encoded: DataFrame | None = None) -> GruModel:
@@ -221,9 +221,8 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
     chosen = one_text(short.join(F.broadcast(ids), "id"), "id")
     warm = [r[0] for r in chosen.orderBy(F.xxhash64("id"), "id").select("text").collect()]
     trainer, first = Trainer(model, lanes=32, steps=20, rate=5e-3), Encoder(head).encode(pa.array(warm, pa.string()))
-    x = first.x.astype(np.int32)
-    trainer.feed([(k, np.minimum(k, head.vocabulary)) for k in np.split(x, np.cumsum(first.n_tokens)[:-1])] if warm else [])
-    shipped, vocabulary = spark.sparkContext.broadcast((model.shape, model.flat)), head.vocabulary
+    trainer.feed([(x, x) for x in np.split(first.x, np.cumsum(first.n_tokens)[:-1])] if warm else [])
+    shipped = spark.sparkContext.broadcast((model.shape, model.flat))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_blas_thread()
@@ -232,7 +231,7 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
         trainer = Trainer(GruModel(shape, flat.copy()), rate=2e-3)
         held, size = [], 0
         for b in batches:
-            for x, y in _inputs(b.column(0), vocabulary):
+            for x, y in _inputs(b.column(0)):
                 held.append((x, y))
                 size += len(x)
                 if size > buffer:
@@ -256,7 +255,7 @@ def train_network(docs: DataFrame, head: Head, id_col: str = "doc_id", text_col:
 def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruModel, id_col: str = "doc_id", text_col: str = "text", buffer: int = 6_400_000, encoded: DataFrame | None = None) -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of whole texts, from ``encoded`` if that is at hand."""
     encoded = encode_documents(docs, head, id_col, text_col) if encoded is None else encoded
-    shipped, vocabulary = docs.sparkSession.sparkContext.broadcast((model.shape, model.flat)), head.vocabulary
+    shipped = docs.sparkSession.sparkContext.broadcast((model.shape, model.flat))
     kept = ["rid", "id", *_NUMBERS]
     schema = T.StructType([*encoded.select(*kept).schema.fields, T.StructField("logp", T.DoubleType())])
 
@@ -274,7 +273,7 @@ def score_documents(docs: DataFrame, counts: DataFrame, head: Head, model: GruMo
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 rows.append(b.select(kept))
-                own = list(_inputs(b.column("x"), vocabulary))
+                own = list(_inputs(b.column("x")))
                 held += own
                 size += sum(len(x) for x, _ in own)
                 if size > buffer:
